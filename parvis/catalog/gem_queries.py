@@ -10,6 +10,7 @@ from parvis.catalog.registry import query
 from parvis.functions import pricing
 from parvis.operators import cleaning, outliers
 from parvis.plans import recommend as R
+from parvis.session import stage
 from parvis.sources import tables
 
 _MEDIANS = "SELECT arrondissement, quantile_cont(prix_m2, 0.5) AS prix_m2_predit, quantile_cont(prix_m2, 0.15) AS district_floor FROM {t} GROUP BY 1"
@@ -26,7 +27,7 @@ SELECT id_mutation, arrondissement, prix_m2, prix_m2_predit, district_floor, gem
     digits={"prix_m2_predit district_floor": 4, "gem_score": 7},
 )
 def under_priced_sales(spark, d):
-    kept = outliers.iqr_filter_by_district(V.clean(spark, d), 1.0)
+    kept = stage(outliers.iqr_filter_by_district(V.clean(spark, d), 1.0))
     return R.scored_sales(kept).where(F.col("gem_score") >= C.GEM_THRESHOLD).select(
         "id_mutation", "arrondissement", "prix_m2", "prix_m2_predit", "district_floor", "gem_score"
     )
@@ -40,7 +41,7 @@ _GEM_COLUMNS = [
 ]
 _GEM_DIGITS = {"prix_m2_predit prix_total_transaction prix_total_predit decote_pct": 4, "gem_score": 7}
 # initcap over words separated by blanks
-_LABEL = """adresse_numero || ' ' || array_to_string(list_transform(string_split(lower(adresse_nom_voie), ' '), w -> upper(w[1]) || w[2:]), ' ')
+_LABEL = """adresse_numero || ' ' || array_to_string(list_transform(string_split(lower(adresse_nom_voie), ' '), lambda w: upper(w[1]) || w[2:]), ' ')
  || ' Paris ' || arrondissement || CASE WHEN arrondissement = 1 THEN 'er' ELSE 'e' END AS adresse"""
 
 

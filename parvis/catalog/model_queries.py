@@ -1 +1,138 @@
+"""Queries that fit models. No SQL counterpart: their properties are tested."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from parvis import constants as C
+from parvis.catalog import views as V
+from parvis.catalog.registry import query
+from parvis.operators import forest, outliers
+from parvis.operators.encodings import fit_encodings
+from parvis.operators.features import feature_matrix, split_train_test, training_frame
+from parvis.operators.proximity import enrich_by_cell
+from parvis.plans import experiments, explain, training
+from parvis.plans.recommend import scored_sales
+from parvis.session import stage
+
+
+def _core(spark, d):
+    return outliers.price_between(outliers.iqr_filter_by_district(V.clean(spark, d), 1.0))
+
+
+def _frames(spark, d):
+    """Training and test features, written once and read by every fit."""
+    train, test, enc = training_frame(_core(spark, d))
+    return stage(train), stage(test), enc
+
+
+@query()
+def linear_model_scores(spark, d):
+    train, test, _ = _frames(spark, d)
+    return training.predictions(training.fit(train, training.linear(C.BASE_FEATURES)), test)
+
+
+@query()
+def gbt_scores(spark, d):
+    train, test, _ = _frames(spark, d)
+    return training.predictions(training.fit(train, training.boosted_trees(iterations=10)), test)
+
+
+@query()
+def additive_model_scores(spark, d):
+    train, test, _ = _frames(spark, d)
+    return training.fit_additive(train, test)[1]
+
+
+@query()
+def tournament(spark, d):
+    train, test, _ = _frames(spark, d)
+    recipes = [
+        training.linear(C.BASE_FEATURES),
+        training.boosted_trees(iterations=10),
+        training.boosted_trees(name="GBT_L2", loss="squared", log_target=False, iterations=10),
+        training.forest(trees=10),
+        training.linear(name="Huber", loss="huber", log_target=True),
+        training.boosted_trees(name="GBT_weighted", weighted=True, iterations=10),
+    ]
+    return training.tournament(train, test, recipes)[1]
+
+
+@query()
+def feature_importance(spark, d):
+    train, _, _ = _frames(spark, d)
+    return training.feature_importance(spark, training.fit(train, training.boosted_trees(iterations=10)))
+
+
+@query()
+def linear_contributions(spark, d):
+    train, test, _ = _frames(spark, d)
+    model = training.fit(train, training.linear(C.BASE_FEATURES))
+    return explain.linear_contributions(model, test, k=8).select("id_mutation", "prix_m2_predit", "base", "contributions")
+
+
+@query()
+def occlusion_contributions(spark, d):
+    train, test, _ = _frames(spark, d)
+    model = training.fit(train, training.boosted_trees(C.BASE_FEATURES, iterations=5))
+    return explain.occlusion_contributions(model, test, k=8).select("id_mutation", "prix_m2_predit", "contributions")
+
+
+@query()
+def mean_absolute_contributions(spark, d):
+    train, test, _ = _frames(spark, d)
+    model = training.fit(train, training.linear())
+    return explain.mean_absolute_contribution(explain.linear_contributions(model, test, k=None))
+
+
+@query()
+def isolation_forest(spark, d):
+    kept = stage(outliers.iqr_filter_by_district(V.clean(spark, d), 1.5))
+    return forest.isolation_forest(kept).select("id_mutation", "anomaly", "is_outlier")
+
+
+@query()
+def strategy_experiment(spark, d):
+    return experiments.strategy_experiment(V.clean(spark, d), training.boosted_trees(iterations=5))
+
+
+@query()
+def ablation(spark, d):
+    return experiments.ablation(V.clean(spark, d), trials=2, iterations=8)
+
+
+@query()
+def place_feature_gain(spark, d):
+    sales = enrich_by_cell(outliers.enriched_valid(V.clean(spark, d)), V.enriched(spark, d), ["place_id"])
+    return experiments.feature_group_gain(
+        sales, C.POI_FEATURES, lambda cols, name: training.boosted_trees(cols, name=name, log_target=False, iterations=5)
+    )
+
+
+def _model(spark, d):
+    train, _, enc = _frames(spark, d)
+    return training.fit(train, training.boosted_trees(iterations=10), enc)
+
+
+@query()
+def batch_scoring(spark, d):
+    """All sales scored by a model learnt from the training rows."""
+    model = _model(spark, d)
+    return model.score(V.clean(spark, d)).select("id_mutation", "prix_m2", "prix_m2_predit")
+
+
+@query()
+def model_hidden_gems(spark, d):
+    sales = V.clean(spark, d)
+    gems = scored_sales(sales, _model(spark, d).score(sales))
+    return gems.where(F.col("gem_score") >= C.GEM_THRESHOLD).select("id_mutation", "prix_m2", "prix_m2_predit", "gem_score")
+
+
+@query()
+def smoothed_features_model(spark, d):
+    """Street and grid encodings, shrunk, in a boosted model."""
+    train, test = split_train_test(stage(_core(spark, d)))
+    enc = fit_encodings(train, smoothed=True, fine=True)
+    rows = stage(feature_matrix(train, enc, keep=["id_mutation"]))
+    model = training.fit(rows, training.boosted_trees(iterations=10), enc)
+    return training.predictions(model, feature_matrix(test, enc, keep=["id_mutation"]))

@@ -82,8 +82,8 @@ _OFFER = f"""'{{"price":' || {_PRICE} || '}}'"""
 _LD = f"""'"@type":"' || CASE WHEN id_mutation % 10 = 7 THEN 'WebPage' WHEN type_local = 'Maison' THEN 'House' ELSE 'Apartment' END
     || '","name":"' || titre || '","floorSize":{{"value":' || {_AREA} || '}},"numberOfRooms":' || {_ROOMS}
     || ',"address":{{"postalCode":"' || {_CODE} || '"}},"datePublished":"' || {_DAY} || 'T08:30:00"
-    ,"image":["' || {_PHOTO} || '-b.jpg","' || {_PHOTO} || '-c.png?ci_seal=1"]'""".replace("{{", "{").replace("}}", "}")
-_OFFER = _OFFER.replace("{{", "{").replace("}}", "}")
+    ,"image":["' || {_PHOTO} || '-b.jpg","' || {_PHOTO} || '-c.png?ci_seal=1"]'"""
+_OFFER = _OFFER
 
 PAGE_PARTS = [
     "'<!DOCTYPE html><html><head><title>' || titre || ' &amp; co</title>'",
@@ -95,24 +95,24 @@ PAGE_PARTS = [
     ),
     _when("id_mutation % 3 = 0", f"""'<meta property="og:image" content="' || {_PHOTO} || '-a.jpg?ci_seal=9#top">'"""),
     "'<style>p{margin:0}</style>'",
-    _when("id_mutation % 6 = 1", f"""'<script type="application/ld+json">{{' || {_LD} || ',"offers":' || {_OFFER} || '}}</script>'""".replace("{{", "{").replace("}}", "}")),
-    _when("id_mutation % 6 = 2", f"""'<script type="application/ld+json">[{{' || {_LD} || ',"offers":[' || {_OFFER} || ']}}]</script>'""".replace("{{", "{").replace("}}", "}")),
+    _when("id_mutation % 6 = 1", f"""'<script type="application/ld+json">{{' || {_LD} || ',"offers":' || {_OFFER} || '}}</script>'"""),
+    _when("id_mutation % 6 = 2", f"""'<script type="application/ld+json">[{{' || {_LD} || ',"offers":[' || {_OFFER} || ']}}]</script>'"""),
     _when(
         "id_mutation % 5 = 1",
         f"""'<script id="__NEXT_DATA__" type="application/json">{{"props":{{"pageProps":{{"ad":{{"subject":"' || titre || ' lbc","price":[' || {_PRICE}
         || '],"attributes":[{{"key":"rooms","value":"' || {_ROOMS} || '"}},{{"key":"square","value":"' || {_AREA} || '","value_label":"' || {_AREA} || ' m²"}}]'
-        || ',"location":{{"zipcode":"' || {_CODE} || '","lat":48.85,"lng":2.35}}}}}}}}}}</script>'""".replace("{{", "{").replace("}}", "}"),
+        || ',"location":{{"zipcode":"' || {_CODE} || '","lat":48.85,"lng":2.35}}}}}}}}}}</script>'""",
     ),
     _when(
         "id_mutation % 10 = 3",
         f"""'<script id="__NEXT_DATA__" type="application/json">{{"props":{{"pageProps":{{"listingData":{{"title":"' || titre || ' bi","price":' || {_PRICE}
         || ',"surfaceArea":' || {_AREA} || ',"roomsQuantity":' || {_ROOMS} || ',"postalCode":"' || {_CODE}
-        || '","blurInfo":{{"position":{{"lat":48.86,"lon":2.34}}}}}}}}}}}}</script>'""".replace("{{", "{").replace("}}", "}"),
+        || '","blurInfo":{{"position":{{"lat":48.86,"lon":2.34}}}}}}}}}}}}</script>'""",
     ),
     _when(
         "id_mutation % 6 = 5",
         f"""'<script>window.__PRELOADED_STATE__ = {{"view":{{"Prix":' || {_PRICE} || ',"area":' || {_AREA} || ',"rooms":' || {_ROOMS}
-        || ',"cp":"' || {_CODE} || '","createdAt":"' || {_DAY} || '"}}}};</script>'""".replace("{{", "{").replace("}}", "}"),
+        || ',"cp":"' || {_CODE} || '","createdAt":"' || {_DAY} || '"}}}};</script>'""",
     ),
     f"""'</head><body><!-- page --><p>' || type_local || ' <b>' || {_ROOMS} || '&nbsp;pièces</b> de ' || {_AREA} || ' m²</p><p>' || {_SPACED.format(s=' ')}
         || ' &euro;</p><p>Paris ' || {_ARR} || CASE WHEN arrondissement = 1 THEN 'er' ELSE 'ème' END || '</p>'""",

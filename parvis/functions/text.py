@@ -8,23 +8,25 @@ from pyspark.sql import functions as F
 from parvis import constants as C
 from parvis.functions.numbers import as_col
 
-NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 SPACES = " \u00a0\u202f\t\n\r"
 
 
 def blank_to_null(col: Column) -> Column:
+    """Empty text is "not found". Apply to a column, not to a costly expression:
+    the operand is evaluated twice."""
     return F.when(col != "", col)
 
 
 def first_group(text, pattern: str, group: int = 1) -> Column:
-    """First match's group; null when there is no match."""
-    return blank_to_null(F.regexp_extract(as_col(text), pattern, group))
+    """First match's group, empty when there is no match (reads as null once parsed)."""
+    return F.regexp_extract(as_col(text), pattern, group)
 
 
 def parse_number(value) -> Column:
     """Number from text: spaces dropped, comma as point; null when unreadable."""
-    with_point = F.translate(F.translate(as_col(value).cast("string"), SPACES, ""), ",", ".")
-    return F.when(with_point.rlike(NUMBER), with_point.try_cast("double"))
+    plain = F.translate(F.translate(as_col(value).cast("string"), SPACES, ""), ",", ".")
+    return F.regexp_extract(plain, NUMBER, 0).try_cast("double")
 
 
 def parse_int(value, default: int | None = 0) -> Column:
@@ -43,7 +45,7 @@ def positive(col: Column) -> Column:
 
 
 def district_from_code(code) -> Column:
-    return positive(F.pmod(parse_int(code), F.lit(100)).cast("int"))
+    return F.pmod(parse_int(code), F.lit(100)).cast("int")
 
 
 def visible_text(html) -> Column:
@@ -58,19 +60,22 @@ def visible_text(html) -> Column:
     return F.trim(F.regexp_replace(out, r"[ \t\r\n\f]+", " "))
 
 
-def meta_content(html, name: str) -> Column:
-    """``content`` of a meta tag by its property or name, in either attribute order."""
-    key = rf"""(?:property|name)=["']{name}["']"""
-    before = rf"""(?is)<meta[^>]*{key}[^>]*content="([^"]*)\""""
-    after = rf"""(?is)<meta[^>]*content="([^"]*)"[^>]*{key}"""
-    return blank_to_null(F.trim(F.coalesce(first_group(html, before), first_group(html, after))))
+def meta_tags(html) -> Column:
+    """All meta tags of a page, found in one scan."""
+    return F.regexp_extract_all(as_col(html), F.lit(r"(?is)(<meta\b[^>]*>)"), F.lit(1))
+
+
+def meta_content(tags: Column, name: str) -> Column:
+    """``content`` of the first of some meta tags with a property or name."""
+    named = F.filter(tags, lambda t: t.rlike(rf"""(?i)(?:property|name)=["']{name}["']"""))
+    return F.trim(F.regexp_extract(F.try_element_at(named, F.lit(1)), r'(?is)content="([^"]*)"', 1))
 
 
 def page_title(html) -> Column:
     out = first_group(html, r"(?is)<title[^>]*>(.*?)</title>")
     for entity, char in C.ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(char))
-    return blank_to_null(F.trim(out))
+    return F.trim(out)
 
 
 def largest_number(text, low: int, high: int) -> Column:
@@ -80,11 +85,6 @@ def largest_number(text, low: int, high: int) -> Column:
     return F.array_max(F.filter(numbers, lambda x: (x > low) & (x < high)))
 
 
-def first_present(*cols: Column) -> Column:
-    """First value that is there and not zero."""
-    return F.coalesce(*[positive(c) for c in cols])
-
-
 def host_source(url) -> Column:
     u = F.lower(as_col(url))
     return (

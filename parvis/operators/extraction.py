@@ -1,188 +1,263 @@
 """Listing facts from tables of pages, cards and vision answers.
 
 Every extraction is a set of column expressions over one row, so a job over any
-number of pages is a scan with a projection: no shuffle, no Python.
+number of pages is a scan with projections: no shuffle, no Python. Costly steps
+(a scan of the page, a JSON parse) become columns of their own, written once and
+read by the projections after them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parvis import constants as C
 from parvis.functions import text as X
-from parvis.functions.numbers import as_col, lookup, round_even
+from parvis.functions.numbers import lookup, round_even
+
+# a single object is read as a list of one
+LD_SCHEMA = (
+    "array<struct<`@type`:string,name:string,offers:string,floorSize:string,numberOfRooms:string,address:string,"
+    "datePublished:string,dateCreated:string,dateModified:string,image:string>>"
+)
+_AD = (
+    "subject:string,price:string,attributes:array<struct<key:string,value:string,value_label:string>>,"
+    "location:struct<zipcode:string,lat:string,lng:string>"
+)
+_LISTING_DATA = (
+    "title:string,name:string,price:string,surfaceArea:string,surface:string,roomsQuantity:string,rooms:string,"
+    "postalCode:string,zipCode:string,blurInfo:struct<position:struct<lat:string,lon:string>>"
+)
+STATE_SCHEMA = f"props struct<pageProps:struct<ad:struct<{_AD}>,listingData:struct<{_LISTING_DATA}>>>"
 
 
 def url_fields(df: DataFrame, url: str = "url") -> DataFrame:
-    number = X.first_group(url, C.URL_DISTRICT).cast("int")
-    low = F.lower(F.col(url))
-    return df.withColumns(
-        {
-            "url_arrondissement": F.when(number.between(1, 20), number),
-            "listing_id": X.first_group(url, C.URL_LISTING_ID),
-            "type_bien": F.when(low.contains("appartement"), "appartement").when(low.contains("maison"), "maison"),
-        }
+    number, low = F.col("_district"), F.lower(F.col(url))
+    return (
+        df.withColumns(
+            {"_district": X.first_group(url, C.URL_DISTRICT).try_cast("int"), "_id": X.first_group(url, C.URL_LISTING_ID)}
+        )
+        .withColumns(
+            {
+                "url_arrondissement": F.when(number.between(1, 20), number),
+                "listing_id": X.blank_to_null(F.col("_id")),
+                "type_bien": F.when(low.contains("appartement"), "appartement").when(low.contains("maison"), "maison"),
+            }
+        )
+        .drop("_district", "_id")
     )
 
 
 # -- structured blocks ------------------------------------------------------------------
 
+Fields = dict[str, Column]
 
-def _first(array: Column, pick) -> Column:
-    """First non-null result of ``pick`` over an array."""
-    return F.try_element_at(F.filter(F.transform(array, pick), lambda x: x.isNotNull()), F.lit(1))
 
+def _first(array: Column, pick: Callable[[Column], Column], keep: Callable[[Column], Column] | None = None) -> Column:
+    """First usable result of ``pick`` over an array."""
+    keep = keep or (lambda x: x.isNotNull())
+    return F.try_element_at(F.filter(F.transform(array, pick), keep), F.lit(1))
 
-def _json(col: Column, *paths: str) -> Column:
-    return F.coalesce(*[F.get_json_object(col, p) for p in paths])
 
+def _above_zero(x: Column) -> Column:
+    return x > 0
 
-def jsonld_objects(html, listings_only: bool = True) -> Column:
-    """JSON-LD objects of a page; of a list only the first element counts."""
-    blocks = F.regexp_extract_all(as_col(html), F.lit(C.JSONLD_BLOCK), F.lit(1))
-    objects = F.transform(
-        blocks, lambda b: F.when(F.trim(b).startswith("["), F.get_json_object(b, "$[0]")).otherwise(b)
-    )
-    objects = F.filter(objects, lambda o: o.isNotNull())
-    if not listings_only:
-        return objects
-    return F.filter(objects, lambda o: F.get_json_object(o, "$['@type']").isin(C.LISTING_TYPES))
+
+def _inner(raw: Column, field: str) -> Column:
+    """A field of an object, or of the first object of a list, given as raw JSON."""
+    return F.get(F.from_json(raw, f"array<struct<{field}:string>>"), F.lit(0))[field]
+
+
+def _scalar(raw: Column) -> Column:
+    """A scalar given as such or as the first entry of a list."""
+    return F.regexp_extract(raw, r'^\[?\s*"?([^",\]]*)', 1)
+
+
+def jsonld_objects(html) -> Column:
+    """Parsed JSON-LD objects of a page; of a list only the first element counts."""
+    blocks = F.regexp_extract_all(F.col(html), F.lit(C.JSONLD_BLOCK), F.lit(1))
+    return F.filter(F.transform(blocks, lambda b: F.get(F.from_json(b, LD_SCHEMA), F.lit(0))), lambda o: o.isNotNull())
 
 
-def jsonld_listing(html) -> dict[str, Column]:
-    objects = jsonld_objects(html)
-    floor = lambda o: _json(o, "$.floorSize.value", "$.floorSize")
+def jsonld_fields(objects: Column) -> Fields:
+    ads = F.filter(objects, lambda o: o["@type"].isin(C.LISTING_TYPES))
+
+    def area(o: Column) -> Column:
+        return X.parse_float(F.when(o["floorSize"].startswith("{"), _inner(o["floorSize"], "value")).otherwise(o["floorSize"]))
+
     return {
-        "titre": _first(objects, lambda o: X.blank_to_null(F.get_json_object(o, "$.name"))),
-        "prix": _first(objects, lambda o: X.positive(X.parse_int(_json(o, "$.offers.price", "$.offers[0].price")))),
-        "surface": _first(objects, lambda o: X.positive(X.parse_float(floor(o)))),
-        "pieces": _first(objects, lambda o: X.positive(X.parse_int(F.get_json_object(o, "$.numberOfRooms")))),
-        "arrondissement": _first(objects, lambda o: X.district_from_code(F.get_json_object(o, "$.address.postalCode"))),
-        "date_publication": _first(
-            objects, lambda o: _json(o, "$.datePublished", "$.dateCreated", "$.dateModified")
-        ),
+        "titre": _first(ads, lambda o: o["name"], lambda x: x != ""),
+        "prix": _first(ads, lambda o: X.parse_int(_inner(o["offers"], "price")), _above_zero),
+        "surface": _first(ads, area, _above_zero),
+        "pieces": _first(ads, lambda o: X.parse_int(o["numberOfRooms"]), _above_zero),
+        "arrondissement": _first(ads, lambda o: X.district_from_code(_inner(o["address"], "postalCode")), _above_zero),
+        "date_publication": _first(ads, lambda o: F.coalesce(o["datePublished"], o["dateCreated"], o["dateModified"])),
     }
 
 
-_ATTRIBUTES = "array<struct<key:string,value:string,value_label:string>>"
+def app_state(html) -> Column:
+    """The page's embedded application state, parsed once."""
+    return F.from_json(X.first_group(html, C.APP_STATE_BLOCK), STATE_SCHEMA)["props"]["pageProps"]
 
 
-def app_state_listing(html) -> dict[str, Column]:
-    """Fields of the embedded application state, for the two known shapes."""
-    state = X.first_group(html, C.APP_STATE_BLOCK)
-    at = lambda *tails: _json(state, *[f"$.props.pageProps.{t}" for t in tails])
-    attributes = F.from_json(at("ad.attributes"), _ATTRIBUTES)
+def app_state_fields(state: Column) -> Fields:
+    """Raw values of the two known shapes."""
+    ad, data = state["ad"], state["listingData"]
 
     def attribute(key: str) -> Column:
-        return _first(attributes, lambda a: F.when(a["key"] == key, F.coalesce(a["value_label"], a["value"])))
+        return _first(ad["attributes"], lambda a: F.when(a["key"] == key, F.coalesce(a["value_label"], a["value"])))
 
-    price = X.parse_int(at("ad.price[0]", "ad.price", "listingData.price"))
-    area = F.coalesce(attribute("square"), at("listingData.surfaceArea", "listingData.surface"))
-    rooms = F.coalesce(attribute("rooms"), at("listingData.roomsQuantity", "listingData.rooms"))
-    code = at("ad.location.zipcode", "listingData.postalCode", "listingData.zipCode")
+    position = data["blurInfo"]["position"]
     return {
-        "titre": X.blank_to_null(at("ad.subject", "listingData.title", "listingData.name")),
-        "prix": X.positive(price),
-        "surface": X.positive(X.parse_float(area)),
-        "pieces": X.positive(X.parse_int(rooms)),
-        "arrondissement": X.district_from_code(code),
-        "latitude": X.parse_float(at("ad.location.lat", "listingData.blurInfo.position.lat"), None),
-        "longitude": X.parse_float(at("ad.location.lng", "listingData.blurInfo.position.lon"), None),
+        "titre": F.coalesce(ad["subject"], data["title"], data["name"]),
+        "prix": X.parse_int(_scalar(F.coalesce(ad["price"], data["price"]))),
+        "surface": X.parse_float(F.coalesce(attribute("square"), data["surfaceArea"], data["surface"])),
+        "pieces": X.parse_int(F.coalesce(attribute("rooms"), data["roomsQuantity"], data["rooms"])),
+        "arrondissement": X.district_from_code(F.coalesce(ad["location"]["zipcode"], data["postalCode"], data["zipCode"])),
+        "latitude": X.parse_number(F.coalesce(ad["location"]["lat"], position["lat"])),
+        "longitude": X.parse_number(F.coalesce(ad["location"]["lng"], position["lon"])),
     }
 
 
-def key_search(html) -> dict[str, Column]:
-    """First value of each known key name anywhere in the page's state object.
+def state_object(html) -> Column:
+    """Text of the first state object found in the page's scripts."""
+    found = F.array(*[X.first_group(html, p) for p in C.STATE_BLOCKS])
+    return F.try_element_at(F.filter(found, lambda s: s != ""), F.lit(1))
 
-    Works on the text of the object: the first numeric value of such a key in
-    document order, whatever its depth.
-    """
-    state = F.coalesce(*[X.first_group(html, p) for p in C.STATE_BLOCKS])
 
-    def number(keys: list[str]) -> Column:
-        return X.positive(X.parse_number(X.first_group(state, rf'(?i)"(?:{"|".join(keys)})"\s*:\s*(-?\d+(?:\.\d+)?)')))
+def key_search_fields(state: Column) -> Fields:
+    """First value of each known key name anywhere in a state object.
 
-    def string(keys: list[str], body: str) -> Column:
-        return X.first_group(state, rf'(?i)"(?:{"|".join(keys)})"\s*:\s*"?({body})')
+    Works on the text of the object: the first value of such a key in document
+    order, whatever its depth.
+    """
+    def value(keys: list[str], body: str) -> Column:
+        return X.first_group(state, rf'(?i)"(?:{"|".join(keys)})"\s*:\s*{body}')
 
+    number = r"(-?\d+(?:\.\d+)?)"
     return {
-        "prix": number(C.KEYS_PRICE).cast("bigint"),
-        "surface": number(C.KEYS_AREA),
-        "pieces": number(C.KEYS_ROOMS).cast("bigint"),
-        "arrondissement": X.district_from_code(string(C.KEYS_POSTCODE, r"\d+")),
-        "date_publication": string(C.KEYS_DATE, r"[^\"]+"),
+        "prix": X.parse_int(value(C.KEYS_PRICE, number)),
+        "surface": X.parse_float(value(C.KEYS_AREA, number)),
+        "pieces": X.parse_int(value(C.KEYS_ROOMS, number)),
+        "arrondissement": X.district_from_code(value(C.KEYS_POSTCODE, r'"?(\d+)')),
+        "date_publication": value(C.KEYS_DATE, r'"?([^"]+)'),
     }
 
 
 # -- meta tags and plain text --------------------------------------------------------------
 
 
-def _district_in(text: Column) -> Column:
-    code = F.pmod(X.first_group(text, C.DISTRICT_POSTCODE).cast("int"), F.lit(100))
-    ordinal = X.first_group(text, C.DISTRICT_ORDINAL).cast("int")
-    return F.coalesce(F.when(code.between(1, 20), code), X.positive(ordinal))
+def _first_text(*cols: Column) -> Column:
+    return F.try_element_at(F.filter(F.array(*cols), lambda x: x != ""), F.lit(1))
 
 
-def meta_listing(html, url) -> dict[str, Column]:
-    og_title = X.meta_content(html, "og:title")
-    title = X.page_title(html)
-    described = F.coalesce(X.meta_content(html, "description"), X.meta_content(html, "og:description"), og_title, title)
-    area = F.coalesce(X.first_group(described, C.META_AREA), X.first_group(described, C.META_AREA_LOOSE))
-    rooms = F.coalesce(
-        X.first_group(og_title, C.META_ROOMS_SHORT),
-        X.first_group(described, C.META_ROOMS_SHORT),
-        X.first_group(described, C.TEXT_ROOMS),
-    )
+def meta_fields(tags: Column, title: Column, url: Column) -> Fields:
+    og_title = X.meta_content(tags, "og:title")
+    described = _first_text(X.meta_content(tags, "description"), X.meta_content(tags, "og:description"), og_title, title)
+    return {"titre": _first_text(og_title, title), "og": og_title, "described": described, "from_url": X.first_group(url, C.URL_DISTRICT)}
+
+
+def meta_values(og: Column, described: Column, from_url: Column) -> Fields:
+    def districts(text: Column) -> list[Column]:
+        code = F.pmod(X.first_group(text, C.DISTRICT_POSTCODE).try_cast("int"), F.lit(100))
+        code = F.try_element_at(F.filter(F.array(code), lambda x: x.between(1, 20)), F.lit(1))
+        return [code, X.first_group(text, C.DISTRICT_ORDINAL).try_cast("int")]
+
+    candidates = [*districts(described), *districts(og), from_url.try_cast("int")]
     return {
-        "titre": F.coalesce(og_title, title),
         "prix": X.largest_number(described, *C.META_PRICE_RANGE),
-        "surface": X.positive(X.parse_float(area)),
-        "pieces": X.positive(X.parse_int(rooms)),
-        "arrondissement": F.coalesce(
-            _district_in(described), _district_in(og_title), X.positive(X.first_group(url, C.URL_DISTRICT).cast("int"))
+        "surface": X.parse_float(_first_text(X.first_group(described, C.META_AREA), X.first_group(described, C.META_AREA_LOOSE))),
+        "pieces": X.parse_int(
+            _first_text(
+                X.first_group(og, C.META_ROOMS_SHORT), X.first_group(described, C.META_ROOMS_SHORT), X.first_group(described, C.TEXT_ROOMS)
+            )
         ),
+        "arrondissement": F.try_element_at(F.filter(F.array(*candidates), _above_zero), F.lit(1)),
     }
 
 
-def text_listing(text) -> dict[str, Column]:
+def text_fields(text: Column) -> Fields:
     return {
-        "prix": X.positive(X.parse_int(X.first_group(text, C.TEXT_PRICE))),
-        "surface": X.positive(X.parse_float(X.first_group(text, C.TEXT_AREA))),
-        "pieces": X.positive(X.parse_int(X.first_group(text, C.TEXT_ROOMS))),
-        "arrondissement": X.positive(
-            F.coalesce(X.first_group(text, C.DISTRICT_ORDINAL), X.first_group(text, C.DISTRICT_DIGITS)).cast("int")
-        ),
+        "prix": X.parse_int(X.first_group(text, C.TEXT_PRICE)),
+        "surface": X.parse_float(X.first_group(text, C.TEXT_AREA)),
+        "pieces": X.parse_int(X.first_group(text, C.TEXT_ROOMS)),
+        "arrondissement": _first_text(
+            X.first_group(text, C.DISTRICT_ORDINAL), X.first_group(text, C.DISTRICT_DIGITS)
+        ).try_cast("int"),
     }
 
 
-def publication_date(html) -> Column:
-    return F.coalesce(*[X.first_group(html, p) for p in C.PAGE_DATES])
+TYPES = {
+    "titre": "string", "prix": "bigint", "surface": "double", "pieces": "int", "arrondissement": "int",
+    "date_publication": "string", "latitude": "double", "longitude": "double",
+}
+
+
+def _tidied(prefix: str, fields: Fields) -> Fields:
+    """Zero, negative and empty mean "not found"; coordinates are kept as they are."""
+    out = {}
+    for name in fields:
+        col, kind = F.col(f"{prefix}{name}"), TYPES[name]
+        if name in ("latitude", "longitude"):
+            out[f"{prefix}{name}"] = col
+        else:
+            out[f"{prefix}{name}"] = (X.blank_to_null(col) if kind == "string" else X.positive(col)).cast(kind)
+    return out
+
+
+def with_source(df: DataFrame, kind: str, html: str = "html", url: str = "url") -> DataFrame:
+    """Add one source's fields, prefixed with its name: ``state_``, ``ld_``,
+    ``keys_``, ``meta_`` or ``text_``."""
+    prefix = f"{kind}_"
+    if kind == "state":
+        df, fields = df.withColumn("_block", app_state(html)), app_state_fields(F.col("_block"))
+    elif kind == "ld":
+        df, fields = df.withColumn("_block", jsonld_objects(html)), jsonld_fields(F.col("_block"))
+    elif kind == "keys":
+        df, fields = df.withColumn("_block", state_object(html)), key_search_fields(F.col("_block"))
+    elif kind == "text":
+        df = df.withColumn("_block", X.visible_text(html))
+        fields = text_fields(F.col("_block"))
+    else:
+        df = df.withColumns({"_block": X.meta_tags(html), "_title": X.page_title(html)})
+        found = meta_fields(F.col("_block"), F.col("_title"), F.col(url))
+        df = df.withColumns({f"_m_{n}": c for n, c in found.items()})
+        fields = {"titre": F.col("_m_titre"), **meta_values(F.col("_m_og"), F.col("_m_described"), F.col("_m_from_url"))}
+    df = df.withColumns({f"{prefix}{n}": c for n, c in fields.items()})
+    df = df.withColumns(_tidied(prefix, fields))
+    return df.drop("_block", "_title", "_m_titre", "_m_og", "_m_described", "_m_from_url")
 
 
 def extract_listings(pages: DataFrame, as_of: Column, html: str = "html", url: str = "url") -> DataFrame:
     """One listing per page. Sources are tried in a fixed order and a field is
     filled by the first that has it: application state, JSON-LD, state keys, meta
     tags, and for the sites that need it the visible text."""
-    pages = pages.withColumn("_text", X.visible_text(html)).withColumn("source", X.host_source(url))
-    state, ld, keys = app_state_listing(html), jsonld_listing(html), key_search(html)
-    meta, plain = meta_listing(html, url), text_listing("_text")
+    out = pages.withColumn("source", X.host_source(url))
+    kinds = ["state", "ld", "keys", "meta", "text"]
+    for kind in kinds:
+        out = with_source(out, kind, html, url)
+    out = out.withColumns({f"_date{i}": X.first_group(html, p) for i, p in enumerate(C.PAGE_DATES)})
     reads_state = F.col("source").isin("LeBonCoin", "BienIci")
     reads_text = F.col("source").isin("PAP", "BienIci")
-    number_type = {"prix": "bigint", "surface": "double", "pieces": "int", "arrondissement": "int"}
 
-    fields = {}
-    for name, kind in number_type.items():
-        fields[name] = F.coalesce(
-            F.when(reads_state, state[name]), ld[name], keys[name], meta[name], F.when(reads_text, plain[name])
-        ).cast(kind)
-    fields["titre"] = F.coalesce(F.when(reads_state, state["titre"]), ld["titre"], meta["titre"])
-    fields["latitude"] = F.when(reads_state, state["latitude"])
-    fields["longitude"] = F.when(reads_state, state["longitude"])
-    date = F.coalesce(ld["date_publication"], keys["date_publication"], publication_date(html))
-    fields["days_on_market"] = X.days_since(date, as_of)
-    return pages.withColumns(fields).drop("_text")
+    def chosen(name: str, sources=("ld", "keys", "meta")) -> Column:
+        tail = [F.when(reads_text, F.col(f"text_{name}"))] if name != "titre" else []
+        return F.coalesce(F.when(reads_state, F.col(f"state_{name}")), *[F.col(f"{s}_{name}") for s in sources], *tail)
+
+    dates = [X.blank_to_null(F.col(f"_date{i}")) for i in range(len(C.PAGE_DATES))]
+    fields = {name: chosen(name) for name in ("prix", "surface", "pieces", "arrondissement")}
+    fields["titre"] = chosen("titre", ("ld", "meta"))
+    fields["latitude"] = F.when(reads_state, F.col("state_latitude"))
+    fields["longitude"] = F.when(reads_state, F.col("state_longitude"))
+    fields["_date"] = F.coalesce("ld_date_publication", "keys_date_publication", *dates)
+    made = [c for c in out.columns if c.split("_")[0] in kinds and c not in pages.columns]
+    return (
+        out.withColumns(fields)
+        .withColumn("days_on_market", X.days_since("_date", as_of))
+        .drop(*made, "_date", *[f"_date{i}" for i in range(len(C.PAGE_DATES))])
+    )
 
 
 # -- qualitative features -------------------------------------------------------------------
@@ -191,38 +266,41 @@ def extract_listings(pages: DataFrame, as_of: Column, html: str = "html", url: s
 def listing_features(pages: DataFrame, html: str = "html") -> DataFrame:
     """Floor, energy class, keyword scores, charges, amenities and exposure."""
     t = F.col("_text")
-    ground, top = t.rlike(C.GROUND_FLOOR), t.rlike(C.TOP_FLOOR)
-    numbered = X.first_group(t, C.FLOOR_NUMBER).try_cast("int")
-    top_floor = F.coalesce(X.first_group(t, C.TOP_FLOOR_NUMBER).try_cast("int"), F.lit(C.TOP_FLOOR_DEFAULT))
-    compass = F.upper(F.translate(X.first_group(t, C.EXPOSURE), " -", ""))
-    renovation, quality = X.words_found(t, C.RENOVATION_WORDS), X.words_found(t, C.QUALITY_WORDS)
     low, high = C.CHARGES_RANGE
-
-    def charge(pattern: str) -> Column:
-        value = X.parse_int(X.first_group(t, pattern), None)
-        return F.when((value > low) & (value < high), value)
-
-    features = {
-        "etage": F.when(ground, 0).when(top, top_floor).otherwise(numbered),
-        "nb_etages": F.when(~ground & ~top, X.first_group(t, C.FLOOR_NUMBER, 2).try_cast("int")),
-        "dpe_classe": F.upper(
-            F.coalesce(X.first_group(t, C.ENERGY_CLASS), X.first_group(html, C.ENERGY_CLASS_ELEMENT))
+    captured = {
+        "_ground": t.rlike(C.GROUND_FLOOR),
+        "_top": t.rlike(C.TOP_FLOOR),
+        "_top_no": X.first_group(t, C.TOP_FLOOR_NUMBER).try_cast("int"),
+        "_floor_no": X.first_group(t, C.FLOOR_NUMBER).try_cast("int"),
+        "_floors": X.first_group(t, C.FLOOR_NUMBER, 2).try_cast("int"),
+        "_energy": _first_text(X.first_group(t, C.ENERGY_CLASS), X.first_group(html, C.ENERGY_CLASS_ELEMENT)),
+        "_compass": F.upper(F.translate(X.first_group(t, C.EXPOSURE), " -", "")),
+        "_renovation": X.words_found(t, C.RENOVATION_WORDS),
+        "_quality": X.words_found(t, C.QUALITY_WORDS),
+        "_charges": F.filter(
+            F.array(*[X.parse_int(X.first_group(t, p), None) for p in C.CHARGES]), lambda v: (v > low) & (v < high)
         ),
-        "renovation_score": round_even(F.size(renovation) / F.lit(float(len(C.RENOVATION_WORDS))), 3),
-        "quality_score": round_even(F.size(quality) / F.lit(float(len(C.QUALITY_WORDS))), 3),
-        "charges_mensuelles": F.coalesce(*[charge(p) for p in C.CHARGES]).cast("int"),
+    }
+    ground, top = F.col("_ground"), F.col("_top")
+    features = {
+        "etage": F.when(ground, 0).when(top, F.coalesce("_top_no", F.lit(C.TOP_FLOOR_DEFAULT))).otherwise(F.col("_floor_no")),
+        "nb_etages": F.when(~ground & ~top, F.col("_floors")),
+        "dpe_classe": F.upper("_energy"),
+        "renovation_score": round_even(F.size("_renovation") / F.lit(float(len(C.RENOVATION_WORDS))), 3),
+        "quality_score": round_even(F.size("_quality") / F.lit(float(len(C.QUALITY_WORDS))), 3),
+        "charges_mensuelles": F.try_element_at("_charges", F.lit(1)).cast("int"),
         **{name: t.rlike(pattern) for name, pattern in C.AMENITIES.items()},
-        "exposition": lookup(compass, C.EXPOSURES),
+        "exposition": lookup(F.col("_compass"), C.EXPOSURES),
     }
-    out = pages.withColumn("_text", X.visible_text(html)).withColumns(features)
-    return out.withColumn("features_found", _found(renovation, quality)).drop("_text")
+    out = pages.withColumn("_text", X.visible_text(html)).withColumns(captured).withColumns(features)
+    return out.withColumn("features_found", _found()).drop("_text", *captured)
 
 
-def _found(renovation: Column, quality: Column) -> Column:
+def _found() -> Column:
     """Readable list of what was detected."""
     floor = (
         F.when(F.col("etage") == 0, "RDC")
-        .when(F.col("_text").rlike(C.TOP_FLOOR), F.concat(F.lit("Dernier étage "), F.col("etage").cast("string")))
+        .when(F.col("_top"), F.concat(F.lit("Dernier étage "), F.col("etage").cast("string")))
         .when(F.col("nb_etages").isNotNull(), F.concat(F.lit("Étage "), F.col("etage").cast("string"), F.lit("/"), F.col("nb_etages").cast("string")))
         .when(F.col("etage").isNotNull(), F.concat(F.lit("Étage "), F.col("etage").cast("string")))
     )
@@ -237,55 +315,54 @@ def _found(renovation: Column, quality: Column) -> Column:
             F.concat(F.lit("Exposition "), F.col("exposition")),
         )
     )
-    return F.concat(single, renovation, quality, rest)
+    return F.concat(single, "_renovation", "_quality", rest)
 
 
 # -- photos, cards, vision ----------------------------------------------------------------------
 
 
-def photo_urls(html, limit: int = C.MAX_PHOTOS) -> Column:
-    """Distinct photo addresses of a page, sealed variants first.
+def photo_urls(pages: DataFrame, html: str = "html", limit: int = C.MAX_PHOTOS) -> DataFrame:
+    """Add ``photos``: distinct photo addresses of a page, sealed variants first.
 
     Addresses are the same photo when equal up to ``?``; of those a sealed one
     is preferred, else the first. All per row, without a shuffle.
     """
-    raw = as_col(html)
-    plain = F.replace(raw, F.lit("\\/"), F.lit("/"))
-    image_list = "array<string>"
-
-    def ld_images(o: Column) -> Column:
-        images = F.get_json_object(o, "$.image")
-        many = F.from_json(images, image_list)
-        urls = F.transform(
-            many,
-            lambda i: F.when(i.startswith("{"), _json(i, "$.url", "$.contentUrl")).otherwise(i),
+    def images(o: Column) -> Column:
+        entries = F.when(o["image"].startswith("["), F.from_json(o["image"], "array<string>")).otherwise(F.array(o["image"]))
+        return F.transform(
+            entries,
+            lambda i: F.when(i.startswith("{"), F.coalesce(_inner(i, "url"), _inner(i, "contentUrl"))).otherwise(i),
         )
-        return F.when(images.startswith("["), urls).otherwise(F.array(images))
 
-    found = F.concat(
-        F.array(X.meta_content(raw, "og:image")),
-        F.flatten(F.transform(jsonld_objects(raw, listings_only=False), lambda o: F.coalesce(ld_images(o), F.array(F.lit(None).cast("string"))))),
-        *[F.regexp_extract_all(plain, F.lit("(?i)(" + p + ")"), F.lit(1)) for p in C.PHOTO_PATTERNS],
-    )
+    def base(u: Column) -> Column:
+        return F.substring_index(u, "?", 1)
+
+    def is_sealed(u: Column) -> Column:
+        return u.contains(C.PHOTO_SEAL)
+
+    plain = F.replace(F.col(html), F.lit("\\/"), F.lit("/"))
+    from_hosts = [F.regexp_extract_all("_plain", F.lit("(?i)(" + p + ")"), F.lit(1)) for p in C.PHOTO_PATTERNS]
+    found = F.concat(F.array(X.meta_content(X.meta_tags(html), "og:image")), F.flatten(F.transform("_ld", images)), *from_hosts)
     tidy = F.transform(
-        F.filter(found, lambda u: u.isNotNull()),
+        F.filter("_found", lambda u: u.isNotNull()),
         lambda u: F.rtrim(F.substring_index(F.replace(F.trim(u), F.lit("\\/"), F.lit("/")), "#", 1), F.lit("\\\"'>,")),
     )
-    tidy = F.filter(tidy, lambda u: u.startswith("http"))
-    base = lambda u: F.substring_index(u, "?", 1)
-    sealed = F.filter(tidy, lambda u: u.contains(C.PHOTO_SEAL))
+    urls, sealed = F.col("_urls"), F.col("_sealed")
 
     def best(b: Column) -> Column:
-        same = lambda u: base(u) == b
-        return F.coalesce(
-            F.try_element_at(F.filter(sealed, same), F.lit(1)), F.try_element_at(F.filter(tidy, same), F.lit(1))
+        return F.try_element_at(
+            F.concat(F.filter(sealed, lambda u: base(u) == b), F.filter(urls, lambda u: base(u) == b)), F.lit(1)
         )
 
-    chosen = F.transform(F.array_distinct(F.transform(tidy, base)), best)
-    ordered = F.concat(
-        F.filter(chosen, lambda u: u.contains(C.PHOTO_SEAL)), F.filter(chosen, lambda u: ~u.contains(C.PHOTO_SEAL))
+    return (
+        pages.withColumns({"_plain": plain, "_ld": jsonld_objects(html)})
+        .withColumn("_found", found)
+        .withColumn("_urls", F.filter(tidy, lambda u: u.startswith("http")))
+        .withColumn("_sealed", F.filter(urls, is_sealed))
+        .withColumn("_best", F.transform(F.array_distinct(F.transform(urls, base)), best))
+        .withColumn("photos", F.slice(F.concat(F.filter("_best", is_sealed), F.filter("_best", lambda u: ~is_sealed(u))), 1, limit))
+        .drop("_plain", "_ld", "_found", "_urls", "_sealed", "_best")
     )
-    return F.slice(ordered, 1, limit)
 
 
 def parse_cards(cards: DataFrame, title="title", price="price_text", area="surface_text") -> DataFrame:
@@ -310,25 +387,30 @@ def parse_cards(cards: DataFrame, title="title", price="price_text", area="surfa
     ).where(F.col("prix_annonce") >= C.MIN_CARD_PRICE)
 
 
+VISION_SCHEMA = (
+    "renovation_score string, space_category string, luminosite string, hauteur_plafond string,"
+    " has_outdoor_space string, qualite_generale string, reasoning string"
+)
+
+
 def normalise_vision(answers: DataFrame, raw: str = "raw") -> DataFrame:
     """Fields of raw vision answers: the outermost object (without code fences) parsed,
     score clamped, unknown categories replaced; unreadable answers get defaults."""
-    body = X.first_group(raw, r"(?s)(\{.*\})")
-    body = F.when(F.try_parse_json(body).isNotNull(), body)
     low, high = C.VISION_SCORE_RANGE
-    number = F.get_json_object(body, "$.renovation_score")
-    score = F.when(number.rlike(r"^-?\d+(\.\d+)?$"), number.try_cast("double").try_cast("int"))
-    outdoor = F.get_json_object(body, "$.has_outdoor_space")
+    parsed = answers.withColumn("_body", X.first_group(raw, r"(?s)(\{.*\})")).withColumns(
+        # a broken object reads as null as a whole, not field by field
+        {"parsed": F.try_parse_json("_body").isNotNull(), "_v": F.from_json("_body", VISION_SCHEMA)}
+    )
+    value = lambda name: F.when(F.col("parsed"), F.col("_v")[name])
+    score = F.coalesce(X.parse_number(value("renovation_score")).try_cast("int"), F.lit(C.VISION_SCORE_DEFAULT))
     fields = {
-        "renovation_score": F.least(F.greatest(F.coalesce(score, F.lit(C.VISION_SCORE_DEFAULT)), F.lit(low)), F.lit(high)),
-        "has_outdoor_space": F.coalesce(~outdoor.isin("false", "0", ""), F.lit(False)),
-        "reasoning": F.coalesce(F.get_json_object(body, "$.reasoning"), F.lit("")),
-        "parsed": body.isNotNull(),
+        "renovation_score": F.least(F.greatest(score, F.lit(low)), F.lit(high)),
+        "has_outdoor_space": F.coalesce(~value("has_outdoor_space").isin("false", "0", ""), F.lit(False)),
+        "reasoning": F.coalesce(value("reasoning"), F.lit("")),
     }
     for name, (accepted, default) in C.VISION_ENUMS.items():
-        value = F.get_json_object(body, f"$.{name}")
-        fields[name] = F.when(value.isin(accepted), value).otherwise(default)
-    return answers.withColumns(fields)
+        fields[name] = F.when(value(name).isin(accepted), value(name)).otherwise(default)
+    return parsed.withColumns(fields).drop("_body", "_v")
 
 
 def vision_by_listing(answers: DataFrame, listing: str = "listing_id", index: str = "photo_index") -> DataFrame:

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from parvis import constants as C
 from parvis.functions.geo import filled_lat, filled_lon, haversine
 from parvis.functions.numbers import clip
-from parvis.operators.cleaning import complete_cases
+from parvis.operators.cleaning import SALE_COLUMNS, complete_cases
 from parvis.operators.encodings import Encodings, attach_encodings, attach_recent, fit_encodings
 from parvis.operators.recent import with_trailing_median
+from parvis.session import stage
 
 
 def carrez_ratio(area: Column) -> Column:
@@ -113,9 +114,12 @@ def training_frame(
 ) -> tuple[DataFrame, DataFrame, Encodings]:
     """Split, then learn everything from the training rows only.
 
-    Training rows see the trailing median of their street within the training
+    The sales are written once, as they feed the split, every encoding and both
+    feature tables. Training rows see the trailing median of their street within the training
     set (never their own or a later day); test rows see the lookups.
     """
+    used = [*SALE_COLUMNS, C.TARGET, "annee", "mois", "trimestre", key, *(columns or []), *keep]
+    sales = stage(sales.select(*[c for c in dict.fromkeys(used) if c in sales.columns]))
     train, test = split_train_test(sales, key=key)
     enc = fit_encodings(train, smoothed=smoothed, fine=fine)
     options = {} if hot_rows is None else {"hot_rows": hot_rows}

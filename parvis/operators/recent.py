@@ -11,14 +11,20 @@ price bucket. Prices are in cents inside fixed bounds, which bounds each table.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parvis import constants as C
 from parvis.operators.quantiles import log_bucket
 
+# the task functions travel with the job, so executors need not have the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 STREET = "adresse_code_voie"
 HOT_ROWS = 4096
 

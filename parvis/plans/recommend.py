@@ -26,16 +26,18 @@ def predict_district_median(sales: DataFrame, reference: DataFrame | None = None
     )
 
 
+def district_floors(sales: DataFrame) -> DataFrame:
+    """The 15th percentile of all sales of each district: at most 100 rows."""
+    probs = {"district_floor": C.DISTRICT_FLOOR_QUANTILE}
+    return group_quantiles(with_district(sales), ["arrondissement"], C.TARGET, probs, bounded_keys=True).drop("n")
+
+
 def with_district_floor(sales: DataFrame) -> DataFrame:
-    """Add ``district_floor``, the 15th percentile of all sales of the district."""
-    base = with_district(sales)
-    floors = group_quantiles(
-        base, ["arrondissement"], C.TARGET, {"_q": C.DISTRICT_FLOOR_QUANTILE}, bounded_keys=True
-    ).drop("n")
+    floors = F.broadcast(district_floors(sales))
     return (
-        base.join(F.broadcast(floors), "arrondissement", "left")
-        .withColumn("district_floor", F.coalesce("_q", F.lit(C.DISTRICT_FLOOR_DEFAULT)))
-        .drop("_q")
+        with_district(sales)
+        .join(floors, "arrondissement", "left")
+        .withColumn("district_floor", F.coalesce("district_floor", F.lit(C.DISTRICT_FLOOR_DEFAULT)))
     )
 
 
@@ -43,14 +45,19 @@ def scored_sales(sales: DataFrame, predicted: DataFrame | None = None) -> DataFr
     """Sales at or above their district's floor with their under-pricing score.
 
     ``predicted`` is ``sales`` with ``prix_m2_predit``, from any model; without it
-    the district median stands in. The floor comes from the unfiltered table.
+    the district median stands in, found in the same pass as the floor. The floor
+    comes from the unfiltered table.
     """
-    rows = predict_district_median(sales) if predicted is None else with_district(predicted)
-    floors = with_district_floor(sales).groupBy("arrondissement").agg(F.first("district_floor").alias("district_floor"))
-    return (
-        rows.join(F.broadcast(floors), "arrondissement")  # at most 100 rows
-        .where(F.col(C.TARGET) >= F.col("district_floor"))
-        .withColumn("gem_score", pricing.sale_gem_score("prix_m2_predit", C.TARGET))
+    if predicted is None:
+        probs = {"prix_m2_predit": 0.5, "district_floor": C.DISTRICT_FLOOR_QUANTILE}
+        base = with_district(sales)
+        levels = group_quantiles(base, ["arrondissement"], C.TARGET, probs, bounded_keys=True).drop("n")
+        rows = base.join(F.broadcast(levels), "arrondissement")  # at most 100 rows
+    else:
+        rows = with_district(predicted).join(F.broadcast(district_floors(sales)), "arrondissement", "left")
+        rows = rows.withColumn("district_floor", F.coalesce("district_floor", F.lit(C.DISTRICT_FLOOR_DEFAULT)))
+    return rows.where(F.col(C.TARGET) >= F.col("district_floor")).withColumn(
+        "gem_score", pricing.sale_gem_score("prix_m2_predit", C.TARGET)
     )
 
 

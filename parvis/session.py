@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,16 +26,21 @@ def local_session(cpus: int | str = "*", app: str = "parvis", **conf) -> SparkSe
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` reliably, in the folder named by ``spark.checkpoint.dir``.
+def stage(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back.
 
-    The folder is shared storage on a cluster. Only when the session names none
-    (a test session) is a temporary one set.
+    Used where a result feeds several branches: they then read only the columns
+    they need, the plan starts anew, and a lost executor costs a re-read, not a
+    recomputation. The folder is the one ``spark.checkpoint.dir`` names; only a
+    local session without one gets a temporary folder.
     """
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="parvis-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{context.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
