@@ -21,10 +21,11 @@ _SIGN_OFFSET = 200_000  # larger than 128 * 1075, the exponent range of a double
 
 
 def log_bucket(value) -> Column:
-    """Monotone map of a double to at most ~550,000 integers."""
+    """Monotone map of a double to at most ~550,000 integers; never null, so that
+    joins on it push no null test below the shuffle and the shuffle is reused."""
     v = as_col(value)
     size = F.floor(F.log2(F.abs(v)) * BUCKETS_PER_OCTAVE) + _SIGN_OFFSET
-    return F.when(v == 0, F.lit(0).cast("bigint")).when(v > 0, size).otherwise(-size)
+    return F.coalesce(F.when(v > 0, size).when(v < 0, -size), F.lit(0).cast("bigint"))
 
 
 def group_quantiles(
