@@ -53,10 +53,7 @@ def _unescape(expr: str) -> str:
 
 
 def _text(html: str) -> str:
-    out = f"regexp_replace({html}, '(?s)<!--.*?-->', ' ', 'g')"
-    out = rf"regexp_replace({out}, '(?is)<script\b[^>]*>.*?</script>', ' ', 'g')"
-    out = rf"regexp_replace({out}, '(?is)<style\b[^>]*>.*?</style>', ' ', 'g')"
-    out = f"regexp_replace({out}, '<[a-zA-Z/!?][^>]*>', ' ', 'g')"
+    out = f"regexp_replace({html}, '{X.MARKUP}', ' ', 'g')"
     return rf"trim(regexp_replace({_unescape(out)}, '[ \t\r\n\f]+', ' ', 'g'))"
 
 

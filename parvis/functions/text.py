@@ -9,6 +9,7 @@ from parvis import constants as C
 from parvis.functions.numbers import as_col
 
 NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
+MARKUP = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<[a-z/!?][^>]*>"
 SPACES = " \u00a0\u202f\t\n\r"
 
 
@@ -49,12 +50,9 @@ def district_from_code(code) -> Column:
 
 
 def visible_text(html) -> Column:
-    """Text of a page: scripts, styles, comments and tags removed, common
-    entities decoded, runs of white space collapsed."""
-    out = F.regexp_replace(as_col(html), r"(?s)<!--.*?-->", " ")
-    out = F.regexp_replace(out, r"(?is)<script\b[^>]*>.*?</script>", " ")
-    out = F.regexp_replace(out, r"(?is)<style\b[^>]*>.*?</style>", " ")
-    out = F.regexp_replace(out, r"<[a-zA-Z/!?][^>]*>", " ")
+    """Text of a page: scripts, styles, comments and tags removed in one scan,
+    common entities decoded, runs of white space collapsed."""
+    out = F.regexp_replace(as_col(html), MARKUP, " ")
     for entity, char in C.ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(char))
     return F.trim(F.regexp_replace(out, r"[ \t\r\n\f]+", " "))
@@ -103,9 +101,9 @@ def days_since(date_text, as_of: Column) -> Column:
     return F.when(days < C.MAX_LISTING_AGE_DAYS, F.greatest(days, F.lit(0))).cast("int")
 
 
-def words_found(text, words: list[str]) -> Column:
-    low = F.lower(as_col(text))
-    return F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w))
+def words_found(lowered, words: list[str]) -> Column:
+    """Which of some words occur in a text given in lower case."""
+    return F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(as_col(lowered), w))
 
 
 def ordinal_district(district) -> Column:

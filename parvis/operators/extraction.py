@@ -275,8 +275,8 @@ def listing_features(pages: DataFrame, html: str = "html") -> DataFrame:
         "_floors": X.first_group(t, C.FLOOR_NUMBER, 2).try_cast("int"),
         "_energy": _first_text(X.first_group(t, C.ENERGY_CLASS), X.first_group(html, C.ENERGY_CLASS_ELEMENT)),
         "_compass": F.upper(F.translate(X.first_group(t, C.EXPOSURE), " -", "")),
-        "_renovation": X.words_found(t, C.RENOVATION_WORDS),
-        "_quality": X.words_found(t, C.QUALITY_WORDS),
+        "_renovation": X.words_found("_low", C.RENOVATION_WORDS),
+        "_quality": X.words_found("_low", C.QUALITY_WORDS),
         "_charges": F.filter(
             F.array(*[X.parse_int(X.first_group(t, p), None) for p in C.CHARGES]), lambda v: (v > low) & (v < high)
         ),
@@ -292,8 +292,9 @@ def listing_features(pages: DataFrame, html: str = "html") -> DataFrame:
         **{name: t.rlike(pattern) for name, pattern in C.AMENITIES.items()},
         "exposition": lookup(F.col("_compass"), C.EXPOSURES),
     }
-    out = pages.withColumn("_text", X.visible_text(html)).withColumns(captured).withColumns(features)
-    return out.withColumn("features_found", _found()).drop("_text", *captured)
+    out = pages.withColumn("_text", X.visible_text(html)).withColumn("_low", F.lower("_text"))
+    out = out.withColumns(captured).withColumns(features)
+    return out.withColumn("features_found", _found()).drop("_text", "_low", *captured)
 
 
 def _found() -> Column:

@@ -17,6 +17,8 @@ def local_session(cpus: int | str = "*", app: str = "parvis", **conf) -> SparkSe
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", "8")
+        # small test tables: keep all threads busy instead of merging into 1 MB partitions
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.driver.memory", conf.pop("driver_memory", "8g"))
     )
     for key, value in conf.items():
