@@ -77,7 +77,7 @@ def errors_by_area_bucket(df: DataFrame, area="surface_reelle_bati") -> DataFram
     means = rows.where(F.col("bucket").isNotNull()).groupBy("bucket").agg(
         F.avg("erreur_abs").alias("mae_mean"), F.count("erreur_abs").alias("n")
     )
-    medians = group_quantiles(rows, ["bucket"], "erreur_abs", {"mae_median": 0.5}, bounded_keys=True).drop("n")
+    medians = group_quantiles(rows, ["bucket"], "erreur_abs", {"mae_median": 0.5}, bounded_keys=True, continuous=True).drop("n")
     return means.join(F.broadcast(medians), "bucket")
 
 

@@ -17,14 +17,15 @@ from pyspark.sql import functions as F
 from parvis.functions.numbers import as_col
 
 BUCKETS_PER_OCTAVE = 128
-_SIGN_OFFSET = 200_000  # larger than 128 * 1075, the exponent range of a double
 
 
-def log_bucket(value) -> Column:
-    """Monotone map of a double to at most ~550,000 integers; never null, so that
-    joins on it push no null test below the shuffle and the shuffle is reused."""
+def log_bucket(value, per_octave: int = BUCKETS_PER_OCTAVE) -> Column:
+    """Monotone map of a double to integers, ``per_octave`` of them per power of two
+    (about 550,000 in all at the default); never null, so that joins on it push no
+    null test below the shuffle and the shuffle is reused."""
     v = as_col(value)
-    size = F.floor(F.log2(F.abs(v)) * BUCKETS_PER_OCTAVE) + _SIGN_OFFSET
+    offset = 1100 * per_octave  # beyond the exponent range of a double
+    size = F.floor(F.log2(F.abs(v)) * per_octave) + offset
     return F.coalesce(F.when(v > 0, size).when(v < 0, -size), F.lit(0).cast("bigint"))
 
 
@@ -34,6 +35,7 @@ def group_quantiles(
     value: str,
     probs: dict[str, float],
     bounded_keys: bool = False,
+    continuous: bool = False,
 ) -> DataFrame:
     """Linear-interpolated quantiles per group, one output column per entry of ``probs``.
 
@@ -41,7 +43,9 @@ def group_quantiles(
     value are ignored. ``bounded_keys`` states that the number of groups has a
     fixed bound (districts, kinds), so the selected buckets, two per quantile
     and group, may be broadcast. Otherwise the join strategy is left to AQE,
-    which goes by measured sizes.
+    which goes by measured sizes. ``continuous`` is for values without a fixed
+    grid, such as errors or scores: an opened bucket, which may hold any number
+    of distinct values, is cut into 4096 once more before it is opened.
     """
     groups = keys or ["_all"]
     rows = df.where(F.col(value).isNotNull())
@@ -49,42 +53,44 @@ def group_quantiles(
         rows = rows.where(F.col(key).isNotNull())
     if not keys:
         rows = rows.withColumn("_all", F.lit(1))
-
-    counts = (
-        rows.groupBy(*groups, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_bucket", log_bucket("_v"))
-    )
-
-    along = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    buckets = (
-        counts.groupBy(*groups, "_bucket")
-        .agg(F.sum("_n").alias("_bn"))
-        .withColumn("_before", F.sum("_bn").over(along) - F.col("_bn"))
-        .withColumn("n", F.sum("_bn").over(Window.partitionBy(*groups)))
-    )
+    small = bounded_keys or not keys
 
     def position(p: float) -> Column:
         return (F.col("n") - 1).cast("double") * F.lit(float(p))
 
-    def holds(rank: Column, start: str, size: str) -> Column:
-        return (F.col(start) <= rank) & (rank < F.col(start) + F.col(size))
+    def holds(rank: Column, size: str) -> Column:
+        return (F.col("_start") <= rank) & (rank < F.col("_start") + F.col(size))
 
-    ranks = [f(position(p)) for p in probs.values() for f in (F.floor, F.ceil)]
-    opened = buckets.where(reduce(lambda a, b: a | b, [holds(r, "_before", "_bn") for r in ranks]))
-    opened = opened.select(*groups, "_bucket", "_before", "n")
-    if bounded_keys or not keys:
-        opened = F.broadcast(opened)
-
-    inside = Window.partitionBy(*groups, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.join(opened, [*groups, "_bucket"]).withColumn(
-        "_start", F.col("_before") + F.sum("_n").over(inside) - F.col("_n")
+    levels = [BUCKETS_PER_OCTAVE, BUCKETS_PER_OCTAVE * 4096][: 2 if continuous else 1]
+    names = [f"_b{i}" for i in range(len(levels))]
+    counts = (
+        rows.groupBy(*groups, F.col(value).cast("double").alias("_v"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumns({name: log_bucket("_v", level) for name, level in zip(names, levels)})
     )
+    ranks = [f(position(p)) for p in probs.values() for f in (F.floor, F.ceil)]
+
+    opened, held = None, list(groups)
+    for name in names:
+        along = Window.partitionBy(*held).orderBy(name).rowsBetween(Window.unboundedPreceding, 0)
+        if opened is None:
+            totals = counts.groupBy(*held, name).agg(F.sum("_n").alias("_bn"))
+            totals = totals.withColumns({"n": F.sum("_bn").over(Window.partitionBy(*held)), "_before": F.lit(0).cast("bigint")})
+        else:
+            totals = counts.join(opened, held).groupBy(*held, name, "n", "_before").agg(F.sum("_n").alias("_bn"))
+        totals = totals.withColumn("_start", F.col("_before") + F.sum("_bn").over(along) - F.col("_bn"))
+        opened = totals.where(reduce(lambda a, b: a | b, [holds(r, "_bn") for r in ranks]))
+        held = [*held, name]
+        opened = opened.select(*held, F.col("_start").alias("_before"), "n")
+        opened = F.broadcast(opened) if small else opened
+
+    inside = Window.partitionBy(*held).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.join(opened, held).withColumn("_start", F.col("_before") + F.sum("_n").over(inside) - F.col("_n"))
 
     picks = []
     for name, p in probs.items():
-        picks.append(F.max(F.when(holds(F.floor(position(p)), "_start", "_n"), F.col("_v"))).alias(f"_lo_{name}"))
-        picks.append(F.max(F.when(holds(F.ceil(position(p)), "_start", "_n"), F.col("_v"))).alias(f"_hi_{name}"))
+        picks.append(F.max(F.when(holds(F.floor(position(p)), "_n"), F.col("_v"))).alias(f"_lo_{name}"))
+        picks.append(F.max(F.when(holds(F.ceil(position(p)), "_n"), F.col("_v"))).alias(f"_hi_{name}"))
     picked = placed.groupBy(*groups).agg(F.first("n").alias("n"), *picks)
 
     out = [*keys, "n"]

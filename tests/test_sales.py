@@ -60,24 +60,33 @@ def test_dedup_limits_rows_before_the_shuffle(spark):
     assert plan.count("WindowGroupLimit") == 2
 
 
-@pytest.mark.parametrize("bounded", [True, False])
-def test_group_quantiles_match_numpy(spark, bounded):
+@pytest.mark.parametrize("bounded,continuous", [(True, False), (False, False), (True, True), (False, True)])
+def test_group_quantiles_match_numpy(spark, bounded, continuous):
     rnd = random.Random(5)
     rows = [("hot", rnd.choice([7.0, 7.0, 7.0, 12.5, -3.0, 0.0]) if rnd.random() < 0.6 else rnd.gauss(0, 1000)) for _ in range(2500)]
     rows += [("small", float(i)) for i in range(4)] + [("one", 5.0), ("nulls", None), (None, 3.0)]
     probs = {"p00": 0.0, "p15": 0.15, "p50": 0.5, "p99": 0.99, "p100": 1.0}
     df = spark.createDataFrame(rows, "k string, v double").repartition(7)
-    got = {r.k: r for r in group_quantiles(df, ["k"], "v", probs, bounded).collect()}
+    got = {r.k: r for r in group_quantiles(df, ["k"], "v", probs, bounded, continuous).collect()}
     assert sorted(got) == ["hot", "one", "small"]
     for key, row in got.items():
         values = [v for k, v in rows if k == key]
         assert row.n == len(values)
         for name, p in probs.items():
             assert row[name] == pytest.approx(np.quantile(values, p), abs=1e-9), (key, name)
-    overall = group_quantiles(df, [], "v", {"m": 0.5}).first()
+    overall = group_quantiles(df, [], "v", {"m": 0.5}, continuous=continuous).first()
     assert overall.m == pytest.approx(np.median([v for _, v in rows if v is not None]))
 
 
+def test_group_quantiles_count_once(spark):
+    """Both uses of the value counts read one shuffle, and no group is held whole."""
+    df = spark.createDataFrame([("a", 1.0)], "k string, v double")
+    q = group_quantiles(df, ["k"], "v", {"m": 0.5}, bounded_keys=True)
+    q.collect()
+    plan = q._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in plan and "ObjectHashAggregate" not in plan
+
+
 def brute_trailing(pdf, days=365):
     out = {}
     for r in pdf.itertuples():
