@@ -106,9 +106,19 @@ def test_isolation_forest(spark, frames):
 
 
 def test_strategies(spark, frames):
-    cards = experiments.strategy_experiment(frames[0], training.boosted_trees(iterations=2),
-                                            {k: experiments.STRATEGIES[k] for k in ("A_IQR_1.5x", "E_IQR+tight_bounds")})
-    assert {r.model for r in cards.collect()} == {"A_IQR_1.5x", "E_IQR+tight_bounds"}
+    cards = experiments.strategy_experiment(frames[0], training.boosted_trees(iterations=2), ["B_IQR+IF_3pct", "E_IQR+tight_bounds"])
+    assert {r.model for r in cards.collect()} == {"B_IQR+IF_3pct", "E_IQR+tight_bounds"}
+
+
+def test_ablation(spark, frames):
+    cards = experiments.ablation(frames[0], trials=1, iterations=2)
+    assert sorted(r.model[0] for r in cards.collect()) == ["a", "b", "c", "d", "e"]
+
+
+def test_feature_group(spark, frames):
+    sales_with = frames[0].withColumn("nb_parks", F.lit(3.0))
+    row = experiments.feature_group_gain(sales_with, ["nb_parks"], lambda cols, name: training.linear(cols, name=name)).first()
+    assert abs(row.delta_mae) < 1 and not row.keep
 
 
 def test_department_files(spark, tmp_path):
