@@ -95,9 +95,12 @@ def host_source(url) -> Column:
 
 
 def days_since(date_text, as_of: Column) -> Column:
-    """Whole days from an ISO date to ``as_of``: never negative, null if ten years old."""
-    stamp = F.substring(as_col(date_text), 1, 19).try_cast("timestamp")
-    days = F.floor((as_of.cast("timestamp").cast("double") - stamp.cast("double")) / 86_400)
+    """Whole days from an ISO date to ``as_of``: never negative, null if ten years old.
+
+    Wall-clock times on both sides, so the session's time zone plays no part.
+    """
+    stamp = F.substring(as_col(date_text), 1, 19).try_cast("timestamp_ntz")
+    days = F.extract(F.lit("DAY"), as_of.cast("timestamp_ntz") - stamp)
     return F.when(days < C.MAX_LISTING_AGE_DAYS, F.greatest(days, F.lit(0))).cast("int")
 
 

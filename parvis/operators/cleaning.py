@@ -44,7 +44,7 @@ def _coerced(field: T.StructField, target: str) -> Column:
     if target == "int":
         return not_nan(col.try_cast("double")).try_cast("int")
     if target == "date":
-        return F.to_date(col) if not isinstance(field.dataType, T.StringType) else col.try_cast("timestamp").cast("date")
+        return F.to_date(col) if not isinstance(field.dataType, T.StringType) else col.try_cast("timestamp_ntz").cast("date")
     return col.cast(target)
 
 
