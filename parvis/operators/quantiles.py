@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from parvis.functions.numbers import as_col
 
 BUCKETS_PER_OCTAVE = 128
+CROWDED = 10_000
 
 
 def log_bucket(value, per_octave: int = BUCKETS_PER_OCTAVE) -> Column:
@@ -36,14 +37,16 @@ def group_quantiles(
     probs: dict[str, float],
     bounded_keys: bool = False,
     continuous: bool = False,
+    crowded: int = CROWDED,
 ) -> DataFrame:
     """Linear-interpolated quantiles per group, one output column per entry of ``probs``.
 
     Also returns ``n``, the number of non-null values. Rows with a null key or
     value are ignored. ``bounded_keys`` states that the number of groups has a
     fixed bound (districts, kinds), so the selected buckets, two per quantile
-    and group, may be broadcast. Otherwise the join strategy is left to AQE,
-    which goes by measured sizes. ``continuous`` is for values without a fixed
+    and group, may be broadcast. Otherwise (streets) most groups are small: those
+    up to ``crowded`` distinct values are aggregated directly, only the others go
+    by buckets, and joins are left to AQE, which goes by measured sizes. ``continuous`` is for values without a fixed
     grid, such as errors or scores: an opened bucket, which may hold any number
     of distinct values, is cut into 4096 once more before it is opened.
     """
@@ -68,6 +71,11 @@ def group_quantiles(
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumns({name: log_bucket("_v", level) for name, level in zip(names, levels)})
     )
+    ordinary = None
+    if not small:
+        large = counts.groupBy(*groups).agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") > crowded).select(*groups)
+        ordinary = _direct_quantiles(counts.join(large, groups, "left_anti"), groups, probs)
+        counts = counts.join(large, groups, "left_semi")
     ranks = [f(position(p)) for p in probs.values() for f in (F.floor, F.ceil)]
 
     opened, held = None, list(groups)
@@ -97,7 +105,16 @@ def group_quantiles(
     for name, p in probs.items():
         low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         out.append((low + (high - low) * (position(p) - F.floor(position(p)))).alias(name))
-    return picked.select(*out)
+    result = picked.select(*out)
+    return result if ordinary is None else result.unionByName(ordinary)
+
+
+def _direct_quantiles(counts: DataFrame, groups: list[str], probs: dict[str, float]) -> DataFrame:
+    """Quantiles of groups known to have few distinct values, in one aggregation."""
+    found = counts.groupBy(*groups).agg(
+        F.sum("_n").alias("n"), F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs.values()]), F.col("_n")).alias("_q")
+    )
+    return found.select(*groups, "n", *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
 
 
 def group_medians(df: DataFrame, keys: list[str], value: str, name: str = "median", bounded_keys: bool = False) -> DataFrame:

@@ -60,14 +60,14 @@ def test_dedup_limits_rows_before_the_shuffle(spark):
     assert plan.count("WindowGroupLimit") == 2
 
 
-@pytest.mark.parametrize("bounded,continuous", [(True, False), (False, False), (True, True), (False, True)])
-def test_group_quantiles_match_numpy(spark, bounded, continuous):
+@pytest.mark.parametrize("bounded,continuous,crowded", [(True, False, 0), (False, False, 0), (False, True, 0), (True, True, 0), (False, False, 100), (False, False, 10_000)])
+def test_group_quantiles_match_numpy(spark, bounded, continuous, crowded):
     rnd = random.Random(5)
     rows = [("hot", rnd.choice([7.0, 7.0, 7.0, 12.5, -3.0, 0.0]) if rnd.random() < 0.6 else rnd.gauss(0, 1000)) for _ in range(2500)]
     rows += [("small", float(i)) for i in range(4)] + [("one", 5.0), ("nulls", None), (None, 3.0)]
     probs = {"p00": 0.0, "p15": 0.15, "p50": 0.5, "p99": 0.99, "p100": 1.0}
     df = spark.createDataFrame(rows, "k string, v double").repartition(7)
-    got = {r.k: r for r in group_quantiles(df, ["k"], "v", probs, bounded, continuous).collect()}
+    got = {r.k: r for r in group_quantiles(df, ["k"], "v", probs, bounded, continuous, crowded).collect()}
     assert sorted(got) == ["hot", "one", "small"]
     for key, row in got.items():
         values = [v for k, v in rows if k == key]
