@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,21 +27,40 @@ def local_session(cpus: int | str = "*", app: str = "parvis", **conf) -> SparkSe
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors reach.
+
+    It is the one ``spark.checkpoint.dir`` names, and where that is unset a folder in
+    the warehouse, which is shared as well.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return context.getCheckpointDir()
+
+
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder, listed for ``drop_stages``."""
+    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Used where a result feeds several branches: they then read only the columns
     they need, the plan starts anew, and a lost executor costs a re-read, not a
-    recomputation. The folder is the one ``spark.checkpoint.dir`` names; only a
-    local session without one gets a temporary folder.
+    recomputation. ``drop_stages`` removes the tables when their results are done.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="parvis-checkpoint-"))
-    path = f"{context.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
+    path = shared_path(spark, "stage")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Remove what this session has staged; results that still read it must be done."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
+        folder = context._jvm.org.apache.hadoop.fs.Path(context.getCheckpointDir())
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
