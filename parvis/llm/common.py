@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parvis.session import stage
+from parvis.session import shared_path, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["WORD", "ascii_lower", "bucket_of", "fold", "stage", "table", "words"]
+__all__ = ["WORD", "ascii_lower", "bucket_of", "fold", "shared_path", "stage", "table", "words"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

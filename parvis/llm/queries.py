@@ -4,8 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parvis.llm import bpe, token_counts
-from parvis.llm.common import table
+from pyspark.sql import functions as F
+
+from parvis.llm import bpe, licences, quality, token_counts, warc
+from parvis.llm.common import shared_path, stage, table
+
+
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence sentences and licences of every document."""
+    rows = licences.scan(table(spark, sf_dir, "documents"))
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return rows.select("doc_id", joined("sentence_ids"), joined("licences"), F.size("sentence_ids").cast("long").alias("n_sentences"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document; cutoffs come from ``labels.quality``."""
+    measures = stage(quality.measured(table(spark, sf_dir, "documents")).drop("row"))
+    rows = quality.judged(measures, table(spark, sf_dir, "labels"))
+    return rows.select(F.col("key").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,5 +35,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.context_report(token_counts.length_histogram(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op8_bpe, op9_token_counts)}
-SQL: dict[str, str] = {}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    rows = warc.archived(table(spark, sf_dir, "pages"), shared_path(spark, "warc"))
+    number = lambda c: F.col(c).cast("long").alias(c)
+    return rows.select(number("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"))
+
+
+QUERIES = {f.__name__: f for f in (op2_licences, op4_quality, op8_bpe, op9_token_counts, op10_warc)}
+SQL: dict[str, str] = {"op2_licences": licences.oracle()}
