@@ -116,9 +116,9 @@ docs AS (SELECT doc_id, row_number() OVER () AS r, regexp_split_to_array(lower(c
 lines AS (SELECT r, unnest(cut) AS line, generate_subscripts(cut, 1) AS pos FROM docs),
 clean AS (SELECT r, pos, trim(regexp_replace(regexp_replace(line, '[^\\pL\\pN.\\-/\\s]+', ' ', 'g'), '\\s+', ' ', 'g')) AS sentence FROM lines WHERE regexp_matches(line, 'licen|rights|permi|copyright|notice|contributors|cc0|version')),
 hits AS (SELECT r, list(id ORDER BY pos) AS ids FROM clean JOIN known USING (sentence) GROUP BY r),
-found AS (SELECT doc_id, coalesce(ids, []::VARCHAR[]) AS ids FROM docs LEFT JOIN hits USING (r)),
+found AS (SELECT doc_id, CASE WHEN ids IS NULL THEN []::VARCHAR[] ELSE ids END AS ids FROM docs LEFT JOIN hits USING (r)),
 {", ".join(steps)}
-SELECT doc_id, array_to_string(ids, ',') AS sentence_ids,
-  array_to_string([{", ".join(columns)}], ',') AS licences, len(ids)::BIGINT AS n_sentences
+SELECT doc_id, coalesce(array_to_string(ids, ','), '') AS sentence_ids,
+  coalesce(array_to_string([{", ".join(columns)}], ','), '') AS licences, len(ids)::BIGINT AS n_sentences
 FROM {before}
 """

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from parvis.llm import bpe, licences, quality, token_counts, warc
+from parvis.llm import bpe, licences, ngram_join, quality, token_counts, warc
 from parvis.llm.common import shared_path, stage, table
 
 
@@ -24,6 +24,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("key").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under links of 3-word shingle sets at 90 per cent."""
+    return ngram_join.linked(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded, as digests."""
     rows = bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -42,5 +47,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(number("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"))
 
 
-QUERIES = {f.__name__: f for f in (op2_licences, op4_quality, op8_bpe, op9_token_counts, op10_warc)}
+QUERIES = {f.__name__: f for f in (op2_licences, op4_quality, op7_ngram_join, op8_bpe, op9_token_counts, op10_warc)}
 SQL: dict[str, str] = {"op2_licences": licences.oracle()}
