@@ -6,8 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from parvis.llm import bpe, licences, ngram_join, quality, token_counts, warc
-from parvis.llm.common import shared_path, stage, table
+from parvis.llm import bpe, decontaminate, licences, main_text, ngram_join, quality, token_counts, toxicity, warc
+from parvis.llm.common import fold, shared_path, stage, table
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored; documents with crc32(doc_id) mod 5 = 0 are held out of training."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold(F.col("doc_id"), 5) == 0).alias("held_out"))
+    field = toxicity.train(docs.where(~F.col("held_out")), table(spark, sf_dir, "labels"))
+    rows = docs.select("doc_id", "held_out", toxicity.toxicity(F.col("text"), spark, field).alias("found"))
+    score = F.col("found.score")
+    return rows.select("doc_id", "held_out", score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), F.col("found.spans").alias("spans"))
 
 
 def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +26,11 @@ def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", joined("sentence_ids"), joined("licences"), F.size("sentence_ids").cast("long").alias("n_sentences"))
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return main_text.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document; cutoffs come from ``labels.quality``."""
     measures = stage(quality.measured(table(spark, sf_dir, "documents")).drop("row"))
@@ -24,6 +38,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("key").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under links of 3-word shingle sets at 90 per cent."""
     return ngram_join.linked(table(spark, sf_dir, "documents"))
@@ -47,5 +66,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(number("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"))
 
 
-QUERIES = {f.__name__: f for f in (op2_licences, op4_quality, op7_ngram_join, op8_bpe, op9_token_counts, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_licences, op3_main_text, op4_quality, op6_decontamination, op7_ngram_join, op8_bpe, op9_token_counts, op10_warc)}
 SQL: dict[str, str] = {"op2_licences": licences.oracle()}
