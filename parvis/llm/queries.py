@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from parvis.llm import bpe, decontaminate, licences, main_text, ngram_join, quality, token_counts, toxicity, warc
+from parvis.llm import bpe, decontaminate, licences, main_text, ngram_join, pitman_yor, quality, token_counts, toxicity, warc
 from parvis.llm.common import fold, shared_path, stage, table
 
 
@@ -38,6 +38,13 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("key").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored; documents with crc32(doc_id) mod 10 = 0 are held out of training."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold(F.col("doc_id"), 10) != 0).alias("learn"))
+    rows = pitman_yor.scored(docs)
+    return rows.select("doc_id", (fold(F.col("doc_id"), 10) == 0).alias("held_out"), *[c for c in rows.columns if c != "doc_id"])
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, with the item."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -66,5 +73,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(number("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_licences, op3_main_text, op4_quality, op6_decontamination, op7_ngram_join, op8_bpe, op9_token_counts, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_licences, op3_main_text, op4_quality, op5_language_model, op6_decontamination, op7_ngram_join, op8_bpe, op9_token_counts, op10_warc)}
 SQL: dict[str, str] = {"op2_licences": licences.oracle()}
