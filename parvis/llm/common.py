@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from parvis.session import shared_path, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["WORD", "ascii_lower", "bucket_of", "fold", "shared_path", "stage", "table", "words"]
+__all__ = ["WORD", "ascii_lower", "fold", "release", "shared_path", "stage", "table", "words"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,5 +33,7 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def bucket_of(key: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+def release(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files of finished steps now: it does so when the driver forgets them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -5,7 +5,7 @@ word before; that restaurant orders its tables from the one of the last characte
 and this one from the restaurant without context, whose tables come from a uniform
 base over the known words and one unknown. Restaurants that share an ending share
 their parents. Contexts are hashed into 65,536 and 1,024 restaurants, so the totals
-of all restaurants are a table of fixed size; words and their counts are not hashed.
+of all restaurants are a table of fixed size. Words are told apart by 64 bits.
 
 The corpus is read once, into blocks: rows (block, word, contexts, counts) and each
 block's texts as numbers of its pairs. Rows are merged by word, so that all
@@ -27,16 +27,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parvis.llm.common import ascii_lower, stage
+from parvis.llm.common import ascii_lower, release, stage
 
 END = b"\n"  # holds white space, so it is no word
 PARENTS, CHILDREN = 1 << 10, 1 << 6  # restaurants of one character, and of two for each of them
 CONTEXTS = PARENTS * CHILDREN
-BLOCK_BYTES = 24 << 20  # text in a block
+BLOCK_BYTES = 27 << 20  # text in a block
 MERGED_BLOCKS = 4_096  # rows of one word that one task merges
 SINGLE = 64  # customers seated one by one
 
@@ -76,21 +76,39 @@ class _Words(dict):
         return number
 
 
-PAIRS = "block long, word binary, number int, contexts array<int>, counts array<long>, doc_ids array<long>, lengths array<int>, packed binary"
+PAIRS = "block long, word long, number int, contexts binary, counts binary, doc_ids array<long>, lengths array<int>, endings binary, packed binary"
 PAIRS_SCHEMA = pa.schema([
-    ("block", pa.int64()), ("word", pa.binary()), ("number", pa.int32()), ("contexts", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64())),
-    ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("packed", pa.binary()),
+    ("block", pa.int64()), ("word", pa.int64()), ("number", pa.int32()), ("contexts", pa.binary()), ("counts", pa.binary()),
+    ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("endings", pa.binary()), ("packed", pa.binary()),
 ])
 
 
-def _lists(values, lengths, kind) -> pa.ListArray:
-    offsets = np.zeros(len(lengths) + 1, np.int32)
-    np.cumsum(lengths, out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+def _pack(values, sizes) -> pa.Array:
+    """Numbers end to end, so many for each row, as binary values."""
+    offsets = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(np.asarray(sizes) * values.dtype.itemsize, out=offsets[1:])
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _unpack(column: pa.Array, kind) -> tuple:
+    """The numbers of a column of binary values end to end, and how many each row has."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    data = column.buffers()[2] if len(column) else None
+    values = np.frombuffer(memoryview(data)[offsets[0]:offsets[-1]].tobytes(), kind) if data is not None else np.zeros(0, kind)
+    return values, np.diff(offsets) // np.dtype(kind).itemsize
+
+
+def _pairs(numbers, lengths, endings):
+    """Word number and context of each token, as one number."""
+    keys = numbers.astype(np.int64) * CONTEXTS
+    keys[1:] += endings[numbers[:-1]]
+    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    keys[starts] = numbers[starts].astype(np.int64) * CONTEXTS
+    return keys
 
 
 def _block(ids: list, texts: list, learn: list) -> Iterator[pa.RecordBatch]:
-    """The rows of one block: one per word, and one with the texts as pair numbers."""
+    """The rows of one block: one per word, and one with the texts as word numbers."""
     words = _Words()
     number = words.__getitem__
     lengths, parts = [], []
@@ -98,25 +116,28 @@ def _block(ids: list, texts: list, learn: list) -> Iterator[pa.RecordBatch]:
         tokens = (text or b"").split()
         tokens.append(END)
         lengths.append(len(tokens))
-        parts.append(np.fromiter(map(number, tokens), np.int64, len(tokens)))
-    flat, lengths = np.concatenate(parts), np.array(lengths)
-    endings = np.array([context_of(w) for w in words], np.int64)
-    contexts = np.empty(len(flat), np.int64)
-    contexts[1:] = endings[flat[:-1]]
-    contexts[np.concatenate(([0], np.cumsum(lengths)[:-1]))] = 0
-    pairs, inverse = np.unique(flat * CONTEXTS + contexts, return_inverse=True)
-    counts = np.bincount(inverse, np.repeat(np.array(learn, float), lengths), len(pairs)).astype(np.int64)
-    sizes = np.bincount(pairs // CONTEXTS, minlength=len(words))
-    block = uuid.uuid4().int >> 65
-    none = lambda kind, n: pa.nulls(n, kind)
-    n = len(words)
+        parts.append(np.fromiter(map(number, tokens), np.int32, len(tokens)))
+    flat, lengths = np.concatenate(parts), np.array(lengths, np.int32)
+    del parts
+    n, block = len(words), uuid.uuid4().int >> 65
+    endings = np.fromiter(map(context_of, words), np.uint16, n)
+    # 64 bits tell words apart from here on
+    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n).view(np.int64)
+    words.clear()
+    keys = _pairs(flat, lengths, endings)
+    seen, times = np.unique(keys[np.repeat(np.array(learn, bool), lengths)], return_counts=True)
+    pairs = np.unique(keys)
+    del keys
+    counts = np.zeros(len(pairs), np.int32)
+    counts[np.searchsorted(pairs, seen)] = times
+    sizes = np.bincount(pairs // CONTEXTS, minlength=n)
     yield pa.RecordBatch.from_arrays([
-        pa.array(np.full(n, block)), pa.array(list(words), pa.binary()), pa.array(np.arange(n, dtype=np.int32)),
-        _lists((pairs % CONTEXTS).astype(np.int32), sizes, pa.int32()), _lists(counts, sizes, pa.int64()),
-        none(pa.list_(pa.int64()), n), none(pa.list_(pa.int32()), n), none(pa.binary(), n),
+        pa.array(np.full(n, block)), pa.array(hashed), pa.array(np.arange(n, dtype=np.int32)), _pack((pairs % CONTEXTS).astype(np.uint16), sizes), _pack(counts, sizes),
+        pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()),
     ], schema=PAIRS_SCHEMA)
+    planes = flat.view(np.uint8).reshape(-1, 4).T  # bytes of equal weight together pack better
     yield pa.RecordBatch.from_pylist([{
-        "block": block, "doc_ids": ids, "lengths": lengths.tolist(), "packed": zlib.compress(inverse.astype(np.int32).tobytes(), 1),
+        "block": block, "doc_ids": ids, "lengths": lengths.tolist(), "endings": endings.tobytes(), "packed": zlib.compress(np.ascontiguousarray(planes), 1),
     }], PAIRS_SCHEMA)
 
 
@@ -133,49 +154,41 @@ def _blocks(batches: Iterator) -> Iterator:
 
 def _merge(batches: Iterator) -> Iterator:
     """One row per word from rows sorted by word: contexts in order with summed counts. Holds one word over from batch to batch."""
-    word, contexts, counts = None, None, None
-    names = ["word", "contexts", "counts"]
+    held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)  # word, context, count of what may go on
+
+    def rows(words, contexts, counts) -> pa.RecordBatch:
+        heads = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
+        sizes = np.diff(np.concatenate((heads, [len(words)])))
+        return pa.RecordBatch.from_arrays([pa.array(words[heads]), _pack(contexts.astype(np.uint16), sizes), _pack(counts, sizes)], ["word", "contexts", "counts"])
+
     for batch in batches:
-        if not batch.num_rows:
+        contexts, sizes = _unpack(batch.column(1), np.uint16)
+        kind = np.int32 if batch.schema.names[2] == "counts" else np.int64
+        words = np.concatenate((held[0], np.repeat(batch.column(0).to_numpy(), sizes)))
+        if not len(words):
             continue
-        column = batch.column(0)
-        values = column.to_pylist()
-        first = word is not None and values[0] == word
-        fresh = np.concatenate(([word is None or not first], pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)))
-        group = np.cumsum(fresh) - fresh[0]
-        lists = batch.column(1)
-        flat_group = np.repeat(group, np.diff(lists.offsets.to_numpy()))
-        keys = flat_group * CONTEXTS + lists.flatten().to_numpy()
-        amounts = batch.column(2).flatten().to_numpy()
-        heads = [values[i] for i in np.flatnonzero(fresh)]
-        if first:
-            keys = np.concatenate((contexts.astype(np.int64), keys))
-            amounts = np.concatenate((counts, amounts))
-            heads = [word, *heads]
-        elif word is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([word], pa.binary()), _lists(contexts, [len(contexts)], pa.int32()), _lists(counts, [len(counts)], pa.int64())], names)
-        distinct, inverse = np.unique(keys, return_inverse=True)
-        summed = np.zeros(len(distinct), np.int64)
-        np.add.at(summed, inverse, amounts)
-        sizes = np.bincount(distinct // CONTEXTS, minlength=len(heads))
-        kept = len(distinct) - int(sizes[-1])
-        word, contexts, counts = heads[-1], (distinct[kept:] % CONTEXTS).astype(np.int32), summed[kept:]
-        if len(heads) > 1:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(heads[:-1], pa.binary()), _lists((distinct[:kept] % CONTEXTS).astype(np.int32), sizes[:-1], pa.int32()), _lists(summed[:kept], sizes[:-1], pa.int64())], names
-            )
-    if word is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([word], pa.binary()), _lists(contexts, [len(contexts)], pa.int32()), _lists(counts, [len(counts)], pa.int64())], names)
+        group = np.concatenate(([0], np.cumsum(words[1:] != words[:-1])))
+        keys, inverse = np.unique(group * CONTEXTS + np.concatenate((held[1], contexts)), return_inverse=True)
+        counts = np.zeros(len(keys), np.int64)
+        np.add.at(counts, inverse, np.concatenate((held[2], _unpack(batch.column(2), kind)[0])))
+        names = words[np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))][keys // CONTEXTS]
+        last = int(np.searchsorted(keys, group[-1] * CONTEXTS))
+        held = names[last:], keys[last:] % CONTEXTS, counts[last:]
+        if last:
+            yield rows(names[:last], keys[:last] % CONTEXTS, counts[:last])
+    if len(held[0]):
+        yield rows(*held)
 
 
 def merged(rows: DataFrame, blocks: int) -> DataFrame:
-    """(word, contexts, counts) of the corpus. Words in very many blocks are merged in two steps."""
+    """(word, contexts, sums) of the corpus. Words in very many blocks are merged in two steps."""
     salts = -(-blocks // MERGED_BLOCKS)
-    kind = "word binary, contexts array<int>, counts array<long>"
+    kind = "word long, contexts binary, sums binary"
     part = rows.select("word", "contexts", "counts", F.pmod(F.col("block"), F.lit(salts)).alias("salt"))
     if salts > 1:
         part = part.repartition("word", "salt").sortWithinPartitions("word", "salt").drop("salt").mapInArrow(_merge, kind)
-    return part.select("word", "contexts", "counts").repartition("word").sortWithinPartitions("word").mapInArrow(_merge, kind)
+        return part.repartition("word").sortWithinPartitions("word").mapInArrow(_merge, kind)
+    return part.drop("salt").repartition("word").sortWithinPartitions("word").mapInArrow(_merge, kind)
 
 
 def _uniform(key, sweep: int, step: int):
@@ -255,10 +268,9 @@ class Seats:
 
 
 def _seats(batch, model: Model) -> Seats:
-    lists = batch.column(1)
-    sizes = np.diff(lists.offsets.to_numpy())
-    keys = batch.column(3).to_numpy().view(np.uint64)
-    return Seats(keys, lists.flatten().to_numpy().astype(np.int64), batch.column(2).flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes), model)
+    contexts, sizes = _unpack(batch.column(1), np.uint16)
+    counts = _unpack(batch.column(2), np.int64)[0]
+    return Seats(batch.column(0).to_numpy().view(np.uint64), contexts.astype(np.int64), counts, np.repeat(np.arange(len(sizes)), sizes), model)
 
 
 def _gathered(corpus: DataFrame, model: Model) -> tuple[Totals, list]:
@@ -291,7 +303,7 @@ def _gathered(corpus: DataFrame, model: Model) -> tuple[Totals, list]:
 
 
 def fit(corpus: DataFrame, sweeps: int = 5, burn_in: int = 2, strength: float = 1.0) -> Model:
-    """The model of a merged corpus (word, contexts, counts, key). Discounts are n1 / (n1 + 2 n2) of each level, n1 and n2
+    """The model of a merged corpus (word, contexts, sums). Discounts are n1 / (n1 + 2 n2) of each level, n1 and n2
     the dishes with one and two customers when every dish has one table."""
     if not 0 <= burn_in < sweeps:
         raise ValueError("at least one sweep must follow the burn-in")
@@ -322,21 +334,20 @@ def _predicted(corpus: DataFrame, model: Model) -> DataFrame:
                     total += seats.predictive(m.totals[number + 1], 2)
             logs = np.log10(total / (len(m.totals) - 1 - m.burn_in))
             known = np.bincount(seats.rows, seats.c2, seats.n).astype(np.int64)
-            sizes = np.diff(batch.column(1).offsets.to_numpy())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(known), batch.column(1), _lists(logs.astype(np.float32), sizes, pa.float32())], ["word", "known", "served", "logs"])
+            sizes = _unpack(batch.column(1), np.uint16)[1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(known), batch.column(1), _pack(logs.astype(np.float32), sizes)], ["word", "known", "served", "logs"])
 
-    return corpus.mapInArrow(predict, "word binary, known long, served array<int>, logs array<float>")
+    return corpus.mapInArrow(predict, "word long, known long, served binary, logs binary")
 
 
 def _picked(batches: Iterator) -> Iterator:
     """The logs of the contexts that a block asks for, in its order."""
     for batch in batches:
-        asked, served, logs = batch.column(3), batch.column(4), batch.column(5)
-        sizes, there = np.diff(asked.offsets.to_numpy()), np.diff(served.offsets.to_numpy())
-        wanted = np.repeat(np.arange(len(sizes)), sizes) * CONTEXTS + asked.flatten().to_numpy()
-        keys = np.repeat(np.arange(len(there)), there) * CONTEXTS + served.flatten().to_numpy()
-        values = logs.flatten().to_numpy()[np.searchsorted(keys, wanted)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), _lists(values, sizes, pa.float32())], ["block", "number", "known", "logs"])
+        (asked, sizes), (served, there), (logs, _) = _unpack(batch.column(3), np.uint16), _unpack(batch.column(4), np.uint16), _unpack(batch.column(5), np.float32)
+        wanted = np.repeat(np.arange(len(sizes)), sizes) * CONTEXTS + asked
+        keys = np.repeat(np.arange(len(there)), there) * CONTEXTS + served
+        values = logs[np.searchsorted(keys, wanted)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), _pack(values, sizes)], ["block", "number", "known", "logs"])
 
 
 SCORES = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -344,15 +355,17 @@ SCORES = "doc_id long, n_tokens long, n_known long, train_tokens long, base_scor
 
 def _summed(tokens: int, types: int):
     def block(words: pa.Table, texts: pa.Table) -> pa.Table:
-        words = words.sort_by("number")
-        lists = words.column("logs").combine_chunks()
-        logs = lists.flatten().to_numpy().astype(float)
-        known = np.repeat(words.column("known").to_numpy(), np.diff(lists.offsets.to_numpy()))
+        words = words.sort_by("number").combine_chunks()
+        logs, sizes = _unpack(words.column("logs").chunk(0), np.float32)
+        known = np.repeat(words.column("known").to_numpy(), sizes)
         base = np.log10((known + 0.1) / (tokens + 0.1 * (types + 1)))
-        pairs = np.frombuffer(zlib.decompress(texts.column("packed")[0].as_py()), np.int32)
+        planes = np.frombuffer(zlib.decompress(texts.column("packed")[0].as_py()), np.uint8).reshape(4, -1)
+        numbers = np.ascontiguousarray(planes.T).view(np.int32).ravel()
+        endings = np.frombuffer(texts.column("endings")[0].as_py(), np.uint16)
         lengths = texts.column("lengths").combine_chunks().flatten().to_numpy()
         starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        add = lambda x: np.add.reduceat(x[pairs], starts)
+        pairs = np.unique(_pairs(numbers, lengths, endings), return_inverse=True)[1]
+        add = lambda x: np.add.reduceat(x[pairs], starts, dtype=x.dtype if x.dtype.kind == "i" else float)
         return pa.table({
             "doc_id": texts.column("doc_ids").combine_chunks().flatten(), "n_tokens": pa.array(lengths.astype(np.int64)),
             "n_known": pa.array(add((known > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(lengths), tokens)),
@@ -372,10 +385,11 @@ def scored(docs: DataFrame, text: str = "text", key: str = "doc_id", learn: str
     """
     flow = docs.select(F.col(key).alias("doc_id"), ascii_lower(F.col(text)).cast("binary").alias("text"), F.col(learn).alias("learn"))
     rows = stage(flow.mapInArrow(_blocks, PAIRS))
-    texts = rows.where("word IS NULL").select("block", "doc_ids", "lengths", "packed")
+    texts = rows.where("word IS NULL").select("block", "doc_ids", "lengths", "endings", "packed")
     asked = rows.where("word IS NOT NULL")
-    corpus = stage(merged(asked, texts.count()).withColumn("key", F.xxhash64("word")))
+    corpus = stage(merged(asked, texts.count()))
+    release(docs.sparkSession)
     model = fit(corpus, sweeps, burn_in)
     found = asked.select("block", "number", "word", "contexts").join(_predicted(corpus, model), "word")
-    picked = found.select("block", "number", "known", "contexts", "served", "logs").mapInArrow(_picked, "block long, number int, known long, logs array<float>")
+    picked = found.select("block", "number", "known", "contexts", "served", "logs").mapInArrow(_picked, "block long, number int, known long, logs binary")
     return picked.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(_summed(model.tokens, model.types), SCORES)
