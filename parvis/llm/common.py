@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,5 +36,7 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 def release(spark: SparkSession) -> None:
     """Let Spark drop shuffle files of finished steps now: it does so when the driver forgets them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees may hold more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)

@@ -20,7 +20,6 @@ blocks by a join on the word, where every text is summed up.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,6 +27,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,7 +107,7 @@ def _pairs(numbers, lengths, endings):
     return keys
 
 
-def _block(ids: list, texts: list, learn: list) -> Iterator[pa.RecordBatch]:
+def _block(block: int, ids: list, texts: list, learn: list) -> Iterator[pa.RecordBatch]:
     """The rows of one block: one per word, and one with the texts as word numbers."""
     words = _Words()
     number = words.__getitem__
@@ -119,7 +119,7 @@ def _block(ids: list, texts: list, learn: list) -> Iterator[pa.RecordBatch]:
         parts.append(np.fromiter(map(number, tokens), np.int32, len(tokens)))
     flat, lengths = np.concatenate(parts), np.array(lengths, np.int32)
     del parts
-    n, block = len(words), uuid.uuid4().int >> 65
+    n = len(words)
     endings = np.fromiter(map(context_of, words), np.uint16, n)
     # 64 bits tell words apart from here on
     hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n).view(np.int64)
@@ -132,7 +132,7 @@ def _block(ids: list, texts: list, learn: list) -> Iterator[pa.RecordBatch]:
     counts[np.searchsorted(pairs, seen)] = times
     sizes = np.bincount(pairs // CONTEXTS, minlength=n)
     yield pa.RecordBatch.from_arrays([
-        pa.array(np.full(n, block)), pa.array(hashed), pa.array(np.arange(n, dtype=np.int32)), _pack((pairs % CONTEXTS).astype(np.uint16), sizes), _pack(counts, sizes),
+        pa.array(np.full(n, block, np.int64)), pa.array(hashed), pa.array(np.arange(n, dtype=np.int32)), _pack((pairs % CONTEXTS).astype(np.uint16), sizes), _pack(counts, sizes),
         pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()),
     ], schema=PAIRS_SCHEMA)
     planes = flat.view(np.uint8).reshape(-1, 4).T  # bytes of equal weight together pack better
@@ -142,13 +142,16 @@ def _block(ids: list, texts: list, learn: list) -> Iterator[pa.RecordBatch]:
 
 
 def _blocks(batches: Iterator) -> Iterator:
+    """Blocks are numbered by partition and place in it: small numbers, and the same again if a task is repeated."""
+    block = TaskContext.get().partitionId() << 24
     for batch in batches:
         ids, texts, learn = (c.to_pylist() for c in batch.columns)
         start, size = 0, 0
         for i, text in enumerate(texts):
             size += len(text or b"") + 1
             if size >= BLOCK_BYTES or i + 1 == len(texts):
-                yield from _block(ids[start:i + 1], texts[start:i + 1], [bool(x) for x in learn[start:i + 1]])
+                block += 1
+                yield from _block(block, ids[start:i + 1], texts[start:i + 1], [bool(x) for x in learn[start:i + 1]])
                 start, size = i + 1, 0
 
 
@@ -390,6 +393,7 @@ def scored(docs: DataFrame, text: str = "text", key: str = "doc_id", learn: str
     corpus = stage(merged(asked, texts.count()))
     release(docs.sparkSession)
     model = fit(corpus, sweeps, burn_in)
+    release(docs.sparkSession)
     found = asked.select("block", "number", "word", "contexts").join(_predicted(corpus, model), "word")
     picked = found.select("block", "number", "known", "contexts", "served", "logs").mapInArrow(_picked, "block long, number int, known long, logs binary")
     return picked.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(_summed(model.tokens, model.types), SCORES)
