@@ -39,6 +39,7 @@ CONTEXTS = PARENTS * CHILDREN
 BLOCK_BYTES = 27 << 20  # text in a block
 MERGED_BLOCKS = 4_096  # rows of one word that one task merges
 SINGLE = 64  # customers seated one by one
+SLICE = 1 << 18  # tokens looked up at once
 
 
 @dataclass
@@ -367,8 +368,20 @@ def _summed(tokens: int, types: int):
         endings = np.frombuffer(texts.column("endings")[0].as_py(), np.uint16)
         lengths = texts.column("lengths").combine_chunks().flatten().to_numpy()
         starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        pairs = np.unique(_pairs(numbers, lengths, endings), return_inverse=True)[1]
-        add = lambda x: np.add.reduceat(x[pairs], starts, dtype=x.dtype if x.dtype.kind == "i" else float)
+        keys = _pairs(numbers, lengths, endings)
+        pairs = np.unique(keys)
+        at = np.empty(len(keys), np.int32)
+        for i in range(0, len(keys), SLICE):  # small steps, so that a block needs little besides itself
+            at[i:i + SLICE] = np.searchsorted(pairs, keys[i:i + SLICE])
+        del keys, pairs, numbers
+
+        def add(x):
+            sums = np.zeros(len(lengths), x.dtype)
+            for i in range(0, len(lengths), 512):
+                a, b = starts[i], starts[i + 512] if i + 512 < len(starts) else len(at)
+                sums[i:i + 512] = np.add.reduceat(x[at[a:b]], starts[i:i + 512] - a)
+            return sums
+
         return pa.table({
             "doc_id": texts.column("doc_ids").combine_chunks().flatten(), "n_tokens": pa.array(lengths.astype(np.int64)),
             "n_known": pa.array(add((known > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(lengths), tokens)),
