@@ -376,10 +376,10 @@ def _summed(tokens: int, types: int):
         del keys, pairs, numbers
 
         def add(x):
-            sums = np.zeros(len(lengths), x.dtype)
+            sums = np.zeros(len(lengths), np.int64 if x.dtype.kind == "i" else float)
             for i in range(0, len(lengths), 512):
                 a, b = starts[i], starts[i + 512] if i + 512 < len(starts) else len(at)
-                sums[i:i + 512] = np.add.reduceat(x[at[a:b]], starts[i:i + 512] - a)
+                sums[i:i + 512] = np.add.reduceat(x[at[a:b]], starts[i:i + 512] - a, dtype=sums.dtype)
             return sums
 
         return pa.table({
