@@ -93,7 +93,8 @@ def histogram(df: DataFrame, value: str, bins: int, low=None, high=None) -> Data
     else:
         rows = rows.where(F.col("x").between(low, high))
         edges = df.sparkSession.range(1).select(F.lit(float(low)).alias("lo"), F.lit(float(high)).alias("hi"))
-    at = F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
+    # a constant column has a range of no width: all its rows are in the first bin
+    at = F.coalesce(F.floor(F.try_divide(F.col("x") - F.col("lo"), F.col("hi") - F.col("lo")) * bins), F.lit(0))
     counts = (
         rows.join(F.broadcast(edges))  # one row
         .groupBy(F.least(at, F.lit(bins - 1)).cast("int").alias("bin"))

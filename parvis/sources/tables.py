@@ -116,16 +116,6 @@ def read_listings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LISTING_SCHEMA).option("multiLine", True).json(path)
 
 
-def reserve_listings(spark: SparkSession) -> DataFrame:
-    """The fixed reserve with its order in ``position``."""
-    rows = [(i, *values, "Reserve") for i, values in enumerate(C.RESERVE_LISTINGS)]
-    return spark.createDataFrame(
-        rows,
-        "position int, titre string, arrondissement int, surface double, pieces int, prix_annonce long,"
-        " latitude double, longitude double, source string",
-    )
-
-
 def read_gems(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(metadata, gems) of envelope files."""
     envelope = spark.read.schema(GEMS_ENVELOPE).option("multiLine", True).json(path)

@@ -143,9 +143,7 @@ def test_cards(spark):
 
 
 def test_top_up(spark):
-    from parvis.sources.tables import reserve_listings
-
-    reserve = reserve_listings(spark)
+    reserve = spark.createDataFrame([(i, f"flat {i}") for i in range(8)], "position int, titre string")
     assert extraction.top_up(reserve.limit(2), reserve).count() == 8
     assert extraction.top_up(reserve.limit(4), reserve).count() == 4
 
@@ -159,3 +157,22 @@ def test_incomplete_pages_are_routed(spark):
     a = done[0]
     assert a.pieces == 1 and a.gem_score == pytest.approx((10_000 * 0.97 * 0.95 - 150_000 * 0.93 / 20) / (10_000 * 0.97 * 0.95))
     assert done[1].gem_score is None
+
+
+@pytest.mark.parametrize("latitude", [48.8, 60.17, 68.4])
+def test_no_pair_is_lost_in_the_north(spark, latitude):
+    import random
+
+    rng = random.Random(int(latitude))
+    spot = lambda: (latitude + rng.uniform(-0.02, 0.02), 24.9 + rng.uniform(-0.04, 0.04))
+    points, places = [spot() for _ in range(30)], [spot() for _ in range(60)]
+    got = proximity.place_distances(spark.createDataFrame(points, "latitude double, longitude double"), spark.createDataFrame(places, "plat double, plon double"), radius=1000.0)
+    want = {(a, b, c, d) for a, b in points for c, d in places if metres(a, b, c, d) <= 1000.0}
+    assert {(r.lat, r.lon, r.plat, r.plon) for r in got.collect()} == want
+
+
+def test_histogram_of_a_constant(spark):
+    from parvis.operators.evaluation import histogram
+
+    rows = histogram(spark.createDataFrame([(5.0,)] * 3, "x double"), "x", 4).orderBy("bin").collect()
+    assert [r.n for r in rows] == [3, 0, 0, 0]
