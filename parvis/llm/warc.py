@@ -13,6 +13,7 @@ that come sorted by record and number; nothing but the state of the hash is kept
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -115,7 +116,7 @@ def write_archives(rows: DataFrame, path: str, chunk: int = CHUNK) -> None:
     plain = rows.withColumns({"page_id": F.col("page_id").cast("string"), "refers_to": F.col("refers_to").cast("string")})
     plain = plain.select("record_id", "page_id", "url", "body", "digest", "record_type", "refers_to")
     framed = plain.mapInPandas(lambda batches: _framed(batches, chunk), "value string")
-    framed.write.option("lineSep", BREAK).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    framed.write.option("lineSep", BREAK).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
 
 
 def _parsed(batches: Iterator) -> Iterator:
@@ -131,7 +132,7 @@ def _parsed(batches: Iterator) -> Iterator:
     ])
     for batch in batches:
         for content in batch.column("content"):
-            data, at, out = memoryview(content.as_buffer()), 0, []
+            data, at, out = memoryview(gzip.decompress(content.as_py())), 0, []
             while at < len(data):
                 stop = _find(data, at)
                 head = {}
