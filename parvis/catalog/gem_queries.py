@@ -247,7 +247,8 @@ PRICED_SQL = """SELECT *, greatest(prix_corrige_m2 - reno_cost_m2, prix_corrige_
  FROM (SELECT *, prix_m2_predit * 0.97e0 * floor_corr * dpe_corr * reno_corr * expo_corr AS prix_corrige_m2 FROM factors)"""
 ADJUSTED_SQL = """CASE WHEN prix_net_m2 > 0 THEN (prix_net_m2 - prix_annonce * (1 - negotiation_margin) / surface) / prix_net_m2 ELSE 0.0e0 END AS gem_score,
  CAST(floor(prix_corrige_m2 * surface) AS BIGINT) AS prix_predit_total,
- CAST(greatest(0, floor(floor(prix_corrige_m2 * surface) - prix_annonce * (1 - negotiation_margin))) AS BIGINT) AS gain_potentiel"""
+ CASE WHEN prix_annonce * surface * prix_corrige_m2 IS NOT NULL
+ THEN CAST(greatest(0, floor(floor(prix_corrige_m2 * surface) - prix_annonce * (1 - negotiation_margin))) AS BIGINT) END AS gain_potentiel"""
 
 
 @query(

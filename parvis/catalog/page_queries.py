@@ -46,15 +46,19 @@ def _pos(expr: str) -> str:
 
 
 def _unescape(expr: str) -> str:
-    for entity, char in C.ENTITIES:
-        quoted = {"'": "''''"}.get(char, f"'{char}'")
-        expr = f"replace({expr}, '{entity}', {quoted})"
-    return expr
+    known = ", ".join(f"'{name}': chr({ord(char)})" for name, char in C.REFERENCES.items())
+    name = r"regexp_extract(p, '^(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);', 1)"
+    digits = f"CASE WHEN lower({name}) LIKE '#x%' THEN '0x' || substr({name}, 3) ELSE substr({name}, 2) END"
+    number = f"TRY_CAST(CASE WHEN {name} LIKE '#%' THEN {digits} END AS INT)"
+    char = f"coalesce(MAP {{{known}}}[{name}], CASE WHEN {number} BETWEEN 1 AND 55295 OR {number} BETWEEN 57344 AND 1114111 THEN chr({number}) END)"
+    piece = f"CASE WHEN i = 1 THEN p ELSE coalesce({char} || substr(p, length({name}) + 2), '&' || p) END"
+    return f"array_to_string(list_transform(string_split({expr}, '&'), lambda p, i: {piece}), '')"
 
 
 def _text(html: str) -> str:
     out = f"regexp_replace({html}, '{X.MARKUP}', ' ', 'g')"
-    return rf"trim(regexp_replace({_unescape(out)}, '[ \t\r\n\f]+', ' ', 'g'))"
+    plain = f"translate({_unescape(out)}, chr(160) || chr(8239) || chr(8201), '   ')"
+    return rf"trim(regexp_replace({plain}, '[ \t\r\n\f]+', ' ', 'g'))"
 
 
 def _meta(name: str) -> str:
@@ -259,13 +263,14 @@ _SPOTS = _points(C.CENTROIDS)
 full_rows AS (SELECT e.page_id, concat_ws(',', CASE WHEN NOT coalesce(prix > 0, false) THEN 'prix' END, CASE WHEN NOT coalesce(surface > 0, false) THEN 'surface' END,
   CASE WHEN NOT coalesce(arrondissement BETWEEN 1 AND 20, false) THEN 'arrondissement' END) AS missing,
  prix AS prix_annonce, surface, coalesce(pieces, CASE WHEN surface IS NULL THEN NULL WHEN surface < 35 THEN 1 WHEN surface < 55 THEN 2 WHEN surface < 75 THEN 3 WHEN surface < 100 THEN 4 WHEN surface < 130 THEN 5
-  ELSE greatest(6, CAST(round_even(surface / 22, 0) AS INT)) END) AS pieces, arrondissement, coalesce(latitude, clat, 48.8566e0) AS latitude, coalesce(longitude, clon, 2.3522e0) AS longitude,
- days_on_market, etage, dpe_classe, renovation_score, exposition, CAST(NULL AS INT) AS vision_score, CAST(NULL AS STRING) AS luminosite, CAST(NULL AS STRING) AS hauteur_plafond,
+  ELSE greatest(6, CAST(round_even(surface / 22, 0) AS INT)) END) AS pieces, arrondissement, coalesce(CASE WHEN longitude IS NOT NULL THEN latitude END, clat, 48.8566e0) AS latitude,
+ coalesce(CASE WHEN latitude IS NOT NULL THEN longitude END, clon, 2.3522e0) AS longitude, days_on_market, etage, dpe_classe, renovation_score, exposition, CAST(NULL AS INT) AS vision_score, CAST(NULL AS STRING) AS luminosite, CAST(NULL AS STRING) AS hauteur_plafond,
  CAST(NULL AS STRING) AS qualite_generale, {_FALLBACK} AS prix_m2_predit
  FROM extracted e JOIN feats USING (page_id) LEFT JOIN {_SPOTS} USING (arrondissement)),
-factors AS ({FACTORS_SQL.format(source='full_rows')}), priced AS ({PRICED_SQL})
-SELECT page_id, CASE WHEN missing = '' THEN 'complete' ELSE 'needs_input' END AS status, missing, CAST(pieces AS INT) AS pieces, latitude, longitude, prix_corrige_m2, prix_net_m2,
- negotiation_margin, {ADJUSTED_SQL} FROM priced""",
+factors AS ({FACTORS_SQL.format(source='full_rows')}), priced AS ({PRICED_SQL}),
+done AS (SELECT page_id, CASE WHEN missing = '' THEN 'complete' ELSE 'needs_input' END AS status, missing, CAST(pieces AS INT) AS pieces, latitude, longitude, prix_corrige_m2, prix_net_m2,
+ negotiation_margin, {ADJUSTED_SQL} FROM priced)
+SELECT * REPLACE ({', '.join(f"CASE WHEN status = 'complete' THEN {c} END AS {c}" for c in ("prix_corrige_m2", "prix_net_m2", "gem_score", "prix_predit_total", "gain_potentiel"))}) FROM done""",
     digits={"prix_corrige_m2 prix_net_m2": 3, "gem_score latitude longitude": 6},
 )
 def listing_analysis(spark, d):

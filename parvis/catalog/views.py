@@ -83,7 +83,6 @@ _LD = f"""'"@type":"' || CASE WHEN id_mutation % 10 = 7 THEN 'WebPage' WHEN type
     || '","name":"' || titre || '","floorSize":{{"value":' || {_AREA} || '}},"numberOfRooms":' || {_ROOMS}
     || ',"address":{{"postalCode":"' || {_CODE} || '"}},"datePublished":"' || {_DAY} || 'T08:30:00"
     ,"image":["' || {_PHOTO} || '-b.jpg","' || {_PHOTO} || '-c.png?ci_seal=1"]'"""
-_OFFER = _OFFER
 
 PAGE_PARTS = [
     "'<!DOCTYPE html><html><head><title>' || titre || ' &amp; co</title>'",
@@ -116,14 +115,14 @@ PAGE_PARTS = [
     ),
     f"""'</head><body><!-- page --><p>' || type_local || ' <b>' || {_ROOMS} || '&nbsp;pièces</b> de ' || {_AREA} || ' m²</p><p>' || {_SPACED.format(s=' ')}
         || ' &euro;</p><p>Paris ' || {_ARR} || CASE WHEN arrondissement = 1 THEN 'er' ELSE 'ème' END || '</p>'""",
-    """CASE CAST(id_mutation % 7 AS INT) WHEN 0 THEN '<p>Au RDC sur cour</p>' WHEN 1 THEN '<p>Dernier étage avec vue</p>'
+    """CASE CAST(id_mutation % 7 AS INT) WHEN 0 THEN '<p>Au RDC sur cour</p>' WHEN 1 THEN '<p>Dernier&nbsp;&eacute;tage avec vue, s&ucirc;r &#8209; &inconnu;</p>'
         WHEN 2 THEN '<p>5ème et dernier étage</p>' WHEN 3 THEN '' ELSE '<p>' || CAST(id_mutation % 7 AS STRING) || 'ème étage sur 8</p>' END""",
-    _when("id_mutation % 8 < 7", "'<p>DPE : ' || substr('ABCDEFG', CAST(1 + id_mutation % 8 AS INT), 1) || '.</p>'"),
+    _when("id_mutation % 8 < 7", "'<p>DPE&nbsp;: ' || substr('ABCDEFG', CAST(1 + id_mutation % 8 AS INT), 1) || '.</p>'"),
     _when("id_mutation % 3 = 0", "'<p>Parquet, cave, gardien et ascenseur. Haussmannien lumineux.</p>'"),
     _when("id_mutation % 3 = 1", "'<p>Bel ancien de standing, refait à neuf, balcon et parking.</p>'"),
-    """CASE CAST(id_mutation % 4 AS INT) WHEN 0 THEN '<p>Charges : ' || CAST(50 + id_mutation % 300 AS STRING) || ' €</p>'
+    """CASE CAST(id_mutation % 4 AS INT) WHEN 0 THEN '<p>Charges&#160;: ' || CAST(50 + id_mutation % 300 AS STRING) || ' €</p>'
         WHEN 1 THEN '<p>' || CAST(50 + id_mutation % 300 AS STRING) || ' € / mois de charges</p>' WHEN 2 THEN '<p>charges de 9 €/mois</p>' ELSE '' END""",
-    """CASE CAST(id_mutation % 6 AS INT) WHEN 0 THEN '<p>Exposition sud-ouest, terrasse</p>' WHEN 1 THEN '<p>exposition : Nord Est</p>'
+    """CASE CAST(id_mutation % 6 AS INT) WHEN 0 THEN '<p>Exposition sud-ouest, terrasse</p>' WHEN 1 THEN '<p>exposition&#x202F;: Nord Est</p>'
         WHEN 2 THEN '<p>EXPOSITION OUEST</p>' ELSE '' END""",
     _when(
         "id_mutation % 2 = 0",

@@ -11,6 +11,7 @@ from parvis.functions.numbers import as_col
 NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 MARKUP = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<[a-z/!?][^>]*>"
 SPACES = " \u00a0\u202f\t\n\r"
+REFERENCE = r"^(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
 
 def blank_to_null(col: Column) -> Column:
@@ -49,13 +50,28 @@ def district_from_code(code) -> Column:
     return F.pmod(parse_int(code), F.lit(100)).cast("int")
 
 
+def decoded(text: Column) -> Column:
+    """Character references of a text decoded once: decimal, hexadecimal, and the
+    names of ``C.REFERENCES``; what is none of these stays as it is."""
+    known = F.create_map(*[F.lit(x) for pair in C.REFERENCES.items() for x in pair])
+
+    def piece(p: Column, i: Column) -> Column:
+        name = F.regexp_extract(p, REFERENCE, 1)
+        digits = F.when(F.lower(name).startswith("#x"), F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(F.substring(name, 2, 7))
+        number = digits.try_cast("bigint")
+        valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        char = F.coalesce(F.try_element_at(known, name), F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")))
+        rest = F.substr(p, F.length(name) + 2)
+        return F.when(i == 0, p).otherwise(F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), p)))
+
+    return F.array_join(F.transform(F.split(text, "&", -1), piece), "")
+
+
 def visible_text(html) -> Column:
     """Text of a page: scripts, styles, comments and tags removed in one scan,
-    common entities decoded, runs of white space collapsed."""
-    out = F.regexp_replace(as_col(html), MARKUP, " ")
-    for entity, char in C.ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(out, r"[ \t\r\n\f]+", " "))
+    references decoded, no-break and thin spaces as blanks, runs of white space collapsed."""
+    out = decoded(F.regexp_replace(as_col(html), MARKUP, " "))
+    return F.trim(F.regexp_replace(F.translate(out, C.ODD_BLANKS, "   "), r"[ \t\r\n\f]+", " "))
 
 
 def meta_tags(html) -> Column:
@@ -70,10 +86,7 @@ def meta_content(tags: Column, name: str) -> Column:
 
 
 def page_title(html) -> Column:
-    out = first_group(html, r"(?is)<title[^>]*>(.*?)</title>")
-    for entity, char in C.ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.trim(out)
+    return F.trim(decoded(first_group(html, r"(?is)<title[^>]*>(.*?)</title>")))
 
 
 def largest_number(text, low: int, high: int) -> Column:

@@ -215,6 +215,6 @@ def price_adjustments(rows: DataFrame, predicted: str = "prix_m2_predit") -> Dat
         {
             "gem_score": F.when(F.col("prix_net_m2") > 0, score).otherwise(0.0),
             "prix_predit_total": total,
-            "gain_potentiel": F.greatest(F.lit(0), F.floor(gain)),
+            "gain_potentiel": F.when(gain.isNotNull(), F.greatest(F.lit(0), F.floor(gain))),
         }
     ).withColumn("is_hidden_gem", pricing.is_gem("gem_score"))

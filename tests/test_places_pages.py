@@ -176,3 +176,38 @@ def test_histogram_of_a_constant(spark):
 
     rows = histogram(spark.createDataFrame([(5.0,)] * 3, "x double"), "x", 4).orderBy("bin").collect()
     assert [r.n for r in rows] == [3, 0, 0, 0]
+
+
+def test_references_and_odd_blanks(one_row):
+    from parvis.functions import text
+
+    cases = {
+        "4&egrave;me&nbsp;&#233;tage": "4ème étage", "12&#x202F;000&nbsp;&#8364;": "12 000 €", "50 m&#178;": "50 m²", "&#128; &#X41;": "€ A",
+        "&amp;#8364; &amp;amp;": "&#8364; &amp;", "a & b &c &inconnu; &#0; &#xD800;": "a & b &c &inconnu; &#0; &#xD800;", "&#128512;": "\U0001F600", "": "",
+    }
+    got = one_row(*[text.visible_text(F.lit(c)) for c in cases])
+    assert list(got) == list(cases.values())
+    assert one_row(text.visible_text(F.lit(None).cast("string"))) is None
+
+
+@pytest.mark.parametrize("blank", ["\u00a0", "\u202f", "\u2009", "&nbsp;", "&#160;", " "])
+def test_facts_before_a_colon(spark, blank):
+    html = f"<p>4ème étage sur 6. DPE{blank}: C. Exposition{blank}: sud. Charges{blank}: 120{blank}€</p>"
+    row = extraction.listing_features(pages(spark, ("https://www.pap.fr/1", html))).first()
+    assert (row.etage, row.nb_etages, row.dpe_classe, row.exposition, row.charges_mensuelles) == (4, 6, "C", "S", 120)
+
+
+def test_incomplete_pages_have_no_price(spark):
+    done = analyse_pages(
+        pages(spark, ("https://www.pap.fr/2", "<p>20 m², Paris 3e</p>")), F.lit("2025-01-01"), lambda x: x.withColumn("prix_m2_predit", F.lit(10_000.0)),
+    ).first()
+    assert done.status == "needs_input"
+    assert [done[c] for c in ("prix_m2_predit", "prix_corrige_m2", "prix_net_m2", "gem_score", "prix_predit_total", "gain_potentiel")] == [None] * 6
+
+
+def test_summary_tells_district_0_from_all(spark):
+    from parvis.operators.market import market_summary
+
+    rows = spark.createDataFrame([(92100.0, 5000.0, 30.0), (75011.0, 9000.0, 40.0)], "code_postal double, prix_m2 double, surface_reelle_bati double")
+    got = {(r.zone, r.is_total): r["count"] for r in market_summary(rows).collect()}
+    assert got == {(0, False): 1, (11, False): 1, (None, True): 2}
