@@ -230,8 +230,9 @@ _SUMMARY = """count(*) AS count, avg(prix_m2) AS prix_m2_mean, quantile_cont(pri
 
 @query(
     views="clean",
-    sql=f"SELECT arrondissement AS zone, {_SUMMARY} FROM clean GROUP BY 1 UNION ALL SELECT 0 AS zone, {_SUMMARY} FROM clean",
-    digits={"prix_m2_mean prix_m2_median prix_m2_q25 prix_m2_q75 surface_median": 4},
+    sql=f"SELECT arrondissement AS zone, false AS is_total, {_SUMMARY} FROM clean GROUP BY 1 UNION ALL SELECT NULL AS zone, true AS is_total, {_SUMMARY} FROM clean",
+    # six digits: the mean of cents over some groups ends in a 5 at the fifth, where the order of adding decides
+    digits={"prix_m2_mean": 6, "prix_m2_median prix_m2_q25 prix_m2_q75 surface_median": 4},
 )
 def market_summary(spark, d):
     return market.market_summary(V.clean(spark, d))
