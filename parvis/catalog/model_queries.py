@@ -35,7 +35,7 @@ def linear_model_scores(spark, d):
 @query()
 def gbt_scores(spark, d):
     train, test, _ = _frames(spark, d)
-    return training.predictions(training.fit(train, training.boosted_trees(iterations=10)), test)
+    return training.predictions(training.fit(train, training.boosted_trees()), test)
 
 
 @query()
@@ -49,11 +49,11 @@ def tournament(spark, d):
     train, test, _ = _frames(spark, d)
     recipes = [
         training.linear(C.BASE_FEATURES),
-        training.boosted_trees(iterations=10),
-        training.boosted_trees(name="GBT_L2", loss="squared", log_target=False, iterations=10),
-        training.forest(trees=10),
+        training.boosted_trees(),
+        training.boosted_trees(name="GBT_L2", loss="squared", log_target=False),
+        training.forest(),
         training.linear(name="Huber", loss="huber", log_target=True),
-        training.boosted_trees(name="GBT_weighted", weighted=True, iterations=10),
+        training.boosted_trees(name="GBT_weighted", weighted=True),
     ]
     return training.tournament(train, test, recipes)[1]
 
@@ -61,7 +61,7 @@ def tournament(spark, d):
 @query()
 def feature_importance(spark, d):
     train, _, _ = _frames(spark, d)
-    return training.feature_importance(spark, training.fit(train, training.boosted_trees(iterations=10)))
+    return training.feature_importance(spark, training.fit(train, training.boosted_trees()))
 
 
 @query()
@@ -110,8 +110,8 @@ def place_feature_gain(spark, d):
 
 
 def _model(spark, d):
-    train, _, enc = _frames(spark, d)
-    return training.fit(train, training.boosted_trees(iterations=10), enc)
+    train, test, enc = _frames(spark, d)
+    return training.fit(train, training.boosted_trees(), enc, held_out=test)
 
 
 @query()
@@ -134,5 +134,5 @@ def smoothed_features_model(spark, d):
     train, test = split_train_test(stage(_core(spark, d)))
     enc = fit_encodings(train, smoothed=True, fine=True)
     rows = stage(feature_matrix(train, enc, keep=["id_mutation"]))
-    model = training.fit(rows, training.boosted_trees(iterations=10), enc)
+    model = training.fit(rows, training.boosted_trees(), enc)
     return training.predictions(model, feature_matrix(test, enc, keep=["id_mutation"]))

@@ -34,6 +34,8 @@ def derive_features(df: DataFrame) -> DataFrame:
             "surface_per_piece": clip(area / rooms, 5.0, 500.0),
             "carrez_ratio": carrez_ratio(area),
             "dist_center_km": haversine(lat, lon, *C.CENTER),
+            "latitude": lat,
+            "longitude": lon,
             "lat_sq": lat * lat,
             "lon_sq": lon * lon,
             "lat_lon_cross": lat * lon,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -32,6 +33,7 @@ class PriceModel:
     name: str = "model"
     rmse: float | None = None
     encodings: Encodings | None = None
+    defaults: dict[str, float] = field(default_factory=dict)  # medians of the training rows
 
     def predict(self, features: DataFrame, output: str = "prix_m2_predit") -> DataFrame:
         """Add the predicted €/m² to rows that carry the feature columns."""
@@ -42,16 +44,11 @@ class PriceModel:
 
     def score(self, rows: DataFrame, output: str = "prix_m2_predit") -> DataFrame:
         """Lookups, features, model and inverse target for raw rows. Rows keep
-        their columns; every feature has a default, so none is lost."""
-        inputs = [c for c in rows.columns]
-        featured = featurise(rows, self.encodings)
-        casts = {f"_f_{c}": F.col(c).cast("double") for c in self.columns}
-        kept = featured.select(*[F.col(c) for c in featured.columns if c not in inputs], *inputs).withColumns(casts)
-        renamed = kept.select(*inputs, *[F.col(f"_f_{c}") for c in self.columns])
-        wide = renamed.select(
-            F.struct(*inputs).alias("_row"), *[F.coalesce(F.col(f"_f_{c}"), F.lit(0.0)).alias(c) for c in self.columns]
-        )
-        return self.predict(wide, output).select("_row.*", output)
+        their columns as they are. A point that is missing counts as the centre, any
+        other missing feature as its median in training, so no row is lost."""
+        featured = featurise(rows.select("*", F.struct("*").alias("_row")), self.encodings)
+        filled = [F.coalesce(F.col(c).cast("double"), F.lit(self.defaults.get(c, 0.0))).alias(c) for c in self.columns]
+        return self.predict(featured.select("_row", *filled), output).select("_row.*", output)
 
 
 @dataclass
@@ -148,9 +145,20 @@ def prepared(train: DataFrame, recipe: Recipe, key: str = "id_mutation") -> Data
     return out
 
 
-def fit(train: DataFrame, recipe: Recipe, enc: Encodings | None = None, key: str = "id_mutation") -> PriceModel:
-    model = Pipeline(stages=recipe.stages).fit(prepared(train, recipe, key))
-    return PriceModel(model, recipe.columns, recipe.log_target, recipe.name, encodings=enc)
+def fit(
+    train: DataFrame, recipe: Recipe, enc: Encodings | None = None, key: str = "id_mutation", held_out: DataFrame | None = None,
+) -> PriceModel:
+    """A fitted model. With ``enc`` it can score raw rows and keeps the training medians
+    for missing features; with ``held_out`` rows it carries their error for price bands."""
+    fitted = Pipeline(stages=recipe.stages).fit(prepared(train, recipe, key))
+    model = PriceModel(fitted, recipe.columns, recipe.log_target, recipe.name, encodings=enc)
+    if enc is not None:
+        medians = train.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5).alias(c) for c in recipe.columns]).first()
+        model.defaults = {c: v for c, v in medians.asDict().items() if v is not None}
+    if held_out is not None:
+        error = F.pow(F.col("prix_predit") - F.col("prix_reel"), 2)
+        model.rmse = predictions(model, held_out, key).agg(F.sqrt(F.avg(error))).first()[0]
+    return model
 
 
 def predictions(model: PriceModel, test: DataFrame, key: str = "id_mutation") -> DataFrame:
@@ -224,42 +232,39 @@ _TABLES = ["district", "street", "grid", "street_recent", "district_recent"]
 _META = T.StructType([
     T.StructField("name", T.StringType()), T.StructField("columns", T.StringType()),
     T.StructField("log_target", T.BooleanType()), T.StructField("rmse", T.DoubleType()),
-    T.StructField("global_mean", T.DoubleType()),
+    T.StructField("global_mean", T.DoubleType()), T.StructField("defaults", T.StringType()),
+    T.StructField("tables", T.StringType()), T.StructField("version", T.StringType()),
 ])
 
 
 def save_model(model: PriceModel, path: str, spark: SparkSession) -> None:
-    """Write a model as a directory: pipeline, lookup tables, one metadata row.
+    """Write a model as a directory: pipeline and lookup tables in a folder of their
+    own for each save, and one metadata row that names the folder and its tables.
 
-    The metadata row is written last, so a directory without it is incomplete.
+    The metadata row is written last: until then the model saved before is the valid one.
     """
-    model.pipeline.write().overwrite().save(f"{path}/pipeline")
+    version = uuid.uuid4().hex
+    model.pipeline.write().save(f"{path}/{version}/pipeline")
     enc = model.encodings
-    if enc is not None:
-        for name in _TABLES:
-            table = getattr(enc, name)
-            if table is not None:
-                table.write.mode("overwrite").parquet(f"{path}/{name}")
+    names = [n for n in _TABLES if enc is not None and getattr(enc, n) is not None]
+    for name in names:
+        getattr(enc, name).write.parquet(f"{path}/{version}/{name}")
     mean = None
     if enc is not None:
         mean = float(spark.range(1).select(enc.mean.alias("m")).first()["m"])
-    meta = [(model.name, json.dumps(model.columns), model.log_target, model.rmse, mean)]
+    meta = [(
+        model.name, json.dumps(model.columns), model.log_target, model.rmse, mean, json.dumps(model.defaults), json.dumps(names), version,
+    )]
     spark.createDataFrame(meta, _META).coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
 
 
 def load_model(spark: SparkSession, path: str) -> PriceModel:
-    from pyspark.errors import AnalysisException
-
     meta = spark.read.schema(_META).parquet(f"{path}/metadata").first()
-    tables = {}
-    for name in _TABLES:
-        try:
-            tables[name] = spark.read.parquet(f"{path}/{name}")
-        except AnalysisException:
-            tables[name] = None
+    folder, named = f"{path}/{meta['version']}", json.loads(meta["tables"])
+    tables = {name: spark.read.parquet(f"{folder}/{name}") if name in named else None for name in _TABLES}
     mean = meta["global_mean"]
     enc = None if mean is None else Encodings(overall=mean, **tables)
     return PriceModel(
-        PipelineModel.load(f"{path}/pipeline"), json.loads(meta["columns"]), meta["log_target"],
-        meta["name"], meta["rmse"], enc,
+        PipelineModel.load(f"{folder}/pipeline"), json.loads(meta["columns"]), meta["log_target"],
+        meta["name"], meta["rmse"], enc, json.loads(meta["defaults"]),
     )

@@ -80,7 +80,8 @@ def read_departments(spark: SparkSession, root: str, year: int, departments: lis
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], REGISTER_SCHEMA).withColumn("code_departement_source", F.lit(None).cast("string"))
-    return files.select("*", source.alias("code_departement_source"))
+    # a gzip file is one task: its rows are dealt out anew before anything else is done with them
+    return files.select("*", source.alias("code_departement_source")).hint("rebalance")
 
 
 def union_sources(frames: list[DataFrame]) -> DataFrame:
@@ -92,8 +93,9 @@ def union_sources(frames: list[DataFrame]) -> DataFrame:
 
 
 def write_sales(sales: DataFrame, path: str) -> None:
-    """Clean sales by year, so that period filters skip whole folders."""
-    sales.write.mode("overwrite").partitionBy("annee").parquet(path)
+    """Clean sales by year, so that period filters skip whole folders. Rows are brought
+    together by year first, large years in several parts, so few files are written."""
+    sales.hint("rebalance", "annee").write.mode("overwrite").partitionBy("annee").parquet(path)
 
 
 def read_sales(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -117,7 +119,13 @@ def read_listings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_gems(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(metadata, gems) of envelope files."""
+    """(metadata, gems) of a folder written by ``write_gems``, or of envelope files."""
+    try:
+        gems = spark.read.schema(GEM_SCHEMA).json(f"{path}/gems")
+        return spark.read.schema(METADATA_SCHEMA).json(f"{path}/metadata"), gems
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
     envelope = spark.read.schema(GEMS_ENVELOPE).option("multiLine", True).json(path)
     return envelope.select("metadata.*"), envelope.select(F.inline("gems"))
 

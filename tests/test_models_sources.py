@@ -1,4 +1,5 @@
 """Models by their properties; sources and sinks by round trips."""
+import dataclasses
 import gzip
 import json
 
@@ -93,6 +94,29 @@ def test_saved_model_predicts_the_same(spark, frames, tmp_path):
     assert np.allclose([x[1] for x in a], [x[1] for x in b]) and loaded.rmse == 123.0
 
 
+def test_saving_again_keeps_no_old_table(spark, frames, tmp_path):
+    df, train, _, enc = frames
+    path = str(tmp_path / "m")
+    model = training.fit(train, training.linear(C.BASE_FEATURES), enc)
+    training.save_model(model, path, spark)
+    assert training.load_model(spark, path).encodings.street_recent is not None and training.load_model(spark, path).defaults == model.defaults
+    model.encodings = dataclasses.replace(enc, street_recent=None)
+    training.save_model(model, path, spark)
+    assert training.load_model(spark, path).encodings.street_recent is None
+
+
+def test_missing_features_do_not_count_as_zero(spark, frames):
+    df, train, test, enc = frames
+    model = training.fit(train, training.linear(C.BASE_FEATURES), enc, held_out=test)
+    gaps = {"latitude": "double", "longitude": "double", "mois": "int", "nombre_lots": "int"}
+    blank = df.withColumns({c: F.lit(None).cast(t) for c, t in gaps.items() if c in df.columns})
+    got = model.score(blank)
+    low, high, n = got.agg(F.min("prix_m2_predit"), F.max("prix_m2_predit"), F.count("*")).first()
+    assert n == df.count() and 0 < low <= high < 100_000
+    assert got.where("latitude IS NOT NULL OR mois IS NOT NULL").count() == 0 and got.columns == [*blank.columns, "prix_m2_predit"]
+    assert 0 < model.rmse < 50_000
+
+
 def test_isolation_forest(spark, frames):
     df = frames[0]
     odd = df.limit(5).withColumns({"id_mutation": F.col("id_mutation") + 100_000, "prix_m2": F.lit(48_000.0), "surface_reelle_bati": F.lit(900.0)})
@@ -161,7 +185,8 @@ def test_gems_files(spark, tmp_path):
     tables.write_gems(scored, str(tmp_path / "out"), "2025-01-31")
     meta = spark.read.json(str(tmp_path / "out" / "metadata")).first()
     assert (meta.nb_annonces_analysees, meta.nb_pepites, meta.date_mise_a_jour) == (2, 1, "2025-01-31")
-    assert spark.read.json(str(tmp_path / "out" / "gems")).count() == 1
+    written, own = tables.read_gems(spark, str(tmp_path / "out"))
+    assert written.first().nb_annonces_analysees == 2 and own.count() == 1 and own.first().titre == "T"
     envelope = {"metadata": {"nb_pepites": 1}, "gems": [{**listing, "gem_score": 0.3}]}
     (tmp_path / "g.json").write_text(json.dumps(envelope, indent=1))
     info, gems = tables.read_gems(spark, str(tmp_path / "g.json"))
