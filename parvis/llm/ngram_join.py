@@ -25,12 +25,13 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parvis.llm.common import ascii_lower, stage, words
+from parvis.llm.common import ascii_lower, release, stage, words
 from parvis.llm.components import connected_components
 
 COUNTERS = 1 << 18  # counters of the rarity table: 1 MB, whatever the input
 BLOCK_MEMBERS = 8_192  # classes of an n-gram in one block
 BLOCK_NGRAMS = 1 << 20  # n-grams of the sets in one block of a candidate group
+FILTER_BITS = 1 << 23  # bits of the filter on wanted documents: 1 MB, whatever the input
 
 
 def ngram_set(text: Column, n: int) -> Column:
@@ -161,9 +162,24 @@ def _blocks(rows: DataFrame, block: Column, blocks: Column) -> DataFrame:
     return rows.withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")}).drop("other")
 
 
+def _perhaps_wanted(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``texts`` whose doc_id may be in ``wanted``: all that are, and few others as long as the bits are sparse.
+
+    The bitmap has a fixed size. It only spares texts a shuffle before the join on
+    doc_id; where it fills up, more texts travel and the join tells.
+    """
+    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_BITS)) + 1
+    at = F.bitmap_bit_position(slot)
+    bits = wanted.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
+    bits = bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    bit = F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(at, F.lit(8)))), F.lit(2))
+    return texts.join(F.broadcast(bits), (F.bitmap_bucket_number(slot) == F.col("bucket")) & (bit == 1), "left_semi")
+
+
 def candidate_groups(classes: DataFrame, percent: int) -> DataFrame:
     """(node, component) of classes that may be linked with another one. ``classes``: node, size, bitmap, prefix."""
-    grams = stage(classes.select("node", F.explode("prefix").alias("gram")))
+    grams = classes.select("node", F.explode("prefix").alias("gram"))
     shared = grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
     members = grams.join(shared, "gram").join(classes.select("node", "size", "bitmap"), "node")
     blocks = F.ceil(F.col("n") / BLOCK_MEMBERS)
@@ -329,18 +345,22 @@ def linked(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 3,
         F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap"), F.first("prefix").alias("prefix")
     )
     classes = stage(classes)
+    release(docs.sparkSession)
     ids = classes.select("h1", "h2", "node")
     # documents with several rows, and so perhaps several sets, tie those together
     several = known.select("doc_id", "h1", "h2").distinct().groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1")
     same = known.join(several, "doc_id", "left_semi").join(ids, ["h1", "h2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     # a class is told by its own hash from here on, since doc_ids may be repeated
     groups = candidate_groups(classes.select(F.col("h1").alias("node"), "size", "bitmap", "prefix"), percent)
+    release(docs.sparkSession)
 
     # the whole sets of the classes in groups, each from one row
     wanted = stage(ids.withColumnsRenamed({"node": "doc_id", "h1": "node"}).drop("h2").join(groups, "node"))
-    texts = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(wanted, "doc_id")
-    full = texts.select("node", "component", ngram_set(F.col("text"), n).alias("grams"))
+    texts = _perhaps_wanted(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), wanted).join(wanted, "doc_id")
+    # staged before the comparison, which would else be a join key and need the sets of all texts
+    full = stage(texts.select("node", "component", ngram_set(F.col("text"), n).alias("grams")))
     full = stage(full.where(F.xxhash64(F.sort_array("grams")) == F.col("node")).dropDuplicates(["node"]))
+    release(docs.sparkSession)
     blocks = full.groupBy("component").agg(F.ceil(F.sum(F.size("grams")) / BLOCK_NGRAMS).alias("blocks"))
     placed = full.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("label", F.col("node"))
     labels = stage(
