@@ -1,21 +1,22 @@
 """Hierarchical Pitman-Yor language model over words, with seating sampled by Gibbs sweeps over the whole corpus.
 
-A word is served in the restaurant of its context, the last two characters of the
-word before; that restaurant orders its tables from the one of the last character,
-and this one from the restaurant without context, whose tables come from a uniform
-base over the known words and one unknown. Restaurants that share an ending share
-their parents. Contexts are hashed into 65,536 and 1,024 restaurants, so the totals
-of all restaurants are a table of fixed size. Words are told apart by 64 bits.
+A word is served in the restaurant of the whole word before. That restaurant orders
+its tables from the one of its last two characters, this one from the restaurant of
+the last character, and that from the restaurant without context, whose tables come
+from a uniform base over the known words and one unknown. Restaurants of endings are
+hashed into 65,536 and 1,024, so their totals are tables of fixed size; there are as
+many restaurants of words as words, and their totals are a Spark table that is joined
+in every sweep. Words are told apart by 64 bits, as contexts by 48 bits and the ending.
 
 The corpus is read once, into blocks: rows (block, word, contexts, counts) and each
 block's texts as numbers of its pairs. Rows are merged by word, so that all
-restaurants that serve a word are in one row. A sweep reseats the customers of every
-dish, customer by customer, given the totals of the sweep before (from 64 customers
-on in runs of a sixteenth); the new totals are summed by Spark. Draws are a function
-of word, restaurant, customer and sweep, so a lost task repeats itself exactly, and
-later jobs recompute earlier sweeps instead of storing seats. Predictive
-probabilities are averaged over the sweeps after the burn-in and go back to the
-blocks by a join on the word, where every text is summed up.
+restaurants that serve a word are in one row, and dealt into buckets. A sweep reseats
+the customers of every dish, customer by customer, given the totals of the sweep
+before (from 64 customers on in runs of a sixteenth); seats are stored, and the new
+totals are summed by Spark. Draws are a function of word, restaurant, customer and
+sweep, so a lost task repeats itself exactly. Predictive probabilities are averaged
+over the sweeps after the burn-in and go back to the blocks by word and range of
+contexts, where every text is summed up.
 """
 
 from __future__ import annotations
@@ -40,11 +41,13 @@ BLOCK_BYTES = 27 << 20  # text in a block
 MERGED_BLOCKS = 4_096  # rows of one word that one task merges
 SINGLE = 64  # customers seated one by one
 SLICE = 1 << 18  # tokens looked up at once
+BUCKET_PAIRS = 1 << 19  # pairs of a word and its context that one task has at once, unless one word has more
+SHARD_BLOCKS = 256  # from so many blocks on, a word's contexts are looked up in several ranges
 
 
 @dataclass
 class Totals:
-    """Customers and tables of all restaurants, by level: 0 without context, 1 and 2 by context number."""
+    """Customers and tables of the restaurants of endings, by level: 0 without context, 1 and 2 by context number."""
 
     customers: list = field(default_factory=lambda: [np.zeros(1), np.zeros(PARENTS), np.zeros(CONTEXTS)])
     tables: list = field(default_factory=lambda: [np.zeros(1), np.zeros(PARENTS), np.zeros(CONTEXTS)])
@@ -52,7 +55,7 @@ class Totals:
 
 @dataclass
 class Model:
-    """Totals after each sweep (the first: one table per dish), discounts by level, and the training counts."""
+    """Totals of the last sweep (before the first: one table per dish), discounts by level, and the training counts."""
 
     totals: list
     discounts: tuple
@@ -63,7 +66,7 @@ class Model:
 
 
 def context_of(word: bytes) -> int:
-    """Number of the restaurant of a text that goes on after ``word``; 0 at its beginning."""
+    """Number of the restaurant of the ending of ``word``; 0 at the beginning of a text."""
     ending = word.decode("utf-8", "replace")[-2:]
     last, before = ending[-1:].encode(), ending[:-1].encode()
     return (zlib.crc32(last) % PARENTS) * CHILDREN + zlib.crc32(before) % CHILDREN
@@ -77,10 +80,10 @@ class _Words(dict):
         return number
 
 
-PAIRS = "block long, word long, number int, contexts binary, counts binary, doc_ids array<long>, lengths array<int>, endings binary, packed binary"
+PAIRS = "block long, word long, number int, contexts binary, counts binary, doc_ids array<long>, lengths array<int>, ranks binary, packed binary"
 PAIRS_SCHEMA = pa.schema([
     ("block", pa.int64()), ("word", pa.int64()), ("number", pa.int32()), ("contexts", pa.binary()), ("counts", pa.binary()),
-    ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("endings", pa.binary()), ("packed", pa.binary()),
+    ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("ranks", pa.binary()), ("packed", pa.binary()),
 ])
 
 
@@ -99,12 +102,11 @@ def _unpack(column: pa.Array, kind) -> tuple:
     return values, np.diff(offsets) // np.dtype(kind).itemsize
 
 
-def _pairs(numbers, lengths, endings):
-    """Word number and context of each token, as one number."""
-    keys = numbers.astype(np.int64) * CONTEXTS
-    keys[1:] += endings[numbers[:-1]]
-    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    keys[starts] = numbers[starts].astype(np.int64) * CONTEXTS
+def _pairs(numbers, lengths, ranks):
+    """Word number of each token and rank of the context before it, as one number. At the beginning of a text the end token is the context."""
+    keys = numbers.astype(np.int64) * len(ranks)
+    keys[1:] += ranks[numbers[:-1]]
+    keys[:1] += ranks[numbers[lengths[0] - 1]]
     return keys
 
 
@@ -120,25 +122,30 @@ def _block(block: int, ids: list, texts: list, learn: list) -> Iterator[pa.Recor
         parts.append(np.fromiter(map(number, tokens), np.int32, len(tokens)))
     flat, lengths = np.concatenate(parts), np.array(lengths, np.int32)
     del parts
-    n = len(words)
-    endings = np.fromiter(map(context_of, words), np.uint16, n)
+    n, end = len(words), words[END]
+    endings = np.fromiter(map(context_of, words), np.int64, n)
     # 64 bits tell words apart from here on
     hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n).view(np.int64)
     words.clear()
-    keys = _pairs(flat, lengths, endings)
+    contexts = hashed & -CONTEXTS | endings
+    contexts[end] = 0
+    order = np.argsort(contexts, kind="stable")
+    ranks = np.empty(n, np.int32)
+    ranks[order] = np.arange(n, dtype=np.int32)
+    keys = _pairs(flat, lengths, ranks)
     seen, times = np.unique(keys[np.repeat(np.array(learn, bool), lengths)], return_counts=True)
     pairs = np.unique(keys)
     del keys
     counts = np.zeros(len(pairs), np.int32)
     counts[np.searchsorted(pairs, seen)] = times
-    sizes = np.bincount(pairs // CONTEXTS, minlength=n)
+    sizes = np.bincount(pairs // n, minlength=n)
     yield pa.RecordBatch.from_arrays([
-        pa.array(np.full(n, block, np.int64)), pa.array(hashed), pa.array(np.arange(n, dtype=np.int32)), _pack((pairs % CONTEXTS).astype(np.uint16), sizes), _pack(counts, sizes),
+        pa.array(np.full(n, block, np.int64)), pa.array(hashed), pa.array(np.arange(n, dtype=np.int32)), _pack(contexts[order][pairs % n], sizes), _pack(counts, sizes),
         pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()),
     ], schema=PAIRS_SCHEMA)
     planes = flat.view(np.uint8).reshape(-1, 4).T  # bytes of equal weight together pack better
     yield pa.RecordBatch.from_pylist([{
-        "block": block, "doc_ids": ids, "lengths": lengths.tolist(), "endings": endings.tobytes(), "packed": zlib.compress(np.ascontiguousarray(planes), 1),
+        "block": block, "doc_ids": ids, "lengths": lengths.tolist(), "ranks": ranks.tobytes(), "packed": zlib.compress(np.ascontiguousarray(planes), 1),
     }], PAIRS_SCHEMA)
 
 
@@ -163,23 +170,25 @@ def _merge(batches: Iterator) -> Iterator:
     def rows(words, contexts, counts) -> pa.RecordBatch:
         heads = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
         sizes = np.diff(np.concatenate((heads, [len(words)])))
-        return pa.RecordBatch.from_arrays([pa.array(words[heads]), _pack(contexts.astype(np.uint16), sizes), _pack(counts, sizes)], ["word", "contexts", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array(words[heads]), _pack(contexts, sizes), _pack(counts, sizes)], ["word", "contexts", "counts"])
 
     for batch in batches:
-        contexts, sizes = _unpack(batch.column(1), np.uint16)
+        contexts, sizes = _unpack(batch.column(1), np.int64)
         kind = np.int32 if batch.schema.names[2] == "counts" else np.int64
         words = np.concatenate((held[0], np.repeat(batch.column(0).to_numpy(), sizes)))
         if not len(words):
             continue
-        group = np.concatenate(([0], np.cumsum(words[1:] != words[:-1])))
-        keys, inverse = np.unique(group * CONTEXTS + np.concatenate((held[1], contexts)), return_inverse=True)
-        counts = np.zeros(len(keys), np.int64)
-        np.add.at(counts, inverse, np.concatenate((held[2], _unpack(batch.column(2), kind)[0])))
-        names = words[np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))][keys // CONTEXTS]
-        last = int(np.searchsorted(keys, group[-1] * CONTEXTS))
-        held = names[last:], keys[last:] % CONTEXTS, counts[last:]
+        contexts = np.concatenate((held[1], contexts))
+        counts = np.concatenate((held[2], _unpack(batch.column(2), kind)[0].astype(np.int64)))
+        order = np.lexsort((contexts, np.concatenate(([0], np.cumsum(words[1:] != words[:-1])))))
+        words, contexts = words[order], contexts[order]
+        heads = np.flatnonzero(np.concatenate(([True], (words[1:] != words[:-1]) | (contexts[1:] != contexts[:-1]))))
+        counts = np.add.reduceat(counts[order], heads)
+        words, contexts = words[heads], contexts[heads]
+        last = int(np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))[-1])
+        held = words[last:], contexts[last:], counts[last:]
         if last:
-            yield rows(names[:last], keys[:last] % CONTEXTS, counts[:last])
+            yield rows(words[:last], contexts[:last], counts[:last])
     if len(held[0]):
         yield rows(*held)
 
@@ -271,34 +280,79 @@ class Seats:
         self.t0 = seated(self.c0, weight(0, 0, self.t0, 1.0 / (m.types + 1)), m.discounts[0], self.key0, 3 * number + 2)
 
 
-def _seats(batch, model: Model) -> Seats:
-    contexts, sizes = _unpack(batch.column(1), np.uint16)
-    counts = _unpack(batch.column(2), np.int64)[0]
-    return Seats(batch.column(0).to_numpy().view(np.uint64), contexts.astype(np.int64), counts, np.repeat(np.arange(len(sizes)), sizes), model)
+class WordSeats(Seats):
+    """Seats with the restaurants of whole words as level 3; their totals come pair by pair. The low 16 bits of a context are its ending."""
+
+    def __init__(self, keys, contexts, counts, rows, model: Model) -> None:
+        groups, self.up3 = np.unique(rows * CONTEXTS + contexts % CONTEXTS, return_inverse=True)
+        self.at3, self.rows3 = contexts, rows
+        with np.errstate(over="ignore"):
+            self.key3 = keys[rows] * np.uint64(41) + (contexts.view(np.uint64) + np.uint64(1)) * np.uint64(0x9FB21C651E98DF25)
+        self.c3 = counts.astype(float)
+        self.t3 = np.minimum(self.c3, 1)
+        super().__init__(keys, groups % CONTEXTS, np.bincount(self.up3, self.t3, len(groups)), groups // CONTEXTS, model)
+
+    def seat(self, t3, t2, t1, t0) -> None:
+        """Takes the tables of a sweep before."""
+        self.t3, self.t2, self.t1, self.t0 = (t.astype(float) for t in (t3, t2, t1, t0))
+        self.c2 = np.bincount(self.up3, self.t3, len(self.at2))
+        self._carry1()
+        self._carry0()
+
+    def predictive_words(self, totals: Totals, customers, tables):
+        """Probability of each word after each of its contexts, given the totals of those restaurants."""
+        m = self.model
+        below = self.predictive(totals, 2)[self.up3]
+        return (np.maximum(self.c3 - m.discounts[3] * self.t3, 0.0) + (m.strength + m.discounts[3] * tables) * below) / (m.strength + customers)
+
+    def sweep_words(self, totals: Totals, tables, number: int) -> None:
+        m = self.model
+        weight = (m.strength + m.discounts[3] * np.maximum(tables - self.t3, 0)) * self.predictive(totals, 2)[self.up3]
+        self.t3 = seated(self.c3, weight, m.discounts[3], self.key3, 3 * number)
+        self.c2 = np.bincount(self.up3, self.t3, len(self.at2))
+        self.sweep(totals, number)
+
+
+STATE = "bucket int, word long, contexts binary, sums binary, t3 binary, t2 binary, t1 binary, t0 binary, total binary"
+NAMES = [x.split()[0] for x in STATE.split(", ")]
 
 
-def _gathered(corpus: DataFrame, model: Model) -> tuple[Totals, list]:
-    """Totals after the last sweep that ``model`` has the totals for, and how many dishes of each level have one, two customers."""
-    shared = corpus.sparkSession.sparkContext.broadcast(model)
-    names = [(k, what) for k in range(3) for what in ("customers", "tables", "few")]
+def _seats(rows, model: Model) -> WordSeats:
+    """Seats of some rows of STATE; before the first sweep there are no tables in them."""
+    column = lambda name, kind: _unpack(rows.column(NAMES.index(name)), kind)
+    contexts, sizes = column("contexts", np.int64)
+    seats = WordSeats(rows.column(1).to_numpy().view(np.uint64), contexts, column("sums", np.int64)[0], np.repeat(np.arange(len(sizes)), sizes), model)
+    if rows.column(NAMES.index("t3")).null_count == 0:
+        seats.seat(*(column(name, np.int32)[0] for name in ("t3", "t2", "t1", "t0")))
+    return seats
+
+
+def _whole(table: pa.Table) -> pa.RecordBatch:
+    """The rows of a group as one batch."""
+    table = table.combine_chunks()
+    return table.to_batches()[0] if table.num_rows else pa.RecordBatch.from_pylist([], table.schema)
+
+
+def _gathered(state: DataFrame, model: Model) -> tuple[Totals, list]:
+    """Totals of the restaurants of endings, and how many dishes of each level have one, two customers."""
+    shared = state.sparkSession.sparkContext.broadcast(model)
+    names = [(k, what) for k in range(3) for what in ("customers", "tables")] + [(k, "few") for k in range(4)]
 
     def add(batches: Iterator) -> Iterator:
-        m = shared.value
         sums = {(k, what): np.zeros(4 if what == "few" else (1, PARENTS, CONTEXTS)[k]) for k, what in names}
         for batch in batches:
-            seats = _seats(batch, m)
-            for number, totals in enumerate(m.totals):
-                seats.sweep(totals, number)
-            for k, (c, t, at) in enumerate(((seats.c0, seats.t0, np.zeros(seats.n, np.int64)), (seats.c1, seats.t1, seats.at1), (seats.c2, seats.t2, seats.at2))):
-                sums[k, "customers"] += np.bincount(at, c, len(sums[k, "customers"]))
-                sums[k, "tables"] += np.bincount(at, t, len(sums[k, "tables"]))
+            seats = _seats(batch, shared.value)
+            for k, (c, t, at) in enumerate(((seats.c0, seats.t0, np.zeros(seats.n, np.int64)), (seats.c1, seats.t1, seats.at1), (seats.c2, seats.t2, seats.at2), (seats.c3, None, None))):
+                if t is not None:
+                    sums[k, "customers"] += np.bincount(at, c, len(sums[k, "customers"]))
+                    sums[k, "tables"] += np.bincount(at, t, len(sums[k, "tables"]))
                 sums[k, "few"] += [np.count_nonzero(c == 1), np.count_nonzero(c == 2), np.count_nonzero(c), c.sum()]
         for i, name in enumerate(names):
             at = np.flatnonzero(sums[name])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(at), pa.array(sums[name][at])], ["what", "at", "n"])
 
-    rows = corpus.mapInArrow(add, "what int, at long, n double").groupBy("what", "at").agg(F.sum("n").alias("n")).toArrow()
-    totals, few = Totals(), [np.zeros(4) for _ in range(3)]
+    rows = state.mapInArrow(add, "what int, at long, n double").groupBy("what", "at").agg(F.sum("n").alias("n")).toArrow()
+    totals, few = Totals(), [np.zeros(4) for _ in range(4)]
     what, at, n = (rows.column(c).to_numpy() for c in ("what", "at", "n"))
     for i, (k, name) in enumerate(names):
         target = few[k] if name == "few" else getattr(totals, name)[k]
@@ -306,52 +360,130 @@ def _gathered(corpus: DataFrame, model: Model) -> tuple[Totals, list]:
     return totals, few
 
 
-def fit(corpus: DataFrame, sweeps: int = 5, burn_in: int = 2, strength: float = 1.0) -> Model:
-    """The model of a merged corpus (word, contexts, sums). Discounts are n1 / (n1 + 2 n2) of each level, n1 and n2
-    the dishes with one and two customers when every dish has one table."""
+def _by_context(value: str, kind):
+    """(bucket, context, n) from rows of STATE: sums of ``value``, or of at most one per dish where there are no tables yet."""
+
+    def add(batches: Iterator) -> Iterator:
+        for batch in batches:
+            contexts, sizes = _unpack(batch.column(NAMES.index("contexts")), np.int64)
+            buckets = np.repeat(batch.column(0).to_numpy(), sizes)
+            column = batch.column(NAMES.index(value))
+            n = _unpack(column, kind)[0] if column.null_count == 0 else np.minimum(_unpack(batch.column(NAMES.index("sums")), np.int64)[0], 1)
+            order = np.lexsort((contexts, buckets))
+            contexts, buckets = contexts[order], buckets[order]
+            heads = np.flatnonzero(np.concatenate(([True], (contexts[1:] != contexts[:-1]) | (buckets[1:] != buckets[:-1])))) if len(order) else order
+            yield pa.RecordBatch.from_arrays([
+                pa.array(buckets[heads]), pa.array(contexts[heads]), pa.array(np.add.reduceat(n[order].astype(np.int64), heads) if len(order) else contexts),
+            ], ["bucket", "context", "n"])
+
+    return add
+
+
+def _step(shared, number: int, sweep: bool):
+    """Adds what the seats predict after the burn-in, then reseats."""
+
+    def step(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        model, rows, asked = shared.value, _whole(rows), _whole(asked.sort_by("context"))
+        seats, totals = _seats(rows, model), model.totals[0]
+        at = np.searchsorted(asked.column(1).to_numpy(), seats.at3)
+        customers, tables = (asked.column(k).to_numpy()[at].astype(float) for k in (2, 3))
+        total = np.zeros(len(at), np.float32) if rows.column(8).null_count else _unpack(rows.column(8), np.float32)[0]
+        if number > model.burn_in:
+            total = total + seats.predictive_words(totals, customers, tables).astype(np.float32)
+        if sweep:
+            seats.sweep_words(totals, tables, number)
+        sizes = [np.bincount(x, minlength=seats.n) for x in (seats.rows3, seats.rows, seats.up1, np.arange(seats.n))]
+        found = [_pack(t.astype(np.int32), n) for t, n in zip((seats.t3, seats.t2, seats.t1, seats.t0), sizes)]
+        return pa.Table.from_arrays([*rows.columns[:4], *found, _pack(total, sizes[0])], NAMES)
+
+    return step
+
+
+def _forget(rows: DataFrame) -> None:
+    """Removes a table of ``stage`` that a later one has replaced."""
+    jvm, conf = rows.sparkSession.sparkContext._jvm, rows.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {name.rpartition("/")[0] for name in rows.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def fit(corpus: DataFrame, sweeps: int = 5, burn_in: int = 2, strength: float = 1.0) -> tuple[DataFrame, Model]:
+    """Rows of STATE with the summed probabilities of all sweeps after the burn-in, from a merged corpus (word, contexts, sums).
+
+    Discounts are n1 / (n1 + 2 n2) of each level, n1 and n2 the dishes with one and two
+    customers when every dish has one table.
+    """
     if not 0 <= burn_in < sweeps:
         raise ValueError("at least one sweep must follow the burn-in")
-    model = Model([], (0.5, 0.5, 0.5), strength, 0, 0, burn_in)
-    first, few = _gathered(corpus, model)
-    model.discounts = tuple(float(np.clip(f[0] / max(f[0] + 2 * f[1], 1.0), 0.1, 0.95)) for f in few)
-    model.tokens, model.types = int(few[2][3]), int(few[0][2])
-    model.totals.append(first)
-    for _ in range(sweeps - 1):
-        model.totals.append(_gathered(corpus, model)[0])
-    # the totals belong to the seats after a sweep: the last sweep's are gathered as well
-    model.totals.append(_gathered(corpus, model)[0])
-    return model
-
-
-def _predicted(corpus: DataFrame, model: Model) -> DataFrame:
-    """(word, known, contexts, logs): training count of a word and log10 of its averaged probability per context."""
-    shared = corpus.sparkSession.sparkContext.broadcast(model)
-
-    def predict(batches: Iterator) -> Iterator:
-        m = shared.value
+    spark = corpus.sparkSession
+    pairs = corpus.agg(F.sum(F.length("contexts"))).first()[0] or 0
+    buckets = max(1, -(-pairs // 8 // BUCKET_PAIRS), min(32, pairs // 8 // 4096))
+    none = [F.lit(None).cast("binary").alias(name) for name in NAMES[4:]]
+    state = corpus.select(F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int").alias("bucket"), "word", "contexts", "sums", *none)
+    # each bucket's contexts with the customers of their restaurants, which stay the same
+    own = state.mapInArrow(_by_context("sums", np.int64), "bucket int, context long, n long").groupBy("bucket", "context").agg(F.sum("n").alias("n"))
+    own = stage(own)
+    asked = stage(own.join(own.groupBy("context").agg(F.sum("n").alias("customers")), "context").select("bucket", "context", "customers"))
+    model = Model([], (0.5,) * 4, strength, 0, 0, burn_in)
+    for number in range(sweeps + 1):
+        totals, few = _gathered(state, model)
+        if not number:
+            model.discounts = tuple(float(np.clip(f[0] / max(f[0] + 2 * f[1], 1.0), 0.1, 0.95)) for f in few)
+            model.tokens, model.types = int(few[3][3]), int(few[0][2])
+        model.totals = [totals]
+        tables = state.mapInArrow(_by_context("t3", np.int32), "bucket int, context long, n long").groupBy("context").agg(F.sum("n").alias("tables"))
+        joined = asked.join(tables, "context").select("bucket", "context", "customers", "tables")
+        before, step = state, _step(spark.sparkContext.broadcast(model), number, number < sweeps)
+        state = stage(state.groupBy("bucket").cogroup(joined.groupBy("bucket")).applyInArrow(step, STATE))
+        _forget(before)
+        del joined, tables
+        release(spark)
+    _forget(own)
+    _forget(asked)
+    return state, model
+
+
+PIECES = "word long, shard int, block long, number int, contexts binary, known long, logs binary"
+
+
+def _pieces(shards: int, times: int = 0):
+    """Rows cut into ranges of contexts, (block, word, number, contexts) or rows of STATE with ``times`` probabilities summed up."""
+
+    def cut(batches: Iterator) -> Iterator:
         for batch in batches:
-            seats = _seats(batch, m)
-            total = np.zeros(len(seats.at2))
-            for number, totals in enumerate(m.totals[:-1]):
-                seats.sweep(totals, number)
-                if number >= m.burn_in:
-                    total += seats.predictive(m.totals[number + 1], 2)
-            logs = np.log10(total / (len(m.totals) - 1 - m.burn_in))
-            known = np.bincount(seats.rows, seats.c2, seats.n).astype(np.int64)
-            sizes = _unpack(batch.column(1), np.uint16)[1]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(known), batch.column(1), _pack(logs.astype(np.float32), sizes)], ["word", "known", "served", "logs"])
-
-    return corpus.mapInArrow(predict, "word long, known long, served binary, logs binary")
-
-
-def _picked(batches: Iterator) -> Iterator:
-    """The logs of the contexts that a block asks for, in its order."""
-    for batch in batches:
-        (asked, sizes), (served, there), (logs, _) = _unpack(batch.column(3), np.uint16), _unpack(batch.column(4), np.uint16), _unpack(batch.column(5), np.float32)
-        wanted = np.repeat(np.arange(len(sizes)), sizes) * CONTEXTS + asked
-        keys = np.repeat(np.arange(len(there)), there) * CONTEXTS + served
-        values = logs[np.searchsorted(keys, wanted)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), _pack(values, sizes)], ["block", "number", "known", "logs"])
+            contexts, sizes = _unpack(batch.column("contexts"), np.int64)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            shard = ((contexts >> 32) + (1 << 31)) * shards >> 32
+            heads = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (shard[1:] != shard[:-1])))) if len(owner) else owner
+            cuts, rows = np.diff(np.append(heads, len(owner))), owner[heads]
+            nothing = lambda kind: pa.nulls(len(heads), kind)
+            if times:
+                known = np.bincount(owner, _unpack(batch.column("sums"), np.int64)[0], len(sizes)).astype(np.int64)
+                logs = np.log10(_unpack(batch.column("total"), np.float32)[0].astype(float) / times).astype(np.float32)
+                rest = [nothing(pa.int64()), nothing(pa.int32()), _pack(contexts, cuts), pa.array(known[rows]), _pack(logs, cuts)]
+            else:
+                rest = [batch.column("block").take(pa.array(rows)), batch.column("number").take(pa.array(rows)), _pack(contexts, cuts), nothing(pa.int64()), nothing(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("word").take(pa.array(rows)), pa.array(shard[heads].astype(np.int32)), *rest], [x.split()[0] for x in PIECES.split(", ")])
+
+    return cut
+
+
+def _picked(asked: pa.Table, served: pa.Table) -> pa.Table:
+    """The logs of the contexts that blocks ask for, in their order."""
+    asked, served = _whole(asked), _whole(served)
+    (wanted, sizes), (there, had) = (_unpack(x.column("contexts"), np.int64) for x in (asked, served))
+    (words, shards), (names, parts) = ((x.column("word").to_numpy(), x.column("shard").to_numpy()) for x in (asked, served))
+    ranks = np.unique(names)
+    number = lambda word, shard: np.searchsorted(ranks, word) * (1 << 24) + shard
+    rows = np.argsort(number(names, parts))
+    row = rows[np.searchsorted(number(names, parts)[rows], number(words, shards))]  # of what is served, for each row that asks
+    contexts = np.unique(there)
+    keys = np.repeat(np.arange(len(had)), had) * len(contexts) + np.searchsorted(contexts, there)
+    order = np.argsort(keys)
+    at = order[np.searchsorted(keys[order], np.repeat(row, sizes) * len(contexts) + np.searchsorted(contexts, wanted))]
+    logs = _unpack(served.column("logs"), np.float32)[0][at]
+    known = served.column("known").to_numpy()[row]
+    return pa.Table.from_arrays([asked.column("block"), asked.column("number"), asked.column("shard"), pa.array(known), _pack(logs, sizes)], ["block", "number", "shard", "known", "logs"])
 
 
 SCORES = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -359,16 +491,16 @@ SCORES = "doc_id long, n_tokens long, n_known long, train_tokens long, base_scor
 
 def _summed(tokens: int, types: int):
     def block(words: pa.Table, texts: pa.Table) -> pa.Table:
-        words = words.sort_by("number").combine_chunks()
+        words = words.sort_by([("number", "ascending"), ("shard", "ascending")]).combine_chunks()
         logs, sizes = _unpack(words.column("logs").chunk(0), np.float32)
         known = np.repeat(words.column("known").to_numpy(), sizes)
         base = np.log10((known + 0.1) / (tokens + 0.1 * (types + 1)))
         planes = np.frombuffer(zlib.decompress(texts.column("packed")[0].as_py()), np.uint8).reshape(4, -1)
         numbers = np.ascontiguousarray(planes.T).view(np.int32).ravel()
-        endings = np.frombuffer(texts.column("endings")[0].as_py(), np.uint16)
+        ranks = np.frombuffer(texts.column("ranks")[0].as_py(), np.int32)
         lengths = texts.column("lengths").combine_chunks().flatten().to_numpy()
         starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        keys = _pairs(numbers, lengths, endings)
+        keys = _pairs(numbers, lengths, ranks)
         pairs = np.unique(keys)
         at = np.empty(len(keys), np.int32)
         for i in range(0, len(keys), SLICE):  # small steps, so that a block needs little besides itself
@@ -401,12 +533,17 @@ def scored(docs: DataFrame, text: str = "text", key: str = "doc_id", learn: str
     """
     flow = docs.select(F.col(key).alias("doc_id"), ascii_lower(F.col(text)).cast("binary").alias("text"), F.col(learn).alias("learn"))
     rows = stage(flow.mapInArrow(_blocks, PAIRS))
-    texts = rows.where("word IS NULL").select("block", "doc_ids", "lengths", "endings", "packed")
+    texts = rows.where("word IS NULL").select("block", "doc_ids", "lengths", "ranks", "packed")
     asked = rows.where("word IS NOT NULL")
-    corpus = stage(merged(asked, texts.count()))
-    release(docs.sparkSession)
-    model = fit(corpus, sweeps, burn_in)
+    blocks = texts.count()
+    corpus = stage(merged(asked, blocks))
     release(docs.sparkSession)
-    found = asked.select("block", "number", "word", "contexts").join(_predicted(corpus, model), "word")
-    picked = found.select("block", "number", "known", "contexts", "served", "logs").mapInArrow(_picked, "block long, number int, known long, logs binary")
+    state, model = fit(corpus, sweeps, burn_in)
+    # a bucket has about BUCKET_PAIRS of the pairs that blocks ask for
+    shards = -(-blocks // SHARD_BLOCKS) or 1
+    pairs = (asked.agg(F.sum(F.length("contexts"))).first()[0] or 0) // 8
+    bucket = F.pmod(F.xxhash64("word", "shard"), F.lit(max(1, -(-pairs // BUCKET_PAIRS), min(32, pairs // 4096))))
+    wanted = asked.select("block", "word", "number", "contexts").mapInArrow(_pieces(shards), PIECES).withColumn("bucket", bucket)
+    served = state.mapInArrow(_pieces(shards, sweeps - burn_in), PIECES).withColumn("bucket", bucket)
+    picked = wanted.groupBy("bucket").cogroup(served.groupBy("bucket")).applyInArrow(_picked, "block long, number int, shard int, known long, logs binary")
     return picked.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(_summed(model.tokens, model.types), SCORES)

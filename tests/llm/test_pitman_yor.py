@@ -98,3 +98,15 @@ def test_nothing_to_learn(spark):
 def test_context_hash():
     assert pitman_yor.context_of(b"") == 0
     assert pitman_yor.context_of("né".encode()) // pitman_yor.CHILDREN == zlib.crc32("é".encode()) % pitman_yor.PARENTS
+
+
+def test_word_bigrams_count(spark, monkeypatch):
+    """Words with the same ending are different contexts: what follows each of them is learnt."""
+    monkeypatch.setattr(pitman_yor, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(pitman_yor, "SHARD_BLOCKS", 3)
+    rng = random.Random(4)
+    pairs = {f"{a}xyz": f"n{a}" for a in "abcdefghijklmnop"}
+    line = lambda: " ".join(f"{a} {pairs[a]}" for a in rng.choices(sorted(pairs), k=40))
+    rows = [(i, line(), True) for i in range(150)] + [(1000, "axyz na", False), (1001, "axyz nb", False)]
+    got = {r.doc_id: r.score for r in pitman_yor.scored(spark.createDataFrame(rows, "doc_id long, text string, learn boolean")).collect()}
+    assert got[1000] - got[1001] > 2
