@@ -14,7 +14,9 @@ nothing above the threshold.
 
 An item retrieved is verified by the share of its question's and its answer's word
 n-grams in the passage. The answer is the last sentence, or the last quarter of the
-words where there is only one.
+words where there is only one. A changed word takes n of them away, so short parts have
+shorter n-grams, down to words; and where the passage holds nearly all words of an item,
+the question alone is asked for: a few changed words may be the whole of an answer.
 
 The index is broadcast in shards of at most ``SHARD_WORDS`` words; a larger test set
 takes more passes over the documents.
@@ -39,10 +41,12 @@ LEAK = "array<struct<item_id: bigint, score: double, question_overlap: double, a
 
 @dataclass(frozen=True)
 class Settings:
-    """``threshold``: least share of an item's own score; ``overlap``: least share of n-grams of question and answer."""
+    """``threshold``: least share of an item's own score; ``overlap``: least share of n-grams of question and answer;
+    ``whole``: share of an item's words from which on the question is enough."""
 
     threshold: float = 0.5
     overlap: float = 0.5
+    whole: float = 0.85
     n: int = 3
     k1: float = 1.2
     b: float = 0.75
@@ -68,6 +72,18 @@ def overlap(part: list[str], passage: list[str], n: int) -> float:
     return len(wanted & ngrams(passage, min(n, len(part)))) / len(wanted) if wanted else 1.0
 
 
+def size_for(part: list[str], n: int) -> int:
+    """Words in an n-gram of a part: a quarter of it at most, so that one changed word leaves most n-grams."""
+    return max(1, min(n, len(part) // 4))
+
+
+def verified(question: list[str], answer: list[str], passage: list[str], settings: Settings) -> tuple[float, float, bool]:
+    """Overlap of question and answer with the passage, and whether the passage leaks the item."""
+    asked, told = (overlap(part, passage, size_for(part, settings.n)) for part in (question, answer))
+    found = asked >= settings.overlap and (told >= settings.overlap or overlap(question + answer, passage, 1) >= settings.whole)
+    return asked, told, found
+
+
 class Index:
     """Inverted index of items (id, text) under document frequencies of the whole test set."""
 
@@ -181,8 +197,8 @@ class Index:
         for start in self.promising(words, step):
             passage = words[start:start + 2 * step]
             for item, score in self.retrieve(passage):
-                question, answer = (overlap(part, passage, self.settings.n) for part in self.parts[item])
-                if min(question, answer) >= self.settings.overlap and (item not in best or score > best[item]["score"]):
+                question, answer, found = verified(*self.parts[item], passage, self.settings)
+                if found and (item not in best or score > best[item]["score"]):
                     best[item] = {"item_id": self.ids[item], "score": min(score, 1.0), "question_overlap": question, "answer_overlap": answer, "first_word": start}
         return [best[i] for i in sorted(best)]
 

@@ -134,3 +134,26 @@ def test_odd_texts(spark):
         assert len(got) == len(rows) + 6 and all(0 <= r.t.score <= 1 for r in got)
         assert [r.t.score for r in got if r.doc_id in (5000, 5001, 5002)] == [0.0] * 3
     assert docs.limit(0).select(toxicity.toxicity(docs["text"], spark, field)).collect() == []
+
+
+def test_edited_items_are_found(spark):
+    """A changed word in a short answer, in each place of it, hides no item; half a question is none."""
+    rng = random.Random(21)
+    new = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    parts = [([new() for _ in range(rng.randint(14, 40))], [new() for _ in range(n)]) for n in (3, 4, 5, 6, 7, 8, 9, 12) for _ in range(3)]
+    bench = spark.createDataFrame([(i, f"{' '.join(q)}. {' '.join(a)}.") for i, (q, a) in enumerate(parts)], "item_id long, text string")
+    rows = []
+    for i, (q, a) in enumerate(parts):
+        around = lambda words: " ".join([*(new() for _ in range(60)), *words, *(new() for _ in range(60))])
+        for k in range(len(a)):
+            rows.append((i, around([*q, *a[:k], "changed", *a[k + 1:]])))
+        for _ in range(4):
+            words = [*q, *a]
+            for k in rng.sample(range(len(words)), 2):
+                words[k] = "changed"
+            rows.append((i, around(words)))
+        rows.append((1000 + i, around(q[: len(q) // 2])))
+    docs = spark.createDataFrame([(n, i, t) for n, (i, t) in enumerate(rows)], "doc_id long, want long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(n, i) for n, (i, _) in enumerate(rows) if i < 1000}
+    assert {r.want for r in decontaminate.clean_documents(docs, bench).collect()} == {1000 + i for i in range(len(parts))}
