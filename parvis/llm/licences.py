@@ -8,6 +8,7 @@ that they stay small enough for that.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -37,6 +38,52 @@ SENTENCES = {
     "mit-notice": ["the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"],
     "bsd-redistribute": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
     "bsd-no-endorse": ["neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
+    "gpl-2.0": [
+        "this work is licensed under the gnu general public license version 2",
+        "licensed under the gnu general public license version 2",
+        "this program is free software you can redistribute it and/or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    ],
+    "gpl-later-2": [
+        "either version 2 of the license or at your option any later version",
+    ],
+    "gpl-share-2-later": [
+        "this program is free software you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    ],
+    "lgpl-2.1-later": [
+        "this library is free software you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version",
+        "this program is free software you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version",
+    ],
+    "lgpl-3.0-later": [
+        "this library is free software you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        "this program is free software you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    ],
+    "lgpl-2.1": [
+        "licensed under the gnu lesser general public license version 2.1",
+    ],
+    "lgpl-3.0": [
+        "licensed under the gnu lesser general public license version 3",
+    ],
+    "agpl-3.0-later": [
+        "this program is free software you can redistribute it and/or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    ],
+    "agpl-3.0": [
+        "licensed under the gnu affero general public license version 3",
+    ],
+    "mpl-2.0": [
+        "this source code form is subject to the terms of the mozilla public license v",
+        "licensed under the mozilla public license version 2.0",
+    ],
+    "isc": [
+        "permission to use copy modify and/or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    ],
+    "unlicense": [
+        "this is free and unencumbered software released into the public domain",
+    ],
+    "cc-by-sa-4.0": [
+        "licensed under cc by-sa 4.0",
+        "this work is licensed under a creative commons attribution-sharealike 4.0 international license",
+    ],
     "reserved": ["all rights reserved"],
 }
 
@@ -53,15 +100,28 @@ class Rule:
 RULES = (
     Rule("GPL-3.0-or-later", ("gpl-share-3-later",)),
     Rule("GPL-3.0-or-later", ("gpl-share", "gpl-later")),
+    Rule("GPL-2.0-or-later", ("gpl-share-2-later",)),
+    Rule("GPL-2.0-or-later", ("gpl-share", "gpl-later-2")),
+    Rule("LGPL-2.1-or-later", ("lgpl-2.1-later",)),
+    Rule("LGPL-3.0-or-later", ("lgpl-3.0-later",)),
+    Rule("AGPL-3.0-or-later", ("agpl-3.0-later",)),
     Rule("MIT", ("mit-grant", "mit-notice")),
     Rule("BSD-3-Clause", ("bsd-redistribute", "bsd-no-endorse")),
     Rule("BSD-2-Clause", ("bsd-redistribute",)),
     Rule("Apache-2.0", ("apache-2.0", "apache-comply")),
     Rule("Apache-2.0", ("apache-2.0",)),
     Rule("GPL-3.0-only", ("gpl-3.0",)),
+    Rule("GPL-2.0-only", ("gpl-2.0",)),
+    Rule("LGPL-2.1-only", ("lgpl-2.1",)),
+    Rule("LGPL-3.0-only", ("lgpl-3.0",)),
+    Rule("AGPL-3.0-only", ("agpl-3.0",)),
+    Rule("MPL-2.0", ("mpl-2.0",)),
+    Rule("ISC", ("isc",)),
+    Rule("Unlicense", ("unlicense",)),
     Rule("MIT", ("mit",)),
     Rule("CC-BY-NC-4.0", ("cc-by-nc-4.0",)),
     Rule("CC-BY-4.0", ("cc-by-4.0",)),
+    Rule("CC-BY-SA-4.0", ("cc-by-sa-4.0",)),
     Rule("CC0-1.0", ("cc0-1.0",)),
     Rule("proprietary", ("reserved",)),
 )
@@ -70,8 +130,10 @@ RULES = (
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", sentences: dict[str, list[str]] | None = None, rules=RULES) -> DataFrame:
     """One row per document: ``key``, sentence_ids (in text order), licences (in order of the rules, each once).
 
-    Sentences end at a line break or at ``.``, ``!``, ``?`` or ``;`` before white space
-    or the end; case, quotes, brackets, commas and runs of white space do not count.
+    Sentences end at a blank line or at ``.``, ``!``, ``?`` or ``;`` before white space
+    or the end. A line break may end one or be white space in it, so lines that follow
+    each other are a known sentence wherever they add up to one. Case, quotes,
+    brackets, commas, comment signs before a line and runs of white space do not count.
     A null or empty text has empty lists; the documents keep their number and order of
     repetition. Extra columns are not carried.
     """
@@ -79,11 +141,19 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", sentences: di
     if len(known) > MAX_SENTENCES:
         raise ValueError(f"{len(known)} sentences; at most {MAX_SENTENCES} are plan constants")
     body = F.lower(F.coalesce(F.col(text), F.lit("")))
-    cut = F.split(body, r"\n|[.!?;]+(?=\s|\z)")
     # cheap test first: a known sentence holds one of these words
-    likely = F.filter(cut, lambda s: s.rlike("licen|rights|permi|copyright|notice|contributors|cc0|version"))
-    clean = F.transform(likely, lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, r"[^\p{L}\p{N}.\-/\s]+", " "), r"\s+", " ")))
-    found = F.filter(clean, lambda s: s.isin(*known))
+    words = "licen|rights|permi|copyright|notice|contributors|cc0|version|public domain|unencumbered"
+    body = F.when(body.rlike(words), body).otherwise(F.lit(""))
+    bare = F.regexp_replace(body, r"(?m)^[^\S\n]*+(?:(?:#|//|/?\*|--|;|%|>|<!--)[#/*;%>!-]*+|(?:dnl|rem)(?=\s))", "")
+    cut = F.split(bare, r"\n[^\S\n]*+\n\s*+|[.!?;]+(?=\s|\z)")
+    likely = F.filter(cut, lambda s: s.rlike(words))
+    plain = lambda s: F.regexp_replace(s, r"[^\p{L}\p{N}.\-/\s]+", " ")
+    lines = lambda s: F.regexp_replace(F.regexp_replace(s, r"[^\S\n]*+\n\s*+", "\n"), r"[^\S\n]+", " ")
+    clean = F.transform(likely, lambda s: F.regexp_replace(lines(plain(s)), r"\A\s+|\s+\z", ""))
+    # longest first: whole lines, from the beginning of one to the end of the same or a later one
+    every = "|".join("[ \\n]".join(map(re.escape, s.split(" "))) for s in sorted(known, key=lambda s: (-len(s), s)))
+    runs = F.flatten(F.transform(clean, lambda s: F.regexp_extract_all(s, F.lit(rf"(?<![^\n])({every})(?![^\n])"), F.lit(1))))
+    found = F.transform(runs, lambda s: F.replace(s, F.lit("\n"), F.lit(" ")))
     names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     rows = docs.select(F.col(key).alias(key), F.transform(found, lambda s: F.element_at(names, s)).alias("sentence_ids"))
     # "|a|b|": each rule takes its occurrences out of what is left

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import os
+import textwrap
 
 import duckdb
 import pytest
@@ -88,3 +89,23 @@ def test_least_size(spark):
 
 def test_no_pages(spark):
     assert warc.archived(pages(spark).limit(0), shared_path(spark, "warc-test")).collect() == []
+
+
+def test_wrapped_notices(spark):
+    """Hard-wrapped notices, also in comments, and licences outside the first list."""
+    wrap = lambda s, before="": "\n".join(before + x for x in textwrap.wrap(s, 72))
+    say = lambda name, k=0: licences.SENTENCES[name][k].capitalize()
+    mit = f"{wrap(say('mit-grant'))}:\n\n{wrap(say('mit-notice'))}."
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance\nwith the License.\nYou may obtain a copy'
+    texts = {
+        mit: "MIT", "The MIT License\nCopyright (c) 2020 A B\n" + mit: "MIT", "".join(f"# {x}\n" for x in apache.split("\n")): "Apache-2.0",
+        "/*\n" + "".join(f" * {x}\r\n" for x in apache.split("\n")) + " */": "Apache-2.0",
+        f"{wrap(say('bsd-redistribute'), '// ')}:\n// 1. Some\n//\n// 3. {wrap(say('bsd-no-endorse'), '// ')[3:]}.": "BSD-3-Clause",
+        "a line without an end\nReleased under the MIT License\nanother line": "MIT", wrap(say("gpl-share-3-later")) + ".": "GPL-3.0-or-later", wrap(say("gpl-share-2-later"), "-- ") + ".": "GPL-2.0-or-later",
+        wrap(say("lgpl-2.1-later")) + ".": "LGPL-2.1-or-later", wrap(say("agpl-3.0-later")) + ".": "AGPL-3.0-or-later", wrap(say("isc")) + ".": "ISC",
+        "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy": "MPL-2.0", wrap(say("unlicense")) + ".": "Unlicense", "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0",
+        "Released under the\n\nMIT License.": "", "not released under the\nMIT License.": "",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: ",".join(r.licences) for r in licences.scan(docs).collect()}
+    assert got == dict(enumerate(texts.values()))
