@@ -8,6 +8,10 @@ source and sink. Blocks that follow each other, and blocks that follow each othe
 within one parent, are tied by capacities that shrink with their distance in the
 tree, so a short block goes with its neighbours. The minimum cut is the labelling of
 least total cost; it is found by blocking flows.
+
+What a form or a bad name says against the blocks inside does not count where the
+element holds most of the page's text and little content would be left outside it:
+that is a wrapper, not boilerplate.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ TOKEN = re.compile(
 NAMES = re.compile(r"(?:^|\s)(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+")
 SPACE = re.compile(r"\s+")
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "select", "object", "noembed", "noframes"}
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset",
@@ -42,16 +46,18 @@ BAD_NAMES = {
     "responses", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "tags", "toolbar", "widget",
 }
 GOOD_NAME, BAD_NAME = 1.5, -8.0
+WRAPPERS = {"form", "fieldset"}  # may hold a whole page
+MOST, LEFT = 0.5, 0.25  # a wrapper's least share of the page's text; most content outside it, as a share of the text inside
 NEXT, SIBLING = 1.0, 0.7  # strength of ties between blocks
 
 
 class Block:
     """Text of a block with what the classifier sees."""
 
-    __slots__ = ("text", "linked", "around", "path", "heading")
+    __slots__ = ("text", "linked", "around", "path", "heading", "against")
 
-    def __init__(self, text: str, linked: int, around: float, path: tuple[int, ...], heading: bool) -> None:
-        self.text, self.linked, self.around, self.path, self.heading = text, linked, around, path, heading
+    def __init__(self, text: str, linked: int, around: float, path: tuple[int, ...], heading: bool, against: tuple = ()) -> None:
+        self.text, self.linked, self.around, self.path, self.heading, self.against = text, linked, around, path, heading, against
 
     def score(self) -> float:
         """Above 0 for content: more words, less linked text, better company."""
@@ -59,9 +65,10 @@ class Block:
         return -0.5 + min(words, 30) / 10 - 4.0 * self.linked / len(self.text) + 0.5 * self.heading + self.around
 
 
-def _element(tag: str, attributes: str, inside_article: bool) -> float:
-    """What an element says of the blocks inside it."""
+def _element(tag: str, attributes: str, inside_article: bool) -> tuple[float, float]:
+    """What an element says of the blocks inside it, and which part of it does not count for a wrapper."""
     says = 0.0 if tag == "header" and inside_article else ELEMENTS.get(tag, 0.0)
+    against = says if tag in WRAPPERS else 0.0
     names = {p.lower() for m in NAMES.finditer(attributes) for p in PARTS.findall(m[1] or m[2] or m[3] or "")} if "=" in attributes else set()
     if names:
         good, bad = names & GOOD_NAMES, names & BAD_NAMES
@@ -69,15 +76,32 @@ def _element(tag: str, attributes: str, inside_article: bool) -> float:
             good = set()
         if bad - ({"header", "tags"} if good or inside_article else set()) and tag not in ("body", "html", "article", "main"):
             says += BAD_NAME
+            against += BAD_NAME
         elif good:
             says += GOOD_NAME
-    return says
+    return says, against
+
+
+def _unwrap(found: list[Block]) -> None:
+    """Takes from the blocks what wrappers say against them, from the outermost element to the innermost."""
+    inside: dict[tuple[int, float], int] = {}
+    for block in found:
+        for element in block.against:
+            inside[element] = inside.get(element, 0) + len(block.text)
+    size = sum(len(b.text) for b in found)
+    for element in sorted(e for e, n in inside.items() if n > MOST * size):
+        outside = sum(len(b.text) for b in found if element not in b.against and b.score() > 0)
+        if outside < LEFT * inside[element]:
+            for block in found:
+                if element in block.against:
+                    block.around -= element[1]
 
 
 def blocks(html: str) -> list[Block]:
     """The blocks of a page in order; scripts, styles, form controls, comments and the head have none."""
     found: list[Block] = []
-    stack: list[tuple[str, int, float, bool]] = [("", 0, 0.0, False)]  # tag, number, sum of what elements say, inside an article
+    # tag, number, sum of what elements say, inside an article, elements that may be wrappers
+    stack: list[tuple[str, int, float, bool, tuple]] = [("", 0, 0.0, False, ())]
     parts: list[str] = []
     linked = links = number = 0
     in_head = False
@@ -88,7 +112,7 @@ def blocks(html: str) -> list[Block]:
             text = SPACE.sub(" ", "".join(parts)).strip()
             if text and not in_head:
                 holders = [e for e in stack if e[0] in BLOCK or not e[0]]
-                found.append(Block(text, min(linked, len(text)), stack[-1][2], tuple(e[1] for e in holders), len(holders[-1][0]) == 2 and holders[-1][0][0] == "h"))
+                found.append(Block(text, min(linked, len(text)), stack[-1][2], tuple(e[1] for e in holders), len(holders[-1][0]) == 2 and holders[-1][0][0] == "h", stack[-1][4]))
             parts.clear()
         linked = 0
 
@@ -131,7 +155,8 @@ def blocks(html: str) -> list[Block]:
             if tag not in VOID and not match[3].endswith("/"):
                 number += 1
                 top = stack[-1]
-                stack.append((tag, number, top[2] + _element(tag, match[3], top[3]), top[3] or tag == "article"))
+                says, against = _element(tag, match[3], top[3])
+                stack.append((tag, number, top[2] + says, top[3] or tag == "article", (*top[4], (number, against)) if against else top[4]))
         else:
             if tag == "head":
                 parts.clear()
@@ -142,6 +167,7 @@ def blocks(html: str) -> list[Block]:
                 links -= 1
             _close(stack, tag, {"table", "body"} - {tag} if tag not in ("html", "body") else set())
     flush()
+    _unwrap(found)
     return found
 
 

@@ -52,3 +52,28 @@ def test_odd_pages(spark):
     assert rows[0].text == rows[1].text == rows[2].text == ""
     assert rows[len(odd) - 1].text.count("\n") == 19_999
     assert main_text.extracted(pages.limit(0)).collect() == []
+
+
+LONG = "Thirty words or so make up each of the paragraphs of this article, which lies in a wrapper whose name or kind says something bad about all that it holds, wrongly so."
+
+
+def test_wrappers_are_no_boilerplate():
+    article = f"<p>{LONG}</p><p>{LONG}</p><p>{LONG}</p>"
+    nav = "<nav><a href=/a>Home</a> <a href=/b>News</a></nav>"
+    for page in (
+        f"<body><div class='has-sidebar'>{nav}{article}<div class='sidebar'>Some more to read at the side of it</div></div></body>", f"<body><form>{nav}{article}</form></body>",
+        f"<div id='content' class='search-results'>{article}</div>", f"<div class='has-sidebar'><main><article>{article}</article></main></div>",
+        f"<form><div class='page with-sidebar'>{nav}<div class='post has-comments'>{article}</div></div><footer>The site</footer></form>",
+    ):
+        assert main_text.main_text(page) == "\n".join([LONG] * 3)
+
+
+def test_large_boilerplate_stays_out():
+    comments = f"<section id='comments'>{'<p>' + LONG + ' Indeed!</p>'}</section>"
+    assert main_text.main_text(f"<div class='has-sidebar'><p>{LONG}</p>{comments * 2}</div>") == LONG
+    assert main_text.main_text(f"<p>{LONG}</p><div class='comments'>{('<p>' + LONG + ' No.</p>') * 3}</div>") == LONG
+
+
+def test_math_and_object_are_content():
+    page = f"<article><p>{LONG} <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p><object data=a.swf><param name=b><p>Said in other words.</p></object></article>"
+    assert main_text.main_text(page) == f"{LONG} x=1\nSaid in other words."
