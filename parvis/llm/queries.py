@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from parvis.llm import bpe, decontaminate, licences, main_text, ngram_join, pitman_yor, quality, token_counts, toxicity, warc
+from parvis.llm import bpe, decontaminate, fill_in_middle, licences, main_text, ngram_join, pitman_yor, quality, spelling, token_counts, top_k, toxicity, warc
 from parvis.llm.common import fold, shared_path, stage, table
 
 
@@ -73,5 +73,29 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(number("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_licences, op3_main_text, op4_quality, op5_language_model, op6_decontamination, op7_ngram_join, op8_bpe, op9_token_counts, op10_warc)}
-SQL: dict[str, str] = {"op2_licences": licences.oracle()}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word of the documents with its near words and the form it may be a variant of."""
+    runs = spelling.letter_runs(table(spark, sf_dir, "documents"))
+    return spelling.variants(spelling.frequent(runs.select(spelling.misspelt(F.col("run"), F.col("doc_id")).alias("word"))))
+
+
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one, against all others."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", top_k.quantised(F.col("embedding")).alias("vector"))
+    return top_k.top_k(vectors.where("vec_id % 20 = 0"), vectors, k=20)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document rearranged for filling in the middle and restored, as digests."""
+    rows = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return rows.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256")
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_licences, op3_main_text, op4_quality, op5_language_model, op6_decontamination, op7_ngram_join, op8_bpe, op9_token_counts, op10_warc, op11_spelling_variants, op12_top_k, op13_fill_in_middle)}
+SQL: dict[str, str] = {
+    "op2_licences": licences.oracle(), "op11_spelling_variants": spelling.SQL, "op12_top_k": top_k.SQL, "op13_fill_in_middle": fill_in_middle.SQL,
+}
