@@ -5,8 +5,9 @@ that differ by one edit, at least one of any two disjoint bigrams of the one is
 whole in the other, and it lies in the other's prefix of three bigrams if that prefix
 reaches at least as far in the order. So each word looks up its two pivots, disjoint
 bigrams of its own prefix with the least frequency (chosen by dynamic programming),
-in an index of the prefixes, at the lengths and positions one edit can lead to, and
-what is found is verified.
+in an index of the prefixes, at the lengths and positions one edit can lead to: the
+edit lies wholly before or wholly behind a bigram it leaves whole, so what is on the
+other side is the same too and belongs to the place looked up. What is found is verified.
 """
 
 from __future__ import annotations
@@ -21,8 +22,7 @@ from parvis.llm.common import ascii_lower, stage
 RUN = "[A-Za-zÀ-ÿ]+"
 GRAM, EDITS = 2, 1
 PREFIX, PIVOTS = GRAM * EDITS + 1, EDITS + 1
-#: what one edit elsewhere does to length and position of a bigram: replaced; inserted behind, before; deleted behind, before
-SHIFTS = [(0, 0), (1, 0), (1, 1), (-1, 0), (-1, -1)]
+BROADCAST_GRAMS = 1 << 20  # so many distinct bigrams are sent to all tasks
 
 
 def letter_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_chars: int = 5) -> DataFrame:
@@ -85,7 +85,10 @@ def signatures(vocabulary: DataFrame) -> DataFrame:
     grams = vocabulary.select(
         "word", "n", F.char_length("word").alias("chars"), F.explode(F.sequence(F.lit(1), F.char_length("word") - 1)).alias("pos")
     ).withColumn("gram", F.substring("word", F.col("pos"), F.lit(GRAM)))
-    known = grams.join(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("freq")), "gram")
+    frequencies = stage(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("freq")))
+    if frequencies.count() <= BROADCAST_GRAMS:
+        frequencies = F.broadcast(frequencies)
+    known = grams.join(frequencies, "gram")
     ordered = known.groupBy("word").agg(
         F.first("n").alias("n"), F.first("chars").alias("chars"), F.array_sort(F.collect_list(F.struct("freq", "gram", "pos"))).alias("grams")
     ).where(F.size("grams") >= PREFIX)
@@ -98,23 +101,30 @@ def signatures(vocabulary: DataFrame) -> DataFrame:
     )
 
 
+def _places(word: Column, pos: Column, chars: Column, changes: tuple[int, ...]) -> Column:
+    """Where a bigram may stand in a word ``changes`` longer: its distance to one end, and all that lies between, as hashes."""
+    behind = F.substring(word, F.lit(1), pos + GRAM - 1)  # the edit lies behind: start and bigram are kept
+    before = F.substring(word, pos, chars)  # the edit lies before: bigram and end are kept
+    return F.array(*[F.xxhash64(chars + c, F.lit(side), kept) for c in changes for side, kept in (("behind", behind), ("before", before))])
+
+
 def near_words(vocabulary: DataFrame) -> DataFrame:
     """(word, other, other_n), both ways, for the words of (word, n) that differ by exactly one code point.
 
     Words must be distinct; those with fewer than four code points have too few bigrams
-    and are compared with none. Nothing is capped: a frequent bigram's bucket is cut by
-    length and position, and what is left to one bucket is split by the adaptive join.
+    and are compared with none. Nothing is capped: what a place of a bigram holds is
+    narrowed by all the text on its kept side, and an equal hash is verified like the rest.
     """
     rows = stage(signatures(vocabulary))
-    shift = F.array(*[F.struct(F.lit(c).alias("chars"), F.lit(p).alias("pos")) for c, p in SHIFTS])
-    asked = rows.select("word", "n", "chars", "last", F.explode("pivots").alias("g")).withColumn("shift", F.explode(shift)).select(
-        F.col("g.gram").alias("gram"), (F.col("chars") + F.col("shift.chars")).alias("chars"), (F.col("g.pos") + F.col("shift.pos")).alias("pos"),
-        "word", "n", "last",
+    g, word, chars = F.col("g"), F.col("word"), F.col("chars")
+    asked = rows.withColumn("g", F.explode("pivots")).select(
+        F.explode(_places(word, g["pos"], chars, (0, 1, -1))).alias("place"), g["gram"].alias("gram"), "word", "n", "last"
+    )
+    index = rows.withColumn("g", F.explode("prefix")).select(
+        F.explode(_places(word, g["pos"], chars, (0,))).alias("place"), g["gram"].alias("gram"),
+        F.col("word").alias("other"), F.col("n").alias("other_n"), F.col("last").alias("other_last"),
     )
-    index = rows.select(
-        F.explode("prefix").alias("g"), "chars", F.col("word").alias("other"), F.col("n").alias("other_n"), F.col("last").alias("other_last")
-    ).select(F.col("g.gram").alias("gram"), "chars", F.col("g.pos").alias("pos"), "other", "other_n", "other_last")
-    found = asked.join(index, ["gram", "chars", "pos"]).where("last <= other_last AND word <> other")
+    found = asked.join(index, ["place", "gram"]).where("last <= other_last AND word <> other")
     pairs = found.where(F.levenshtein("word", "other", EDITS) == EDITS)
     both = F.array(
         F.struct("word", "other", "other_n"), F.struct(F.col("other").alias("word"), F.col("word").alias("other"), F.col("n").alias("other_n"))
