@@ -173,18 +173,34 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _ids(coder: Encoder, texts):
+    """The token ids of an Arrow array of texts as a list array."""
+    import numpy as np
+    import pyarrow as pa
+
+    found = [coder.encode(t.as_py()) for t in texts]
+    offsets = np.zeros(len(found) + 1, np.int32)
+    np.cumsum([len(f) // 4 for f in found], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
+
+
+def _texts(path: str, lists):
+    """The token strings of each list of ids, joined."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    tokens = offset_table(path).take(lists.values.slice(lists.offsets[0].as_py(), lists.offsets[-1].as_py() - lists.offsets[0].as_py()))
+    moved = pc.subtract(lists.offsets, lists.offsets[0])
+    joined = pc.binary_join(pa.ListArray.from_arrays(moved, tokens), " ")
+    return pc.if_else(lists.is_valid(), joined, pa.scalar(None, pa.string())) if lists.null_count else joined
+
+
 def encode(text: Column, path: str) -> Column:
     """Token ids of ``text`` as array<int>; a null or empty text has none, and nothing is cut."""
     import pyarrow as pa
 
-    def ids(texts: pa.Array) -> pa.Array:
-        import numpy as np
-
-        coder = encoder(path)
-        found = [coder.encode(t.as_py()) for t in texts]
-        offsets = np.zeros(len(found) + 1, np.int32)
-        np.cumsum([len(f) // 4 for f in found], out=offsets[1:])
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
+    def ids(texts):
+        return _ids(encoder(path), texts)
 
     ids.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(ids, "array<int>")(text)
@@ -209,26 +225,33 @@ def decode(ids: Column, path: str) -> Column:
     """
     import pyarrow as pa
 
-    def texts(lists: pa.Array) -> pa.Array:
-        import pyarrow.compute as pc
-
-        tokens = offset_table(path).take(lists.values.slice(lists.offsets[0].as_py(), lists.offsets[-1].as_py() - lists.offsets[0].as_py()))
-        moved = pc.subtract(lists.offsets, lists.offsets[0])
-        joined = pc.binary_join(pa.ListArray.from_arrays(moved, tokens), " ")
-        return pc.if_else(lists.is_valid(), joined, pa.scalar(None, pa.string())) if lists.null_count else joined
+    def texts(lists):
+        return _texts(path, lists)
 
     texts.__annotations__ = {"lists": pa.Array, "return": pa.Array}
     return F.arrow_udf(texts, "string")(ids)
 
 
+def round_trip(text: Column, path: str) -> Column:
+    """A struct of the token ids of ``text`` and what they decode to, in one call per batch."""
+    import pyarrow as pa
+
+    def both(texts):
+        ids = _ids(encoder(path), texts)
+        return pa.StructArray.from_arrays([ids, _texts(path, ids)], ["ids", "decoded"])
+
+    both.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(both, "ids array<int>, decoded string")(text)
+
+
 def encoded(docs: DataFrame, text: str = "text", path: str | None = None, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``docs`` with the token ids of each whole text and what they decode to.
 
     Null and empty texts get an empty list and an empty string. Columns of ``docs``
     named like the new ones are replaced.
     """
-    path = path or default_path()
-    return docs.withColumn(ids, encode(F.col(text), path)).withColumn(decoded, decode(F.col(ids), path))
+    rows = docs.withColumn("_coded", round_trip(F.col(text), path or default_path()))
+    return rows.withColumns({ids: F.col("_coded.ids"), decoded: F.col("_coded.decoded")}).drop("_coded")
 
 
 def digests(rows: DataFrame, ids: str = "ids", decoded: str = "decoded") -> dict[str, Column]:
