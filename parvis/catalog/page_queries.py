@@ -140,25 +140,40 @@ def app_state_listing(spark, d):
     return _fields(spark, d, "state")
 
 
-def _key(keys: list[str], body: str) -> str:
-    return _group("k", rf'(?i)"(?:{"|".join(keys)})"\s*:\s*{body}')
+def _named(keys: list[str]) -> str:
+    return "lower(key) IN (" + ", ".join(f"'{k}'" for k in keys) + ")"
 
 
-_NUM = r"(-?\d+(?:\.\d+)?)"
-_KEYS_SQL = f"""ks AS (SELECT page_id, coalesce({', '.join(_group('html', p) for p in C.STATE_BLOCKS)}) AS k FROM listing_pages),
-keyed AS (SELECT page_id, {_pos(_int(_key(C.KEYS_PRICE, _NUM)))} AS prix, {_pos(_number(_key(C.KEYS_AREA, _NUM)))} AS surface,
- {_pos(_int(_key(C.KEYS_ROOMS, _NUM)))} AS pieces, {_pos(_int(_key(C.KEYS_POSTCODE, r'"?(\d+)')) + ' % 100')} AS arrondissement,
- {_key(C.KEYS_DATE, '"?([^"]+)')} AS jour FROM ks)"""
+_VALUE = "json_extract_string(value, '$')"
+_IS_NUMBER = "type IN ('UBIGINT', 'BIGINT', 'HUGEINT', 'UHUGEINT', 'DOUBLE')"
+_KEYS_SQL = f"""ks AS (SELECT page_id, coalesce({', '.join(f"CASE WHEN json_valid({_group('html', p)}) THEN {_group('html', p)} END" for p in C.STATE_BLOCKS)}) AS k FROM listing_pages),
+kt AS (SELECT page_id, key, value, type, id, CASE WHEN {_IS_NUMBER} THEN TRY_CAST({_VALUE} AS DOUBLE) END AS v FROM ks, json_tree(ks.k)
+ WHERE NOT regexp_matches(fullkey, '\\[([5-9]|\\d\\d+)\\]') AND NOT contains(fullkey, '][')),
+keyed AS (SELECT page_id, CAST(trunc(arg_min(v, id) FILTER ({_named(C.KEYS_PRICE)} AND trunc(v) <> 0)) AS BIGINT) AS prix,
+ arg_min(v, id) FILTER ({_named(C.KEYS_AREA)} AND v <> 0) AS surface, CAST(arg_min(v, id) FILTER ({_named(C.KEYS_ROOMS)} AND trunc(v) <> 0) AS BIGINT) AS pieces,
+ arg_min({_int(_VALUE)} % 100, id) FILTER ({_named(C.KEYS_POSTCODE)} AND type <> 'OBJECT' AND type <> 'ARRAY' AND {_int(_VALUE)} % 100 <> 0) AS arrondissement,
+ arg_min({_VALUE}, id) FILTER ({_named(C.KEYS_DATE)} AND type = 'VARCHAR' AND {_VALUE} <> '') AS jour FROM kt GROUP BY page_id)"""
 
 
 @query(
     views="listing_pages",
-    sql=f"WITH {_KEYS_SQL} SELECT page_id, CAST(prix AS BIGINT) AS prix, surface, CAST(pieces AS INT) AS pieces, CAST(arrondissement AS INT) AS arrondissement, jour AS date_publication FROM keyed",
+    sql=f"WITH {_KEYS_SQL} SELECT page_id, CAST(prix AS BIGINT) AS prix, surface, CAST(pieces AS INT) AS pieces, CAST(arrondissement AS INT) AS arrondissement, jour AS date_publication FROM listing_pages LEFT JOIN keyed USING (page_id)",
 )
 def state_key_search(spark, d):
     return _fields(spark, d, "keys")
 
 
+_REQUEST = f"""json_extract_string(json_extract_string('["' || {_group('html', C.REQUEST_STATE_BLOCK)} || '"]', '$[0]'), '$.app_cldp.data.classified.{{}}')"""
+_REQUEST_SQL = f"""asked AS (SELECT page_id, {_pos(_int(f"coalesce({_REQUEST.format('price')}, {_REQUEST.format('Prix')})"))} AS prix,
+ {_pos(_number(f"coalesce({_REQUEST.format('surface')}, {_REQUEST.format('Surface')})"))} AS surface,
+ {_pos(_int(f"coalesce({_REQUEST.format('rooms')}, {_REQUEST.format('nbPieces')})"))} AS pieces FROM listing_pages)"""
+
+
+@query(views="listing_pages", sql=f"WITH {_REQUEST_SQL} SELECT page_id, CAST(prix AS BIGINT) AS prix, surface, CAST(pieces AS INT) AS pieces FROM asked")
+def request_state_listing(spark, d):
+    return _fields(spark, d, "request")
+
+
 def _district(expr: str) -> str:
     code = f"CAST({_group(expr, C.DISTRICT_POSTCODE)} AS INT) % 100"
     return f"coalesce(CASE WHEN {code} BETWEEN 1 AND 20 THEN {code} END, nullif(CAST({_group(expr, C.DISTRICT_ORDINAL)} AS INT), 0))"
@@ -199,19 +214,22 @@ _SOURCE = """CASE WHEN contains(lower(url), 'seloger.com') THEN 'SeLoger' WHEN c
 _READS_STATE, _READS_TEXT = "source IN ('LeBonCoin', 'BienIci')", "source IN ('PAP', 'BienIci')"
 
 
-def _chain(name: str) -> str:
-    return f"coalesce(CASE WHEN {_READS_STATE} THEN state.{name} END, ld.{name}, keyed.{name}, meta.{name}, CASE WHEN {_READS_TEXT} THEN plain.{name} END)"
+def _chain(name: str, asked: bool = True) -> str:
+    first = "CASE WHEN {r} THEN state.{n} END, ld.{n}, keyed.{n}, meta.{n}"
+    missing = " OR ".join(f"coalesce({first.format(r=_READS_STATE, n=n)}) IS NULL" for n in ("prix", "surface"))
+    late = f"CASE WHEN {missing} THEN asked.{name} END, " if asked else ""
+    return f"coalesce({first.format(r=_READS_STATE, n=name)}, {late}CASE WHEN {_READS_TEXT} THEN plain.{name} END)"
 
 
 _STAMP = "TRY_CAST(substr(jour, 1, 19) AS TIMESTAMP)"
 _DAYS = f"CAST(floor((epoch(TIMESTAMP '{AS_OF} 00:00:00') - epoch({_STAMP})) / 86400) AS INT)"
-_EXTRACT_SQL = f"""{_LD_SQL}, {_STATE_SQL}, {_KEYS_SQL}, {_META_SQL}, {_PLAIN_SQL},
+_EXTRACT_SQL = f"""{_LD_SQL}, {_STATE_SQL}, {_KEYS_SQL}, {_META_SQL}, {_REQUEST_SQL}, {_PLAIN_SQL},
 chained AS (SELECT page_id, html, url, source, coalesce(CASE WHEN {_READS_STATE} THEN state.titre END, ld.titre, meta.titre) AS titre,
- CAST({_chain('prix')} AS BIGINT) AS prix, {_chain('surface')} AS surface, CAST({_chain('pieces')} AS INT) AS pieces, CAST({_chain('arrondissement')} AS INT) AS arrondissement,
+ CAST({_chain('prix')} AS BIGINT) AS prix, {_chain('surface')} AS surface, CAST({_chain('pieces')} AS INT) AS pieces, CAST({_chain('arrondissement', asked=False)} AS INT) AS arrondissement,
  CASE WHEN {_READS_STATE} THEN latitude END AS latitude, CASE WHEN {_READS_STATE} THEN longitude END AS longitude,
  coalesce(ld.jour, keyed.jour, {', '.join(_group('html', p) for p in C.PAGE_DATES)}) AS jour
  FROM (SELECT *, {_SOURCE} AS source FROM listing_pages) p LEFT JOIN ld USING (page_id) LEFT JOIN state USING (page_id) LEFT JOIN keyed USING (page_id)
- LEFT JOIN meta USING (page_id) LEFT JOIN plain USING (page_id)),
+ LEFT JOIN meta USING (page_id) LEFT JOIN asked USING (page_id) LEFT JOIN plain USING (page_id)),
 extracted AS (SELECT * EXCLUDE (jour), CAST(CASE WHEN {_DAYS} < 3650 THEN greatest({_DAYS}, 0) END AS INT) AS days_on_market FROM chained)"""
 _EXTRACT_COLUMNS = ["page_id", "source", "titre", "prix", "surface", "pieces", "arrondissement", "latitude", "longitude", "days_on_market"]
 
@@ -304,7 +322,7 @@ _OTHER = _re("(?i)(" + C.PHOTO_PATTERNS[1] + ")")
     views="listing_pages",
     sql=f"""WITH ob AS (SELECT page_id, html, unnest(regexp_extract_all(html, {_re(C.JSONLD_BLOCK)}, 1)) AS b FROM listing_pages),
 li AS (SELECT page_id, CAST(json_extract(CASE WHEN b LIKE '[%' THEN CAST(json_extract(b, '$[0]') AS STRING) ELSE b END, '$.image') AS STRING[]) AS u FROM ob),
-plain AS (SELECT page_id, html, replace(html, chr(92) || '/', '/') AS raw FROM listing_pages),
+plain AS (SELECT page_id, html, regexp_replace(html, '\\\\(/|u002[Ff])', '/', 'g') AS raw FROM listing_pages),
 al AS (SELECT p.page_id, list_concat(list_concat([{_meta('og:image')}], coalesce(u, [])), list_concat(regexp_extract_all(raw, {_MAIN}, 1), regexp_extract_all(raw, {_OTHER}, 1))) AS urls
  FROM plain p LEFT JOIN li USING (page_id)),
 un AS (SELECT page_id, unnest(urls) AS u, generate_subscripts(urls, 1) AS i FROM al),
@@ -317,6 +335,19 @@ def photo_urls(spark, d):
     return E.photo_urls(V.listing_pages(spark, d)).select("page_id", F.array_join("photos", " ").alias("photos"))
 
 
+@query(
+    views="listing_pages",
+    sql=f"""WITH og AS (SELECT page_id, html, trim({_meta('og:image')}) AS o FROM listing_pages),
+ob AS (SELECT page_id, unnest(regexp_extract_all(html, {_re(C.JSONLD_BLOCK)}, 1)) AS b, generate_subscripts(regexp_extract_all(html, {_re(C.JSONLD_BLOCK)}, 1), 1) AS i FROM listing_pages),
+im AS (SELECT page_id, i, json_extract_string(CASE WHEN b LIKE '[%' THEN CAST(json_extract(b, '$[0]') AS STRING) ELSE b END, '$.image[0]') AS u FROM ob),
+li AS (SELECT page_id, arg_min(u, i) AS u FROM im WHERE u LIKE 'http%' GROUP BY 1),
+tg AS (SELECT page_id, list_filter(regexp_extract_all(html, '<img[^>]* src="([^"]*)"', 1), lambda u: u LIKE 'http%' AND regexp_matches(lower(u), '{"|".join(C.PHOTO_HINTS)}'))[1] AS u FROM listing_pages)
+SELECT page_id, coalesce(CASE WHEN o LIKE 'http%' THEN o END, li.u, tg.u) AS photo_url FROM og LEFT JOIN li USING (page_id) LEFT JOIN tg USING (page_id)""",
+)
+def first_photo(spark, d):
+    return E.first_photo(V.listing_pages(spark, d)).select("page_id", "photo_url")
+
+
 _NAMED = "CASE " + " ".join(
     f"WHEN contains(title, '{i}e') OR contains(lower(title), '{i}ème') OR contains(title, '75{i:03d}') THEN {i}" for i in range(1, 21)
 ) + " ELSE 11 END"

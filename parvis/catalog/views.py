@@ -113,6 +113,25 @@ PAGE_PARTS = [
         f"""'<script>window.__PRELOADED_STATE__ = {{"view":{{"Prix":' || {_PRICE} || ',"area":' || {_AREA} || ',"rooms":' || {_ROOMS}
         || ',"cp":"' || {_CODE} || '","createdAt":"' || {_DAY} || '"}}}};</script>'""",
     ),
+    # a state with decoys: keys inside strings, values of other kinds, zeros, the sixth entry of a list, a list in a list
+    _when(
+        "id_mutation % 12 = 4",
+        f"""replace('<script>window.DATA_LAYER = {{"note":"~"price~": 1, ~"cp~":75003","Price":"n/c","rooms":null,"empty":{{"prix":0,"createdAt":""}},
+        "six":[1,2,[{{"price":7}}],4,5,{{"price":8}}],"deep":[[{{"area":9}}],{{"a":{{"zip":[{{"cp":"75 0', '~', chr(92)) || lpad({_ARR}, 2, '0')
+        || '"}},{{"CodePostal":75020}}]}}}}],"prix":' || {_PRICE} || '.75,"price":5,"surface":{{"total":1,"area":' || {_AREA} || '.5}},"NumberOfRooms":' || {_ROOMS}
+        || ',"publishedAt":"' || {_DAY} || '"}};</script>'""",
+    ),
+    # the second pattern cannot be read, so the third counts
+    _when(
+        "id_mutation % 12 = 8",
+        f"""'<script>window.DATA_LAYER = {{"price":1,"x":nope}}; x = {{"listing": {{"price":' || {_PRICE} || ',"surface":"?","rooms":' || {_ROOMS} || '}}}}</script>'""",
+    ),
+    # a state in a string literal, with quotes and letters escaped
+    _when(
+        "id_mutation % 4 = 3",
+        f"""replace('<script>window["__UFRN_LIFECYCLE_SERVERREQUEST__"] = JSON.parse("{{~"app_cldp~":{{~"data~":{{~"classified~":{{~"name~":~"~u00e9t~u00E9 ~~~"T3~~~" ~~~~ ~ud83d~ude00~",~"', '~', chr(92))
+        || CASE WHEN id_mutation % 8 = 3 THEN 'price' ELSE 'Prix' END || chr(92) || '":' || {_PRICE} || replace(',~"surface~":~"' || {_AREA} || ',25~",~"nbPieces~":' || {_ROOMS} || '}}}}}}}}");', '~', chr(92)) || chr(10) || '</script>'""",
+    ),
     f"""'</head><body><!-- page --><p>' || type_local || ' <b>' || {_ROOMS} || '&nbsp;pièces</b> de ' || {_AREA} || ' m²</p><p>' || {_SPACED.format(s=' ')}
         || ' &euro;</p><p>Paris ' || {_ARR} || CASE WHEN arrondissement = 1 THEN 'er' ELSE 'ème' END || '</p>'""",
     """CASE CAST(id_mutation % 7 AS INT) WHEN 0 THEN '<p>Au RDC sur cour</p>' WHEN 1 THEN '<p>Dernier&nbsp;&eacute;tage avec vue, s&ucirc;r &#8209; &inconnu;</p>'
@@ -128,6 +147,8 @@ PAGE_PARTS = [
         "id_mutation % 2 = 0",
         f"""'<img data-x="https:' || chr(92) || '/' || chr(92) || '/mms.seloger.com' || chr(92) || '/p' || chr(92) || '/' || CAST(id_mutation % 1000 AS STRING) || '-b.jpg?ci_seal=7">'""",
     ),
+    """CASE CAST(id_mutation % 5 AS INT) WHEN 0 THEN '<img src="/local/photo.png"><img class="x" src="https://media.example/' || CAST(id_mutation AS STRING) || '.jpg">' WHEN 1 THEN '<img src="https://example.org/x.gif">' ELSE '' END""",
+    _when("id_mutation % 9 = 4", f"""replace('<i data-p="https:~u002F~u002Fmms.seloger.com~u002fp~u002F', '~', chr(92)) || CAST(id_mutation % 1000 AS STRING) || '-z.webp"></i>'"""),
     "'</body></html>'",
 ]
 LISTING_PAGE = {

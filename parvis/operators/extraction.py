@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from parvis import constants as C
 from parvis.functions import text as X
+from parvis.functions.json_search import FIELDS, key_search
 from parvis.functions.numbers import lookup, round_even
 
 # a single object is read as a list of one
@@ -121,28 +122,44 @@ def app_state_fields(state: Column) -> Fields:
     }
 
 
-def state_object(html) -> Column:
-    """Text of the first state object found in the page's scripts."""
-    found = F.array(*[X.first_group(html, p) for p in C.STATE_BLOCKS])
-    return F.try_element_at(F.filter(found, lambda s: s != ""), F.lit(1))
+def state_texts(html) -> Column:
+    """Texts of the state objects of the page's scripts, by the patterns in order; null where there is none."""
+    return F.filter(F.array(*[X.first_group(html, p) for p in C.STATE_BLOCKS]), lambda s: s != "")
 
 
-def key_search_fields(state: Column) -> Fields:
-    """First value of each known key name anywhere in a state object.
+def key_search_fields(found: Column) -> Fields:
+    """First value of each known key name anywhere in the first state object that can be read."""
+    return {name: found[name] for name in FIELDS}
 
-    Works on the text of the object: the first value of such a key in document
-    order, whatever its depth.
+
+REQUEST_SCHEMA = "app_cldp struct<data:struct<classified:map<string,string>>>"  # a map, since names differ by case alone
+
+
+def string_literal(body: Column) -> Column:
+    r"""What a script's string literal says, given what stands between its quotes.
+
+    ``\xHH`` becomes ``\u00HH``, then it is read as a JSON string, which undoes all other
+    escapes, pairs of ``\u`` surrogates included; null if it cannot be read.
     """
-    def value(keys: list[str], body: str) -> Column:
-        return X.first_group(state, rf'(?i)"(?:{"|".join(keys)})"\s*:\s*{body}')
+    plain = F.regexp_replace(body, r"(?<!\\)((?:\\\\)*)\\x([0-9A-Fa-f]{2})", r"$1\\u00$2")
+    options = {"allowBackslashEscapingAnyCharacter": "true", "allowUnquotedControlChars": "true"}
+    return F.get(F.from_json(F.concat(F.lit('["'), plain, F.lit('"]')), "array<string>", options), F.lit(0))
+
+
+def request_state(html) -> Column:
+    """The listing in the state a page's script parses from a string literal, as a map of raw values."""
+    body = X.first_group(html, C.REQUEST_STATE_BLOCK)
+    return F.from_json(string_literal(body), REQUEST_SCHEMA)["app_cldp"]["data"]["classified"]
+
+
+def request_state_fields(classified: Column) -> Fields:
+    def either(one: str, other: str) -> Column:
+        return F.coalesce(F.try_element_at(classified, F.lit(one)), F.try_element_at(classified, F.lit(other)))
 
-    number = r"(-?\d+(?:\.\d+)?)"
     return {
-        "prix": X.parse_int(value(C.KEYS_PRICE, number)),
-        "surface": X.parse_float(value(C.KEYS_AREA, number)),
-        "pieces": X.parse_int(value(C.KEYS_ROOMS, number)),
-        "arrondissement": X.district_from_code(value(C.KEYS_POSTCODE, r'"?(\d+)')),
-        "date_publication": value(C.KEYS_DATE, r'"?([^"]+)'),
+        "prix": X.parse_int(either("price", "Prix")),
+        "surface": X.parse_float(either("surface", "Surface")),
+        "pieces": X.parse_int(either("rooms", "nbPieces")),
     }
 
 
@@ -209,14 +226,16 @@ def _tidied(prefix: str, fields: Fields) -> Fields:
 
 def with_source(df: DataFrame, kind: str, html: str = "html", url: str = "url") -> DataFrame:
     """Add one source's fields, prefixed with its name: ``state_``, ``ld_``,
-    ``keys_``, ``meta_`` or ``text_``."""
+    ``keys_``, ``meta_``, ``request_`` or ``text_``."""
     prefix = f"{kind}_"
     if kind == "state":
         df, fields = df.withColumn("_block", app_state(html)), app_state_fields(F.col("_block"))
     elif kind == "ld":
         df, fields = df.withColumn("_block", jsonld_objects(html)), jsonld_fields(F.col("_block"))
     elif kind == "keys":
-        df, fields = df.withColumn("_block", state_object(html)), key_search_fields(F.col("_block"))
+        df, fields = df.withColumn("_block", key_search(state_texts(html))), key_search_fields(F.col("_block"))
+    elif kind == "request":
+        df, fields = df.withColumn("_block", request_state(html)), request_state_fields(F.col("_block"))
     elif kind == "text":
         df = df.withColumn("_block", X.visible_text(html))
         fields = text_fields(F.col("_block"))
@@ -233,30 +252,36 @@ def with_source(df: DataFrame, kind: str, html: str = "html", url: str = "url")
 def extract_listings(pages: DataFrame, as_of: Column, html: str = "html", url: str = "url") -> DataFrame:
     """One listing per page. Sources are tried in a fixed order and a field is
     filled by the first that has it: application state, JSON-LD, state keys, meta
-    tags, and for the sites that need it the visible text."""
+    tags, the state in a string literal if price or area are still missing, and the
+    visible text. State and text are only read for the sites that need them."""
     out = pages.withColumn("source", X.host_source(url))
-    kinds = ["state", "ld", "keys", "meta", "text"]
-    for kind in kinds:
-        out = with_source(out, kind, html, url)
-    out = out.withColumns({f"_date{i}": X.first_group(html, p) for i, p in enumerate(C.PAGE_DATES)})
     reads_state = F.col("source").isin("LeBonCoin", "BienIci")
     reads_text = F.col("source").isin("PAP", "BienIci")
+    out = out.withColumns({"_state_html": F.when(reads_state, F.col(html)), "_text_html": F.when(reads_text, F.col(html))})
+    kinds = ["state", "ld", "keys", "meta", "request", "text"]
+    for kind in kinds:
+        out = with_source(out, kind, {"state": "_state_html", "text": "_text_html"}.get(kind, html), url)
+    out = out.withColumns({f"_date{i}": X.first_group(html, p) for i, p in enumerate(C.PAGE_DATES)})
+
+    def first(name: str, sources=("ld", "keys", "meta")) -> Column:
+        return F.coalesce(F.col(f"state_{name}"), *[F.col(f"{s}_{name}") for s in sources])
 
-    def chosen(name: str, sources=("ld", "keys", "meta")) -> Column:
-        tail = [F.when(reads_text, F.col(f"text_{name}"))] if name != "titre" else []
-        return F.coalesce(F.when(reads_state, F.col(f"state_{name}")), *[F.col(f"{s}_{name}") for s in sources], *tail)
+    unfinished = first("prix").isNull() | first("surface").isNull()
+
+    def chosen(name: str) -> Column:
+        asked = [F.when(unfinished, F.col(f"request_{name}"))] if name in ("prix", "surface", "pieces") else []
+        return F.coalesce(first(name), *asked, F.col(f"text_{name}"))
 
     dates = [X.blank_to_null(F.col(f"_date{i}")) for i in range(len(C.PAGE_DATES))]
     fields = {name: chosen(name) for name in ("prix", "surface", "pieces", "arrondissement")}
-    fields["titre"] = chosen("titre", ("ld", "meta"))
-    fields["latitude"] = F.when(reads_state, F.col("state_latitude"))
-    fields["longitude"] = F.when(reads_state, F.col("state_longitude"))
+    fields["titre"] = first("titre", ("ld", "meta"))
+    fields["latitude"], fields["longitude"] = F.col("state_latitude"), F.col("state_longitude")
     fields["_date"] = F.coalesce("ld_date_publication", "keys_date_publication", *dates)
     made = [c for c in out.columns if c.split("_")[0] in kinds and c not in pages.columns]
     return (
         out.withColumns(fields)
         .withColumn("days_on_market", X.days_since("_date", as_of))
-        .drop(*made, "_date", *[f"_date{i}" for i in range(len(C.PAGE_DATES))])
+        .drop(*made, "_state_html", "_text_html", "_date", *[f"_date{i}" for i in range(len(C.PAGE_DATES))])
     )
 
 
@@ -322,31 +347,52 @@ def _found() -> Column:
 # -- photos, cards, vision ----------------------------------------------------------------------
 
 
+def slashes(text: Column) -> Column:
+    r"""Slashes written as ``\/`` or ``\u002F`` undone."""
+    return F.regexp_replace(text, r"\\(?:/|u002[Ff])", "/")
+
+
+def _images(o: Column) -> Column:
+    """Image addresses of a JSON-LD object: texts, or objects that name one."""
+    entries = F.when(o["image"].startswith("["), F.from_json(o["image"], "array<string>")).otherwise(F.array(o["image"]))
+    return F.transform(entries, lambda i: F.when(i.startswith("{"), F.coalesce(_inner(i, "url"), _inner(i, "contentUrl"))).otherwise(i))
+
+
+def first_photo(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Add ``photo_url``: the og:image, else the first image of a JSON-LD object, else the first
+    image tag whose address looks like a listing photo's; null if there is none. Only addresses
+    that begin with http count."""
+    def web(u: Column) -> Column:
+        return F.when(u.startswith("http"), u)
+
+    tags = F.regexp_extract_all(F.col(html), F.lit(r"""(?is)<img\b[^>]*?\ssrc\s*=\s*["']([^"']*)["']"""), F.lit(1))
+    hinted = F.filter("_tags", lambda u: u.startswith("http") & F.lower(u).rlike("|".join(C.PHOTO_HINTS)))
+    return (
+        pages.withColumns({"_ld": jsonld_objects(html), "_tags": tags, "_og": F.trim(X.meta_content(X.meta_tags(html), "og:image"))})
+        .withColumn("_first", _first(F.col("_ld"), lambda o: web(F.get(_images(o), F.lit(0)))))
+        .withColumn("photo_url", F.coalesce(web(F.col("_og")), "_first", F.try_element_at(hinted, F.lit(1))))
+        .drop("_ld", "_tags", "_og", "_first")
+    )
+
+
 def photo_urls(pages: DataFrame, html: str = "html", limit: int = C.MAX_PHOTOS) -> DataFrame:
     """Add ``photos``: distinct photo addresses of a page, sealed variants first.
 
     Addresses are the same photo when equal up to ``?``; of those a sealed one
     is preferred, else the first. All per row, without a shuffle.
     """
-    def images(o: Column) -> Column:
-        entries = F.when(o["image"].startswith("["), F.from_json(o["image"], "array<string>")).otherwise(F.array(o["image"]))
-        return F.transform(
-            entries,
-            lambda i: F.when(i.startswith("{"), F.coalesce(_inner(i, "url"), _inner(i, "contentUrl"))).otherwise(i),
-        )
-
     def base(u: Column) -> Column:
         return F.substring_index(u, "?", 1)
 
     def is_sealed(u: Column) -> Column:
         return u.contains(C.PHOTO_SEAL)
 
-    plain = F.replace(F.col(html), F.lit("\\/"), F.lit("/"))
+    plain = slashes(F.col(html))
     from_hosts = [F.regexp_extract_all("_plain", F.lit("(?i)(" + p + ")"), F.lit(1)) for p in C.PHOTO_PATTERNS]
-    found = F.concat(F.array(X.meta_content(X.meta_tags(html), "og:image")), F.flatten(F.transform("_ld", images)), *from_hosts)
+    found = F.concat(F.array(X.meta_content(X.meta_tags(html), "og:image")), F.flatten(F.transform("_ld", _images)), *from_hosts)
     tidy = F.transform(
         F.filter("_found", lambda u: u.isNotNull()),
-        lambda u: F.rtrim(F.substring_index(F.replace(F.trim(u), F.lit("\\/"), F.lit("/")), "#", 1), F.lit("\\\"'>,")),
+        lambda u: F.rtrim(F.substring_index(slashes(F.trim(u)), "#", 1), F.lit("\\\"'>,")),
     )
     urls, sealed = F.col("_urls"), F.col("_sealed")
 

@@ -211,3 +211,106 @@ def test_summary_tells_district_0_from_all(spark):
     rows = spark.createDataFrame([(92100.0, 5000.0, 30.0), (75011.0, 9000.0, 40.0)], "code_postal double, prix_m2 double, surface_reelle_bati double")
     got = {(r.zone, r.is_total): r["count"] for r in market_summary(rows).collect()}
     assert got == {(0, False): 1, (11, False): 1, (None, True): 2}
+
+
+STATES = [
+    # (state, prix, surface, pieces, arrondissement, date)
+    ('{"prix": 2, "price": 1}', 2, None, None, None, None),  # document order, not the order of names
+    ('{"a": {"b": [{"PRICE": 3.9}]}, "price": 1}', 3, None, None, None, None),
+    ('{"price": "5", "x": {"price": true, "y": {"price": 0, "prix": -4}}, "prix": 9}', None, None, None, None, None),  # a negative price ends the search
+    ('{"note": "\\"price\\": 7, \\"cp\\":75003", "cp": "75 011"}', None, None, None, 11, None),
+    ('{"l": [0, 1, 2, 3, {"area": 4.5}, {"rooms": 5}], "m": [[{"rooms": 6}]], "pieces": 7}', None, 4.5, 7, None, None),
+    ('{"price": {"price": {"amount": 1, "price": 8}}, "surface": null, "SURFACE": {"area": 20}}', 8, 20.0, None, None, None),
+    ('{"createdAt": 20240101, "x": [{"publishedAt": ""}, {"insertionDate": "2024-05-06"}], "codepostal": 75000, "cp": 75020.0}', None, None, None, 20, "2024-05-06"),
+    ('{"price": 1e999, "prix": NaN, "deep": {"price": 123456789012345678901234567890, "prix": 10}}', 10, None, None, None, None),
+    ('{"a": ' * 5000 + "1" + "}" * 5000, None, None, None, None, None),
+    ('{"cp": "n/c", "postalCode": "750,5", "codePostal": "75005,0"}', None, None, None, 50, None),
+    ("[1]", None, None, None, None, None), ("{}", None, None, None, None, None), ('{"price": 1,', None, None, None, None, None),
+]
+
+
+def test_key_search_walks_the_document(spark):
+    pages = [(i, "u", f"<script>window.__PRELOADED_STATE__ = {s};</script>") for i, (s, *_) in enumerate(STATES)]
+    pages += [(100, "u", None), (101, "u", ""), (102, "u", 'window.DATA_LAYER = {"price": x}; "listing": {"price": 44, "note": "long enough"}')]
+    df = extraction.with_source(spark.createDataFrame(pages, "id int, url string, html string"), "keys")
+    got = {r.id: (r.keys_prix, r.keys_surface, r.keys_pieces, r.keys_arrondissement, r.keys_date_publication) for r in df.collect()}
+    for i, (state, *want) in enumerate(STATES):
+        assert got[i] == tuple(want), state[:80]
+    assert got[100] == got[101] == (None,) * 5 and got[102] == (44, None, None, None, None)
+
+
+def test_key_search_against_a_plain_walk():
+    from parvis.functions import json_search
+
+    rnd = random.Random(6)
+
+    def value(depth):
+        kind = rnd.randint(0, 7 if depth else 4)
+        if kind >= 6:
+            return {rnd.choice(["price", "Prix", "x", "Area", "cp", "y", "rooms", "createdat"]): value(depth - 1) for _ in range(rnd.randint(0, 5))}
+        if kind == 5:
+            return [value(depth - 1) for _ in range(rnd.randint(0, 8))]
+        return rnd.choice([0, 1, 2.5, "75012", "", "t", None, True])
+
+    def walk(node):
+        for k, v in node.items():
+            yield k.lower(), v
+            for child in [v] if isinstance(v, dict) else v[:5] if isinstance(v, list) else []:
+                if isinstance(child, dict):
+                    yield from walk(child)
+
+    import json
+
+    for _ in range(400):
+        document = {"x": value(4), "y": value(4)}
+        want = {}
+        for field, (names, accept) in json_search.FIELDS.items():
+            hits = [accept(v) for k, v in walk(document) if k in names and accept(v) is not None]
+            if hits:
+                want[field] = hits[0]
+        assert json_search.find([None, "{", json.dumps(document)]) == want
+
+
+def test_state_in_a_string_literal(spark):
+    import json
+
+    def page(listing, script=lambda t: json.dumps(t)[1:-1]):  # the state written as a literal
+        state = json.dumps({"app_cldp": {"data": {"classified": listing}}})
+        return f'<script>window["__UFRN_LIFECYCLE_SERVERREQUEST__"] = JSON.parse("{script(state)}");\n other("");</script>'
+
+    cases = [
+        (page({"price": 5, "surface": "30,5", "rooms": 2}), (5, 30.5, 2)),
+        (page({"Prix": "1 200 000", "Surface": 9, "nbPieces": 3, "name": 'quote " back \\ slash / \n \U0001f600 \\" ")'}), (1200000, 9.0, 3)),
+        (page({"price": 7, "name": "e"}, lambda t: json.dumps(t)[1:-1].replace(': \\"e', r': \"\xe9\'')), (7, None, None)),
+        (page({"price": 0, "surface": None}), (None, None, None)),
+        ('window["__UFRN_LIFECYCLE_SERVERREQUEST__"] = JSON.parse("{\\"app_cldp\\": 1}");', (None, None, None)),
+        ('window["__UFRN_LIFECYCLE_SERVERREQUEST__"] = JSON.parse("{broken");', (None, None, None)),
+        ('window["__UFRN_LIFECYCLE_SERVERREQUEST__"] = JSON.parse("never closed', (None, None, None)), ("", (None, None, None)), (None, (None, None, None)),
+    ]
+    df = spark.createDataFrame([(i, h, "https://www.seloger.com/x") for i, (h, _) in enumerate(cases)], "id int, html string, url string")
+    got = {r.id: r for r in extraction.with_source(df, "request").collect()}
+    for i, (html, want) in enumerate(cases):
+        assert (got[i].request_prix, got[i].request_surface, got[i].request_pieces) == want, html
+    literal = spark.createDataFrame([(r"a\"b\\x41\x41\'é\\\x42",)], "t string").select(extraction.string_literal(F.col("t"))).first()[0]
+    assert literal == 'a"b\\x41A\'é\\B'
+    # the literal fills what is missing while price or area is, and only then
+    known = '<meta name="description" content="Vente 3 pièces 44 m² 510000 € Paris (75017)">'
+    partial = '<meta name="description" content="Vente 44 m² Paris 17e">'
+    pages = spark.createDataFrame([(0, known + cases[0][0]), (1, partial + cases[0][0])], "id int, html string").withColumn("url", F.lit("https://www.seloger.com/1"))
+    rows = {r.id: (r.prix, r.surface, r.pieces) for r in extraction.extract_listings(pages, F.lit("2024-01-01")).collect()}
+    assert rows == {0: (510000, 44.0, 3), 1: (5, 44.0, 2)}
+
+
+def test_first_photo(spark):
+    ld = '<script type="application/ld+json">{}</script>'
+    cases = [
+        ('<meta property="og:image" content=" https://a/1.jpg ">' + ld.format('{"image": "https://b/2.jpg"}'), "https://a/1.jpg"),
+        ('<meta property="og:image" content="/a/1.jpg">' + ld.format('[{"image": [{"contentUrl": "https://b/3.jpg"}, "https://b/4.jpg"]}]'), "https://b/3.jpg"),
+        (ld.format('{"image": []}') + ld.format('{"image": "https:\\/\\/b\\u002F5.jpg"}'), "https://b/5.jpg"),
+        ('<img src="https://x/y.gif"><IMG alt="a" src=\'https://CDN.x/6.jpg\'>', "https://CDN.x/6.jpg"),
+        ('<img data-src="https://cdn/7.jpg"><img src="cdn/8.jpg">', None), ("", None), (None, None),
+    ]
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(cases)], "id int, html string")
+    assert {r.id: r.photo_url for r in extraction.first_photo(df).collect()} == {i: want for i, (_, want) in enumerate(cases)}
+    escaped = spark.createDataFrame([('"https:\\u002F\\u002fmms.seloger.com\\u002Fp\\/a.jpg"',)], "html string")
+    assert extraction.photo_urls(escaped).first().photos == ["https://mms.seloger.com/p/a.jpg"]
