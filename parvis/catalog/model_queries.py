@@ -74,7 +74,7 @@ def linear_contributions(spark, d):
 @query()
 def occlusion_contributions(spark, d):
     train, test, _ = _frames(spark, d)
-    model = training.fit(train, training.boosted_trees(C.BASE_FEATURES, iterations=5))
+    model = training.fit(train, training.boosted_trees())
     return explain.occlusion_contributions(model, test, k=8).select("id_mutation", "prix_m2_predit", "contributions")
 
 
@@ -93,20 +93,18 @@ def isolation_forest(spark, d):
 
 @query()
 def strategy_experiment(spark, d):
-    return experiments.strategy_experiment(V.clean(spark, d), training.boosted_trees(iterations=5))
+    return experiments.strategy_experiment(V.clean(spark, d))
 
 
 @query()
 def ablation(spark, d):
-    return experiments.ablation(V.clean(spark, d), trials=2, iterations=8)
+    return experiments.ablation(V.clean(spark, d))
 
 
 @query()
 def place_feature_gain(spark, d):
     sales = enrich_by_cell(outliers.enriched_valid(V.clean(spark, d)), V.enriched(spark, d), ["place_id"])
-    return experiments.feature_group_gain(
-        sales, C.POI_FEATURES, lambda cols, name: training.boosted_trees(cols, name=name, log_target=False, iterations=5)
-    )
+    return experiments.feature_group_gain(sales, C.POI_FEATURES)
 
 
 def _model(spark, d):

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import json
+import math
 import random
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.errors import AnalysisException
 
 from parvis import constants as C
 from parvis.functions import pricing
@@ -60,6 +64,7 @@ class Recipe:
     log_target: bool = True
     weighted: bool = False
     early_stop: bool = False
+    huber: bool = False
     columns: list[str] = field(default_factory=lambda: list(C.FEATURES))
 
 
@@ -80,16 +85,17 @@ def linear(columns=None, name="LinearRegression", log_target=False, loss="square
     return Recipe(name, stages, log_target, weighted, columns=columns)
 
 
-def boosted_trees(columns=None, name="GBT", loss="absolute", iterations=20, depth=5, step=0.1,
+def boosted_trees(columns=None, name="GBT", loss="absolute", iterations=None, depth=5, step=0.1,
                   log_target=True, weighted=False, seed=42, min_rows=20) -> Recipe:
-    columns = list(columns or C.FEATURES)
-    options = {"weightCol": WEIGHT} if weighted else {}
+    """Boosted trees; ``loss`` is absolute, squared or huber. Without ``iterations`` the
+    validation rows end the fit (``best_prefix``), with it there are just so many rounds."""
+    columns, huber = list(columns or C.FEATURES), loss == "huber"
+    options = {"weightCol": WEIGHT} if weighted or huber else {}
     trees = GBTRegressor(
-        labelCol=LABEL, lossType=loss, maxIter=iterations, maxDepth=depth, stepSize=step, seed=seed,
-        minInstancesPerNode=min_rows, subsamplingRate=0.8, validationIndicatorCol=VALID, validationTol=0.0005,
-        checkpointInterval=10, **options,
+        labelCol=LABEL, lossType="squared" if huber else loss, maxIter=iterations or 1, maxDepth=depth, stepSize=step, seed=seed,
+        minInstancesPerNode=min_rows, subsamplingRate=0.8, checkpointInterval=10, **options,
     )
-    return Recipe(name, [_assembler(columns), trees], log_target, weighted, early_stop=True, columns=columns)
+    return Recipe(name, [_assembler(columns), trees], log_target, weighted, iterations is None, huber, columns)
 
 
 def forest(columns=None, name="RandomForest", trees=20, depth=8, log_target=True, seed=42) -> Recipe:
@@ -136,21 +142,98 @@ def fit_additive(train: DataFrame, test: DataFrame, knots: int = 5) -> tuple[Pip
 
 
 def prepared(train: DataFrame, recipe: Recipe, key: str = "id_mutation") -> DataFrame:
-    """Target, validation marks and weights, each computed on the row itself."""
+    """Target, validation marks and weights, each computed on the row itself. A row without key is no validation row."""
     out = train.withColumn(LABEL, F.log1p(C.TARGET) if recipe.log_target else F.col(C.TARGET))
     if recipe.early_stop:
-        out = out.withColumn(VALID, validation_flag(train, key=key))
-    if recipe.weighted:
-        out = out.withColumn(WEIGHT, pricing.recency_weight("annee"))
+        out = out.withColumn(VALID, F.coalesce(validation_flag(train, key=key), F.lit(False)))
+    if recipe.weighted or recipe.huber:
+        out = out.withColumn(WEIGHT, pricing.recency_weight("annee") if recipe.weighted else F.lit(1.0))
     return out
 
 
+def cut_to(model: GBTRegressionModel, rounds: int) -> GBTRegressionModel:
+    """The model of the first ``rounds`` trees; Spark has no such call, but its constructor takes trees and weights."""
+    java, gateway = model._java_obj, SparkSession.active().sparkContext._gateway
+    trees = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
+    weights = gateway.new_array(gateway.jvm.double, rounds)
+    for i in range(rounds):
+        trees[i], weights[i] = java.trees()[i], java.treeWeights()[i]
+    kept = gateway.jvm.org.apache.spark.ml.regression.GBTRegressionModel(java.uid(), trees, weights, java.numFeatures())
+    made = GBTRegressionModel(java.copyValues(kept, java.extractParamMap()))
+    made._resetUid(java.uid())
+    return made
+
+
+def best_prefix(learn: DataFrame, valid: DataFrame, trees: GBTRegressor) -> GBTRegressionModel:
+    """Boost until the error of the validation rows has not fallen for the patience, and keep the rounds up to its least.
+
+    Patience and the limit of rounds are counted in rounds times step, so a small step
+    gets more rounds. A fit is repeated with twice the rounds while its best round is
+    too near its end; the seed makes the first rounds the same. Without validation rows
+    all rounds of the first fit stay.
+    """
+    step = trees.getStepSize()
+    patience, limit = math.ceil(C.PATIENCE_TRAVEL / step), math.ceil(C.BOOST_TRAVEL / step)
+    rounds, blind = min(math.ceil(4 / 3 * patience), limit), valid.isEmpty()
+    while True:
+        model = trees.copy({trees.maxIter: rounds}).fit(learn)
+        if blind:
+            return model
+        errors = model.evaluateEachIteration(valid, trees.getLossType())
+        best = min(range(len(errors)), key=errors.__getitem__) + 1
+        if best + patience <= rounds or rounds == limit:
+            return cut_to(model, best)
+        rounds = min(2 * rounds, limit)
+
+
+def huber_loss(residual: Column, delta: float) -> Column:
+    size = F.abs(residual)
+    return F.when(size <= delta, residual * residual / 2).otherwise(delta * (size - delta / 2))
+
+
+def fit_huber(learn: DataFrame, valid: DataFrame, trees: GBTRegressor) -> tuple[GBTRegressionModel, list[float]]:
+    """Boosted trees for Huber's loss by iteratively reweighted squared fits, with the mean loss after each fit.
+
+    Delta is the ``C.HUBER_QUANTILE`` of the first fit's absolute residuals. Rows beyond
+    it are weighted with delta / |residual| in the next fit, which is kept if the loss
+    falls; the fits end when it falls by less than a thousandth.
+    """
+    residual = F.col(LABEL) - F.col("prediction")
+    model, delta, losses = best_prefix(learn, valid, trees), None, []
+    while True:
+        scored = model.transform(learn)
+        if delta is None:
+            delta = scored.agg(F.percentile_approx(F.abs(residual), C.HUBER_QUANTILE, 1000)).first()[0]
+            if not delta:
+                return model, losses
+            kept = model
+        losses.append(scored.agg(F.avg(huber_loss(residual, delta))).first()[0])
+        if len(losses) > 1 and losses[-1] >= losses[-2]:
+            return kept, losses[:-1]
+        kept = model
+        if len(losses) > 1 and losses[-1] > 0.999 * losses[-2]:
+            return kept, losses
+        weight = F.col(WEIGHT) * F.least(F.lit(1.0), F.try_divide(F.lit(delta), F.abs(residual)))
+        again = scored.withColumn(WEIGHT, weight).drop("prediction")
+        model = best_prefix(again, valid, trees)
+
+
+def _fit_trees(rows: DataFrame, recipe: Recipe) -> PipelineModel:
+    *before, trees = recipe.stages
+    front = Pipeline(stages=before).fit(rows)
+    ready = front.transform(rows).select("features", LABEL, VALID, *([WEIGHT] if recipe.weighted or recipe.huber else []))
+    learn, valid = ready.where(~F.col(VALID)), ready.where(VALID)
+    model = fit_huber(learn, valid, trees)[0] if recipe.huber else best_prefix(learn, valid, trees)
+    return PipelineModel([*front.stages, model])
+
+
 def fit(
     train: DataFrame, recipe: Recipe, enc: Encodings | None = None, key: str = "id_mutation", held_out: DataFrame | None = None,
 ) -> PriceModel:
     """A fitted model. With ``enc`` it can score raw rows and keeps the training medians
     for missing features; with ``held_out`` rows it carries their error for price bands."""
-    fitted = Pipeline(stages=recipe.stages).fit(prepared(train, recipe, key))
+    rows = prepared(train, recipe, key)
+    fitted = _fit_trees(rows, recipe) if recipe.early_stop else Pipeline(stages=recipe.stages).fit(rows)
     model = PriceModel(fitted, recipe.columns, recipe.log_target, recipe.name, encodings=enc)
     if enc is not None:
         medians = train.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5).alias(c) for c in recipe.columns]).first()
@@ -185,28 +268,75 @@ def tournament(train: DataFrame, test: DataFrame, recipes: list[Recipe], ensembl
     return models, scorecard(stacked, by=["model"])
 
 
-def random_search(train: DataFrame, fold: Column, trials: int = 8, folds: int = 3, seed: int = 42, iterations: int = 10):
-    """Seeded random search of tree settings, judged by cross-validation.
+def random_settings(trials: int, seed: int = 42) -> list[dict]:
+    """Seeded random settings of boosted trees."""
+    draw = random.Random(seed)
+    return [
+        {"step": round(10 ** draw.uniform(-1.5, -0.5), 4), "depth": draw.randint(3, 6), "min_rows": draw.randint(5, 50)} for _ in range(trials)
+    ]
+
 
-    ``fold`` numbers rows by a hash of their key, so folds survive recomputation.
-    Returns the best settings and all trials with their mean absolute error.
+_TRIALS = "rung int, trial int, share double, setting string, MAE double"
+
+
+def _tried(spark: SparkSession, state: str | None) -> dict[tuple[int, str], float]:
+    """Results of earlier trials by rung and setting, of trials that were written whole."""
+    if state is None:
+        return {}
+    try:
+        rows = spark.read.schema(_TRIALS).parquet(f"{state}/*").collect()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+    return {(r.rung, r.setting): r.MAE for r in rows}
+
+
+def successive_halving(
+    train: DataFrame, settings: list[dict] | None = None, key: str = "id_mutation", state: str | None = None, together: int = 4,
+    recipe_of=boosted_trees,
+) -> tuple[dict, list[dict]]:
+    """The best of ``settings`` (default: ``C.SEARCH_TRIALS`` random ones), raced on growing shares of the rows.
+
+    Every rung fits its settings on a share of the rows (by a hash of the key, so each
+    share holds the one before), judges them by the mean absolute error on all held-out
+    rows, drops the worse half and doubles the share; the last rung has all rows and at
+    most two settings. A rung costs about as much as the last one, however many settings
+    there are. The fits of a rung run ``together`` at a time, each in its own scheduler
+    pool. With ``state`` (a folder of Parquet tables) each result is written as it comes, and
+    a search that was cut short goes on where it stopped. Returns the best setting and all
+    trials as (rung, trial, share, setting, MAE).
     """
-    draw = random.Random(seed)
-    tried = []
-    for _ in range(trials):
-        setting = {
-            "step": round(10 ** draw.uniform(-2, -0.5), 4),
-            "depth": draw.randint(3, 6),
-            "min_rows": draw.randint(5, 50),
-        }
-        parts = None
-        for i in range(folds):
-            model = fit(train.where(fold != i), boosted_trees(name=f"fold{i}", iterations=iterations, **setting))
-            scored = predictions(model, train.where(fold == i))
-            parts = scored if parts is None else parts.unionByName(scored)
-        per_fold = parts.groupBy("model").agg(F.avg(F.abs(F.col("prix_predit") - F.col("prix_reel"))).alias("e"))
-        tried.append({**setting, "MAE": per_fold.agg(F.avg("e")).first()[0]})
-    return min(tried, key=lambda t: t["MAE"]), tried
+    spark = train.sparkSession
+    settings = settings or random_settings(C.SEARCH_TRIALS)
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 20))
+    fold = F.pmod(F.xxhash64(key, F.lit("held out")), F.lit(100))
+    learn, judge = train.where(F.coalesce(fold >= 15, F.lit(True))), train.where(fold < 15)
+    rungs = max(1, math.ceil(math.log2(len(settings))))
+    known, log, alive = _tried(spark, state), [], list(enumerate(settings))
+
+    def run(rung: int, trial: int, setting: dict, share: float, rows: DataFrame) -> dict:
+        named = json.dumps(setting, sort_keys=True)
+        if (rung, named) not in known:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"search-{trial}")
+            model = fit(rows, recipe_of(name=f"trial{trial}", **setting), key=key)
+            error = predictions(model, judge, key).agg(F.avg(F.abs(F.col("prix_predit") - F.col("prix_reel")))).first()[0]
+            if state is not None:
+                row = spark.createDataFrame([(rung, trial, share, named, error)], _TRIALS)
+                row.coalesce(1).write.mode("overwrite").parquet(f"{state}/{rung}-{trial}")  # a folder each: writers do not meet
+            known[rung, named] = error
+        return {"rung": rung, "trial": trial, "share": share, "setting": setting, "MAE": known[rung, named]}
+
+    for rung in range(rungs):
+        share = 2.0 ** (rung + 1 - rungs)
+        rows = learn.where(F.coalesce(place, F.lit(0)) < int(share * (1 << 20)))
+        with ThreadPoolExecutor(together) as pool:
+            jobs = [pool.submit(inheritable_thread_target(spark)(run), rung, trial, setting, share, rows) for trial, setting in alive]
+            done = [j.result() for j in jobs]
+        log += done
+        done.sort(key=lambda t: (math.inf if t["MAE"] is None or math.isnan(t["MAE"]) else t["MAE"], t["trial"]))
+        alive = [(t["trial"], t["setting"]) for t in done[: math.ceil(len(done) / 2)]]
+    return done[0]["setting"], log
 
 
 # -- reading a fitted model ---------------------------------------------------------------------

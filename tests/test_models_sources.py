@@ -1,7 +1,9 @@
 """Models by their properties; sources and sinks by round trips."""
 import dataclasses
+import functools
 import gzip
 import json
+import math
 
 import numpy as np
 import pytest
@@ -74,10 +76,77 @@ def test_weights_and_importance(spark, frames):
     assert len(table) == 15 and sum(r.importance for r in table) == pytest.approx(1.0, abs=0.05)
 
 
+def test_best_prefix_is_the_best_and_predicts_like_its_trees(spark, frames):
+    _, train, _, _ = frames
+    recipe = training.boosted_trees(C.BASE_FEATURES, loss="squared", step=0.3, depth=2, log_target=False)
+    model = training.fit(train, recipe)
+    kept = model.pipeline.stages[-1]
+    rows = training.prepared(train, recipe)
+    ready = recipe.stages[0].transform(rows)
+    longer = recipe.stages[1].copy({recipe.stages[1].maxIter: kept.getNumTrees + math.ceil(C.PATIENCE_TRAVEL / 0.3)}).fit(ready.where(f"NOT {training.VALID}"))
+    errors = longer.evaluateEachIteration(ready.where(training.VALID), "squared")
+    assert min(errors) == pytest.approx(errors[kept.getNumTrees - 1])
+    own = kept.evaluateEachIteration(ready.where(training.VALID), "squared")
+    assert len(own) == kept.getNumTrees and own == pytest.approx(errors[: len(own)])
+    by_hand = sum(w * F.col(f"t{i}") for i, w in enumerate(kept.treeWeights))
+    trees = ready.select("features")
+    for i, tree in enumerate(kept.trees):
+        trees = tree.setPredictionCol(f"t{i}").transform(trees)
+    assert kept.transform(trees).where(F.abs(F.col("prediction") - by_hand) > 1e-9).count() == 0
+    assert 1 < kept.getNumTrees and kept.featureImportances.toArray().sum() == pytest.approx(1.0)
+
+
+def test_fit_without_validation_rows_or_keys(spark, frames):
+    _, train, test, _ = frames
+    unkeyed = train.limit(200).withColumn("id_mutation", F.lit(None).cast("long"))
+    model = training.fit(unkeyed, training.boosted_trees(C.BASE_FEATURES, step=1.0))
+    assert training.predictions(model, test).where("prix_predit > 0").count() == test.count()
+
+
+def test_huber_trees(spark, frames):
+    _, train, test, _ = frames
+    wild = stage(train.withColumn("prix_m2", F.when(F.pmod(F.xxhash64("id_mutation", F.lit(1)), F.lit(20)) == 0, F.col("prix_m2") * 6).otherwise(F.col("prix_m2"))))
+    recipe = training.boosted_trees(C.BASE_FEATURES, loss="huber", step=0.3, log_target=False)
+    ready = recipe.stages[0].transform(training.prepared(wild, recipe))
+    parts = [ready.where(F.col(training.VALID) == v) for v in (False, True)]
+    _, losses = training.fit_huber(*parts, recipe.stages[1])
+    assert len(losses) > 1 and all(b < a for a, b in zip(losses, losses[1:]))
+    cards = {}
+    for loss in ("huber", "squared"):
+        model = training.fit(wild, training.boosted_trees(C.BASE_FEATURES, name=loss, loss=loss, step=0.3, log_target=False))
+        cards[loss] = scorecard(training.predictions(model, test)).first().MAE
+    assert cards["huber"] < cards["squared"]  # wild prices pull the squared fit away from the ordinary test rows
+    size = spark.range(1).select(*[training.huber_loss(F.lit(float(r)), 2.0) for r in (0, 1, -1, 2, -5)]).first()
+    assert list(size) == [0.0, 0.5, 0.5, 2.0, 8.0]
+
+
+def test_halving_finds_the_winner_and_resumes(spark, frames, tmp_path):
+    _, train, _, _ = frames
+    made = []
+
+    def recipe_of(name, **setting):
+        made.append(name)
+        return training.boosted_trees(C.BASE_FEATURES, name=name, iterations=4, **setting)
+
+    settings = [{"step": s, "depth": d} for s in (0.01, 0.3) for d in (1, 2, 4)]
+    state = str(tmp_path / "search")
+    best, log = training.successive_halving(train, settings, state=state, recipe_of=recipe_of, together=3)
+    assert [sum(t["rung"] == r for t in log) for r in range(3)] == [6, 3, 2] and [t["share"] for t in log][::5] == [0.25, 0.25, 1.0]
+    whole = {}  # the full grid on the same rows
+    fold = F.pmod(F.xxhash64("id_mutation", F.lit("held out")), F.lit(100))
+    for i, setting in enumerate(settings):
+        model = training.fit(train.where(fold >= 15), training.boosted_trees(C.BASE_FEATURES, iterations=4, **setting))
+        whole[i] = scorecard(training.predictions(model, train.where(fold < 15))).first().MAE
+    assert best == settings[min(whole, key=whole.get)]
+    count = len(made)
+    assert training.successive_halving(train, settings, state=state, recipe_of=recipe_of) == (best, log) and len(made) == count
+
+
 def test_search_and_verdict(spark, frames):
     _, train, _, _ = frames
-    best, tried = training.random_search(train, features.fold_number(train, 2), trials=2, folds=2, iterations=3)
-    assert best in tried and len(tried) == 2
+    quick = functools.partial(training.boosted_trees, iterations=3)
+    best, tried = training.successive_halving(train, training.random_settings(2), recipe_of=quick)
+    assert best in [t["setting"] for t in tried] and len(tried) == 2
     cards = spark.createDataFrame([("without", 1500.0, 0.50), ("with", 1485.0, 0.50)], "model string, MAE double, R2 double")
     assert experiments.verdict(cards).first().keep
     assert not experiments.verdict(cards.replace(1485.0, 1495.0)).first().keep
@@ -135,7 +204,8 @@ def test_strategies(spark, frames):
 
 
 def test_ablation(spark, frames):
-    cards = experiments.ablation(frames[0], trials=1, iterations=2)
+    quick = functools.partial(training.boosted_trees, iterations=2)
+    cards = experiments.ablation(frames[0], training.random_settings(1), recipe_of=quick)
     assert sorted(r.model[0] for r in cards.collect()) == ["a", "b", "c", "d", "e"]
 
 
