@@ -81,13 +81,7 @@ def walkability(distances: dict[str, Column]) -> Column:
     return total
 
 
-def cell_steps(radius_m: float, max_abs_lat: float) -> tuple[float, float]:
-    """Cell height and width in degrees that are at least ``radius_m`` everywhere
-    up to latitude ``max_abs_lat``."""
-    metres_per_degree = math.pi * C.EARTH_RADIUS_M / 180
-    margin = 1.001
-    lat_step = radius_m / metres_per_degree * margin
-    lon_step = radius_m / (metres_per_degree * math.cos(math.radians(max_abs_lat))) * margin
-    return lat_step, lon_step
-
-
+def reach_degrees(latitude: Column, radius_m: float) -> Column:
+    """Degrees of longitude that two points ``radius_m`` apart can differ at most, neither further from the equator than ``latitude``."""
+    share = math.sin(radius_m / 2 / C.EARTH_RADIUS_M)
+    return F.degrees(2 * F.asin(F.least(F.lit(1.0), F.lit(share) / F.cos(F.radians(latitude))))) * (1 + 1e-9)

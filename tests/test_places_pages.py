@@ -20,16 +20,16 @@ TAGS = [{"railway": "station"}, {"highway": "bus_stop"}, {"leisure": "park"}, {"
         {"historic": "yes", "amenity": "cafe"}, {"amenity": "fuel"}, {"natural": "tree"}]
 
 
-@pytest.mark.parametrize("splits", [1, 2, 3])
-def test_place_features_match_brute_force(spark, splits, monkeypatch):
+@pytest.mark.parametrize("leaf, slice_", [(1024, 4096), (5, 20), (1, 1)])
+def test_place_features_match_brute_force(spark, leaf, slice_, monkeypatch):
     rnd = random.Random(3)
     # a third of the points at one address, a third of the places on one square
     points = [(i, 48.85, 2.35) if i % 3 == 0 else (i, 48.83 + rnd.random() * 0.05, 2.30 + rnd.random() * 0.08) for i in range(120)] + [(900, 40.0, 2.0)]
     places = [(48.8501 + rnd.random() * 1e-4 if i % 3 == 0 else 48.83 + rnd.random() * 0.05, 2.30 + rnd.random() * 0.08, rnd.choice(TAGS), 50.0) for i in range(400)]
     df = proximity.classify_places(spark.createDataFrame(places, "plat double, plon double, tags map<string,string>, area_m2 double"))
     pts = spark.createDataFrame(points, "id int, latitude double, longitude double")
-    original = proximity.place_distances
-    monkeypatch.setattr(proximity, "place_distances", lambda p, q, **kw: original(p, q, splits=splits, **kw))
+    monkeypatch.setattr(proximity, "LEAF", leaf)
+    monkeypatch.setattr(proximity, "SLICE", slice_)
     got = {r.id: r for r in proximity.with_place_features(pts, df).collect()}
     assert len(got) == len(points)
 
@@ -47,6 +47,50 @@ def test_place_features_match_brute_force(spark, splits, monkeypatch):
     assert got[900].dist_metro_m is None and got[900].transit_count_500m == 0 and got[900].walkability_score == 0.0
 
 
+@pytest.mark.parametrize("latitude", [0.0, 60.0, 68.0, -89.99])
+def test_pairs_of_a_crowded_cell_at_any_latitude(spark, latitude, monkeypatch):
+    """90 % of points and places in one cell: the pairs are those of all pairs, and no key holds more than its share."""
+    monkeypatch.setattr(proximity, "LEAF", 8)
+    monkeypatch.setattr(proximity, "SLICE", 16)
+    rnd = random.Random(9)
+    wide = 0.03 / max(math.cos(math.radians(latitude)), 1e-3)
+
+    def spot(i):
+        scale = 0.02 if i % 10 else 1.0
+        return latitude + rnd.random() * 0.009 * scale, 2.0 + rnd.random() * wide * scale
+
+    points, places = [spot(i) for i in range(200)], [(*spot(i), i) for i in range(250)]
+    pts = spark.createDataFrame(points, "latitude double, longitude double")
+    df = spark.createDataFrame(places, "plat double, plon double, name int").repartition(3)
+    got = {(r.lat, r.lon, r.name): r.d for r in proximity.place_distances(pts, df, 300.0).collect()}
+    want = {(a, b, n): metres(a, b, c, d) for a, b in points for c, d, n in places if metres(a, b, c, d) <= 300}
+    assert got.keys() == want.keys() and len(got) > 1000 and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_crowded_cells_are_dealt_to_many_keys(spark, monkeypatch):
+    monkeypatch.setattr(proximity, "LEAF", 8)
+    monkeypatch.setattr(proximity, "SLICE", 16)
+    points = [(48.85 + i * 1e-6, 2.35 + (i * 37 % 400) * 1e-6) for i in range(400)]
+    pts = spark.createDataFrame(points, "latitude double, longitude double")
+    df = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(points)], "plat double, plon double, name int")
+    plan = proximity.place_distances(pts, df, 1000.0)
+    assert plan.count() == 400 * 400
+    keys = []
+    original = type(pts).join
+
+    def join(self, other, on=None, how=None):
+        if isinstance(on, list) and on[-1] == "slice":
+            keys.extend(((self, on), (other, on)))
+        return original(self, other, on, how) if how else original(self, other, on)
+
+    monkeypatch.setattr(type(pts), "join", join)
+    proximity.place_distances(pts, df, 1000.0)
+    (here, on), (there, _) = keys
+    assert here.groupBy(on).count().agg(F.max("count")).first()[0] <= 8 * 4  # leaves of the last level may hold more
+    most, n = there.groupBy(on).count().agg(F.max("count"), F.count("*")).first()
+    assert most <= 40 and n > 100
+
+
 def test_no_nested_loop_in_the_distance_join(spark):
     df = proximity.classify_places(spark.createDataFrame([(48.8, 2.3, {"a": "b"}, 0.0)], "plat double, plon double, tags map<string,string>, area_m2 double"))
     pts = spark.createDataFrame([(48.8, 2.3)], "latitude double, longitude double")
