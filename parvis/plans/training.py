@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import math
 import random
-import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -23,6 +22,7 @@ from parvis.functions import pricing
 from parvis.operators.encodings import Encodings
 from parvis.operators.evaluation import scorecard
 from parvis.operators.features import featurise, validation_flag
+from parvis.sources.publish import current, new_run, publish
 
 LABEL, VALID, WEIGHT = "_label", "_valid", "_weight"
 
@@ -363,38 +363,39 @@ _META = T.StructType([
     T.StructField("name", T.StringType()), T.StructField("columns", T.StringType()),
     T.StructField("log_target", T.BooleanType()), T.StructField("rmse", T.DoubleType()),
     T.StructField("global_mean", T.DoubleType()), T.StructField("defaults", T.StringType()),
-    T.StructField("tables", T.StringType()), T.StructField("version", T.StringType()),
+    T.StructField("tables", T.StringType()),
 ])
 
 
 def save_model(model: PriceModel, path: str, spark: SparkSession) -> None:
-    """Write a model as a directory: pipeline and lookup tables in a folder of their
-    own for each save, and one metadata row that names the folder and its tables.
+    """Write a model as a published run: pipeline, lookup tables and one metadata row.
 
-    The metadata row is written last: until then the model saved before is the valid one.
+    The model saved before is the valid one until all of the new one is written.
     """
-    version = uuid.uuid4().hex
-    model.pipeline.write().save(f"{path}/{version}/pipeline")
-    enc = model.encodings
+    run, enc = new_run(path), model.encodings
+    model.pipeline.write().save(f"{run}/pipeline")
     names = [n for n in _TABLES if enc is not None and getattr(enc, n) is not None]
     for name in names:
-        getattr(enc, name).write.parquet(f"{path}/{version}/{name}")
+        getattr(enc, name).write.parquet(f"{run}/{name}")
     mean = None
     if enc is not None:
         mean = float(spark.range(1).select(enc.mean.alias("m")).first()["m"])
-    meta = [(
-        model.name, json.dumps(model.columns), model.log_target, model.rmse, mean, json.dumps(model.defaults), json.dumps(names), version,
-    )]
-    spark.createDataFrame(meta, _META).coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
+    meta = [(model.name, json.dumps(model.columns), model.log_target, model.rmse, mean, json.dumps(model.defaults), json.dumps(names))]
+    spark.createDataFrame(meta, _META).coalesce(1).write.parquet(f"{run}/metadata")
+    publish(spark, path, run)
 
 
 def load_model(spark: SparkSession, path: str) -> PriceModel:
-    meta = spark.read.schema(_META).parquet(f"{path}/metadata").first()
-    folder, named = f"{path}/{meta['version']}", json.loads(meta["tables"])
-    tables = {name: spark.read.parquet(f"{folder}/{name}") if name in named else None for name in _TABLES}
+    """The model published in ``path``."""
+    run = current(spark, path)
+    if run is None:
+        raise FileNotFoundError(f"no model in {path}")
+    meta = spark.read.schema(_META).parquet(f"{run}/metadata").first()
+    named = json.loads(meta["tables"])
+    tables = {name: spark.read.parquet(f"{run}/{name}") if name in named else None for name in _TABLES}
     mean = meta["global_mean"]
     enc = None if mean is None else Encodings(overall=mean, **tables)
     return PriceModel(
-        PipelineModel.load(f"{folder}/pipeline"), json.loads(meta["columns"]), meta["log_target"],
+        PipelineModel.load(f"{run}/pipeline"), json.loads(meta["columns"]), meta["log_target"],
         meta["name"], meta["rmse"], enc, json.loads(meta["defaults"]),
     )

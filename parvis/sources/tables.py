@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parvis import constants as C
+from parvis.sources.publish import current, new_run, publish
 
 # layout of the published geolocated register files, all read as text
 REGISTER_COLUMNS = [
@@ -63,27 +66,53 @@ def read_register(spark: SparkSession, path: str, fixed_layout: bool = True) ->
     return reader.csv(path)
 
 
-def read_departments(spark: SparkSession, root: str, year: int, departments: list[str] = C.IDF_DEPARTMENTS) -> DataFrame:
+CORRUPT = "_corrupt"
+
+
+def read_departments(spark: SparkSession, root: str, year: int, departments: list[str] = C.IDF_DEPARTMENTS, checked: bool = False) -> DataFrame:
     """All department files of a year as one table with ``code_departement_source``.
 
     Files of other departments are never opened; a department without a file
-    contributes nothing, and without any the result is empty.
+    contributes nothing, and without any the result is empty. ``checked`` adds the text
+    of lines that do not fit the layout as ``_corrupt``, for ``split_register``.
     """
     names = "{" + ",".join(f"{d}.csv.gz" for d in departments) + "}"
     source = F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1)
+    schema = T.StructType([*REGISTER_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())]) if checked else REGISTER_SCHEMA
+    reader = spark.read.schema(schema).option("header", True).option("escape", '"').option("pathGlobFilter", names)
+    if checked:  # a line can only be judged by all its columns
+        reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False)
     try:
-        files = (
-            spark.read.schema(REGISTER_SCHEMA).option("header", True).option("escape", '"')
-            .option("pathGlobFilter", names).csv(f"{root}/{year}/departements")
-        )
+        files = reader.csv(f"{root}/{year}/departements")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], REGISTER_SCHEMA).withColumn("code_departement_source", F.lit(None).cast("string"))
+        return spark.createDataFrame([], schema).withColumn("code_departement_source", F.lit(None).cast("string"))
     # a gzip file is one task: its rows are dealt out anew before anything else is done with them
     return files.select("*", source.alias("code_departement_source")).hint("rebalance")
 
 
+NUMBERS = ["valeur_fonciere", "surface_reelle_bati", "nombre_pieces_principales", "longitude", "latitude", "code_postal", "nombre_lots"]
+
+
+def split_register(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sound rows, quarantine) of a checked register; every row is in exactly one of them.
+
+    The quarantine has the department, the line's text and a reason: ``malformed`` for a
+    line with too few or too many columns, else the names of the columns whose text is
+    no date or number. Empty cells are no fault.
+    """
+    def unread(name: str, value: Column) -> Column:
+        return F.when(F.col(CORRUPT).isNull() & (F.trim(name) != "") & value.isNull(), name)
+
+    checks = [unread("date_mutation", F.try_to_date("date_mutation")), *[unread(c, F.trim(c).try_cast("double")) for c in NUMBERS]]
+    reason = F.concat_ws(",", F.when(F.col(CORRUPT).isNotNull(), "malformed"), *checks)
+    judged = rows.withColumn("reason", reason)
+    line = F.coalesce(CORRUPT, F.to_csv(F.struct(*REGISTER_COLUMNS)))
+    bad = judged.where("reason <> ''").select("code_departement_source", line.alias("line"), "reason")
+    return judged.where("reason = ''").drop(CORRUPT, "reason"), bad
+
+
 def union_sources(frames: list[DataFrame]) -> DataFrame:
     """Stack tables whose columns may differ."""
     out = frames[0]
@@ -103,15 +132,29 @@ def read_sales(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return (reader.schema(schema) if schema else reader).parquet(path)
 
 
+def _zone(lat, lon) -> Column:
+    """A tenth of a degree in both directions, as one number."""
+    return (F.floor(lat * 10) * 10_000 + F.floor(lon * 10)).cast("int")
+
+
+def write_cells(enriched: DataFrame, path: str) -> None:
+    """Cells clustered for point reads: a folder per zone, sorted by cell inside."""
+    rows = enriched.withColumn("zone", _zone(F.col("lat_grid"), F.col("lon_grid"))).hint("rebalance", "zone")
+    rows.sortWithinPartitions("zone", "lat_grid", "lon_grid").write.mode("overwrite").partitionBy("zone").parquet(path)
+
+
 def read_cell(spark: SparkSession, path: str, cell: tuple[float, float], columns: list[str] = C.POI_FEATURES) -> DataFrame:
-    """A few columns of the rows of one grid cell; both reach the Parquet scan."""
+    """A few columns of the rows of one grid cell; both reach the Parquet scan. Of a
+    table by ``write_cells`` only the folders the cell lies in are opened."""
     half = 0.0025
     lat, lon = cell
-    return (
-        spark.read.parquet(path)
-        .where(F.col("lat_grid").between(lat - half, lat + half) & F.col("lon_grid").between(lon - half, lon + half))
-        .select("lat_grid", "lon_grid", *columns)
-    )
+    rows = spark.read.parquet(path)
+    if "zone" in rows.columns:
+        zones = {math.floor(a * 10) * 10_000 + math.floor(b * 10) for a in (lat - half, lat + half) for b in (lon - half, lon + half)}
+        rows = rows.where(F.col("zone").isin(*zones))
+    return rows.where(
+        F.col("lat_grid").between(lat - half, lat + half) & F.col("lon_grid").between(lon - half, lon + half)
+    ).select("lat_grid", "lon_grid", *columns)
 
 
 def read_listings(spark: SparkSession, path: str) -> DataFrame:
@@ -119,13 +162,10 @@ def read_listings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_gems(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(metadata, gems) of a folder written by ``write_gems``, or of envelope files."""
-    try:
-        gems = spark.read.schema(GEM_SCHEMA).json(f"{path}/gems")
-        return spark.read.schema(METADATA_SCHEMA).json(f"{path}/metadata"), gems
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    """(metadata, gems) of the run published in a folder by ``write_gems``, or of envelope files."""
+    run = current(spark, path)
+    if run is not None:
+        return spark.read.schema(METADATA_SCHEMA).json(f"{run}/metadata"), spark.read.schema(GEM_SCHEMA).json(f"{run}/gems")
     envelope = spark.read.schema(GEMS_ENVELOPE).option("multiLine", True).json(path)
     return envelope.select("metadata.*"), envelope.select(F.inline("gems"))
 
@@ -141,9 +181,29 @@ def gems_metadata(scored: DataFrame, run_date: Column | str, threshold: float =
 
 
 def write_gems(scored: DataFrame, path: str, run_date: str, threshold: float = C.GEM_THRESHOLD) -> None:
-    """Gems as JSON lines next to a one-row metadata file, written last."""
-    scored.where(F.col("gem_score") > threshold).write.mode("overwrite").json(f"{path}/gems")
-    gems_metadata(scored, run_date, threshold).coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
+    """Gems as JSON lines and a one-row metadata file, published together as a run of their own."""
+    run = new_run(path)
+    scored.where(F.col("gem_score") > threshold).write.json(f"{run}/gems")
+    gems_metadata(scored, run_date, threshold).coalesce(1).write.json(f"{run}/metadata")
+    publish(scored.sparkSession, path, run)
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame | None:
+    """The published metrics history, None if there is none."""
+    run = current(spark, path)
+    return None if run is None else spark.read.parquet(run)
+
+
+def write_history(new: DataFrame, path: str) -> None:
+    """Upsert run metrics (a row per model) into the published history; the history before stays readable until the new one is whole."""
+    from parvis.operators.evaluation import upsert_metrics
+
+    spark, run = new.sparkSession, new_run(path)
+    history = read_history(spark, path)
+    if history is None:
+        history = new.limit(0).withColumn("position", F.lit(0))
+    upsert_metrics(history, new).coalesce(1).write.parquet(run)
+    publish(spark, path, run)
 
 
 def replace_table(df: DataFrame, path: str, version: str) -> str:

@@ -10,11 +10,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from parvis import constants as C
-from parvis.operators import features, forest
+from parvis.operators import features, forest, market
 from parvis.operators.evaluation import scorecard
 from parvis.plans import experiments, explain, recommend, training
 from parvis.session import stage
-from parvis.sources import tables
+from parvis.sources import publish, tables
 from tests.test_sales import sales
 
 
@@ -253,7 +253,7 @@ def test_gems_files(spark, tmp_path):
     (tmp_path / "l.json").write_text(json.dumps([listing, {**listing, "prix_annonce": 900000}], indent=1))
     scored = recommend.score_listings(tables.read_listings(spark, str(tmp_path / "l.json")))
     tables.write_gems(scored, str(tmp_path / "out"), "2025-01-31")
-    meta = spark.read.json(str(tmp_path / "out" / "metadata")).first()
+    meta = tables.read_gems(spark, str(tmp_path / "out"))[0].first()
     assert (meta.nb_annonces_analysees, meta.nb_pepites, meta.date_mise_a_jour) == (2, 1, "2025-01-31")
     written, own = tables.read_gems(spark, str(tmp_path / "out"))
     assert written.first().nb_annonces_analysees == 2 and own.count() == 1 and own.first().titre == "T"
@@ -278,3 +278,97 @@ def test_versioned_table(spark, tmp_path):
     a = tables.replace_table(spark.range(3), str(tmp_path / "t"), "1")
     b = tables.replace_table(spark.range(5), str(tmp_path / "t"), "2")
     assert (spark.read.parquet(a).count(), spark.read.parquet(b).count()) == (3, 5)
+
+
+def test_a_run_that_dies_leaves_the_old_one(spark, tmp_path):
+    path = str(tmp_path / "gems")
+    listings = spark.createDataFrame([("T", 11, 62.0, 3, 300000)], "titre string, arrondissement int, surface double, pieces int, prix_annonce long")
+    scored = recommend.score_listings(listings)
+    assert publish.current(spark, path) is None
+    tables.write_gems(scored, path, "2025-01-30")
+    first = publish.current(spark, path)
+    failing = scored.withColumn("gem_score", F.raise_error(F.lit("killed")).cast("double"))
+    with pytest.raises(Exception, match="killed"):
+        tables.write_gems(failing, path, "2025-01-31")
+    assert publish.current(spark, path) == first and tables.read_gems(spark, path)[0].first().date_mise_a_jour == "2025-01-30"
+    tables.write_gems(scored, path, "2025-02-01")
+    metadata, gems = tables.read_gems(spark, path)
+    assert metadata.first().date_mise_a_jour == "2025-02-01" and gems.count() == 1
+    # a reader that took the old run before the switch can still read it
+    assert spark.read.json(f"{first}/gems").count() == 1
+    with pytest.raises(FileNotFoundError):
+        training.load_model(spark, str(tmp_path / "nothing"))
+
+
+def test_history_is_published(spark, tmp_path):
+    path = str(tmp_path / "metrics")
+    assert tables.read_history(spark, path) is None
+    runs = lambda *rows: spark.createDataFrame(rows, "model string, MAE double")
+    tables.write_history(runs(("b", 2.0), ("a", 1.0)), path)
+    tables.write_history(runs(("a", 5.0), ("c", 3.0)), path)
+    got = [tuple(r) for r in tables.read_history(spark, path).select("model", "MAE", "position").orderBy("position").collect()]
+    assert got == [("a", 5.0, 1), ("b", 2.0, 2), ("c", 3.0, 3)]
+
+
+def test_quarantine_counts_add_up(spark, tmp_path):
+    folder = tmp_path / "2023" / "departements"
+    folder.mkdir(parents=True)
+    width = len(tables.REGISTER_COLUMNS)
+
+    def line(**cells):
+        return ",".join(str(cells.get(c, "")) for c in tables.REGISTER_COLUMNS)
+
+    lines = [
+        line(id_mutation="ok", date_mutation="2023-01-02", valeur_fonciere="1e5", longitude=" 2.3 "), line(id_mutation="empty"),
+        line(id_mutation="date", date_mutation="02/2023"), line(id_mutation="two", date_mutation="x", nombre_lots="many"),
+        "short,2023-01-01", line(id_mutation="long") + ",more", line(id_mutation='"quoted, name"', valeur_fonciere="12,5"),
+    ]
+    with gzip.open(folder / "75.csv.gz", "wt") as f:
+        f.write("\n".join([",".join(tables.REGISTER_COLUMNS), *lines]) + "\n")
+    good, bad = tables.split_register(tables.read_departments(spark, str(tmp_path), 2023, checked=True))
+    assert sorted(r.id_mutation for r in good.collect()) == ["empty", "ok"] and good.columns == [*tables.REGISTER_COLUMNS, "code_departement_source"]
+    reasons = {r.line.split(",")[0].strip('"'): r.reason for r in bad.collect()}
+    assert reasons == {"date": "date_mutation", "two": "date_mutation,nombre_lots", "short": "malformed", "long": "malformed", "quoted": "malformed"}
+    assert bad.count() + good.count() == len(lines) and {r.code_departement_source for r in bad.collect()} == {"75"}
+    assert next(r.line for r in bad.collect() if r.line.startswith("short")) == "short,2023-01-01" and width == 40
+    none = tables.split_register(tables.read_departments(spark, str(tmp_path), 1999, checked=True))
+    assert [df.count() for df in none] == [0, 0]
+
+
+def test_pages_read_their_days_only(spark, tmp_path):
+    days = [f"2024-{1 + i % 12:02d}-{1 + i * 5 % 27:02d}" if i % 50 else None for i in range(2000)]
+    rows = [(i, d, 1.0) for i, d in enumerate(days)]
+    others = ["surface_reelle_bati", "nombre_pieces_principales", "prix_m2", "latitude", "longitude", "arrondissement"]
+    df = spark.createDataFrame(rows, "id_mutation long, day string, valeur_fonciere double").withColumns({
+        "date_mutation": F.to_date("day"), "type_local": F.lit("Maison"), **{c: F.lit(1.0) for c in others},
+    }).drop("day")
+    df.write.parquet(str(tmp_path / "s"))
+    df = spark.read.parquet(str(tmp_path / "s"))
+    want = [i for i, d in sorted(enumerate(days), key=lambda x: (x[1] is None, [-ord(c) for c in x[1] or ""], x[0]))]
+    for limit, offset in ((7, 0), (50, 333), (100, 1900), (100, 1995), (5, 2000), (1, 1959), (3000, 0)):
+        got = [r.id_mutation for r in market.transaction_page(df, limit, offset).collect()]
+        assert got == want[offset : offset + limit], (limit, offset)
+    inside, skipped = market.days_of_page(df, 20, 1000)
+    assert df.where(inside).count() < 60 and skipped <= 1000
+    assert "GreaterThanOrEqual(date_mutation" in df.where(inside)._jdf.queryExecution().executedPlan().toString()
+    last, seen = None, []
+    while True:  # the key-set form walks through all pages
+        page = market.transaction_page(df, 300, 0) if last is None else market.page_after(df, last[0], last[1], 300)
+        found = page.collect()
+        if not found:
+            break
+        seen += [r.id_mutation for r in found]
+        last = (F.to_date(F.lit(found[-1].date_mutation)) if found[-1].date_mutation else None, found[-1].id_mutation)
+    assert seen == want
+    assert market.transaction_page(df.limit(0), 5, 0).collect() == []
+
+
+def test_cells_are_clustered(spark, tmp_path):
+    cols = {c: F.lit(1.0) for c in C.POI_FEATURES}
+    cells = spark.range(400).withColumns({"lat_grid": 48.8 + (F.col("id") % 20) * 0.005, "lon_grid": 2.295 + F.floor(F.col("id") / 20) * 0.005, **cols})
+    tables.write_cells(cells, str(tmp_path / "c"))
+    for cell in ((48.85, 2.31), (48.8, 2.3), (48.895, 2.39)):
+        found = tables.read_cell(spark, str(tmp_path / "c"), cell)
+        assert found.count() == 1
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(zone" in plan or "PartitionFilters: [zone" in plan
