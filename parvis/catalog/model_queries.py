@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from parvis import constants as C
 from parvis.catalog import views as V
 from parvis.catalog.registry import query
+from parvis.functions.pricing import confidence_band
 from parvis.operators import forest, outliers
 from parvis.operators.encodings import fit_encodings
 from parvis.operators.features import feature_matrix, split_train_test, training_frame
@@ -20,18 +21,36 @@ def _core(spark, d):
     return outliers.price_between(outliers.iqr_filter_by_district(V.clean(spark, d), 1.0))
 
 
-def _frames(spark, d):
+def _frames(spark, d, columns=None):
     """Training and test features, written once and read by every fit."""
-    train, test, enc = training_frame(_core(spark, d))
+    train, test, enc = training_frame(_core(spark, d), columns=columns)
     return stage(train), stage(test), enc
 
 
 @query()
 def linear_model_scores(spark, d):
-    train, test, _ = _frames(spark, d)
+    train, test, _ = _frames(spark, d, C.BASE_FEATURES)
     return training.predictions(training.fit(train, training.linear(C.BASE_FEATURES)), test)
 
 
+@query(
+    views="clean",
+    sql="""WITH core AS (SELECT * FROM clean WHERE surface_reelle_bati IS NOT NULL AND prix_m2 BETWEEN 5000 AND 20000),
+line AS (SELECT regr_slope(prix_m2, surface_reelle_bati) AS a, regr_intercept(prix_m2, surface_reelle_bati) AS b FROM core WHERE (id_mutation * 7919) % 100 < 80),
+scored AS (SELECT id_mutation, prix_m2, a * surface_reelle_bati + b AS p FROM core, line WHERE (id_mutation * 7919) % 100 >= 80),
+held AS (SELECT sqrt(avg((prix_m2 - p) * (prix_m2 - p))) AS rmse FROM scored)
+SELECT id_mutation, p AS prix_m2_predit, p - rmse AS low, p + rmse AS high FROM scored, held""",
+    digits={"prix_m2_predit low high": 3},
+)
+def fitted_bands(spark, d):
+    """A line of price over area, with the error of the held-out rows as the band."""
+    rows = stage(outliers.price_between(V.clean(spark, d)).where("surface_reelle_bati IS NOT NULL").select("id_mutation", "prix_m2", "surface_reelle_bati"))
+    train, test = split_train_test(rows)
+    model = training.fit(train, training.linear(["surface_reelle_bati"]), held_out=test)
+    low, high = confidence_band("prix_m2_predit", model.rmse)
+    return model.predict(test).select("id_mutation", "prix_m2_predit", low.alias("low"), high.alias("high"))
+
+
 @query()
 def gbt_scores(spark, d):
     train, test, _ = _frames(spark, d)
@@ -40,7 +59,7 @@ def gbt_scores(spark, d):
 
 @query()
 def additive_model_scores(spark, d):
-    train, test, _ = _frames(spark, d)
+    train, test, _ = _frames(spark, d, C.BASE_FEATURES)
     return training.fit_additive(train, test)[1]
 
 
@@ -66,7 +85,7 @@ def feature_importance(spark, d):
 
 @query()
 def linear_contributions(spark, d):
-    train, test, _ = _frames(spark, d)
+    train, test, _ = _frames(spark, d, C.BASE_FEATURES)
     model = training.fit(train, training.linear(C.BASE_FEATURES))
     return explain.linear_contributions(model, test, k=8).select("id_mutation", "prix_m2_predit", "base", "contributions")
 

@@ -365,7 +365,8 @@ def card_parsing(spark, d):
 
 _VISION_SQL = """vb AS (SELECT listing_id, photo_index, nullif(regexp_extract(raw, '(?s)(\\{.*\\})', 1), '') AS b FROM vision_answers),
 vp AS (SELECT listing_id, photo_index, CASE WHEN json_valid(b) THEN b END AS b FROM vb),
-vs AS (SELECT listing_id, photo_index, CAST(least(greatest(coalesce(trunc(TRY_CAST(json_extract_string(b, '$.renovation_score') AS DOUBLE)), 3), 1), 5) AS INT) AS renovation_score,
+vs AS (SELECT listing_id, photo_index, CAST(least(greatest(coalesce(CASE WHEN json_type(b, '$.renovation_score') <> 'VARCHAR' OR regexp_full_match(json_extract_string(b, '$.renovation_score'), ' *[+-]?[0-9]+ *')
+ THEN trunc(TRY_CAST(json_extract_string(b, '$.renovation_score') AS DOUBLE)) END, 3), 1), 5) AS INT) AS renovation_score,
  coalesce(json_extract_string(b, '$.has_outdoor_space') NOT IN ('false', '0', ''), false) AS has_outdoor_space, coalesce(json_extract_string(b, '$.reasoning'), '') AS reasoning,
  b IS NOT NULL AS parsed, CASE WHEN json_extract_string(b, '$.space_category') IN ('Étroit', 'Standard', 'Spacieux') THEN json_extract_string(b, '$.space_category') ELSE 'Standard' END AS space_category,
  CASE WHEN json_extract_string(b, '$.luminosite') IN ('Sombre', 'Moyenne', 'Lumineuse') THEN json_extract_string(b, '$.luminosite') ELSE 'Moyenne' END AS luminosite,

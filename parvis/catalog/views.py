@@ -169,9 +169,9 @@ VISION = {
     "listing_id": "id_mutation % 5000",
     "photo_index": "id_mutation",
     "raw": """CASE CAST(id_mutation % 6 AS INT)
-        WHEN 0 THEN '```json {"renovation_score": ' || CAST(id_mutation % 8 AS STRING) || ', "space_category": "Spacieux", "luminosite": "Sombre",'
+        WHEN 0 THEN '```json {"renovation_score": ' || CAST(id_mutation % 8 AS STRING) || CASE WHEN id_mutation % 7 = 0 THEN '.5' ELSE '' END || ', "space_category": "Spacieux", "luminosite": "Sombre",'
             || ' "hauteur_plafond": "Haute", "has_outdoor_space": true, "qualite_generale": "Premium", "reasoning": "ok"} ```'
-        WHEN 1 THEN 'Voici : {"renovation_score": "' || CAST(id_mutation % 5 AS STRING) || '", "space_category": "Grand", "luminosite": "Lumineuse"} fin'
+        WHEN 1 THEN 'Voici : {"renovation_score": "' || CAST(id_mutation % 5 AS STRING) || CASE WHEN id_mutation % 7 = 0 THEN '.5' ELSE '' END || '", "space_category": "Grand", "luminosite": "Lumineuse"} fin'
         WHEN 2 THEN '{"renovation_score": null, "has_outdoor_space": false, "qualite_generale": "Basique"}'
         WHEN 3 THEN 'pas de réponse'
         WHEN 4 THEN '{"renovation_score": 3, "space_category"'

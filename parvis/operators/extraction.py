@@ -449,7 +449,11 @@ def normalise_vision(answers: DataFrame, raw: str = "raw") -> DataFrame:
         {"parsed": F.try_parse_json("_body").isNotNull(), "_v": F.from_json("_body", VISION_SCHEMA)}
     )
     value = lambda name: F.when(F.col("parsed"), F.col("_v")[name])
-    score = F.coalesce(X.parse_number(value("renovation_score")).try_cast("int"), F.lit(C.VISION_SCORE_DEFAULT))
+    # a number is cut to a whole one, a text must already be one
+    told = F.schema_of_variant(F.try_variant_get(F.try_parse_json("_body"), "$.renovation_score", "variant"))
+    odd = (told == "STRING") & ~value("renovation_score").rlike(r"^\s*[+-]?\d+\s*$")
+    number = F.when(~F.coalesce(odd, F.lit(False)), X.parse_number(value("renovation_score")).try_cast("int"))
+    score = F.coalesce(number, F.lit(C.VISION_SCORE_DEFAULT))
     fields = {
         "renovation_score": F.least(F.greatest(score, F.lit(low)), F.lit(high)),
         "has_outdoor_space": F.coalesce(~value("has_outdoor_space").isin("false", "0", ""), F.lit(False)),

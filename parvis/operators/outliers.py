@@ -115,8 +115,10 @@ def profile(df: DataFrame, value: str = C.TARGET, factor: float = 1.5) -> DataFr
 
 
 def impute_medians(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Fill each column's gaps with its own median."""
-    for name in columns:
-        median = group_quantiles(df, [], name, {"m": 0.5}).select("m").scalar()
-        df = df.withColumn(name, F.coalesce(F.col(name), median))
-    return df
+    """Fill each column's gaps with its own median; all medians come from one pass. A column without values stays as it is."""
+    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])
+    long = df.select(F.inline(cells))
+    medians = group_quantiles(long, ["name"], "value", {"m": 0.5}, bounded_keys=True)
+    row = medians.agg(F.map_from_entries(F.collect_list(F.struct("name", "m"))).alias("_medians"))  # an entry per column
+    filled = {c: F.coalesce(F.col(c), F.try_element_at("_medians", F.lit(c))) for c in columns}
+    return df.crossJoin(F.broadcast(row)).withColumns(filled).drop("_medians")

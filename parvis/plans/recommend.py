@@ -174,7 +174,8 @@ def browse_gems(gems: DataFrame, min_gem_score: float = 0.0, arrondissement=None
         rows = rows.where(F.coalesce("surface", F.lit(0.0)) >= min_surface)
     if max_price:
         rows = rows.where(F.coalesce("prix_annonce", F.lit(0.0)) <= max_price)
-    return rows.orderBy(F.desc("gem_score"))
+    ties = [c for c in ("id_mutation", "url", "titre", "prix_annonce") if c in rows.columns]
+    return rows.orderBy(F.desc("gem_score"), *ties)
 
 
 def best_listing(gems: DataFrame, tie: str = "id_mutation") -> DataFrame:
@@ -213,7 +214,7 @@ def price_adjustments(rows: DataFrame, predicted: str = "prix_m2_predit") -> Dat
     gain = pricing.listing_gain(total, "prix_annonce", F.col("negotiation_margin"))
     return priced.withColumns(
         {
-            "gem_score": F.when(F.col("prix_net_m2") > 0, score).otherwise(0.0),
+            "gem_score": F.when(F.col("prix_net_m2") > 0, score).when(F.col("prix_net_m2").isNotNull(), 0.0),
             "prix_predit_total": total,
             "gain_potentiel": F.when(gain.isNotNull(), F.greatest(F.lit(0), F.floor(gain))),
         }
