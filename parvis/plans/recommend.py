@@ -11,6 +11,7 @@ from parvis.functions.numbers import as_col
 from parvis.functions.text import address_label
 from parvis.operators.outliers import with_district
 from parvis.operators.quantiles import group_medians, group_quantiles
+from parvis.session import stage
 
 
 def predict_district_median(sales: DataFrame, reference: DataFrame | None = None) -> DataFrame:
@@ -98,6 +99,51 @@ def recommend(
     return best.withColumn("rank", rank).transform(_presented)
 
 
+CELL = ["arrondissement", "band", "rooms"]  # district, ten square metres, rooms
+
+
+def gem_cells(gems: DataFrame) -> DataFrame:
+    """Gems with the cell they lie in."""
+    rooms = F.coalesce(F.col("nombre_pieces_principales"), F.lit(0))
+    return gems.withColumns(
+        {"band": F.floor(F.col("surface_reelle_bati") / 10), "rooms": F.least(rooms, F.lit(10)), "total": F.col(C.TARGET) * F.col("surface_reelle_bati")}
+    )
+
+
+def cell_index(celled: DataFrame, top_n: int) -> DataFrame:
+    """A row per cell: its ``top_n`` scores and the limits of what lies in it."""
+    rooms = F.coalesce(F.col("nombre_pieces_principales"), F.lit(0))
+    limits = celled.groupBy(*CELL).agg(
+        F.max("gem_score").alias("best"), F.min("total").alias("cheapest"), F.max("total").alias("dearest"),
+        F.min("surface_reelle_bati").alias("smallest"), F.max("surface_reelle_bati").alias("largest"),
+        F.min(rooms).alias("fewest"), F.max(rooms).alias("most"),
+    )
+    place = F.row_number().over(Window.partitionBy(*CELL).orderBy(F.desc("gem_score")))
+    top = celled.select(*CELL, "gem_score", place.alias("_p")).where(F.col("_p") <= top_n)
+    return limits.join(top.groupBy(*CELL).agg(F.collect_list("gem_score").alias("scores")), CELL)
+
+
+def cells_to_search(index: DataFrame, searches: DataFrame, top_n: int) -> DataFrame:
+    """(search columns, cell, least): the cells that can hold one of a search's ``top_n`` best.
+
+    ``least`` is a score ``top_n`` hits are known to reach: that of cells which fit the
+    search as a whole. A cell whose best score is below it is left out, and so is any
+    row below it. Null while there are not so many hits for sure.
+    """
+    wanted = F.col("wanted")
+    districts = F.when(wanted.isNull(), F.sequence(F.lit(0), F.lit(99))).otherwise(
+        F.sequence(F.greatest(F.lit(1), wanted - 1), F.least(F.lit(20), wanted + 1))
+    )
+    possible = searches.withColumn("arrondissement", F.explode(districts)).join(index, "arrondissement").where(
+        "largest >= surface_min AND smallest <= surface_max AND most >= pieces_min AND cheapest <= budget"
+    )
+    whole = F.expr("smallest >= surface_min AND largest <= surface_max AND fewest >= pieces_min AND dearest <= budget")
+    known = F.sort_array(F.flatten(F.collect_list(F.when(whole, F.col("scores")))), asc=False)
+    least = possible.groupBy("search_id").agg(F.try_element_at(known, F.lit(top_n)).alias("least"))
+    needed = possible.join(least, "search_id").where("least IS NULL OR best >= least")
+    return needed.select(*searches.columns, *CELL, "least")
+
+
 def recommend_many(
     sales: DataFrame, searches: DataFrame, top_n: int = 5, threshold: float = C.GEM_THRESHOLD,
     predicted: DataFrame | None = None, tie: str = "id_mutation",
@@ -105,19 +151,18 @@ def recommend_many(
     """``recommend`` for a table of searches
     (search_id, budget, wanted, surface_min, surface_max, pieces_min).
 
-    The score does not depend on the search, so gems are found once and only they
-    meet the searches, on the district. The rank filter is applied per task before
-    the shuffle, which then carries at most top_n rows per search and task.
+    The score does not depend on the search, so gems are found once. A search meets the
+    gems of those cells only that can hold one of its best, and of these gems those
+    that reach what is known to be reached (``cells_to_search``). The rank filter is
+    applied per task before the shuffle, which then carries at most top_n rows per
+    search and task.
     """
-    gems = scored_sales(sales, predicted).where(F.col("gem_score") >= threshold)
-    wanted = F.col("wanted")
-    districts = F.when(wanted.isNull(), F.sequence(F.lit(0), F.lit(99))).otherwise(
-        F.sequence(F.greatest(F.lit(1), wanted - 1), F.least(F.lit(20), wanted + 1))
-    )
-    asked = searches.withColumn("arrondissement", F.explode(districts))
-    matches = gems.join(asked, "arrondissement").where(_fits("surface_min", "surface_max", "pieces_min", "budget"))
+    gems = stage(gem_cells(scored_sales(sales, predicted).where(F.col("gem_score") >= threshold)))
+    needed = cells_to_search(cell_index(gems, top_n), searches, top_n)
+    reached = F.col("least").isNull() | (F.col("gem_score") >= F.col("least"))
+    matches = gems.join(needed, CELL).where(reached & _fits("surface_min", "surface_max", "pieces_min", "budget"))
     rank = F.row_number().over(Window.partitionBy("search_id").orderBy(F.desc("gem_score"), tie))
-    return matches.withColumn("rank", rank).where(F.col("rank") <= top_n).transform(_presented)
+    return matches.withColumn("rank", rank).where(F.col("rank") <= top_n).drop("band", "rooms", "total", "least").transform(_presented)
 
 
 # -- listings ---------------------------------------------------------------------------

@@ -372,3 +372,30 @@ def test_cells_are_clustered(spark, tmp_path):
         assert found.count() == 1
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "PartitionFilters: [isnotnull(zone" in plan or "PartitionFilters: [zone" in plan
+
+
+def test_search_batch_is_each_search_and_reads_few_cells(spark):
+    df = stage(sales(spark, n=6000, seed=8, hot=0.3).withColumns({
+        "surface_reelle_bati": 10.0 + F.pmod(F.xxhash64("id_mutation"), F.lit(120)),
+        "prix_m2": F.rint(4000.0 + F.pmod(F.xxhash64("id_mutation", F.lit(2)), F.lit(8000)) / 50) * 1.0,
+        "nombre_pieces_principales": F.when(F.col("id_mutation") % 9 > 0, F.col("nombre_pieces_principales")),
+        "adresse_numero": F.lit("1"), "adresse_nom_voie": F.lit("RUE"),
+    }))
+    predicted = stage(df.withColumn("prix_m2_predit", F.col("prix_m2") * (1.0 + F.floor(F.pmod(F.xxhash64("id_mutation", F.lit(3)), F.lit(60))) / 100)))  # many ties
+    asked = [(i, 2e5 + 5e4 * i, (None, 1, 7, 20, 11)[i % 5], 5.0 * (i % 4), 60.0 + 10 * i, 1 + i % 3) for i in range(12)]
+    asked += [(50, 1e9, 3, 0.0, 1e6, 0), (51, 10.0, 3, 0.0, 500.0, 1), (52, None, 3, 0.0, 500.0, 1)]
+    schema = "search_id int, budget double, wanted int, surface_min double, surface_max double, pieces_min int"
+    searches = spark.createDataFrame(asked, schema)
+    got = {}
+    for r in recommend.recommend_many(df, searches, top_n=4, predicted=predicted).collect():
+        got.setdefault(r.search_id, []).append((r["rank"], r.id_mutation, r.gem_score))
+    for i, budget, wanted, low, high, rooms in asked:
+        want = [] if budget is None else recommend.recommend(df, budget, wanted, low, high, rooms, 4, predicted=predicted).collect()
+        assert sorted(got.get(i, [])) == [(r["rank"], r.id_mutation, r.gem_score) for r in want], i
+    assert set(got) >= {50} and not {51, 52} & set(got)
+    # what a wide search reads does not grow with the gems: far fewer rows than fit it
+    gems = recommend.gem_cells(recommend.scored_sales(df, predicted).where(F.col("gem_score") >= C.GEM_THRESHOLD))
+    wide = searches.where("search_id = 50")
+    needed = recommend.cells_to_search(recommend.cell_index(gems, 4), wide, 4)
+    read = gems.join(needed, recommend.CELL).where("least IS NULL OR gem_score >= least").count()
+    assert 4 <= read < 0.1 * gems.where("arrondissement BETWEEN 2 AND 4").count()
