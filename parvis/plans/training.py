@@ -196,7 +196,7 @@ def fit_huber(learn: DataFrame, valid: DataFrame, trees: GBTRegressor) -> tuple[
 
     Delta is the ``C.HUBER_QUANTILE`` of the first fit's absolute residuals. Rows beyond
     it are weighted with delta / |residual| in the next fit, which is kept if the loss
-    falls; the fits end when it falls by less than a thousandth.
+    falls; the fits end when it falls by less than a hundredth.
     """
     residual = F.col(LABEL) - F.col("prediction")
     model, delta, losses = best_prefix(learn, valid, trees), None, []
@@ -211,7 +211,7 @@ def fit_huber(learn: DataFrame, valid: DataFrame, trees: GBTRegressor) -> tuple[
         if len(losses) > 1 and losses[-1] >= losses[-2]:
             return kept, losses[:-1]
         kept = model
-        if len(losses) > 1 and losses[-1] > 0.999 * losses[-2]:
+        if len(losses) > 1 and losses[-1] > 0.99 * losses[-2]:
             return kept, losses
         weight = F.col(WEIGHT) * F.least(F.lit(1.0), F.try_divide(F.lit(delta), F.abs(residual)))
         again = scored.withColumn(WEIGHT, weight).drop("prediction")
