@@ -12,7 +12,7 @@ from parvis.session import shared_path, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["WORD", "ascii_lower", "fold", "release", "shared_path", "stage", "table", "words"]
+__all__ = ["WORD", "ascii_lower", "fold", "forget", "release", "shared_path", "stage", "table", "words"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,3 +40,11 @@ def release(spark: SparkSession) -> None:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.5)
+
+
+def forget(rows: DataFrame) -> None:
+    """Remove a table of ``stage`` that nothing reads any more."""
+    jvm, conf = rows.sparkSession.sparkContext._jvm, rows.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {name.rpartition("/")[0] for name in rows.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)

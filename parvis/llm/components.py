@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parvis.llm.common import stage
+from parvis.llm.common import forget, stage
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -26,7 +26,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (a, b); a component is named by its least node.
 
     Rows with a null end or with equal ends tell nothing and are left out. Large and
-    small stars alternate until every node hangs on its root; each round is staged.
+    small stars alternate until every node hangs on its root; each round is staged
+    and removed when the next one is written.
     """
     edges = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     if edges.isEmpty():
@@ -36,6 +37,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # stars are final: no node both hangs on another and has one hanging on it, and none hangs on two
         if after.join(after.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty() and after.groupBy("a").count().where("count > 1").isEmpty():
             break
+        forget(edges)
         edges = after
     roots = after.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
-    return stage(after.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots))
+    found = stage(after.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots))
+    forget(edges)
+    forget(after)
+    return found

@@ -25,12 +25,14 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parvis.llm.common import ascii_lower, stage, words
+from parvis.llm.common import ascii_lower, forget, stage, words
 from parvis.llm.components import connected_components
 
 COUNTERS = 1 << 18  # counters of the rarity table: 1 MB, whatever the input
 BLOCK_MEMBERS = 8_192  # classes of an n-gram in one block
 BLOCK_NGRAMS = 1 << 20  # n-grams of the sets in one block of a candidate group
+BITMAP = 1 << 12  # most bits of a parity bitmap, which goes with every shared n-gram of a prefix; any width is a valid bound
+BROADCAST_IDS = 1 << 20  # as many ids at most are broadcast to find their texts: 8 MB; more are joined
 
 
 def ngram_set(text: Column, n: int) -> Column:
@@ -87,7 +89,7 @@ def _keys(sets: DataFrame, percent: int) -> DataFrame:
                 kept = size - -(-percent * size // 100) + 1 if size else 0
                 order = np.lexsort((grams, counts[grams & (COUNTERS - 1)]))[:kept]
                 prefixes.append(grams[order])
-                width = 1 << max(6, (size - 1).bit_length())
+                width = min(1 << max(6, (size - 1).bit_length()), BITMAP)
                 bits = np.bincount((grams >> 24) & (width - 1), minlength=width) & 1
                 bitmaps.append(np.packbits(bits.astype(np.uint8), bitorder="little").tobytes())
             lengths = np.zeros(len(prefixes) + 1, np.int32)
@@ -169,7 +171,9 @@ def candidate_groups(classes: DataFrame, percent: int) -> DataFrame:
     blocks = F.ceil(F.col("n") / BLOCK_MEMBERS)
     paired = _blocks(members, F.pmod(F.xxhash64("node"), blocks), blocks).select("gram", "one", "two", "block", "node", "size", "bitmap")
     ordered = paired.repartition("gram", "one", "two").sortWithinPartitions("gram", "one", "two")
-    return connected_components(ordered.mapInPandas(_tied(percent), "a long, b long"))
+    groups = connected_components(ordered.mapInPandas(_tied(percent), "a long, b long"))
+    forget(grams)
+    return groups
 
 
 class Tree:
@@ -336,14 +340,20 @@ def linked(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 3,
     # a class is told by its own hash from here on, since doc_ids may be repeated
     groups = candidate_groups(classes.select(F.col("h1").alias("node"), "size", "bitmap", "prefix"), percent)
 
-    # the whole sets of the classes in groups, each from one row
+    # the whole sets of the classes in groups, each from one row: the texts first, so that no other text is moved
     wanted = stage(ids.withColumnsRenamed({"node": "doc_id", "h1": "node"}).drop("h2").join(groups, "node"))
-    texts = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(wanted, "doc_id")
-    full = texts.select("node", "component", ngram_set(F.col("text"), n).alias("grams"))
-    full = stage(full.where(F.xxhash64(F.sort_array("grams")) == F.col("node")).dropDuplicates(["node"]))
+    own, count = wanted.select("doc_id").distinct(), wanted.count()
+    texts = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    texts = stage(texts.join(F.broadcast(own) if count <= BROADCAST_IDS else own, "doc_id", "left_semi"))
+    full = texts.join(wanted, "doc_id").select("node", "component", ngram_set(F.col("text"), n).alias("grams"))
+    # compared as a column of a written table, or the hash of every text would become a key of the join
+    sets_of = stage(full)
+    full = sets_of.where(F.xxhash64(F.sort_array("grams")) == F.col("node"))
+    if sets_of.count() > count:  # repeated doc_ids
+        full = stage(full.dropDuplicates(["node"]))
     blocks = full.groupBy("component").agg(F.ceil(F.sum(F.size("grams")) / BLOCK_NGRAMS).alias("blocks"))
     placed = full.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("label", F.col("node"))
-    labels = stage(
+    labels = labelled = stage(
         placed.select("component", "block", "node", "label", "grams").groupBy("component", "block")
         .applyInPandas(_joined(percent), "node long, component long")
     )
@@ -358,6 +368,8 @@ def linked(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 3,
     # back to documents: the least doc_id of a component
     named = ids.withColumnsRenamed({"node": "rep", "h1": "node"}).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = stage(named)
+    for done in (groups, wanted, texts, sets_of, labelled):
+        forget(done)
     if not same.isEmpty():
         joined = connected_components(same.unionByName(named.join(named.groupBy("component").agg(F.min("rep").alias("b")), "component").select(F.col("rep").alias("a"), "b")))
         named = named.join(joined.toDF("rep", "least"), "rep", "left").withColumn("least", F.coalesce("least", "rep"))

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parvis.llm.common import ascii_lower, release, stage
+from parvis.llm.common import ascii_lower, forget, release, stage
 
 END = b"\n"  # holds white space, so it is no word
 PARENTS, CHILDREN = 1 << 10, 1 << 6  # restaurants of one character, and of two for each of them
@@ -399,14 +399,6 @@ def _step(shared, number: int, sweep: bool):
     return step
 
 
-def _forget(rows: DataFrame) -> None:
-    """Removes a table of ``stage`` that a later one has replaced."""
-    jvm, conf = rows.sparkSession.sparkContext._jvm, rows.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for folder in {name.rpartition("/")[0] for name in rows.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def fit(corpus: DataFrame, sweeps: int = 5, burn_in: int = 2, strength: float = 1.0) -> tuple[DataFrame, Model]:
     """Rows of STATE with the summed probabilities of all sweeps after the burn-in, from a merged corpus (word, contexts, sums).
 
@@ -435,11 +427,11 @@ def fit(corpus: DataFrame, sweeps: int = 5, burn_in: int = 2, strength: float =
         joined = asked.join(tables, "context").select("bucket", "context", "customers", "tables")
         before, step = state, _step(spark.sparkContext.broadcast(model), number, number < sweeps)
         state = stage(state.groupBy("bucket").cogroup(joined.groupBy("bucket")).applyInArrow(step, STATE))
-        _forget(before)
+        forget(before)
         del joined, tables
         release(spark)
-    _forget(own)
-    _forget(asked)
+    forget(own)
+    forget(asked)
     return state, model
 
 

@@ -62,6 +62,16 @@ def test_against_all_pairs(spark, monkeypatch, n, percent, small):
     assert sorted(got, key=repr) == sorted(brute(rows, n, percent), key=repr)
 
 
+def test_very_long_texts(spark, monkeypatch):
+    """Far more n-grams than bits in a bitmap; the texts of candidates are joined, not broadcast."""
+    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
+    base = [f"w{i * 7919 % 200_003}" for i in range(200_000)]
+    rows = [(1, base), (2, base[:190_000]), (3, base[:150_000]), (4, [*base[:199_000], *(f"x{i}" for i in range(900))]), (5, [f"y{i}" for i in range(200_000)])]
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.linked(docs).collect()}
+    assert got == {1: (199_998, 1), 2: (189_998, 1), 3: (149_998, 3), 4: (199_898, 1), 5: (199_998, 5)}
+
+
 def test_no_documents(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.linked(docs).collect() == []
