@@ -89,7 +89,7 @@ def _keys(sets: DataFrame, percent: int) -> DataFrame:
                 kept = size - -(-percent * size // 100) + 1 if size else 0
                 order = np.lexsort((grams, counts[grams & (COUNTERS - 1)]))[:kept]
                 prefixes.append(grams[order])
-                width = min(1 << max(6, (size - 1).bit_length()), BITMAP)
+                width = min(1 << max(6, (size * (100 - percent) // 20).bit_length()), BITMAP)  # five bits or more for an n-gram that may differ
                 bits = np.bincount((grams >> 24) & (width - 1), minlength=width) & 1
                 bitmaps.append(np.packbits(bits.astype(np.uint8), bitorder="little").tobytes())
             lengths = np.zeros(len(prefixes) + 1, np.int32)
@@ -165,15 +165,13 @@ def _blocks(rows: DataFrame, block: Column, blocks: Column) -> DataFrame:
 
 def candidate_groups(classes: DataFrame, percent: int) -> DataFrame:
     """(node, component) of classes that may be linked with another one. ``classes``: node, size, bitmap, prefix."""
-    grams = stage(classes.select("node", F.explode("prefix").alias("gram")))
+    grams = classes.select("node", F.explode("prefix").alias("gram"))
     shared = grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
     members = grams.join(shared, "gram").join(classes.select("node", "size", "bitmap"), "node")
     blocks = F.ceil(F.col("n") / BLOCK_MEMBERS)
     paired = _blocks(members, F.pmod(F.xxhash64("node"), blocks), blocks).select("gram", "one", "two", "block", "node", "size", "bitmap")
     ordered = paired.repartition("gram", "one", "two").sortWithinPartitions("gram", "one", "two")
-    groups = connected_components(ordered.mapInPandas(_tied(percent), "a long, b long"))
-    forget(grams)
-    return groups
+    return connected_components(ordered.mapInPandas(_tied(percent), "a long, b long"))
 
 
 class Tree:
