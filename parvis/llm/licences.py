@@ -127,6 +127,10 @@ RULES = (
 )
 
 
+#: nearly all known sentences hold one of them
+WORDS = ("licen", "rights", "permi", "copyright", "notice", "contributors", "cc0", "version", "public domain", "unencumbered")
+
+
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", sentences: dict[str, list[str]] | None = None, rules=RULES) -> DataFrame:
     """One row per document: ``key``, sentence_ids (in text order), licences (in order of the rules, each once).
 
@@ -141,8 +145,8 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", sentences: di
     if len(known) > MAX_SENTENCES:
         raise ValueError(f"{len(known)} sentences; at most {MAX_SENTENCES} are plan constants")
     body = F.lower(F.coalesce(F.col(text), F.lit("")))
-    # cheap test first: a known sentence holds one of these words
-    words = "licen|rights|permi|copyright|notice|contributors|cc0|version|public domain|unencumbered"
+    # cheap test first: a known sentence holds one of these words, or its longest one is added
+    words = "|".join([*WORDS, *sorted({re.escape(max(s.split(), key=len)) for s in known if not any(w in s for w in WORDS)})])
     body = F.when(body.rlike(words), body).otherwise(F.lit(""))
     bare = F.regexp_replace(body, r"(?m)^[^\S\n]*+(?:(?:#|//|/?\*|--|;|%|>|<!--)[#/*;%>!-]*+|(?:dnl|rem)(?=\s))", "")
     cut = F.split(bare, r"\n[^\S\n]*+\n\s*+|[.!?;]+(?=\s|\z)")
@@ -184,7 +188,7 @@ def oracle(rules=RULES) -> str:
 WITH known(sentence, id) AS (VALUES {known}),
 docs AS (SELECT doc_id, row_number() OVER () AS r, regexp_split_to_array(lower(coalesce(text, '')), '\\n|[.!?;]+(\\s|$)') AS cut FROM documents),
 lines AS (SELECT r, unnest(cut) AS line, generate_subscripts(cut, 1) AS pos FROM docs),
-clean AS (SELECT r, pos, trim(regexp_replace(regexp_replace(line, '[^\\pL\\pN.\\-/\\s]+', ' ', 'g'), '\\s+', ' ', 'g')) AS sentence FROM lines WHERE regexp_matches(line, 'licen|rights|permi|copyright|notice|contributors|cc0|version')),
+clean AS (SELECT r, pos, trim(regexp_replace(regexp_replace(line, '[^\\pL\\pN.\\-/\\s]+', ' ', 'g'), '\\s+', ' ', 'g')) AS sentence FROM lines WHERE regexp_matches(line, '{"|".join(WORDS)}')),
 hits AS (SELECT r, list(id ORDER BY pos) AS ids FROM clean JOIN known USING (sentence) GROUP BY r),
 found AS (SELECT doc_id, CASE WHEN ids IS NULL THEN []::VARCHAR[] ELSE ids END AS ids FROM docs LEFT JOIN hits USING (r)),
 {", ".join(steps)}

@@ -213,21 +213,25 @@ def _uniform(key, sweep: int, step: int):
         return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) * 2.0 ** -53
 
 
-def seated(customers, new_weight, discount: float, key, sweep: int):
+def seated(customers, strength: float, others, below, discount: float, key, sweep: int):
     """Tables of each dish after its customers are seated one after the other.
 
-    A customer opens a table with ``new_weight`` against those seated less ``discount``
-    per table. From ``SINGLE`` customers on, a sixteenth of those seated comes at once
+    ``others``: tables of the other dishes of its restaurant; ``below``: the dish's
+    probability in the parent. A customer opens a table with weight (strength + discount
+    * all tables, the dish's own so far among them) * below, against those seated less
+    ``discount`` per table of the dish. From ``SINGLE`` customers on, a sixteenth of those seated comes at once
     and opens the expected number of tables, rounded at random.
     """
     tables = np.minimum(customers, 1).astype(float)
     order = np.argsort(-customers, kind="stable")
-    many, weight, keys, found = customers[order], new_weight[order], key[order], tables[order]
+    rest, each = ((strength + discount * others) * below)[order], np.broadcast_to(discount * below, customers.shape)[order]
+    many, keys, found = customers[order], key[order], tables[order]
     sat, active = 1, int(np.searchsorted(-many, -1, "left"))
     while active:
         run = 1 if sat < SINGLE else sat // 16
         coming = np.minimum(many[:active] - sat, run)
-        chance = weight[:active] / (weight[:active] + sat - discount * found[:active])
+        weight = rest[:active] + each[:active] * found[:active]
+        chance = weight / (weight + sat - discount * found[:active])
         found[:active] += np.floor(coming * chance + _uniform(keys[:active], sweep, sat))
         sat += run
         active = int(np.searchsorted(-many, -sat, "left"))
@@ -272,12 +276,12 @@ class Seats:
     def sweep(self, totals: Totals, number: int) -> None:
         """Reseats all dishes, from the longest contexts to none."""
         m = self.model
-        weight = lambda k, at, t, p: (m.strength + m.discounts[k] * np.maximum(totals.tables[k][at] - t, 0)) * p
-        self.t2 = seated(self.c2, weight(2, self.at2, self.t2, self.predictive(totals, 1)[self.up2]), m.discounts[2], self.key2, 3 * number)
+        others = lambda k, at, t: np.maximum(totals.tables[k][at] - t, 0)
+        self.t2 = seated(self.c2, m.strength, others(2, self.at2, self.t2), self.predictive(totals, 1)[self.up2], m.discounts[2], self.key2, 3 * number)
         self._carry1()
-        self.t1 = seated(self.c1, weight(1, self.at1, self.t1, self.predictive(totals, 0)[self.up1]), m.discounts[1], self.key1, 3 * number + 1)
+        self.t1 = seated(self.c1, m.strength, others(1, self.at1, self.t1), self.predictive(totals, 0)[self.up1], m.discounts[1], self.key1, 3 * number + 1)
         self._carry0()
-        self.t0 = seated(self.c0, weight(0, 0, self.t0, 1.0 / (m.types + 1)), m.discounts[0], self.key0, 3 * number + 2)
+        self.t0 = seated(self.c0, m.strength, others(0, 0, self.t0), 1.0 / (m.types + 1), m.discounts[0], self.key0, 3 * number + 2)
 
 
 class WordSeats(Seats):
@@ -307,8 +311,8 @@ class WordSeats(Seats):
 
     def sweep_words(self, totals: Totals, tables, number: int) -> None:
         m = self.model
-        weight = (m.strength + m.discounts[3] * np.maximum(tables - self.t3, 0)) * self.predictive(totals, 2)[self.up3]
-        self.t3 = seated(self.c3, weight, m.discounts[3], self.key3, 3 * number)
+        below = self.predictive(totals, 2)[self.up3]
+        self.t3 = seated(self.c3, m.strength, np.maximum(tables - self.t3, 0), below, m.discounts[3], self.key3, 3 * number)
         self.c2 = np.bincount(self.up3, self.t3, len(self.at2))
         self.sweep(totals, number)
 

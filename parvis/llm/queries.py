@@ -62,8 +62,9 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The context report over all documents."""
-    return token_counts.context_report(token_counts.length_histogram(table(spark, sf_dir, "documents")))
+    """The context report over all documents, with the quantiles that each length is."""
+    report = token_counts.context_report(token_counts.length_histogram(table(spark, sf_dir, "documents")))
+    return report.withColumn("quantile_of", token_counts.quantile_of())
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

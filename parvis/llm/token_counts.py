@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parvis.llm import bpe
@@ -51,6 +51,13 @@ def context_report(histogram: DataFrame) -> DataFrame:
     )
 
 
+def quantile_of(ranks=RANKS) -> Column:
+    """Over a row of ``context_report``: the ``ranks`` whose quantile its length is, as ``length_quantiles`` has them."""
+    wanted = lambda r: F.ceil(F.lit(r) * F.col("total_docs"))
+    here = [F.when((F.col("docs_up_to") >= wanted(r)) & (F.col("docs_up_to") - F.col("docs") < wanted(r)), F.lit(r)) for r in ranks]
+    return F.filter(F.array(*here), lambda r: r.isNotNull())
+
+
 def length_quantiles(report: DataFrame, ranks=RANKS) -> DataFrame:
     """The smallest length that a share ``rank`` of the documents does not exceed; no rows without documents."""
     wanted = [F.when(F.col("docs_up_to") >= F.ceil(F.lit(r) * F.col("total_docs")), F.col("n_tokens")) for r in ranks]

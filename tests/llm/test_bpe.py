@@ -55,3 +55,5 @@ def test_context_report(spark):
         assert r.dropped_tokens == sum(lengths) - r.truncated_total and r.total_tokens == sum(lengths)
     quantiles = {r.rank: r.n_tokens for r in token_counts.length_quantiles(report).collect()}
     assert quantiles[0.5] == sorted(lengths)[3] and quantiles[0.99] == max(lengths)
+    marked = {q: r.n_tokens for r in report.select("n_tokens", token_counts.quantile_of().alias("ranks")).collect() for q in r.ranks}
+    assert marked == quantiles

@@ -109,3 +109,23 @@ def test_wrapped_notices(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: ",".join(r.licences) for r in licences.scan(docs).collect()}
     assert got == dict(enumerate(texts.values()))
+
+
+def test_sentences_of_the_caller(spark):
+    """Words of the caller's own sentences pass the cheap test as well."""
+    docs = spark.createDataFrame([(1, "Do What You\nWant To."), (2, "do what you can"), (3, "All rights reserved.")], "doc_id long, text string")
+    rules = (licences.Rule("WTF", ("wtf",)),)
+    got = {r.doc_id: (r.sentence_ids, r.licences) for r in licences.scan(docs, sentences={"wtf": ["do what you want to"]}, rules=rules).collect()}
+    assert got == {1: (["wtf"], ["WTF"]), 2: ([], []), 3: ([], [])}
+
+
+def test_every_known_sentence_is_found_alone(spark, tmp_path):
+    """In Spark and in SQL, whose cheap test has the same words."""
+    known = [(i, s) for i, group in licences.SENTENCES.items() for s in group]
+    docs = spark.createDataFrame([(k, f"{s.capitalize()}.") for k, (_, s) in enumerate(known)], "doc_id long, text string")
+    got = {r.doc_id: r.sentence_ids for r in licences.scan(docs).collect()}
+    assert got == {k: [i] for k, (i, _) in enumerate(known)}
+    docs.write.parquet(str(tmp_path / "documents"))
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+        assert dict(db.execute(f"SELECT doc_id, sentence_ids FROM ({licences.oracle()})").fetchall()) == {k: i for k, (i, _) in enumerate(known)}

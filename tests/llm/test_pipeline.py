@@ -33,6 +33,17 @@ def test_one_of_each_group_stays(spark):
     assert sorted(repr(r.doc_id) for r in got) == ["2", "5", "7", "8", "None"]
 
 
+def test_rows_that_share_a_doc_id(spark):
+    """Unlinked texts of one doc_id all stay; linked ones and copies go, whatever their ids."""
+    words = [f"w{i}" for i in range(60)]
+    a, near, b, c = " ".join(words), " ".join([*words[:59], "other"]), " ".join(f"b{i}" for i in range(40)), " ".join(f"c{i}" for i in range(40))
+    rows = [(1, a), (1, b), (1, near), (1, b), (2, b), (3, c), (4, c), (4, "one more text"), (5, None), (5, ""), (5, ""), (6, a), (None, a), (None, "x")]
+    docs = spark.createDataFrame([(d, t, "en", None, 0) for d, t in rows], SCHEMA)
+    got = sorted(((r.doc_id, r.text) for r in pipeline.near_duplicates(spark, docs, DATA).collect()), key=repr)
+    assert [g for g in got if g[0] == 1 and g[1] != b] in ([(1, a)], [(1, near)])
+    assert [g for g in got if g[0] != 1 or g[1] == b] == sorted([(1, b), (3, c), (4, "one more text"), (5, None), (5, ""), (None, a), (None, "x")], key=repr)
+
+
 @pytest.mark.parametrize("name", [n for n, _ in pipeline.STAGES])
 def test_empty_and_odd_rows(spark, name):
     apply = dict(pipeline.STAGES)[name]

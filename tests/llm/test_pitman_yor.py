@@ -72,18 +72,20 @@ def test_probabilities_sum_to_one():
             assert math.isclose(p[contexts == c].sum(), 1.0, rel_tol=1e-9)
 
 
-def test_seating_matches_one_by_one():
+@pytest.mark.parametrize(("customers", "discount", "others", "below"), [(5, 0.5, 0, 0.3), (60, 0.5, 3, 0.8), (20, 0.7, 0, 0.5), (60, 0.8, 0, 0.3), (2000, 0.8, 0, 0.3), (3000, 0.5, 40, 0.1)])
+def test_seating_matches_the_process(customers, discount, others, below):
+    """Against customers that choose one after the other among the tables of their dish and a new one."""
     rng = random.Random(1)
-    for customers, weight in ((5, 0.3), (60, 2.0), (3000, 4.0)):
-        key = np.arange(400, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        fast = pitman_yor.seated(np.full(400, float(customers)), np.full(400, weight), 0.5, key, 0).mean()
-        slow = 0
-        for _ in range(400):
-            tables = 1
-            for sat in range(1, customers):
-                tables += rng.random() < weight / (weight + sat - 0.5 * tables)
-            slow += tables / 400
-        assert abs(fast - slow) < 0.06 * slow + 0.1
+    key = np.arange(600, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    fast = pitman_yor.seated(np.full(600, float(customers)), 1.0, np.full(600, float(others)), np.full(600, below), discount, key, 0).mean()
+    slow = 0
+    for _ in range(600):
+        tables = 1
+        for sat in range(1, customers):
+            new = (1.0 + discount * (others + tables)) * below
+            tables += rng.random() < new / (new + sat - discount * tables)
+        slow += tables / 600
+    assert abs(fast - slow) < 0.06 * slow + 0.15
 
 
 def test_nothing_to_learn(spark):
