@@ -8,11 +8,13 @@ columns of ``docs``; the last returns the encoding of each document left.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from parvis.llm import bpe, decontaminate, ngram_join, quality, toxicity
 from parvis.llm.common import stage, table
 
 SHINGLE, PERCENT = 5, 80  # near duplicates: words in a shingle, least similarity
+KEY, TEXT_KEY = "_row", 1 << 62  # column and least value of the keys of rows that share a doc_id
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,11 +28,25 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least doc_id, once; rows without a doc_id stay."""
-    links = ngram_join.linked(docs, n=SHINGLE, percent=PERCENT)
-    kept = links.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+    """Of each group of linked documents the one with the least doc_id, once; rows without a doc_id stay.
+
+    Rows that share a doc_id are documents of their own: each of their texts is linked
+    by itself, and those that are not linked with each other stay. Of equal rows one stays.
+    """
+    named, nameless = docs.where("doc_id IS NOT NULL"), docs.where("doc_id IS NULL")
+    shared = stage(named.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if shared.isEmpty():
+        links = ngram_join.linked(named, n=SHINGLE, percent=PERCENT)
+        kept = links.where("doc_id = component_id").select("doc_id")
+        return named.join(kept, "doc_id", "left_semi").unionByName(nameless).select(docs.columns)
+    single = named.join(shared, "doc_id", "left_anti")
+    own = F.xxhash64("doc_id", "text").bitwiseOR(F.lit(TEXT_KEY)).bitwiseAND(F.lit((1 << 63) - 1))
+    several = stage(named.join(shared, "doc_id", "left_semi").withColumn(KEY, own).dropDuplicates([KEY]))
+    rows = single.withColumn(KEY, F.col("doc_id")).unionByName(several)
+    links = ngram_join.linked(rows, key=KEY, n=SHINGLE, percent=PERCENT).withColumnRenamed("doc_id", KEY)
+    ids = links.join(several.select(KEY, "doc_id"), KEY, "left").withColumn("doc_id", F.coalesce("doc_id", KEY))
+    kept = ids.groupBy("component_id").agg(F.min(F.struct("doc_id", KEY)).alias("least")).select(F.col(f"least.{KEY}").alias(KEY))
+    return rows.join(kept, KEY, "left_semi").drop(KEY).unionByName(nameless).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
