@@ -8,6 +8,6 @@ def all_queries():
 
     from parvis.catalog.registry import REGISTRY
 
-    for module in ("sales", "feature", "error", "gem", "place", "page", "model", "source"):
+    for module in ("sales", "feature", "error", "gem", "place", "page", "model", "source", "request"):
         import_module(f"parvis.catalog.{module}_queries")
     return dict(REGISTRY)

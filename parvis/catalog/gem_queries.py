@@ -195,9 +195,7 @@ def coordinate_snap(spark, d):
     return R.snap_coordinates(V.requests(spark, d)).select("id_mutation", "l_linenumber", "l_partkey", "snapped", "latitude", "longitude")
 
 
-@query(
-    views="requests",
-    sql="""SELECT id_mutation, l_linenumber, l_partkey, l_suppkey, concat_ws(',',
+ERRORS_SQL = """concat_ws(',',
  CASE WHEN NOT coalesce(surface > 0 AND surface <= 2000, false) THEN 'surface' END,
  CASE WHEN NOT coalesce(pieces BETWEEN 1 AND 20, false) THEN 'pieces' END,
  CASE WHEN NOT coalesce(arrondissement BETWEEN 1 AND 20, false) THEN 'arrondissement' END,
@@ -207,7 +205,12 @@ def coordinate_snap(spark, d):
  CASE WHEN NOT coalesce(mois BETWEEN 1 AND 12, false) THEN 'mois' END,
  CASE WHEN NOT coalesce(trimestre BETWEEN 1 AND 4, false) THEN 'trimestre' END,
  CASE WHEN NOT coalesce(nombre_lots BETWEEN 1 AND 10, false) THEN 'nombre_lots' END,
- CASE WHEN NOT coalesce(prix_affiche > 0, true) THEN 'prix_affiche' END) AS errors FROM requests""",
+ CASE WHEN NOT coalesce(prix_affiche > 0, true) THEN 'prix_affiche' END)"""
+
+
+@query(
+    views="requests",
+    sql=f"SELECT id_mutation, l_linenumber, l_partkey, l_suppkey, {ERRORS_SQL} AS errors FROM requests",
 )
 def request_validation(spark, d):
     return cleaning.validate_requests(V.requests(spark, d)).select(

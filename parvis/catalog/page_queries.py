@@ -275,19 +275,30 @@ def listing_features(spark, d):
 _SPOTS = _points(C.CENTROIDS)
 
 
-@query(
-    views="listing_pages",
-    sql=f"""WITH {_EXTRACT_SQL}, {_FEATURES_SQL},
+_NO_VISION = """(SELECT CAST(NULL AS BIGINT) AS page_id, CAST(NULL AS INT) AS vision_score, CAST(NULL AS STRING) AS luminosite, CAST(NULL AS STRING) AS hauteur_plafond,
+ CAST(NULL AS STRING) AS qualite_generale)"""
+
+
+def analysis_sql(vision: str, price: str, joins: str = "", more: str = "") -> str:
+    """Tables up to ``adjusted``: every page with its prices, also of incomplete pages."""
+    return f"""{_EXTRACT_SQL}, {_FEATURES_SQL},
 full_rows AS (SELECT e.page_id, concat_ws(',', CASE WHEN NOT coalesce(prix > 0, false) THEN 'prix' END, CASE WHEN NOT coalesce(surface > 0, false) THEN 'surface' END,
   CASE WHEN NOT coalesce(arrondissement BETWEEN 1 AND 20, false) THEN 'arrondissement' END) AS missing,
  prix AS prix_annonce, surface, coalesce(pieces, CASE WHEN surface IS NULL THEN NULL WHEN surface < 35 THEN 1 WHEN surface < 55 THEN 2 WHEN surface < 75 THEN 3 WHEN surface < 100 THEN 4 WHEN surface < 130 THEN 5
   ELSE greatest(6, CAST(round_even(surface / 22, 0) AS INT)) END) AS pieces, arrondissement, coalesce(CASE WHEN longitude IS NOT NULL THEN latitude END, clat, 48.8566e0) AS latitude,
- coalesce(CASE WHEN latitude IS NOT NULL THEN longitude END, clon, 2.3522e0) AS longitude, days_on_market, etage, dpe_classe, renovation_score, exposition, CAST(NULL AS INT) AS vision_score, CAST(NULL AS STRING) AS luminosite, CAST(NULL AS STRING) AS hauteur_plafond,
- CAST(NULL AS STRING) AS qualite_generale, {_FALLBACK} AS prix_m2_predit
- FROM extracted e JOIN feats USING (page_id) LEFT JOIN {_SPOTS} USING (arrondissement)),
+ coalesce(CASE WHEN latitude IS NOT NULL THEN longitude END, clon, 2.3522e0) AS longitude, days_on_market, etage, dpe_classe, renovation_score, exposition, vision_score, luminosite, hauteur_plafond,
+ qualite_generale, {more} {price} AS prix_m2_predit
+ FROM extracted e JOIN feats USING (page_id) LEFT JOIN {_SPOTS} USING (arrondissement)
+ LEFT JOIN {vision} USING (page_id) {joins}),
 factors AS ({FACTORS_SQL.format(source='full_rows')}), priced AS ({PRICED_SQL}),
-done AS (SELECT page_id, CASE WHEN missing = '' THEN 'complete' ELSE 'needs_input' END AS status, missing, CAST(pieces AS INT) AS pieces, latitude, longitude, prix_corrige_m2, prix_net_m2,
- negotiation_margin, {ADJUSTED_SQL} FROM priced)
+adjusted AS (SELECT priced.*, CASE WHEN missing = '' THEN 'complete' ELSE 'needs_input' END AS status, {ADJUSTED_SQL} FROM priced)"""
+
+
+@query(
+    views="listing_pages",
+    sql=f"""WITH {analysis_sql(_NO_VISION, _FALLBACK)},
+done AS (SELECT page_id, status, missing, CAST(pieces AS INT) AS pieces, latitude, longitude, prix_corrige_m2, prix_net_m2,
+ negotiation_margin, gem_score, prix_predit_total, gain_potentiel FROM adjusted)
 SELECT * REPLACE ({', '.join(f"CASE WHEN status = 'complete' THEN {c} END AS {c}" for c in ("prix_corrige_m2", "prix_net_m2", "gem_score", "prix_predit_total", "gain_potentiel"))}) FROM done""",
     digits={"prix_corrige_m2 prix_net_m2": 3, "gem_score latitude longitude": 6},
 )

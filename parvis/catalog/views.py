@@ -193,6 +193,7 @@ REQUEST = {
     "trimestre": "l_linenumber % 6",
     "nombre_lots": "CAST(l_partkey % 12 AS INT)",
     "prix_affiche": "CASE WHEN l_suppkey % 4 > 0 THEN l_extendedprice - 5000.0e0 END",
+    "adresse_code_voie": "CASE CAST(l_partkey % 3 AS INT) WHEN 0 THEN CAST(l_suppkey AS STRING) WHEN 1 THEN 'ZZZZ' END",
 }
 
 PLACE = {

@@ -37,10 +37,12 @@ def linear_contributions(model: PriceModel, features: DataFrame, k: int | None =
     return out if k is None else out.withColumn("contributions", top_contributions("contributions", k))
 
 
-def occlusion_contributions(model: PriceModel, features: DataFrame, k: int | None = 8) -> DataFrame:
-    """Contributions of any model: the change in price when a feature is set to
-    its mean. One scan of the table: the model is applied to each variant column-wise."""
-    means = features.agg(*[F.avg(c).alias(c) for c in model.columns]).first()
+def occlusion_contributions(
+    model: PriceModel, features: DataFrame, k: int | None = 8, baseline: dict[str, float] | None = None
+) -> DataFrame:
+    """Contributions of any model: the change in price when a feature is set to its value
+    in ``baseline``, without one to its mean. The model is applied to each variant column-wise."""
+    means = baseline or features.agg(*[F.avg(c).alias(c) for c in model.columns]).first()
     out = model.predict(features)
     for c in model.columns:
         kept = out.withColumns({"_kept": F.col(c), c: F.lit(float(means[c]))})

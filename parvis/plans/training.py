@@ -46,13 +46,17 @@ class PriceModel:
         made = [s for s in scored.columns if s not in features.columns]
         return scored.withColumn(output, F.expm1(raw) if self.log_target else raw).drop(*[m for m in made if m != output])
 
-    def score(self, rows: DataFrame, output: str = "prix_m2_predit") -> DataFrame:
-        """Lookups, features, model and inverse target for raw rows. Rows keep
-        their columns as they are. A point that is missing counts as the centre, any
-        other missing feature as its median in training, so no row is lost."""
+    def matrix(self, rows: DataFrame) -> DataFrame:
+        """Lookups and features of raw rows, which are kept as they are in ``_row``. A
+        point that is missing counts as the centre, any other missing feature as its
+        median in training, so no row is lost."""
         featured = featurise(rows.select("*", F.struct("*").alias("_row")), self.encodings)
         filled = [F.coalesce(F.col(c).cast("double"), F.lit(self.defaults.get(c, 0.0))).alias(c) for c in self.columns]
-        return self.predict(featured.select("_row", *filled), output).select("_row.*", output)
+        return featured.select("_row", *filled)
+
+    def score(self, rows: DataFrame, output: str = "prix_m2_predit") -> DataFrame:
+        """Lookups, features, model and inverse target for raw rows, see ``matrix``."""
+        return self.predict(self.matrix(rows), output).select("_row.*", output)
 
 
 @dataclass
