@@ -6,7 +6,7 @@ its place in the element tree. A linear classifier turns what is seen of a block
 calling it boilerplate and that of calling it content; they become the capacities to
 source and sink. Blocks that follow each other, and blocks that follow each other
 within one parent, are tied by capacities that shrink with their distance in the
-tree, so a short block goes with its neighbours. The minimum cut is the labelling of
+tree, so a short block goes with its neighbours; a heading goes with what follows. The minimum cut is the labelling of
 least total cost; it is found by blocking flows.
 
 What a form or a bad name says against the blocks inside does not count where the
@@ -17,7 +17,7 @@ that is a wrapper, not boilerplate.
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from html import unescape
 
 from pyspark.sql import Column, DataFrame
@@ -46,23 +46,35 @@ BAD_NAMES = {
     "responses", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "tags", "toolbar", "widget",
 }
 GOOD_NAME, BAD_NAME = 1.5, -8.0
+LINKED, LINKED_INSIDE = 4.5, 2.0  # what a block that is all links loses, and what it loses in an article
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: a heading that says that what follows is by readers
+COMMENTS = re.compile(r"\W*(?:\d+ )?(?:(?:reader |recent )?comments?|leave a (?:comment|reply)|responses|(?:leser)?kommentare?|commentaires?|comentarios?|commenti|coment[aá]rios?)(?: ?\(?\d+\)?)?\W*", re.I)
 WRAPPERS = {"form", "fieldset"}  # may hold a whole page
 MOST, LEFT = 0.5, 0.25  # a wrapper's least share of the page's text; most content outside it, as a share of the text inside
-NEXT, SIBLING = 1.0, 0.7  # strength of ties between blocks
+NEXT, SIBLING, BREAK = 1.0, 0.7, 0.5  # strength of ties between blocks, and what a heading leaves of its ties to what it follows
 
 
 class Block:
-    """Text of a block with what the classifier sees."""
+    """Text of a block with what the classifier sees. ``place`` is the element it lies in,
+    as (number, place of the parent, depth, tag); ``against`` the innermost element that may be
+    a wrapper, as (number, what it says, the next one around it)."""
 
-    __slots__ = ("text", "linked", "around", "path", "heading", "against")
+    __slots__ = ("text", "linked", "around", "place", "inside", "against")
 
-    def __init__(self, text: str, linked: int, around: float, path: tuple[int, ...], heading: bool, against: tuple = ()) -> None:
-        self.text, self.linked, self.around, self.path, self.heading, self.against = text, linked, around, path, heading, against
+    def __init__(self, text: str, linked: int, around: float, place: tuple, inside: bool = False, against: tuple | None = None) -> None:
+        self.text, self.linked, self.around, self.place, self.inside, self.against = text, linked, around, place, inside, against
+
+    @property
+    def heading(self) -> bool:
+        return self.place[3] in HEADINGS
 
     def score(self) -> float:
-        """Above 0 for content: more words, less linked text, better company."""
+        """Above 0 for content: more words, less linked text, better company. Text that is
+        short, not linked and in no bad company is content; links count less in an article."""
         words = self.text.count(" ") + 1
-        return -0.5 + min(words, 30) / 10 - 4.0 * self.linked / len(self.text) + 0.5 * self.heading + self.around
+        linked = (LINKED_INSIDE if self.inside else LINKED) * self.linked / len(self.text)
+        return min(words, 30) / 10 - linked + 0.5 * self.heading + self.around
 
 
 def _element(tag: str, attributes: str, inside_article: bool) -> tuple[float, float]:
@@ -83,36 +95,69 @@ def _element(tag: str, attributes: str, inside_article: bool) -> tuple[float, fl
 
 
 def _unwrap(found: list[Block]) -> None:
-    """Takes from the blocks what wrappers say against them, from the outermost element to the innermost."""
-    inside: dict[tuple[int, float], int] = {}
+    """Takes from the blocks what wrappers say against them, from the outermost element to the innermost.
+
+    Elements that hold most of the text lie in each other, so one pass outside in is enough.
+    """
+    nodes: dict[int, tuple] = {}
+    inside: Counter[int] = Counter()
     for block in found:
-        for element in block.against:
-            inside[element] = inside.get(element, 0) + len(block.text)
+        node = block.against
+        if node:
+            inside[node[0]] += len(block.text)
+        while node and node[0] not in nodes:
+            nodes[node[0]] = node
+            node = node[2]
+    for number in sorted(nodes, reverse=True):
+        if nodes[number][2]:
+            inside[nodes[number][2][0]] += inside[number]
     size = sum(len(b.text) for b in found)
-    for element in sorted(e for e, n in inside.items() if n > MOST * size):
-        outside = sum(len(b.text) for b in found if element not in b.against and b.score() > 0)
-        if outside < LEFT * inside[element]:
-            for block in found:
-                if element in block.against:
-                    block.around -= element[1]
+    large = [n for n in sorted(nodes) if inside[n] > MOST * size]
+    within = {n: k for k, n in enumerate(large, 1)}  # how many of the large elements an element lies in
+    for number in sorted(nodes):
+        if number not in within:
+            within[number] = within[nodes[number][2][0]] if nodes[number][2] else 0
+    groups: list[list[Block]] = [[] for _ in range(len(large) + 1)]
+    for block in found:
+        groups[within[block.against[0]] if block.against else 0].append(block)
+    outside, undone = 0, 0.0
+    for group, number in zip(groups, [*large, None]):
+        for block in group:
+            block.around -= undone
+            outside += len(block.text) if block.score() > 0 else 0
+        if number is not None and outside < LEFT * inside[number]:
+            undone += nodes[number][1]
 
 
 def blocks(html: str) -> list[Block]:
     """The blocks of a page in order; scripts, styles, form controls, comments and the head have none."""
     found: list[Block] = []
-    # tag, number, sum of what elements say, inside an article, elements that may be wrappers
-    stack: list[tuple[str, int, float, bool, tuple]] = [("", 0, 0.0, False, ())]
+    root = (0, None, 0, "")
+    # tag, number, sum of what elements say, inside an article, elements that may be wrappers, block-level place
+    stack: list[tuple[str, int, float, bool, tuple | None, tuple]] = [("", 0, 0.0, False, None, root)]
+    opened: Counter[str] = Counter()
+    readers: tuple[int, tuple] | None = None  # where in the stack the element lies whose rest is by readers
     parts: list[str] = []
     linked = links = number = 0
     in_head = False
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, readers
         if parts:
             text = SPACE.sub(" ", "".join(parts)).strip()
             if text and not in_head:
-                holders = [e for e in stack if e[0] in BLOCK or not e[0]]
-                found.append(Block(text, min(linked, len(text)), stack[-1][2], tuple(e[1] for e in holders), len(holders[-1][0]) == 2 and holders[-1][0][0] == "h", stack[-1][4]))
+                _, _, around, inside, against, place = stack[-1]
+                if readers and (len(stack) <= readers[0] or stack[readers[0]][5] is not readers[1]):
+                    readers = None
+                if place[3] in HEADINGS and not inside:
+                    if readers and place[1] is readers[1]:
+                        readers = None
+                    if COMMENTS.fullmatch(text):
+                        k = len(stack) - 1
+                        while stack[k][5] is place:
+                            k -= 1
+                        readers = (k, stack[k][5])
+                found.append(Block(text, min(linked, len(text)), around + (BAD_NAME if readers else 0.0), place, inside, against))
             parts.clear()
         linked = 0
 
@@ -145,9 +190,9 @@ def blocks(html: str) -> list[Block]:
             elif tag in BLOCK:
                 flush()
                 in_head = in_head and tag == "html"
-                _close(stack, "p", {"button", "table", "td", "th", "caption"})
+                _close(stack, opened, "p", {"button", "table", "td", "th", "caption"})
                 if tag in ("li", "dd", "dt", "tr", "td", "th"):
-                    _close(stack, tag, {"ul", "ol", "dl", "table", "menu", "tr"} - {tag})
+                    _close(stack, opened, tag, {"ul", "ol", "dl", "table", "menu", "tr"} - {tag})
             elif tag == "br":
                 parts.append(" ")
             if tag == "a":
@@ -156,7 +201,9 @@ def blocks(html: str) -> list[Block]:
                 number += 1
                 top = stack[-1]
                 says, against = _element(tag, match[3], top[3])
-                stack.append((tag, number, top[2] + says, top[3] or tag == "article", (*top[4], (number, against)) if against else top[4]))
+                place = (number, top[5], top[5][2] + 1, tag) if tag in BLOCK else top[5]
+                stack.append((tag, number, top[2] + says, top[3] or tag == "article", (number, against, top[4]) if against else top[4], place))
+                opened[tag] += 1
         else:
             if tag == "head":
                 parts.clear()
@@ -165,16 +212,19 @@ def blocks(html: str) -> list[Block]:
                 flush()
             if tag == "a" and links:
                 links -= 1
-            _close(stack, tag, {"table", "body"} - {tag} if tag not in ("html", "body") else set())
+            _close(stack, opened, tag, {"table", "body"} - {tag} if tag not in ("html", "body") else set())
     flush()
     _unwrap(found)
     return found
 
 
-def _close(stack: list, tag: str, walls: set[str]) -> None:
+def _close(stack: list, opened: Counter[str], tag: str, walls: set[str]) -> None:
     """Closes the nearest open ``tag`` and all inside it, unless one of ``walls`` stands between."""
+    if not opened[tag]:
+        return
     for k in range(len(stack) - 1, 0, -1):
         if stack[k][0] == tag:
+            opened.subtract(e[0] for e in stack[k:])
             del stack[k:]
             return
         if stack[k][0] in walls:
@@ -247,17 +297,28 @@ def minimum_cut(gain: list[float], ties: list[tuple[int, int, float]]) -> list[b
                 break
 
 
+def _steps(a: tuple, b: tuple) -> int:
+    """Steps in the tree from one place to the other. Blocks are in page order, so all steps
+    between neighbours together go over each element at most twice."""
+    steps = 0
+    while a is not b:
+        if a[2] >= b[2]:
+            a, steps = a[1], steps + 1
+        else:
+            b, steps = b[1], steps + 1
+    return steps
+
+
 def tied(found: list[Block]) -> list[tuple[int, int, float]]:
     """Ties between blocks: to the next one, and to the next one within the same parent."""
     ties, last = [], {}
     for i, block in enumerate(found):
+        share = BREAK if block.heading else 1.0
         if i:
-            a, b = found[i - 1].path, block.path
-            same = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-            ties.append((i - 1, i, NEXT / (1 + (len(a) - same) + (len(b) - same))))
-        parent = block.path[-2] if len(block.path) > 1 else 0
+            ties.append((i - 1, i, share * NEXT / (1 + _steps(found[i - 1].place, block.place))))
+        parent = block.place[1][0] if block.place[1] else 0
         if last.get(parent, i - 1) != i - 1:
-            ties.append((last[parent], i, SIBLING))
+            ties.append((last[parent], i, share * SIBLING))
         last[parent] = i
     return ties
 
@@ -281,6 +342,7 @@ def extract(html: Column) -> Column:
 
 
 def extracted(pages: DataFrame, html: str = "html") -> DataFrame:
-    """``pages`` without ``html``, with text and n_chars (code points of text)."""
+    """``pages`` without ``html``, with text and n_chars (code points of text). Columns of
+    these two names are replaced; a null or empty page has an empty text; every row stays."""
     rows = pages.withColumn("text", extract(F.col(html))).withColumn("n_chars", F.length("text").cast("long"))
     return rows.drop(html)

@@ -77,3 +77,72 @@ def test_large_boilerplate_stays_out():
 def test_math_and_object_are_content():
     page = f"<article><p>{LONG} <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p><object data=a.swf><param name=b><p>Said in other words.</p></object></article>"
     assert main_text.main_text(page) == f"{LONG} x=1\nSaid in other words."
+
+
+def test_short_texts_and_lists_of_links_stay():
+    assert main_text.main_text("<div><p>Short note here.</p></div>") == "Short note here."
+    assert main_text.main_text(f"<body><p>{LONG}</p><p>Ok.</p></body>") == f"{LONG}\nOk."
+    links = "".join(f"<li><a href=/{i}>Source {i}</a></li>" for i in range(6))
+    assert main_text.main_text(f"<article><p>{LONG}</p><ul>{links}</ul></article>").split("\n") == [LONG, *[f"Source {i}" for i in range(6)]]
+    assert main_text.main_text(f"<article><p>{LONG}</p><nav><ul>{links}</ul></nav></article><div><ul>{links}</ul></div>") == LONG
+
+
+def test_what_follows_a_heading_of_comments_is_by_readers():
+    comments = f"<ol>{'<li>' + LONG + ' Indeed!</li>'}</ol>"
+    for heading in ("Comments (3)", "12 comments", "Kommentare:", "Leave a reply", "3 commentaires"):
+        assert main_text.main_text(f"<article><p>{LONG}</p></article><section><h2>{heading}</h2>{comments * 3}</section>") == LONG
+        assert main_text.main_text(f"<p>{LONG}</p><h3>{heading}</h3>{comments}<h3>After</h3><p>{LONG} No.</p>") == f"{LONG}\nAfter\n{LONG} No."
+    for heading in ("Comments on the budget", "Responses of the cell"):
+        assert heading in main_text.main_text(f"<p>{LONG}</p><h3>{heading}</h3><p>{LONG}</p>")
+    assert main_text.main_text(f"<article><p>{LONG}</p><h2>Comments</h2><p>{LONG}</p></article>").count(LONG) == 2
+
+
+def test_wrappers_one_by_one():
+    """The pass outside in against taking every element in turn."""
+    rng = random.Random(5)
+
+    def slow(found):
+        chains = [[] for _ in found]
+        for chain, block in zip(chains, found):
+            node = block.against
+            while node:
+                chain.append(node[:2])
+                node = node[2]
+        size = sum(len(b.text) for b in found)
+        for element in sorted({e for c in chains for e in c}):
+            holds = sum(len(b.text) for b, c in zip(found, chains) if element in c)
+            if holds > main_text.MOST * size and sum(len(b.text) for b, c in zip(found, chains) if element not in c and b.score() > 0) < main_text.LEFT * holds:
+                for b, c in zip(found, chains):
+                    b.around -= element[1] if element in c else 0
+
+    place, seen = (0, None, 0, ""), set()
+    for _ in range(300):
+        nodes = [None]
+        for n in range(1, rng.randint(2, 9)):
+            nodes.append((n, rng.choice([-8.0, -9.0]), rng.choice([nodes[-1], rng.choice(nodes)])))
+
+        def make():
+            made = []
+            for length, node, linked in picks:
+                total, at = 0.0, node
+                while at:
+                    total, at = total + at[1], at[2]
+                made.append(main_text.Block("w " * length + "w", linked, total, place, False, node))
+            return made
+
+        picks = [(rng.randint(1, 200), rng.choice([nodes[-1], rng.choice(nodes)]), rng.choice([0, 0, 1])) for _ in range(rng.randint(1, 8))]
+        fast, want = make(), make()
+        main_text._unwrap(fast)
+        slow(want)
+        assert [b.around for b in fast] == [b.around for b in want]
+        seen.add(any(b.around != c.around for b, c in zip(fast, make())))
+    assert seen == {True, False}
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    for unit in ("<div>x ", "<div class=sidebar>x ", "<form>x ", "<ul><li>x ", "<p>x<span>"):
+        started = time.process_time()
+        main_text.main_text(unit * 20_000)
+        assert time.process_time() - started < 20, unit
