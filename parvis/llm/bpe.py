@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 END = "\x00"  # never a symbol of the byte alphabet
 CACHED = 400_000  # words a Python worker remembers; only speed depends on it
+TEXTS = 256  # texts of a batch encoded and decoded at once
 
 
 def byte_symbols() -> list[str]:
@@ -236,10 +237,14 @@ def round_trip(text: Column, path: str) -> Column:
     """A struct of the token ids of ``text`` and what they decode to, in one call per batch."""
     import pyarrow as pa
 
-    def both(texts):
+    def part(texts):
         ids = _ids(encoder(path), texts)
         return pa.StructArray.from_arrays([ids, _texts(path, ids)], ["ids", "decoded"])
 
+    def both(texts):
+        # some texts at a time, so that the token strings of a whole batch are never held at once
+        return pa.concat_arrays([part(texts.slice(i, TEXTS)) for i in range(0, max(len(texts), 1), TEXTS)])
+
     both.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(both, "ids array<int>, decoded string")(text)
 

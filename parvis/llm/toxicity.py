@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +24,7 @@ from parvis.llm.common import stage
 
 SLOTS = 1 << 18  # hashed features
 PIECE = 40  # tokens in a training piece
+FRAME = 1 << 15  # rows of marks, or tokens of pieces, from which on a worker hands them over
 SCHEMA = "struct<score: double, spans: array<struct<start: int, stop: int, probability: double>>>"
 
 
@@ -82,25 +84,50 @@ def _labelled_texts(docs: DataFrame, labels: DataFrame, text: str, key: str, sam
     return docs.select(F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h")).join(F.broadcast(drawn), "h").dropDuplicates(["h"]).select("text", "toxic")
 
 
+def _seen(batches: Iterator) -> Iterator:
+    """(mark, toxic, number, before) of each text, each once a text. A frame goes on when it is full, so that a worker holds few texts' marks."""
+    import pandas as pd
+
+    names = ["mark", "toxic", "number", "before"]
+    for frame in batches:
+        rows = []
+        for text, toxic in zip(frame["text"], frame["toxic"]):
+            own, before, number = set(), "", zlib.crc32(text.encode("utf-8", "surrogatepass"))
+            for word in map(core, text.split()):
+                last = zlib.crc32(before.encode("utf-8", "surrogatepass"))
+                own.update((mark, bool(toxic), number, last) for mark in marks(word))
+                before = word
+            rows.extend(own)
+            if len(rows) >= FRAME:
+                yield pd.DataFrame(rows, columns=names)
+                rows = []
+        yield pd.DataFrame(rows, columns=names)
+
+
+def _cut(batches: Iterator, known: set[str]) -> Iterator:
+    """(words, tags) of the pieces of each text. A frame goes on when its pieces have many tokens."""
+    import pandas as pd
+
+    for frame in batches:
+        rows, size = [], 0
+        for text, bad in zip(frame["text"], frame["toxic"]):
+            words = text.split()
+            for i in range(0, len(words), PIECE):
+                piece = words[i:i + PIECE]
+                rows.append((piece, "".join("01"[bad and any(m in known for m in marks(core(w)))] for w in piece)))
+            size += len(words)
+            if size >= FRAME:
+                yield pd.DataFrame(rows, columns=["words", "tags"])
+                rows, size = [], 0
+        yield pd.DataFrame(rows, columns=["words", "tags"])
+
+
 def _toxic_marks(texts: DataFrame) -> set[str]:
     """Marks of toxic words: many different neighbours in toxic texts, nearly none in others. Bounded by the sample."""
-    def seen(batches):
-        import pandas as pd
-
-        for frame in batches:
-            rows = set()
-            for text, toxic in zip(frame["text"], frame["toxic"]):
-                before, number = "", zlib.crc32(text.encode("utf-8", "surrogatepass"))
-                for word in map(core, text.split()):
-                    for mark in marks(word):
-                        rows.add((mark, bool(toxic), number, zlib.crc32(before.encode("utf-8", "surrogatepass"))))
-                    before = word
-            yield pd.DataFrame(list(rows), columns=["mark", "toxic", "number", "before"])
-
     total = {r.toxic: r.n for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not total.get(True):
         return set()
-    rows = texts.mapInPandas(seen, "mark string, toxic boolean, number long, before long")
+    rows = texts.mapInPandas(_seen, "mark string, toxic boolean, number long, before long")
     pairs = rows.groupBy("mark", "before").agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("c"))
     stats = pairs.groupBy("mark").agg(F.count_if(F.col("t") > 0).alias("neighbours"), F.sum("t").alias("t"), F.sum("c").alias("c"))
     least = max(3, total[True] // 100)
@@ -111,21 +138,7 @@ def _toxic_marks(texts: DataFrame) -> set[str]:
 def _pieces(texts: DataFrame, toxic: set[str], sample: Sample) -> list:
     """Training pieces (words, labels): all that hold a toxic word, and as many others, up to the bound."""
     known = texts.sparkSession.sparkContext.broadcast(toxic)
-
-    def cut(batches):
-        import pandas as pd
-
-        for frame in batches:
-            rows = []
-            for text, bad in zip(frame["text"], frame["toxic"]):
-                words = text.split()
-                for i in range(0, len(words), PIECE):
-                    piece = words[i:i + PIECE]
-                    tags = [bad and any(m in known.value for m in marks(core(w))) for w in piece]
-                    rows.append((piece, "".join("01"[t] for t in tags)))
-            yield pd.DataFrame(rows, columns=["words", "tags"])
-
-    rows = texts.mapInPandas(cut, "words array<string>, tags string").withColumn("h", F.xxhash64("words"))
+    rows = texts.mapInPandas(lambda batches: _cut(batches, known.value), "words array<string>, tags string").withColumn("h", F.xxhash64("words"))
     kind = F.contains("tags", F.lit("1"))
     # one of each different piece, so that copies do not fill the sample
     drawn = lambda part: part.groupBy("h").agg(F.first("words").alias("words"), F.first("tags").alias("tags")).orderBy("h").limit(sample.pieces)
@@ -233,13 +246,17 @@ def tag(texts: list, field: Field, emission: dict, tokens_at_once: int = 1_000_0
 
     def flush() -> None:
         group.sort(key=lambda g: -len(g[1]))
-        lengths = np.array([len(w) for _, w in group])
+        places, lengths = [i for i, _ in group], np.array([len(w) for _, w in group])
         starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
         u = np.concatenate([w for _, w in group])
-        forward, backward = forward_backward(u, starts, lengths, field)
-        p = 1 / (1 + np.exp(-np.clip(forward + backward, -500, 500)))
+        group.clear()
+        p, backward = forward_backward(u, starts, lengths, field)
+        p += backward
+        del u, backward
+        np.negative(np.clip(p, -500, 500, out=p), out=p)
+        np.divide(1, np.add(1, np.exp(p, out=p), out=p), out=p)
         highest = np.maximum.reduceat(p, starts)
-        for (i, w), a, n, score in zip(group, starts, lengths, highest):
+        for i, a, n, score in zip(places, starts, lengths, highest):
             spans = []
             if score >= 0.5:
                 high = p[a:a + n] >= 0.5
@@ -252,7 +269,6 @@ def tag(texts: list, field: Field, emission: dict, tokens_at_once: int = 1_000_0
                             spans.append({"start": match.start(), "stop": match.end(), "probability": float(p[a + token])})
                     before = high[token]
             out[i] = {"score": float(score), "spans": spans}
-        group.clear()
 
     for i, text in enumerate(texts):
         words = re.findall(r"\S+", text) if text else []

@@ -57,3 +57,10 @@ def test_context_report(spark):
     assert quantiles[0.5] == sorted(lengths)[3] and quantiles[0.99] == max(lengths)
     marked = {q: r.n_tokens for r in report.select("n_tokens", token_counts.quantile_of().alias("ranks")).collect() for q in r.ranks}
     assert marked == quantiles
+
+
+def test_parts_of_a_batch(spark):
+    """A batch is worked in parts, also where all texts of a part are empty."""
+    texts = [None] * 300 + ["", "one two"] * 300 + [""] * 600 + ["last"]
+    rows = bpe.encoded(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)).collect()
+    assert [(r.ids, r.decoded) for r in sorted(rows, key=lambda r: r.doc_id)] == library(texts)

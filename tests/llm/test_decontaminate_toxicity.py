@@ -1,9 +1,11 @@
 import itertools
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from parvis.llm import decontaminate, toxicity
@@ -125,6 +127,25 @@ def test_held_out_accuracy_and_spans(spark):
     assert kept.columns == docs.columns and abs(kept.count() - 960) < 30
 
 
+def test_workers_hand_over_small_frames():
+    """However many texts a batch has, a frame holds little more than the marks, or pieces, of one text."""
+    texts = [" ".join(f"w{i}x{(i * k) % 97}abc" for k in range(300)) for i in range(400)] + ["", "one", "A " * 90]
+    batch = pd.DataFrame({"text": texts, "toxic": [i % 3 == 0 for i in range(len(texts))]})
+    want = set()
+    for text, toxic in zip(batch["text"], batch["toxic"]):
+        words = [toxicity.core(w) for w in text.split()]
+        want |= {(m, toxic, zlib.crc32(text.encode()), zlib.crc32(b.encode())) for b, w in zip(["", *words], words) for m in toxicity.marks(w)}
+    frames = list(toxicity._seen(iter([batch, batch[:0]])))
+    rows = [r for f in frames for r in f.itertuples(index=False, name=None)]
+    assert len(rows) == len(want) > 3 * toxicity.FRAME and set(rows) == want
+    assert max(map(len, frames)) <= toxicity.FRAME + 900
+    known = {f"w:w{i}x5abc" for i in range(0, 400, 2)}
+    frames = list(toxicity._cut(iter([batch]), known))
+    assert [" ".join(w for p in f["words"] for w in p) for f in [pd.concat(frames)]] == [" ".join(" ".join(texts).split())]
+    assert max(sum(map(len, f["words"])) for f in frames) <= toxicity.FRAME + 300
+    assert any("1" in t for f in frames for t in f["tags"])
+
+
 def test_odd_texts(spark):
     rows, labels = toxic_corpus(200)
     docs = spark.createDataFrame([*rows, (5000, None), (5001, ""), (5002, " \n"), (None, "no id"), (5003, "to re " * 40_000), rows[0]], "doc_id long, text string")
