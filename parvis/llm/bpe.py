@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 END = "\x00"  # never a symbol of the byte alphabet
-CACHED = 400_000  # words a Python worker remembers; only speed depends on it
+CACHED = 200_000  # words a Python worker remembers, also while other steps use it; only speed depends on it
 TEXTS = 256  # texts of a batch encoded and decoded at once
 
 
@@ -90,7 +90,7 @@ class Encoder:
                 used_right, y = (self.rank[made], made[0]) if made else (used_right, None)
             made = self.parts.get(x)
             used_left, x = (self.rank[made], made[1]) if made else (used_left, None)
-        if len(self.fits) > 2 * CACHED:
+        if len(self.fits) > CACHED:
             self.fits.clear()
         self.fits[left, right] = found
         return found
@@ -243,7 +243,9 @@ def round_trip(text: Column, path: str) -> Column:
 
     def both(texts):
         # some texts at a time, so that the token strings of a whole batch are never held at once
-        return pa.concat_arrays([part(texts.slice(i, TEXTS)) for i in range(0, max(len(texts), 1), TEXTS)])
+        coded = pa.concat_arrays([part(texts.slice(i, TEXTS)) for i in range(0, max(len(texts), 1), TEXTS)])
+        pa.default_memory_pool().release_unused()  # or the worker keeps it while other steps use it
+        return coded
 
     both.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(both, "ids array<int>, decoded string")(text)

@@ -301,7 +301,9 @@ def toxicity(text: Column, spark, field: Field) -> Column:
     def tagged(texts: pa.Array) -> pa.Array:
         if not caches:
             caches.append(_Emission(shared.value.emission))
-        return pa.array(tag(texts.to_pylist(), shared.value, caches[0]), kind)
+        found = pa.array(tag(texts.to_pylist(), shared.value, caches[0]), kind)
+        pa.default_memory_pool().release_unused()  # or the worker keeps it while other steps use it
+        return found
 
     tagged.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(tagged, SCHEMA)(text)
