@@ -420,6 +420,8 @@ def fit(corpus: DataFrame, sweeps: int = 5, burn_in: int = 2, strength: float =
     own = state.mapInArrow(_by_context("sums", np.int64), "bucket int, context long, n long").groupBy("bucket", "context").agg(F.sum("n").alias("n"))
     own = stage(own)
     asked = stage(own.join(own.groupBy("context").agg(F.sum("n").alias("customers")), "context").select("bucket", "context", "customers"))
+    forget(own)
+    release(spark)
     model = Model([], (0.5,) * 4, strength, 0, 0, burn_in)
     for number in range(sweeps + 1):
         totals, few = _gathered(state, model)
@@ -434,7 +436,6 @@ def fit(corpus: DataFrame, sweeps: int = 5, burn_in: int = 2, strength: float =
         forget(before)
         del joined, tables
         release(spark)
-    forget(own)
     forget(asked)
     return state, model
 

@@ -112,3 +112,13 @@ def test_word_bigrams_count(spark, monkeypatch):
     rows = [(i, line(), True) for i in range(150)] + [(1000, "axyz na", False), (1001, "axyz nb", False)]
     got = {r.doc_id: r.score for r in pitman_yor.scored(spark.createDataFrame(rows, "doc_id long, text string, learn boolean")).collect()}
     assert got[1000] - got[1001] > 2
+
+
+def test_tables_go_when_read(spark, monkeypatch):
+    """What only the table of contexts' customers is made from is gone before the first sweep."""
+    events, forget, gathered = [], pitman_yor.forget, pitman_yor._gathered
+    monkeypatch.setattr(pitman_yor, "forget", lambda rows: (events.append(tuple(rows.columns)), forget(rows))[1])
+    monkeypatch.setattr(pitman_yor, "_gathered", lambda *a: (events.append("sweep"), gathered(*a))[1])
+    docs = spark.createDataFrame([(i, f"a b{i % 3} c", True) for i in range(12)], "doc_id long, text string, learn boolean")
+    assert pitman_yor.scored(docs, sweeps=1, burn_in=0).count() == 12
+    assert events[:2] == [("bucket", "context", "n"), "sweep"]
