@@ -8,15 +8,16 @@ hashed into 65,536 and 1,024, so their totals are tables of fixed size; there ar
 many restaurants of words as words, and their totals are a Spark table that is joined
 in every sweep. Words are told apart by 64 bits, as contexts by 48 bits and the ending.
 
-The corpus is read once, into blocks: rows (block, word, contexts, counts) and each
-block's texts as numbers of its pairs. Rows are merged by word, so that all
-restaurants that serve a word are in one row, and dealt into buckets. A sweep reseats
-the customers of every dish, customer by customer, given the totals of the sweep
-before (from 64 customers on in runs of a sixteenth); seats are stored, and the new
-totals are summed by Spark. Draws are a function of word, restaurant, customer and
-sweep, so a lost task repeats itself exactly. Predictive probabilities are averaged
-over the sweeps after the burn-in and go back to the blocks by word and range of
-contexts, where every text is summed up.
+The corpus is read once, into blocks, which send the pairs of a word and the context
+before it to buckets of words: packed, one row per block and bucket. A bucket merges
+them into one row, so that all restaurants that serve a word are together, and keeps
+where each block's pairs went. These tables are dealt by bucket and stay where they are.
+A sweep reseats the customers of every dish, customer by customer, given the totals of
+the sweep before (from 64 customers on in runs of a sixteenth). Only the tables of each
+context move: packed, from buckets to ranges of contexts, where they are summed, and the
+sums back. Draws are a function of word, restaurant, customer and sweep, so a lost task
+repeats itself exactly. Predictive probabilities are averaged over the sweeps after the
+burn-in and go back to the blocks in their order of pairs, where every text is summed up.
 """
 
 from __future__ import annotations
@@ -27,22 +28,23 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parvis.llm.common import ascii_lower, forget, release, stage
+from parvis.llm.common import forget, release, stage, stage_by
 
 END = b"\n"  # holds white space, so it is no word
 PARENTS, CHILDREN = 1 << 10, 1 << 6  # restaurants of one character, and of two for each of them
 CONTEXTS = PARENTS * CHILDREN
 BLOCK_BYTES = 27 << 20  # text in a block
-MERGED_BLOCKS = 4_096  # rows of one word that one task merges
+MERGED_BLOCKS = 4_096  # blocks whose pairs are merged at once
 SINGLE = 64  # customers seated one by one
-SLICE = 1 << 18  # tokens looked up at once
 BUCKET_PAIRS = 1 << 19  # pairs of a word and its context that one task has at once, unless one word has more
-SHARD_BLOCKS = 256  # from so many blocks on, a word's contexts are looked up in several ranges
+PAIR_BYTES = 14  # text per pair, about
+SHARD_BLOCKS = 1  # blocks of text for each range of contexts
 
 
 @dataclass
@@ -80,10 +82,10 @@ class _Words(dict):
         return number
 
 
-PAIRS = "block long, word long, number int, contexts binary, counts binary, doc_ids array<long>, lengths array<int>, ranks binary, packed binary"
-PAIRS_SCHEMA = pa.schema([
-    ("block", pa.int64()), ("word", pa.int64()), ("number", pa.int32()), ("contexts", pa.binary()), ("counts", pa.binary()),
-    ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("ranks", pa.binary()), ("packed", pa.binary()),
+LAID = "bucket long, block long, words binary, sizes binary, contexts binary, sums binary, places binary, doc_ids array<long>, lengths array<int>, endings binary, packed binary"
+LAID_SCHEMA = pa.schema([
+    ("bucket", pa.int64()), ("block", pa.int64()), *[(name, pa.binary()) for name in ("words", "sizes", "contexts", "sums", "places")],
+    ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("endings", pa.binary()), ("packed", pa.binary()),
 ])
 
 
@@ -94,12 +96,56 @@ def _pack(values, sizes) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def _unpack(column: pa.Array, kind) -> tuple:
-    """The numbers of a column of binary values end to end, and how many each row has."""
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
-    data = column.buffers()[2] if len(column) else None
-    values = np.frombuffer(memoryview(data)[offsets[0]:offsets[-1]].tobytes(), kind) if data is not None else np.zeros(0, kind)
-    return values, np.diff(offsets) // np.dtype(kind).itemsize
+def _numbers(rows: list, kind):
+    """The numbers of binary values end to end."""
+    return np.frombuffer(b"".join(rows), kind)
+
+
+def _squeeze(values) -> bytes:
+    """Numbers that are small for their type: bytes of equal weight together pack better."""
+    return zlib.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.dtype.itemsize).T), 1)
+
+
+def _spread(packed: bytes, kind):
+    planes = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _steps(places) -> bytes:
+    """Places that mostly rise, as squeezed differences."""
+    return _squeeze(np.diff(places, prepend=0).astype(np.int32))
+
+
+def _walked(packed: bytes):
+    return np.cumsum(_spread(packed, np.int32), dtype=np.int64)
+
+
+def _tight(contexts) -> bytes:
+    """Contexts with their endings, which are few, squeezed."""
+    parts = contexts.view(np.uint16).reshape(-1, 4)
+    return parts[:, 1:].tobytes() + _squeeze(parts[:, 0].copy())
+
+
+def _loose(packed: bytes, n: int):
+    parts = np.empty((n, 4), np.uint16)
+    parts[:, 1:] = np.frombuffer(packed, np.uint16, 3 * n).reshape(-1, 3)
+    parts[:, 0] = _spread(packed[6 * n:], np.uint16)
+    return parts.view(np.int64).ravel()
+
+
+def _turned(contexts):
+    """What the contexts of a word are sorted by: first the ending, then the rest."""
+    x = contexts.view(np.uint64)
+    return (x << np.uint64(48)) | (x >> np.uint64(16))
+
+
+def _ranks(endings, end: int):
+    """Ranks of the contexts of a block's words, which are in order of their hashes; the end token's context is 0."""
+    keys = (endings.astype(np.int64) << 32) + np.arange(1, len(endings) + 1)
+    keys[end] = 0
+    ranks = np.empty(len(keys), np.int32)
+    ranks[np.argsort(keys)] = np.arange(len(keys), dtype=np.int32)
+    return ranks
 
 
 def _pairs(numbers, lengths, ranks):
@@ -110,98 +156,109 @@ def _pairs(numbers, lengths, ranks):
     return keys
 
 
-def _block(block: int, ids: list, texts: list, learn: list) -> Iterator[pa.RecordBatch]:
-    """The rows of one block: one per word, and one with the texts as word numbers."""
+class _Endings(dict):
+    """Contexts of endings of two ASCII characters at most."""
+
+    def __missing__(self, tail: bytes) -> int:
+        self[tail] = found = context_of(tail)
+        return found
+
+
+def _endings(words, n: int):
+    known = _Endings()
+    return np.fromiter((known[t] if (t := w[-2:]).isascii() else context_of(w) for w in words), np.uint16, n)
+
+
+def _heads(values):
+    """Where a run of equal values begins."""
+    return np.concatenate(([True], values[1:] != values[:-1]))[:len(values)]
+
+
+def _block(block: int, ids: list, texts: list, learn: list, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The rows of one block: one per bucket of words, and one with the texts as word numbers."""
     words = _Words()
     number = words.__getitem__
     lengths, parts = [], []
     for text in texts:
-        tokens = (text or b"").split()
+        tokens = (text or b"").lower().split()  # of bytes, so A-Z only
         tokens.append(END)
         lengths.append(len(tokens))
         parts.append(np.fromiter(map(number, tokens), np.int32, len(tokens)))
     flat, lengths = np.concatenate(parts), np.array(lengths, np.int32)
     del parts
-    n, end = len(words), words[END]
-    endings = np.fromiter(map(context_of, words), np.int64, n)
-    # 64 bits tell words apart from here on
-    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n).view(np.int64)
+    end, endings = words[END], _endings(words, len(words))
+    # 64 bits tell words apart from here on; numbers are in their order
+    hashed, first, numbers = np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), return_index=True, return_inverse=True)
     words.clear()
-    contexts = hashed & -CONTEXTS | endings
+    n, end, endings = len(hashed), int(numbers[end]), endings[first]
+    flat = numbers.astype(np.int32)[flat]
+    contexts = (hashed & np.uint64(-CONTEXTS & (1 << 64) - 1) | endings.astype(np.uint64)).view(np.int64)
     contexts[end] = 0
-    order = np.argsort(contexts, kind="stable")
-    ranks = np.empty(n, np.int32)
-    ranks[order] = np.arange(n, dtype=np.int32)
-    keys = _pairs(flat, lengths, ranks)
-    seen, times = np.unique(keys[np.repeat(np.array(learn, bool), lengths)], return_counts=True)
-    pairs = np.unique(keys)
-    del keys
-    counts = np.zeros(len(pairs), np.int32)
-    counts[np.searchsorted(pairs, seen)] = times
-    sizes = np.bincount(pairs // n, minlength=n)
-    yield pa.RecordBatch.from_arrays([
-        pa.array(np.full(n, block, np.int64)), pa.array(hashed), pa.array(np.arange(n, dtype=np.int32)), _pack(contexts[order][pairs % n], sizes), _pack(counts, sizes),
-        pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()),
-    ], schema=PAIRS_SCHEMA)
-    planes = flat.view(np.uint8).reshape(-1, 4).T  # bytes of equal weight together pack better
+    ranks = _ranks(endings, end)
+    marked = _pairs(flat, lengths, ranks) * 2
+    marked += np.repeat(np.array(learn, bool), lengths)
+    marked.sort()
+    heads = np.flatnonzero(_heads(marked >> 1))
+    counts = np.add.reduceat(marked & 1, heads).astype(np.int32)
+    owners, after = np.divmod(marked[heads] >> 1, n)
+    del marked
+    sizes = np.bincount(owners, minlength=n).astype(np.int32)
+    contexts = contexts[np.argsort(ranks)[after]]
+    a = np.searchsorted((hashed >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+    b = np.concatenate(([0], np.cumsum(sizes)))[a]
     yield pa.RecordBatch.from_pylist([{
-        "block": block, "doc_ids": ids, "lengths": lengths.tolist(), "ranks": ranks.tobytes(), "packed": zlib.compress(np.ascontiguousarray(planes), 1),
-    }], PAIRS_SCHEMA)
+        "bucket": i, "block": block, "words": hashed[a[i]:a[i + 1]].tobytes(), "sizes": sizes[a[i]:a[i + 1]].tobytes(),
+        "contexts": _tight(contexts[b[i]:b[i + 1]]), "sums": _squeeze(counts[b[i]:b[i + 1]]),
+    } for i in np.flatnonzero(np.diff(a)).tolist()], LAID_SCHEMA)
+    yield pa.RecordBatch.from_pylist([{
+        "bucket": -block, "block": block, "doc_ids": ids, "lengths": lengths.tolist(), "endings": _squeeze(endings), "packed": _squeeze(flat),
+    }], LAID_SCHEMA)
 
 
-def _blocks(batches: Iterator) -> Iterator:
+def _blocks(buckets: int):
     """Blocks are numbered by partition and place in it: small numbers, and the same again if a task is repeated."""
-    block = TaskContext.get().partitionId() << 24
-    for batch in batches:
-        ids, texts, learn = (c.to_pylist() for c in batch.columns)
-        start, size = 0, 0
-        for i, text in enumerate(texts):
-            size += len(text or b"") + 1
-            if size >= BLOCK_BYTES or i + 1 == len(texts):
-                block += 1
-                yield from _block(block, ids[start:i + 1], texts[start:i + 1], [bool(x) for x in learn[start:i + 1]])
-                start, size = i + 1, 0
-
-
-def _merge(batches: Iterator) -> Iterator:
-    """One row per word from rows sorted by word: contexts in order with summed counts. Holds one word over from batch to batch."""
-    held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)  # word, context, count of what may go on
-
-    def rows(words, contexts, counts) -> pa.RecordBatch:
-        heads = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
-        sizes = np.diff(np.concatenate((heads, [len(words)])))
-        return pa.RecordBatch.from_arrays([pa.array(words[heads]), _pack(contexts, sizes), _pack(counts, sizes)], ["word", "contexts", "counts"])
-
-    for batch in batches:
-        contexts, sizes = _unpack(batch.column(1), np.int64)
-        kind = np.int32 if batch.schema.names[2] == "counts" else np.int64
-        words = np.concatenate((held[0], np.repeat(batch.column(0).to_numpy(), sizes)))
-        if not len(words):
-            continue
-        contexts = np.concatenate((held[1], contexts))
-        counts = np.concatenate((held[2], _unpack(batch.column(2), kind)[0].astype(np.int64)))
-        order = np.lexsort((contexts, np.concatenate(([0], np.cumsum(words[1:] != words[:-1])))))
+
+    def cut(batches: Iterator) -> Iterator:
+        block = TaskContext.get().partitionId() << 24
+        for batch in batches:
+            ids, texts, learn = (c.to_pylist() for c in batch.columns)
+            start, size = 0, 0
+            for i, text in enumerate(texts):
+                size += len(text or b"") + 1
+                if size >= BLOCK_BYTES or i + 1 == len(texts):
+                    block += 1
+                    yield from _block(block, ids[start:i + 1], texts[start:i + 1], [bool(x) for x in learn[start:i + 1]], buckets)
+                    start, size = i + 1, 0
+
+    return cut
+
+
+def _merged(rows: pa.Table) -> pa.Table:
+    """The rows of a bucket as one, words and contexts in order with summed counts, and the places of each block's pairs in it. Texts stay as they are."""
+    bucket = rows.column("bucket")[0].as_py()
+    if bucket < 0:
+        return rows
+    rows = rows.sort_by("block").select(["block", "words", "sizes", "contexts", "sums"]).to_pylist()
+    words, contexts, sums, places, blocks = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), [], []
+    for i in range(0, len(rows), MERGED_BLOCKS):
+        some = rows[i:i + MERGED_BLOCKS]
+        sizes = [np.frombuffer(r["sizes"], np.int32) for r in some]
+        blocks += [(r["block"], int(n.sum())) for r, n in zip(some, sizes)]
+        before = len(words)
+        words = np.concatenate([words, *[np.repeat(np.frombuffer(r["words"], np.uint64), n) for r, n in zip(some, sizes)]])
+        contexts = np.concatenate([contexts, *[_loose(r["contexts"], int(n.sum())) for r, n in zip(some, sizes)]])
+        sums = np.concatenate([sums, *[_spread(r["sums"], np.int32) for r in some]])
+        order = np.lexsort((_turned(contexts), words))
         words, contexts = words[order], contexts[order]
-        heads = np.flatnonzero(np.concatenate(([True], (words[1:] != words[:-1]) | (contexts[1:] != contexts[:-1]))))
-        counts = np.add.reduceat(counts[order], heads)
-        words, contexts = words[heads], contexts[heads]
-        last = int(np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))[-1])
-        held = words[last:], contexts[last:], counts[last:]
-        if last:
-            yield rows(words[:last], contexts[:last], counts[:last])
-    if len(held[0]):
-        yield rows(*held)
-
-
-def merged(rows: DataFrame, blocks: int) -> DataFrame:
-    """(word, contexts, sums) of the corpus. Words in very many blocks are merged in two steps."""
-    salts = -(-blocks // MERGED_BLOCKS)
-    kind = "word long, contexts binary, sums binary"
-    part = rows.select("word", "contexts", "counts", F.pmod(F.col("block"), F.lit(salts)).alias("salt"))
-    if salts > 1:
-        part = part.repartition("word", "salt").sortWithinPartitions("word", "salt").drop("salt").mapInArrow(_merge, kind)
-        return part.repartition("word").sortWithinPartitions("word").mapInArrow(_merge, kind)
-    return part.drop("salt").repartition("word").sortWithinPartitions("word").mapInArrow(_merge, kind)
+        heads = _heads(words) | _heads(contexts)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(heads) - 1
+        sums, words, contexts = np.add.reduceat(sums[order], np.flatnonzero(heads)), words[heads], contexts[heads]
+        places = [place[:before][p] for p in places] + [place[before:]]
+    heads = np.flatnonzero(_heads(words))
+    whole = {"bucket": bucket, "words": words[heads].tobytes(), "sizes": np.diff(np.append(heads, len(words))).astype(np.int32).tobytes(), "contexts": _tight(contexts), "sums": _squeeze(sums)}
+    places = np.split(np.concatenate(places), np.cumsum([n for _, n in blocks])[:-1])
+    return pa.Table.from_pylist([whole] + [{"bucket": bucket, "block": block, "places": _steps(p)} for (block, _), p in zip(blocks, places)], LAID_SCHEMA)
 
 
 def _uniform(key, sweep: int, step: int):
@@ -223,8 +280,10 @@ def seated(customers, strength: float, others, below, discount: float, key, swee
     and opens the expected number of tables, rounded at random.
     """
     tables = np.minimum(customers, 1).astype(float)
-    order = np.argsort(-customers, kind="stable")
-    rest, each = ((strength + discount * others) * below)[order], np.broadcast_to(discount * below, customers.shape)[order]
+    order = np.flatnonzero(customers > 1)
+    order = order[np.argsort(-customers[order], kind="stable")]
+    below = np.broadcast_to(below, customers.shape)[order]
+    rest, each = (strength + discount * others[order]) * below, discount * below
     many, keys, found = customers[order], key[order], tables[order]
     sat, active = 1, int(np.searchsorted(-many, -1, "left"))
     while active:
@@ -239,13 +298,21 @@ def seated(customers, strength: float, others, below, discount: float, key, swee
     return tables
 
 
+def _groups(values) -> tuple:
+    """Distinct values in order, and which of them each value is; values in order are not sorted."""
+    if (values[1:] < values[:-1]).any():
+        return np.unique(values, return_inverse=True)
+    heads = _heads(values)
+    return values[heads], np.cumsum(heads) - 1
+
+
 class Seats:
     """All restaurants' seats for the words of some rows; restaurant totals come from outside."""
 
     def __init__(self, keys, contexts, counts, rows, model: Model) -> None:
         self.model, self.rows, self.n = model, rows, len(keys)
         self.at2 = contexts
-        groups, self.up2 = np.unique(rows * PARENTS + contexts // CHILDREN, return_inverse=True)
+        groups, self.up2 = _groups(rows * PARENTS + contexts // CHILDREN)
         self.at1, self.up1 = groups % PARENTS, groups // PARENTS
         with np.errstate(over="ignore"):
             self.key0 = keys
@@ -288,7 +355,7 @@ class WordSeats(Seats):
     """Seats with the restaurants of whole words as level 3; their totals come pair by pair. The low 16 bits of a context are its ending."""
 
     def __init__(self, keys, contexts, counts, rows, model: Model) -> None:
-        groups, self.up3 = np.unique(rows * CONTEXTS + contexts % CONTEXTS, return_inverse=True)
+        groups, self.up3 = _groups(rows * CONTEXTS + contexts % CONTEXTS)
         self.at3, self.rows3 = contexts, rows
         with np.errstate(over="ignore"):
             self.key3 = keys[rows] * np.uint64(41) + (contexts.view(np.uint64) + np.uint64(1)) * np.uint64(0x9FB21C651E98DF25)
@@ -303,108 +370,174 @@ class WordSeats(Seats):
         self._carry1()
         self._carry0()
 
-    def predictive_words(self, totals: Totals, customers, tables):
+    def below(self, totals: Totals):
+        """Probability of each word after the endings of its contexts."""
+        return self.predictive(totals, 2)[self.up3]
+
+    def predictive_words(self, below, customers, tables):
         """Probability of each word after each of its contexts, given the totals of those restaurants."""
         m = self.model
-        below = self.predictive(totals, 2)[self.up3]
         return (np.maximum(self.c3 - m.discounts[3] * self.t3, 0.0) + (m.strength + m.discounts[3] * tables) * below) / (m.strength + customers)
 
-    def sweep_words(self, totals: Totals, tables, number: int) -> None:
+    def sweep_words(self, totals: Totals, below, tables, number: int) -> None:
         m = self.model
-        below = self.predictive(totals, 2)[self.up3]
         self.t3 = seated(self.c3, m.strength, np.maximum(tables - self.t3, 0), below, m.discounts[3], self.key3, 3 * number)
         self.c2 = np.bincount(self.up3, self.t3, len(self.at2))
         self.sweep(totals, number)
 
 
-STATE = "bucket int, word long, contexts binary, sums binary, t3 binary, t2 binary, t1 binary, t0 binary, total binary"
-NAMES = [x.split()[0] for x in STATE.split(", ")]
+STATE = "bucket long, range long, tables binary, t3 binary, t2 binary, t1 binary, t0 binary, total binary, marks binary"
+STATE_SCHEMA = pa.schema([("bucket", pa.int64()), ("range", pa.int64()), *[(name, pa.binary()) for name in ("tables", "t3", "t2", "t1", "t0", "total", "marks")]])
+MARKS = [(k, what) for k in range(3) for what in ("customers", "tables")] + [(k, "few") for k in range(4)]
+MARK_SIZES = [4 if what == "few" else (1, PARENTS, CONTEXTS)[k] for k, what in MARKS]
+
+
+def _contexts(row: dict):
+    """The contexts of a merged row, and the row's word that each belongs to."""
+    sizes = np.frombuffer(row["sizes"], np.int32)
+    return _loose(row["contexts"], int(sizes.sum())), np.repeat(np.arange(len(sizes)), sizes)
 
 
-def _seats(rows, model: Model) -> WordSeats:
-    """Seats of some rows of STATE; before the first sweep there are no tables in them."""
-    column = lambda name, kind: _unpack(rows.column(NAMES.index(name)), kind)
-    contexts, sizes = column("contexts", np.int64)
-    seats = WordSeats(rows.column(1).to_numpy().view(np.uint64), contexts, column("sums", np.int64)[0], np.repeat(np.arange(len(sizes)), sizes), model)
-    if rows.column(NAMES.index("t3")).null_count == 0:
-        seats.seat(*(column(name, np.int32)[0] for name in ("t3", "t2", "t1", "t0")))
+def _ranged(contexts, ranges: int):
+    """Where the ranges of sorted contexts begin, and which ranges these are."""
+    own = ((contexts >> 32) + (1 << 31)) * ranges >> 32
+    heads = np.flatnonzero(_heads(own))
+    return heads, own[heads]
+
+
+def _own(ranges: int):
+    """Each bucket's contexts with their customers there, by range; a row is numbered bucket * ranges + range."""
+
+    def cut(batches: Iterator) -> Iterator:
+        for batch in batches:
+            for row in batch.to_pylist():
+                contexts, at = np.unique(_contexts(row)[0], return_inverse=True)
+                n = np.bincount(at, _spread(row["sums"], np.int64), len(contexts)).astype(np.int64)
+                heads, own = _ranged(contexts, ranges)
+                sizes = np.diff(np.append(heads, len(contexts)))
+                yield pa.RecordBatch.from_arrays([pa.array(row["bucket"] * ranges + own), _pack(contexts, sizes), _pack(n, sizes)], ["bucket", "context", "n"])
+
+    return cut
+
+
+ASKED = "range long, bucket long, places binary, customers binary"
+ASKED_SCHEMA = pa.schema([("range", pa.int64()), ("bucket", pa.int64()), ("places", pa.binary()), ("customers", pa.binary())])
+
+
+def _numbered(ranges: int):
+    """Of a range, where each bucket's contexts are among all; and, as bucket -1, the customers of all."""
+
+    def number(rows: pa.Table) -> pa.Table:
+        rows = rows.to_pylist()
+        own = rows[0]["bucket"] % ranges
+        contexts, at = np.unique(_numbers([r["context"] for r in rows], np.int64), return_inverse=True)
+        customers = np.bincount(at, _numbers([r["n"] for r in rows], np.int64)).astype(np.int64)
+        places = np.split(at, np.cumsum([len(r["context"]) // 8 for r in rows])[:-1])
+        return pa.Table.from_pylist(
+            [{"range": own, "bucket": -1, "customers": customers.tobytes()}] + [{"range": own, "bucket": r["bucket"] // ranges, "places": _steps(p)} for r, p in zip(rows, places)], ASKED_SCHEMA
+        )
+
+    return number
+
+
+BACK = "bucket long, range long, customers binary, tables binary"
+
+
+def _added(asked: pa.Table, tables: pa.Table) -> pa.Table:
+    """Customers and tables of a range's restaurants, for each bucket's contexts."""
+    everyone, *asked = asked.sort_by("bucket").to_pylist()
+    values = [np.frombuffer(x, np.int64) for x in tables.sort_by("bucket").column("tables").to_pylist()]
+    sizes, places = [len(x) for x in values], np.concatenate([_walked(r["places"]) for r in asked])
+    customers = np.frombuffer(everyone["customers"], np.int64)
+    sums = np.bincount(places, np.concatenate(values), len(customers)).astype(np.int64)
+    return pa.Table.from_arrays([
+        pa.array([r["bucket"] for r in asked], pa.int64()), pa.array([r["range"] for r in asked], pa.int64()), _pack(customers[places], sizes), _pack(sums[places], sizes),
+    ], ["bucket", "range", "customers", "tables"])
+
+
+def _seats(row: dict, model: Model) -> WordSeats:
+    """Seats of a merged row; before the first sweep it has no tables yet."""
+    contexts, owners = _contexts(row)
+    seats = WordSeats(np.frombuffer(row["words"], np.uint64), contexts, _spread(row["sums"], np.int64), owners, model)
+    if row.get("t3") is not None:
+        seats.seat(*(np.frombuffer(row[name], np.int32) for name in ("t3", "t2", "t1", "t0")))
     return seats
 
 
-def _whole(table: pa.Table) -> pa.RecordBatch:
-    """The rows of a group as one batch."""
-    table = table.combine_chunks()
-    return table.to_batches()[0] if table.num_rows else pa.RecordBatch.from_pylist([], table.schema)
+def _marks(seats: WordSeats) -> bytes:
+    """Totals of the restaurants of endings in a bucket, and how many dishes of each level have one, two customers."""
+    sums = []
+    for k, (c, t, at) in enumerate(((seats.c0, seats.t0, np.zeros(seats.n, np.int64)), (seats.c1, seats.t1, seats.at1), (seats.c2, seats.t2, seats.at2))):
+        sums += [np.bincount(at, c, MARK_SIZES[2 * k]), np.bincount(at, t, MARK_SIZES[2 * k])]
+    sums += [[np.count_nonzero(c == 1), np.count_nonzero(c == 2), np.count_nonzero(c), c.sum()] for c in (seats.c0, seats.c1, seats.c2, seats.c3)]
+    return np.concatenate(sums).astype(np.int64).tobytes()
 
 
-def _gathered(state: DataFrame, model: Model) -> tuple[Totals, list]:
-    """Totals of the restaurants of endings, and how many dishes of each level have one, two customers."""
-    shared = state.sparkSession.sparkContext.broadcast(model)
-    names = [(k, what) for k in range(3) for what in ("customers", "tables")] + [(k, "few") for k in range(4)]
+def _stated(bucket: int, seats: WordSeats, contexts, at, ranges: int, total) -> list:
+    """A bucket's rows of STATE: its seats, and the tables of its contexts by range."""
+    tables = np.bincount(at, seats.t3, len(contexts)).astype(np.int64)
+    heads, own = _ranged(contexts, ranges)
+    rows = [{"bucket": bucket, "range": r, "tables": x.tobytes()} for r, x in zip(own.tolist(), np.split(tables, heads[1:]))]
+    found = {name: getattr(seats, name).astype(np.int32).tobytes() for name in ("t3", "t2", "t1", "t0")}
+    return [*rows, {"bucket": bucket, **found, "total": None if total is None else total.tobytes(), "marks": _marks(seats)}]
 
-    def add(batches: Iterator) -> Iterator:
-        sums = {(k, what): np.zeros(4 if what == "few" else (1, PARENTS, CONTEXTS)[k]) for k, what in names}
+
+def _first(ranges: int):
+    """Rows of STATE when every dish has one table."""
+
+    def seat(batches: Iterator) -> Iterator:
         for batch in batches:
-            seats = _seats(batch, shared.value)
-            for k, (c, t, at) in enumerate(((seats.c0, seats.t0, np.zeros(seats.n, np.int64)), (seats.c1, seats.t1, seats.at1), (seats.c2, seats.t2, seats.at2), (seats.c3, None, None))):
-                if t is not None:
-                    sums[k, "customers"] += np.bincount(at, c, len(sums[k, "customers"]))
-                    sums[k, "tables"] += np.bincount(at, t, len(sums[k, "tables"]))
-                sums[k, "few"] += [np.count_nonzero(c == 1), np.count_nonzero(c == 2), np.count_nonzero(c), c.sum()]
-        for i, name in enumerate(names):
-            at = np.flatnonzero(sums[name])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(at), pa.array(sums[name][at])], ["what", "at", "n"])
-
-    rows = state.mapInArrow(add, "what int, at long, n double").groupBy("what", "at").agg(F.sum("n").alias("n")).toArrow()
-    totals, few = Totals(), [np.zeros(4) for _ in range(4)]
-    what, at, n = (rows.column(c).to_numpy() for c in ("what", "at", "n"))
-    for i, (k, name) in enumerate(names):
-        target = few[k] if name == "few" else getattr(totals, name)[k]
-        target[at[what == i]] = n[what == i]
-    return totals, few
+            for row in batch.to_pylist():
+                seats = _seats(row, Model([], (0.5,) * 4, 1.0, 0, 0, 0))
+                yield pa.RecordBatch.from_pylist(_stated(row["bucket"], seats, *np.unique(seats.at3, return_inverse=True), ranges, None), STATE_SCHEMA)
 
+    return seat
 
-def _by_context(value: str, kind):
-    """(bucket, context, n) from rows of STATE: sums of ``value``, or of at most one per dish where there are no tables yet."""
+
+def _gathered(state: DataFrame, model: Model) -> tuple[Totals, list]:
+    """Totals of the restaurants of endings, and how many dishes of each level have one, two customers."""
 
     def add(batches: Iterator) -> Iterator:
+        sums = np.zeros(sum(MARK_SIZES), np.int64)
         for batch in batches:
-            contexts, sizes = _unpack(batch.column(NAMES.index("contexts")), np.int64)
-            buckets = np.repeat(batch.column(0).to_numpy(), sizes)
-            column = batch.column(NAMES.index(value))
-            n = _unpack(column, kind)[0] if column.null_count == 0 else np.minimum(_unpack(batch.column(NAMES.index("sums")), np.int64)[0], 1)
-            order = np.lexsort((contexts, buckets))
-            contexts, buckets = contexts[order], buckets[order]
-            heads = np.flatnonzero(np.concatenate(([True], (contexts[1:] != contexts[:-1]) | (buckets[1:] != buckets[:-1])))) if len(order) else order
-            yield pa.RecordBatch.from_arrays([
-                pa.array(buckets[heads]), pa.array(contexts[heads]), pa.array(np.add.reduceat(n[order].astype(np.int64), heads) if len(order) else contexts),
-            ], ["bucket", "context", "n"])
-
-    return add
+            for marks in batch.column(0).to_pylist():
+                sums += np.frombuffer(marks, np.int64)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["at", "n"])
+
+    rows = state.where("marks IS NOT NULL").select("marks").mapInArrow(add, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    sums = np.zeros(sum(MARK_SIZES))
+    sums[rows.column("at").to_numpy()] = rows.column("n").to_numpy()
+    totals, few = Totals(), []
+    for (k, name), part in zip(MARKS, np.split(sums, np.cumsum(MARK_SIZES)[:-1])):
+        if name == "few":
+            few.append(part)
+        else:
+            getattr(totals, name)[k] = part
+    return totals, few
 
 
-def _step(shared, number: int, sweep: bool):
+def _step(shared, number: int, sweep: bool, ranges: int):
     """Adds what the seats predict after the burn-in, then reseats."""
 
-    def step(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        model, rows, asked = shared.value, _whole(rows), _whole(asked.sort_by("context"))
-        seats, totals = _seats(rows, model), model.totals[0]
-        at = np.searchsorted(asked.column(1).to_numpy(), seats.at3)
-        customers, tables = (asked.column(k).to_numpy()[at].astype(float) for k in (2, 3))
-        total = np.zeros(len(at), np.float32) if rows.column(8).null_count else _unpack(rows.column(8), np.float32)[0]
+    def step(rows: pa.Table, back: pa.Table) -> pa.Table:
+        model, row, back = shared.value, rows.to_pylist()[0], back.sort_by("range")
+        seats, totals = _seats(row, model), model.totals[0]
+        contexts, at = np.unique(seats.at3, return_inverse=True)
+        customers, tables = (_numbers(back.column(name).to_pylist(), np.int64).astype(float)[at] for name in ("customers", "tables"))
+        below, total = seats.below(totals), None
         if number > model.burn_in:
-            total = total + seats.predictive_words(totals, customers, tables).astype(np.float32)
+            total = np.zeros(len(at), np.float32) if row["total"] is None else np.frombuffer(row["total"], np.float32)
+            total = total + seats.predictive_words(below, customers, tables).astype(np.float32)
         if sweep:
-            seats.sweep_words(totals, tables, number)
-        sizes = [np.bincount(x, minlength=seats.n) for x in (seats.rows3, seats.rows, seats.up1, np.arange(seats.n))]
-        found = [_pack(t.astype(np.int32), n) for t, n in zip((seats.t3, seats.t2, seats.t1, seats.t0), sizes)]
-        return pa.Table.from_arrays([*rows.columns[:4], *found, _pack(total, sizes[0])], NAMES)
+            seats.sweep_words(totals, below, tables, number)
+        return pa.Table.from_pylist(_stated(row["bucket"], seats, contexts, at, ranges, total), STATE_SCHEMA)
 
     return step
 
 
-def fit(corpus: DataFrame, sweeps: int = 5, burn_in: int = 2, strength: float = 1.0) -> tuple[DataFrame, Model]:
-    """Rows of STATE with the summed probabilities of all sweeps after the burn-in, from a merged corpus (word, contexts, sums).
+def fit(corpus: DataFrame, buckets: int, ranges: int, sweeps: int = 5, burn_in: int = 2, strength: float = 1.0) -> tuple[DataFrame, Model]:
+    """Rows of STATE with the summed probabilities of all sweeps after the burn-in, from merged rows (bucket, words, sizes, contexts, sums).
 
     Discounts are n1 / (n1 + 2 n2) of each level, n1 and n2 the dishes with one and two
     customers when every dish has one table.
@@ -412,75 +545,52 @@ def fit(corpus: DataFrame, sweeps: int = 5, burn_in: int = 2, strength: float =
     if not 0 <= burn_in < sweeps:
         raise ValueError("at least one sweep must follow the burn-in")
     spark = corpus.sparkSession
-    pairs = corpus.agg(F.sum(F.length("contexts"))).first()[0] or 0
-    buckets = max(1, -(-pairs // 8 // BUCKET_PAIRS), min(32, pairs // 8 // 4096))
-    none = [F.lit(None).cast("binary").alias(name) for name in NAMES[4:]]
-    state = corpus.select(F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int").alias("bucket"), "word", "contexts", "sums", *none)
-    # each bucket's contexts with the customers of their restaurants, which stay the same
-    own = state.mapInArrow(_by_context("sums", np.int64), "bucket int, context long, n long").groupBy("bucket", "context").agg(F.sum("n").alias("n"))
-    own = stage(own)
-    asked = stage(own.join(own.groupBy("context").agg(F.sum("n").alias("customers")), "context").select("bucket", "context", "customers"))
+    # where each bucket's contexts are in their ranges, and the customers of their restaurants, which stay the same
+    own = stage(corpus.mapInArrow(_own(ranges), "bucket long, context binary, n binary"))
+    asked = own.groupBy(F.pmod("bucket", F.lit(ranges)).alias("range")).applyInArrow(_numbered(ranges), ASKED)
+    asked = stage_by(asked, "range", ranges)
     forget(own)
     release(spark)
     model = Model([], (0.5,) * 4, strength, 0, 0, burn_in)
+    state = stage_by(corpus.mapInArrow(_first(ranges), STATE), "bucket", buckets)
     for number in range(sweeps + 1):
         totals, few = _gathered(state, model)
         if not number:
             model.discounts = tuple(float(np.clip(f[0] / max(f[0] + 2 * f[1], 1.0), 0.1, 0.95)) for f in few)
             model.tokens, model.types = int(few[3][3]), int(few[0][2])
         model.totals = [totals]
-        tables = state.mapInArrow(_by_context("t3", np.int32), "bucket int, context long, n long").groupBy("context").agg(F.sum("n").alias("tables"))
-        joined = asked.join(tables, "context").select("bucket", "context", "customers", "tables")
-        before, step = state, _step(spark.sparkContext.broadcast(model), number, number < sweeps)
-        state = stage(state.groupBy("bucket").cogroup(joined.groupBy("bucket")).applyInArrow(step, STATE))
+        tables = state.where("range IS NOT NULL").select("range", "bucket", "tables")
+        back = asked.groupBy("range").cogroup(tables.groupBy("range")).applyInArrow(_added, BACK)
+        seats = state.where("range IS NULL").select("bucket", "t3", "t2", "t1", "t0", "total")
+        before, step = state, _step(spark.sparkContext.broadcast(model), number, number < sweeps, ranges)
+        state = stage_by(corpus.join(seats.hint("merge"), "bucket").groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(step, STATE), "bucket", buckets)
         forget(before)
-        del joined, tables
+        del back, tables, seats
         release(spark)
     forget(asked)
     return state, model
 
 
-PIECES = "word long, shard int, block long, number int, contexts binary, known long, logs binary"
-
+ANSWERS = "home long, bucket long, known binary, logs binary"
 
-def _pieces(shards: int, times: int = 0):
-    """Rows cut into ranges of contexts, (block, word, number, contexts) or rows of STATE with ``times`` probabilities summed up."""
 
-    def cut(batches: Iterator) -> Iterator:
-        for batch in batches:
-            contexts, sizes = _unpack(batch.column("contexts"), np.int64)
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            shard = ((contexts >> 32) + (1 << 31)) * shards >> 32
-            heads = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (shard[1:] != shard[:-1])))) if len(owner) else owner
-            cuts, rows = np.diff(np.append(heads, len(owner))), owner[heads]
-            nothing = lambda kind: pa.nulls(len(heads), kind)
-            if times:
-                known = np.bincount(owner, _unpack(batch.column("sums"), np.int64)[0], len(sizes)).astype(np.int64)
-                logs = np.log10(_unpack(batch.column("total"), np.float32)[0].astype(float) / times).astype(np.float32)
-                rest = [nothing(pa.int64()), nothing(pa.int32()), _pack(contexts, cuts), pa.array(known[rows]), _pack(logs, cuts)]
-            else:
-                rest = [batch.column("block").take(pa.array(rows)), batch.column("number").take(pa.array(rows)), _pack(contexts, cuts), nothing(pa.int64()), nothing(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("word").take(pa.array(rows)), pa.array(shard[heads].astype(np.int32)), *rest], [x.split()[0] for x in PIECES.split(", ")])
-
-    return cut
+def _answers(times: int):
+    """For each block, to the bucket of its texts, the training counts of its words and the logs of its pairs in a bucket, in the block's order."""
 
+    def answer(rows: pa.Table, state: pa.Table) -> pa.Table:
+        whole = rows.filter(pc.is_null(rows.column("block"))).to_pylist()[0]
+        sizes = np.frombuffer(whole["sizes"], np.int32)
+        owners = np.repeat(np.arange(len(sizes)), sizes)
+        known = np.bincount(owners, _spread(whole["sums"], np.int64), len(sizes)).astype(np.int64)
+        logs = np.log10(np.frombuffer(state.column("total")[0].as_py(), np.float32).astype(float) / times).astype(np.float32)
+        found = []
+        for row in rows.filter(pc.is_valid(rows.column("block"))).to_pylist():
+            places = _walked(row["places"])
+            words = owners[places]
+            found.append({"home": -row["block"], "bucket": whole["bucket"], "known": known[words[_heads(words)]].tobytes(), "logs": logs[places].tobytes()})
+        return pa.Table.from_pylist(found, pa.schema([("home", pa.int64()), ("bucket", pa.int64()), ("known", pa.binary()), ("logs", pa.binary())]))
 
-def _picked(asked: pa.Table, served: pa.Table) -> pa.Table:
-    """The logs of the contexts that blocks ask for, in their order."""
-    asked, served = _whole(asked), _whole(served)
-    (wanted, sizes), (there, had) = (_unpack(x.column("contexts"), np.int64) for x in (asked, served))
-    (words, shards), (names, parts) = ((x.column("word").to_numpy(), x.column("shard").to_numpy()) for x in (asked, served))
-    ranks = np.unique(names)
-    number = lambda word, shard: np.searchsorted(ranks, word) * (1 << 24) + shard
-    rows = np.argsort(number(names, parts))
-    row = rows[np.searchsorted(number(names, parts)[rows], number(words, shards))]  # of what is served, for each row that asks
-    contexts = np.unique(there)
-    keys = np.repeat(np.arange(len(had)), had) * len(contexts) + np.searchsorted(contexts, there)
-    order = np.argsort(keys)
-    at = order[np.searchsorted(keys[order], np.repeat(row, sizes) * len(contexts) + np.searchsorted(contexts, wanted))]
-    logs = _unpack(served.column("logs"), np.float32)[0][at]
-    known = served.column("known").to_numpy()[row]
-    return pa.Table.from_arrays([asked.column("block"), asked.column("number"), asked.column("shard"), pa.array(known), _pack(logs, sizes)], ["block", "number", "shard", "known", "logs"])
+    return answer
 
 
 SCORES = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -488,23 +598,19 @@ SCORES = "doc_id long, n_tokens long, n_known long, train_tokens long, base_scor
 
 def _summed(tokens: int, types: int):
     def block(words: pa.Table, texts: pa.Table) -> pa.Table:
-        words = words.sort_by([("number", "ascending"), ("shard", "ascending")]).combine_chunks()
-        logs, sizes = _unpack(words.column("logs").chunk(0), np.float32)
-        known = np.repeat(words.column("known").to_numpy(), sizes)
+        words = words.sort_by("bucket")
+        logs, known = (_numbers(words.column(name).to_pylist(), kind) for name, kind in (("logs", np.float32), ("known", np.int64)))
         base = np.log10((known + 0.1) / (tokens + 0.1 * (types + 1)))
-        planes = np.frombuffer(zlib.decompress(texts.column("packed")[0].as_py()), np.uint8).reshape(4, -1)
-        numbers = np.ascontiguousarray(planes.T).view(np.int32).ravel()
-        ranks = np.frombuffer(texts.column("ranks")[0].as_py(), np.int32)
+        numbers, endings = _spread(texts.column("packed")[0].as_py(), np.int32), _spread(texts.column("endings")[0].as_py(), np.uint16)
         lengths = texts.column("lengths").combine_chunks().flatten().to_numpy()
         starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        keys = _pairs(numbers, lengths, ranks)
-        pairs = np.unique(keys)
+        keys = _pairs(numbers, lengths, _ranks(endings, int(numbers[lengths[0] - 1])))
+        order = np.argsort(keys)
         at = np.empty(len(keys), np.int32)
-        for i in range(0, len(keys), SLICE):  # small steps, so that a block needs little besides itself
-            at[i:i + SLICE] = np.searchsorted(pairs, keys[i:i + SLICE])
-        del keys, pairs, numbers
+        at[order] = np.cumsum(_heads(keys[order])) - 1
+        del keys, order
 
-        def add(x):
+        def add(x, at):
             sums = np.zeros(len(lengths), np.int64 if x.dtype.kind == "i" else float)
             for i in range(0, len(lengths), 512):
                 a, b = starts[i], starts[i + 512] if i + 512 < len(starts) else len(at)
@@ -513,8 +619,8 @@ def _summed(tokens: int, types: int):
 
         return pa.table({
             "doc_id": texts.column("doc_ids").combine_chunks().flatten(), "n_tokens": pa.array(lengths.astype(np.int64)),
-            "n_known": pa.array(add((known > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(lengths), tokens)),
-            "base_score": pa.array(add(base)), "score": pa.array(add(logs)),
+            "n_known": pa.array(add((known > 0).astype(np.int64), numbers)), "train_tokens": pa.array(np.full(len(lengths), tokens)),
+            "base_score": pa.array(add(base, numbers)), "score": pa.array(add(logs, at)),
         })
 
     return block
@@ -528,19 +634,16 @@ def scored(docs: DataFrame, text: str = "text", key: str = "doc_id", learn: str
     Words not in the training texts share the base's one unknown word. Without any
     training text all words are that one. Perplexity is 10 ** (-score / n_tokens).
     """
-    flow = docs.select(F.col(key).alias("doc_id"), ascii_lower(F.col(text)).cast("binary").alias("text"), F.col(learn).alias("learn"))
-    rows = stage(flow.mapInArrow(_blocks, PAIRS))
-    texts = rows.where("word IS NULL").select("block", "doc_ids", "lengths", "ranks", "packed")
-    asked = rows.where("word IS NOT NULL")
-    blocks = texts.count()
-    corpus = stage(merged(asked, blocks))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    pairs = size // PAIR_BYTES
+    buckets = max(1, -(-pairs // BUCKET_PAIRS), min(16, pairs // 4096))
+    flow = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("text"), F.col(learn).alias("learn"))
+    laid = stage_by(flow.mapInArrow(_blocks(buckets), LAID).groupBy("bucket").applyInArrow(_merged, LAID), "bucket", buckets)
     release(docs.sparkSession)
-    state, model = fit(corpus, sweeps, burn_in)
-    # a bucket has about BUCKET_PAIRS of the pairs that blocks ask for
-    shards = -(-blocks // SHARD_BLOCKS) or 1
-    pairs = (asked.agg(F.sum(F.length("contexts"))).first()[0] or 0) // 8
-    bucket = F.pmod(F.xxhash64("word", "shard"), F.lit(max(1, -(-pairs // BUCKET_PAIRS), min(32, pairs // 4096))))
-    wanted = asked.select("block", "word", "number", "contexts").mapInArrow(_pieces(shards), PIECES).withColumn("bucket", bucket)
-    served = state.mapInArrow(_pieces(shards, sweeps - burn_in), PIECES).withColumn("bucket", bucket)
-    picked = wanted.groupBy("bucket").cogroup(served.groupBy("bucket")).applyInArrow(_picked, "block long, number int, shard int, known long, logs binary")
-    return picked.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(_summed(model.tokens, model.types), SCORES)
+    corpus = laid.where("words IS NOT NULL").select("bucket", "words", "sizes", "contexts", "sums")
+    state, model = fit(corpus, buckets, -(-size // (SHARD_BLOCKS * BLOCK_BYTES)) or 1, sweeps, burn_in)
+    asked = laid.where("packed IS NULL").select("bucket", "block", "sizes", "sums", "places")
+    served = state.where("range IS NULL").select("bucket", "total")
+    picked = asked.groupBy("bucket").cogroup(served.groupBy("bucket")).applyInArrow(_answers(sweeps - burn_in), ANSWERS)
+    texts = laid.where("packed IS NOT NULL").select("bucket", "doc_ids", "lengths", "endings", "packed")
+    return picked.groupBy("home").cogroup(texts.groupBy("bucket")).applyInArrow(_summed(model.tokens, model.types), SCORES)

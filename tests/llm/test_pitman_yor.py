@@ -122,3 +122,34 @@ def test_tables_go_when_read(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"a b{i % 3} c", True) for i in range(12)], "doc_id long, text string, learn boolean")
     assert pitman_yor.scored(docs, sweeps=1, burn_in=0).count() == 12
     assert events[:2] == [("bucket", "context", "n"), "sweep"]
+
+
+def test_contexts_travel_packed(spark, monkeypatch):
+    """Contexts and their customers are one row per bucket and range, not one per context."""
+    found, forget = {}, pitman_yor.forget
+    monkeypatch.setattr(pitman_yor, "forget", lambda rows: (found.update({tuple(rows.columns): rows.count()}), forget(rows))[1])
+    docs = spark.createDataFrame([(i, " ".join(f"a{i} b{k}" for k in range(20)), True) for i in range(30)], "doc_id long, text string, learn boolean")
+    assert pitman_yor.scored(docs, sweeps=1, burn_in=0).count() == 30
+    assert found["bucket", "context", "n"] == 1
+
+
+def test_dealt_tables_stay_where_they_are(spark):
+    """Joins and groups by the column that a table is dealt by need no shuffle, and its name is not kept."""
+    from parvis.llm.common import forget, stage_by
+
+    one, two = (stage_by(spark.range(100).selectExpr("id % 7 AS k", f"id AS {c}"), "k", 3) for c in "ab")
+    rows = one.join(two.hint("merge"), "k").groupBy("k").count()
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert {r.k: r["count"] for r in rows.collect()} == {k: (15 if k < 2 else 14) ** 2 for k in range(7)}
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("stage_")]
+    forget(one)
+    forget(two)
+
+
+def test_packing_and_back():
+    rng = np.random.default_rng(3)
+    contexts = rng.integers(-(1 << 63), 1 << 63, 500)
+    assert (pitman_yor._loose(pitman_yor._tight(contexts), 500) == contexts).all()
+    places = np.sort(rng.integers(0, 1 << 20, 500))
+    assert (pitman_yor._walked(pitman_yor._steps(places)) == places).all()
+    assert len(pitman_yor._loose(pitman_yor._tight(contexts[:0]), 0)) == 0
