@@ -42,6 +42,7 @@ CONTEXTS = PARENTS * CHILDREN
 BLOCK_BYTES = 27 << 20  # text in a block
 MERGED_BLOCKS = 4_096  # blocks whose pairs are merged at once
 SINGLE = 64  # customers seated one by one
+SLICE = 1 << 10  # texts split at once
 BUCKET_PAIRS = 1 << 19  # pairs of a word and its context that one task has at once, unless one word has more
 PAIR_BYTES = 14  # text per pair, about
 SHARD_BLOCKS = 1  # blocks of text for each range of contexts
@@ -74,14 +75,6 @@ def context_of(word: bytes) -> int:
     return (zlib.crc32(last) % PARENTS) * CHILDREN + zlib.crc32(before) % CHILDREN
 
 
-class _Words(dict):
-    """Numbers of the words of a block, in order of appearance."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        return number
-
-
 LAID = "bucket long, block long, words binary, sizes binary, contexts binary, sums binary, places binary, doc_ids array<long>, lengths array<int>, endings binary, packed binary"
 LAID_SCHEMA = pa.schema([
     ("bucket", pa.int64()), ("block", pa.int64()), *[(name, pa.binary()) for name in ("words", "sizes", "contexts", "sums", "places")],
@@ -174,23 +167,34 @@ def _heads(values):
     return np.concatenate(([True], values[1:] != values[:-1]))[:len(values)]
 
 
-def _block(block: int, ids: list, texts: list, learn: list, buckets: int) -> Iterator[pa.RecordBatch]:
+def _tokens(texts: pa.Array) -> tuple:
+    """Numbers of the words of all texts and their end tokens, the number of tokens of each text, and the words by number, the end token last."""
+    parts, sizes = [], []
+    for i in range(0, len(texts), SLICE):
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(i, SLICE).fill_null("")))
+        owner, found = pc.list_parent_indices(lists).to_numpy(), lists.flatten()
+        real = pc.binary_length(found).to_numpy() > 0  # white space at either end leaves an empty one
+        sizes.append(np.bincount(owner[real], minlength=len(lists)))
+        parts.append(found if real.all() else found.filter(pa.array(real)))
+    coded = pa.chunked_array(parts).dictionary_encode().combine_chunks()
+    coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
+    words = [*coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False), END]
+    lengths = np.concatenate(sizes).astype(np.int32) + 1
+    numbers = np.full(int(lengths.sum()), len(words) - 1, np.int32)
+    inner = np.ones(len(numbers), bool)
+    inner[np.cumsum(lengths) - 1] = False
+    numbers[inner] = coded.indices.to_numpy()
+    return numbers, lengths, words
+
+
+def _block(block: int, ids: list, texts: pa.Array, learn: list, buckets: int) -> Iterator[pa.RecordBatch]:
     """The rows of one block: one per bucket of words, and one with the texts as word numbers."""
-    words = _Words()
-    number = words.__getitem__
-    lengths, parts = [], []
-    for text in texts:
-        tokens = (text or b"").lower().split()  # of bytes, so A-Z only
-        tokens.append(END)
-        lengths.append(len(tokens))
-        parts.append(np.fromiter(map(number, tokens), np.int32, len(tokens)))
-    flat, lengths = np.concatenate(parts), np.array(lengths, np.int32)
-    del parts
-    end, endings = words[END], _endings(words, len(words))
+    flat, lengths, words = _tokens(texts)
+    endings = _endings(words, len(words))
     # 64 bits tell words apart from here on; numbers are in their order
     hashed, first, numbers = np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), return_index=True, return_inverse=True)
-    words.clear()
-    n, end, endings = len(hashed), int(numbers[end]), endings[first]
+    del words
+    n, end, endings = len(hashed), int(numbers[-1]), endings[first]
     flat = numbers.astype(np.int32)[flat]
     contexts = (hashed & np.uint64(-CONTEXTS & (1 << 64) - 1) | endings.astype(np.uint64)).view(np.int64)
     contexts[end] = 0
@@ -198,12 +202,16 @@ def _block(block: int, ids: list, texts: list, learn: list, buckets: int) -> Ite
     marked = _pairs(flat, lengths, ranks) * 2
     marked += np.repeat(np.array(learn, bool), lengths)
     marked.sort()
-    heads = np.flatnonzero(_heads(marked >> 1))
-    counts = np.add.reduceat(marked & 1, heads).astype(np.int32)
-    owners, after = np.divmod(marked[heads] >> 1, n)
-    del marked
+    learnt = (marked & 1).astype(np.int32)
+    marked >>= 1
+    heads = np.flatnonzero(_heads(marked))
+    counts, marked = np.add.reduceat(learnt, heads).astype(np.int32), marked[heads]
+    del learnt, heads
+    owners = (marked // n).astype(np.int32)
     sizes = np.bincount(owners, minlength=n).astype(np.int32)
-    contexts = contexts[np.argsort(ranks)[after]]
+    marked -= np.multiply(owners, n, dtype=np.int64)
+    contexts = contexts[np.argsort(ranks)[marked]]
+    del owners, marked
     a = np.searchsorted((hashed >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
     b = np.concatenate(([0], np.cumsum(sizes)))[a]
     yield pa.RecordBatch.from_pylist([{
@@ -221,14 +229,15 @@ def _blocks(buckets: int):
     def cut(batches: Iterator) -> Iterator:
         block = TaskContext.get().partitionId() << 24
         for batch in batches:
-            ids, texts, learn = (c.to_pylist() for c in batch.columns)
+            ids, learn, texts = batch.column("doc_id").to_pylist(), batch.column("learn").to_pylist(), batch.column("text")
             start, size = 0, 0
-            for i, text in enumerate(texts):
-                size += len(text or b"") + 1
+            for i, length in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
+                size += length + 1
                 if size >= BLOCK_BYTES or i + 1 == len(texts):
                     block += 1
-                    yield from _block(block, ids[start:i + 1], texts[start:i + 1], [bool(x) for x in learn[start:i + 1]], buckets)
+                    yield from _block(block, ids[start:i + 1], texts.slice(start, i + 1 - start), [bool(x) for x in learn[start:i + 1]], buckets)
                     start, size = i + 1, 0
+                    pa.default_memory_pool().release_unused()
 
     return cut
 
@@ -270,6 +279,14 @@ def _uniform(key, sweep: int, step: int):
         return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) * 2.0 ** -53
 
 
+def _falling(values):
+    """Stable order of whole numbers from the largest on; the small ones, which are most, by radix sort."""
+    order = np.argsort(65_535 - np.minimum(values, 65_535).astype(np.uint16), kind="stable")
+    top = order[:np.count_nonzero(values >= 65_535)]
+    top[:] = top[np.argsort(-values[top], kind="stable")]
+    return order
+
+
 def seated(customers, strength: float, others, below, discount: float, key, sweep: int):
     """Tables of each dish after its customers are seated one after the other.
 
@@ -281,7 +298,7 @@ def seated(customers, strength: float, others, below, discount: float, key, swee
     """
     tables = np.minimum(customers, 1).astype(float)
     order = np.flatnonzero(customers > 1)
-    order = order[np.argsort(-customers[order], kind="stable")]
+    order = order[_falling(customers[order])]
     below = np.broadcast_to(below, customers.shape)[order]
     rest, each = (strength + discount * others[order]) * below, discount * below
     many, keys, found = customers[order], key[order], tables[order]
@@ -637,7 +654,7 @@ def scored(docs: DataFrame, text: str = "text", key: str = "doc_id", learn: str
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     pairs = size // PAIR_BYTES
     buckets = max(1, -(-pairs // BUCKET_PAIRS), min(16, pairs // 4096))
-    flow = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("binary").alias("text"), F.col(learn).alias("learn"))
+    flow = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(learn).alias("learn"))
     laid = stage_by(flow.mapInArrow(_blocks(buckets), LAID).groupBy("bucket").applyInArrow(_merged, LAID), "bucket", buckets)
     release(docs.sparkSession)
     corpus = laid.where("words IS NOT NULL").select("bucket", "words", "sizes", "contexts", "sums")

@@ -153,3 +153,13 @@ def test_packing_and_back():
     places = np.sort(rng.integers(0, 1 << 20, 500))
     assert (pitman_yor._walked(pitman_yor._steps(places)) == places).all()
     assert len(pitman_yor._loose(pitman_yor._tight(contexts[:0]), 0)) == 0
+
+
+def test_tokens_and_falling_order():
+    import pyarrow as pa
+
+    texts = ["".join(map(chr, range(300))) + " a\x85b\xa0c   D", "", None, "  x\n\n Y ", " \n\x0b", "é\x1c\x1d q"] * 400
+    numbers, lengths, names = pitman_yor._tokens(pa.array(texts))
+    assert [names[i].decode() for i in numbers] == [w for t in texts for w in words(t)] and lengths.tolist() == [len(words(t)) for t in texts]
+    values = np.random.default_rng(1).zipf(1.2, 50_000).clip(0, 10**9).astype(float)
+    assert (pitman_yor._falling(values) == np.argsort(-values, kind="stable")).all() and not len(pitman_yor._falling(values[:0]))
