@@ -26,7 +26,7 @@ YEAR = 2023
 
 
 def _register_files(spark, d) -> str:
-    """The sales as gzip register files, one per department."""
+    """The sales as gzip register files, several per department: a gzip file is written and read by one task."""
     sales = V.tx(spark, d)
     known = {c: F.col(c).cast("string") for c in sales.columns if c in tables.REGISTER_COLUMNS}
     known |= {
@@ -34,17 +34,18 @@ def _register_files(spark, d) -> str:
         "valeur_fonciere": F.expr(f"CASE WHEN {_BAD_PRICE} THEN 'abc' ELSE CAST(valeur_fonciere AS STRING) END"),
         "adresse_nom_voie": F.expr(f"CASE WHEN {_BAD_LINE} THEN 'RUE, 5' ELSE adresse_nom_voie END"),
     }
-    rows = stage(sales.select(*[known.get(c, F.lit(None).cast("string")).alias(c) for c in tables.REGISTER_COLUMNS]))
+    rows = sales.select(*[known.get(c, F.lit(None).cast("string")).alias(c) for c in tables.REGISTER_COLUMNS])
+    departments = ("75", "76", "77", "78")
     root = shared_path(spark, "register")
+    lines = rows.where(F.col("code_departement").isin(*departments)).withColumn("of", F.col("code_departement"))
+    lines.write.partitionBy("of").option("header", True).option("quote", "").option("compression", "gzip").csv(f"{root}/made")
     hadoop = spark._jvm.org.apache.hadoop.fs
-    for department in ("75", "76", "77", "78"):
-        made = f"{root}/made-{department}"
-        lines = rows.where(F.col("code_departement") == department).coalesce(1)
-        lines.write.option("header", True).option("quote", "").option("compression", "gzip").csv(made)
-        files = hadoop.Path(made).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        files.mkdirs(hadoop.Path(f"{root}/{YEAR}/departements"))
-        part = files.globStatus(hadoop.Path(f"{made}/part-*"))[0].getPath()
-        files.rename(part, hadoop.Path(f"{root}/{YEAR}/departements/{department}.csv.gz"))
+    folder = hadoop.Path(f"{root}/{YEAR}/departements")
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    for department in departments:
+        for i, part in enumerate(files.globStatus(hadoop.Path(f"{root}/made/of={department}/part-*")) or []):
+            files.rename(part.getPath(), hadoop.Path(folder, f"{department}.{i}.csv.gz"))
     return root
 
 

@@ -72,11 +72,11 @@ CORRUPT = "_corrupt"
 def read_departments(spark: SparkSession, root: str, year: int, departments: list[str] = C.IDF_DEPARTMENTS, checked: bool = False) -> DataFrame:
     """All department files of a year as one table with ``code_departement_source``.
 
-    Files of other departments are never opened; a department without a file
-    contributes nothing, and without any the result is empty. ``checked`` adds the text
+    A department is one file (``75.csv.gz``) or several (``75.0.csv.gz``, ...). Files of other
+    departments are never opened; a department without a file contributes nothing, and without any the result is empty. ``checked`` adds the text
     of lines that do not fit the layout as ``_corrupt``, for ``split_register``.
     """
-    names = "{" + ",".join(f"{d}.csv.gz" for d in departments) + "}"
+    names = "{" + ",".join(f"{d}.csv.gz,{d}.*.csv.gz" for d in departments) + "}"
     source = F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1)
     schema = T.StructType([*REGISTER_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())]) if checked else REGISTER_SCHEMA
     reader = spark.read.schema(schema).option("header", True).option("escape", '"').option("pathGlobFilter", names)
@@ -88,8 +88,10 @@ def read_departments(spark: SparkSession, root: str, year: int, departments: lis
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema).withColumn("code_departement_source", F.lit(None).cast("string"))
-    # a gzip file is one task: its rows are dealt out anew before anything else is done with them
-    return files.select("*", source.alias("code_departement_source")).hint("rebalance")
+    rows = files.select("*", source.alias("code_departement_source"))
+    # a gzip file is one task: rows of few files are dealt out anew before anything else is done with them
+    enough = 2 * max(spark.sparkContext.defaultParallelism, len(departments))
+    return rows if len(files.inputFiles()) >= enough else rows.hint("rebalance")
 
 
 NUMBERS = ["valeur_fonciere", "surface_reelle_bati", "nombre_pieces_principales", "longitude", "latitude", "code_postal", "nombre_lots"]
