@@ -19,6 +19,7 @@ from parvis.operators.features import training_frame
 from parvis.plans import requests as Q
 from parvis.plans import training
 from parvis.plans.listing_analysis import analyse_pages
+from parvis.session import stage
 
 FEATURES = ["surface_reelle_bati", "voie_recent_prix_m2"]
 AS_OF = "2025-01-01"
@@ -35,6 +36,7 @@ held AS (SELECT sqrt(avg(power(my + bx * (surface_reelle_bati - mx) + bz * (coal
 def line_model(spark, d):
     """A line over area and recent price, with its held-out error."""
     train, test, enc = training_frame(V.clean(spark, d), columns=FEATURES)
+    train, test = stage(train), stage(test)  # the fit reads them several times
     return training.fit(train, training.linear(FEATURES), enc, held_out=test)
 
 

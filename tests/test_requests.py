@@ -116,3 +116,14 @@ def test_listings_by_model(spark, fitted):
     assert done[1].prix_predit == pytest.approx(done[1].prix_predit_m2 * 50) and len(done[1].contributions) == 3
     assert done[1].gain_potentiel == pytest.approx(done[1].prix_predit - 279_000)
     assert all(done[i].gem_score is None and done[i].prix_predit is None for i in (3, 4, 5)) and len(done) == 5
+
+
+def test_line_model_reads_rows_written_once(spark, tmp_path, monkeypatch):
+    from parvis.catalog import request_queries as R
+
+    monkeypatch.setattr(R.V, "clean", lambda *_: sales(spark, 60))
+    seen = {}
+    monkeypatch.setattr(R.training, "fit", lambda train, *_, held_out: seen.update(train=train, test=held_out))
+    R.line_model(spark, str(tmp_path))
+    for rows in seen.values():
+        assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
